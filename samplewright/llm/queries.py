@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, language, licences, mixing, packing, sharding, token_counts
 from .common import read
 
 
@@ -16,6 +16,15 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack_documents(read(spark, sf_dir, "documents"))
+    return placed.withColumnRenamed("id", "doc_id")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), exact_dedup.arrival(), exact_dedup.N_BATCHES)
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -36,6 +45,15 @@ FROM d
 """
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "canonical_sha256", "licence", F.concat_ws(",", "notices").alias("notices"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_table(token_counts.encoded_lengths(read(spark, sf_dir, "documents")))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix(read(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
@@ -77,8 +95,12 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies
 
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op5_language_id": op5_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_licence_scan": op8_licence_scan,
+    "op9_token_counts": op9_token_counts,
     "op10_mix": op10_mix,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op10_mix": OP10_SQL}
+ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op8_licence_scan": licences.scan_sql(), "op10_mix": OP10_SQL}
