@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language, licences, mixing, packing, sharding, token_counts
+from . import embedding_dedup, exact_dedup, jaccard_join, language, licences, mixing, packing, sharding, token_counts
 from .common import read
 
 
@@ -25,6 +25,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90).withColumnRenamed("id", "doc_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -101,6 +105,7 @@ QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_licence_scan": op8_licence_scan,
