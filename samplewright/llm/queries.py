@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, jaccard_join, language, licences, mixing, packing, sharding, token_counts
+from . import embedding_dedup, exact_dedup, jaccard_join, language, licences, mixing, packing, sharding, substring_dedup, token_counts
 from .common import read
 
 
@@ -33,6 +33,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_passages(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start", "end", F.col("other_id").alias("other_doc_id"), "other_start", "other_end", "similarity")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(read(spark, sf_dir, "documents"), exact_dedup.arrival(), exact_dedup.N_BATCHES)
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -107,6 +112,7 @@ QUERIES = {
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_licence_scan": op8_licence_scan,
     "op9_token_counts": op9_token_counts,
