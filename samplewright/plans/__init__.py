@@ -1,5 +1,7 @@
 """Registered queries over the driver's tables and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
-flagship = None
+from . import selecting
+
+QUERIES = {**selecting.QUERIES}
+ORACLE_SQL = {**selecting.ORACLE_SQL}
+flagship = selecting.flagship
