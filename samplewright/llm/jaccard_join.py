@@ -5,17 +5,20 @@ rare before frequent, two sets that share enough have common shingles among
 their first ones: with a prefix of size - least overlap + m shingles each, at
 least m of them. Each document takes its own m from the estimated cost of its
 candidates (after Wang, Li and Feng, 2012): a longer prefix is read only where
-asking for more matches saves more verification than it costs to read.
+asking for more matches saves more verification than it costs to read. Two
+documents are verified if they share as many prefix shingles as the lesser m.
 
 Equal sets are one class. Documents whose prefixes share their most popular
-shingle form bounded blocks; blocks that share enough prefix shingles are
-verified against each other by exact intersection counts inside one task, and
-only linked documents leave it. So neither copies nor large groups of near
-copies are expanded into pairs of rows.
+shingle form bounded blocks; a document meets blocks, not documents, and all
+intersections of two blocks are counted inside one task, which only linked
+documents leave. So neither copies nor large groups of near copies are expanded
+into pairs of rows.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,6 @@ from .common import attach, components, written
 #: Counters of the shingle-frequency table that orders shingles; its size is fixed.
 COUNTERS = 1 << 20
 CHUNK = 1 << 14
-MOST_MATCHES = 6
 #: Shingles of all sets in a block.
 BLOCK_SHINGLES = 100_000
 
@@ -88,7 +90,8 @@ def profiles(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         if count.any():
             parts = range(COUNTERS // CHUNK)
             none = pa.nulls(len(parts))
-            counts = [count[p * CHUNK : (p + 1) * CHUNK].astype("<i8").tobytes() for p in parts]
+            counts = [count[p * CHUNK : (p + 1) * CHUNK].astype("<i4") for p in parts]
+            counts = [zlib.compress(c.tobytes(), 1) for c in counts]
             yield pa.RecordBatch.from_arrays([none.cast(id_type), none.cast(pa.int64()), none.cast(pa.binary()), pa.array(parts, pa.int32()), pa.array(counts, pa.binary())], names)
 
     id_type = pa.int64()
@@ -102,15 +105,16 @@ def frequency(counts: DataFrame) -> np.ndarray:
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for c in t.column("counts"):
-            total += np.frombuffer(c.as_py(), "<i8")
-        return pa.table({"chunk": t.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(zlib.decompress(c.as_py()), "<i4")
+        total = np.minimum(total, 2**31 - 1).astype("<i4")
+        return pa.table({"chunk": t.column("chunk")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     schema = "chunk int, counts binary"
     salted = counts.withColumn("salt", F.spark_partition_id() % 64).groupBy("chunk", "salt").applyInArrow(add, schema)
     got = salted.groupBy("chunk").applyInArrow(add, schema).toArrow()
     out = np.zeros(COUNTERS, np.int64)
     for chunk, raw in zip(got.column("chunk").to_pylist(), got.column("counts").to_pylist(), strict=True):
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(raw, "<i8")
+        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(zlib.decompress(raw), "<i4")
     return out
 
 
@@ -119,44 +123,37 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(own: np.ndarray, level: np.ndarray, seen: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The document's prefix in the global order (level, hash), and the matches m that it asks for."""
-    bucket = (own & np.uint64(COUNTERS - 1)).astype(np.int64)
-    lv = level[bucket]
+def prefix(own: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The longest prefix that may be read, in the global order (level, hash), and how much of it comes before any match is asked for."""
+    lv = level[(own & np.uint64(COUNTERS - 1)).astype(np.int64)]
     order = np.lexsort((own, lv)) if lv.any() else np.arange(len(own))
     must = least_overlap(len(own), percent)
-    base, most = len(own) - must, min(MOST_MATCHES, must)
-    read = np.where(lv > 0, seen[bucket], 0)[order][: base + most].cumsum()  # postings read up to each place
-    m = np.arange(1, most + 1)
-    # every further match asked for halves the candidates, each verified at the cost of its set
-    cost = read[base + m - 1] * (1 + len(own) * 0.5 ** (m - 1.0))
-    best = int(np.argmin(cost)) + 1
-    return own[order[: base + best]], best
+    base = len(own) - must
+    return own[order[: base + min(must, base // 3 + 2)]], base
 
 
 def postings(docs: DataFrame, k: int, percent: int, seen: np.ndarray) -> DataFrame:
-    """(id, n, m, tokens) of each (id, text) with words."""
-    mean = max(1.0, seen.sum() / COUNTERS)
-    level = np.maximum(0, np.floor(np.log2(np.maximum(seen, 1) / (2 * mean + 8)))).astype(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((level.astype(np.int8), np.minimum(seen, 2**31 - 1).astype(np.int32)))
+    """(id, n, base, tokens) of each (id, text) with words: the prefix may hold up to len(tokens) - base matches."""
+    mean = seen.sum() / COUNTERS
+    level = np.maximum(0, np.floor(np.log2(np.maximum(seen, 1) / (2 * mean + 8)))).astype(np.int8)
+    shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lv, sn = shared.value
+        lv = shared.value
         for b in batches:
-            ids, n, ms, tokens = b.column("id").to_pylist(), [], [], []
-            kept = []
+            ids, kept, n, bases, tokens = b.column("id").to_pylist(), [], [], [], []
             for s in range(0, b.num_rows, 256):
                 for j, text in enumerate(b.column("text").slice(s, 256).to_pylist()):
                     own = shingle_set(text, k)
                     if len(own):
-                        first, m = prefix(own, lv, sn, percent)
+                        first, base = prefix(own, lv, percent)
                         kept.append(ids[s + j])
                         n.append(len(own))
-                        ms.append(m)
+                        bases.append(base)
                         tokens.append(first.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(n, pa.int64()), pa.array(ms, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "n", "m", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(n, pa.int64()), pa.array(bases, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "n", "base", "tokens"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, m int, tokens array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, base int, tokens array<bigint>")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -213,53 +210,74 @@ def block_links(a_ids: np.ndarray, a: list[np.ndarray], b_ids: np.ndarray, b: li
     return np.r_[a_ids[keep], b_ids[other]], np.r_[left[keep], right[other]]
 
 
+def adapted(flat: DataFrame) -> DataFrame:
+    """Postings (id, n, m, token, docs) of the prefixes that the documents choose.
+
+    flat: (id, n, base, most, pos, token). With m matches a document reads the
+    lists of its first base + m shingles; at most that many postings over m are
+    candidates, each verified at the cost of its set. The m of least cost wins,
+    the smaller on ties. Shingles in one prefix only find nobody and are dropped.
+    """
+    popular = flat.groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1")
+    shared = written(flat.join(popular, "token"), "postings")
+    cost = """array_min(transform(sequence(1, most), m -> struct(
+        aggregate(filter(reads, x -> x.pos < base + m), 0D, (s, x) -> s + x.docs - 1) * (1 + n / m) as cost, m as m))).m"""
+    own = shared.groupBy("id", "n", "base", "most").agg(F.collect_list(F.struct("pos", "docs")).alias("reads"))
+    own = own.select("id", F.expr(cost).alias("m"))
+    return shared.join(own, "id").filter("pos < base + m").select("id", "n", "m", "token", "docs")
+
+
+def candidate_groups(chosen: DataFrame, percent: int) -> DataFrame:
+    """(id, home, target): documents to verify together, from adapted postings.
+
+    A document's home is a bounded block of those of about its size whose
+    prefixes share its most popular shingle. It goes to every block, its own included, with which it
+    shares as many prefix shingles as it or a member of the block asks for and
+    whose sizes allow a link, if some member of that block also goes to its home.
+    """
+    band = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
+    home = chosen.groupBy("id", "n", "m").agg(F.max(F.struct("docs", "token"))["token"].alias("key")).withColumn("band", band)
+    sizes = home.groupBy("key", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("subs"))
+    home = home.join(sizes, ["key", "band"]).withColumn("block", F.xxhash64("key", "band", F.pmod(F.xxhash64("id"), F.col("subs"))))
+    home = written(home.select("id", "n", "m", "block"), "homes")
+    placed = written(chosen.join(home.select("id", F.col("block").alias("home")), "id").select("id", "n", "m", "token", "home"), "placed")
+    blocks = home.groupBy(F.col("block").alias("target")).agg(F.min("m").alias("least"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    fits = (100 * F.col("hi") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("lo"))
+    listed = placed.groupBy("token", F.col("home").alias("target")).agg(F.count("*").alias("members")).join(blocks, "target")
+    met = placed.join(listed, "token").filter(fits & ((F.col("home") != F.col("target")) | (F.col("members") > 1)))
+    goes = met.groupBy("id", "home", "target").agg(F.count("*").alias("common"), F.first(F.least("m", "least")).alias("need"))
+    goes = written(goes.filter("common >= need").select("id", "home", "target"), "goes")
+    back = goes.select(F.col("target").alias("home"), F.col("home").alias("target")).distinct()
+    return goes.join(back, ["home", "target"], "left_semi")
+
+
 def class_edges(docs: DataFrame, classes: DataFrame, k: int, percent: int, seen: np.ndarray) -> DataFrame:
     """Edges (a, b) that connect the representatives of linked classes."""
-    spark = docs.sparkSession
     reps = classes.filter("n > 0").select(F.col("rep").alias("id"))
-    own = postings(docs, k, percent, seen).dropDuplicates(["id"]).join(reps, "id", "left_semi")
-    flat = written(own.select("id", "n", "m", "tokens"), "prefixes").select("id", "n", "m", F.explode("tokens").alias("token"))
-    popular = flat.groupBy("token").agg(F.count("*").alias("docs")).filter("docs > 1")
-    shared = written(flat.join(popular, "token"), "postings")  # shingles in one prefix only find nobody
-
-    home = shared.groupBy("id", "n", "m").agg(F.max(F.struct("docs", "token"))["token"].alias("key"))
-    sizes = home.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("subs"))
-    home = home.join(sizes, "key").withColumn("sub", F.pmod(F.xxhash64("id"), F.col("subs")))
-    home = written(home.select("id", "n", "m", F.xxhash64("key", "sub").alias("block")), "homes")
-    blocks = home.groupBy("block").agg(F.count("*").alias("docs"), F.min("m").alias("m"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    listed = shared.select("id", "token").join(home.select("id", "block"), "id").select("token", "block").distinct()
-    listed = written(listed.join(blocks, "block"), "block-postings")
-    x, y = (listed.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "m", "lo", "hi")]) for s in "ab")
-    fits = (100 * F.col("hi_a") >= percent * F.col("lo_b")) & (100 * F.col("hi_b") >= percent * F.col("lo_a"))
-    pairs = x.join(y, "token").filter((F.col("block_a") < F.col("block_b")) & fits).groupBy("block_a", "block_b")
-    pairs = pairs.agg(F.count("*").alias("common"), F.first(F.least("m_a", "m_b")).alias("m")).filter("common >= m").select("block_a", "block_b")
-    inner = blocks.filter("docs > 1").select(F.col("block").alias("block_a"), F.col("block").alias("block_b"))
-    work = written(pairs.unionByName(inner), "block-pairs")
-
-    wanted = work.select(F.explode(F.array("block_a", "block_b")).alias("block")).distinct()
-    members = home.join(wanted, "block").select("id", "block")
+    own = written(postings(docs, k, percent, seen).join(reps, "id", "left_semi").dropDuplicates(["id"]), "prefixes")
+    flat = own.select("id", "n", "base", (F.size("tokens") - F.col("base")).alias("most"), F.posexplode("tokens").alias("pos", "token"))
+    groups = written(candidate_groups(adapted(flat), percent), "groups")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [shingle_set(t, k).tobytes() for s in range(0, b.num_rows, 256) for t in b.column("text").slice(s, 256).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("block"), pa.array(got, pa.binary())], ["id", "block", "own"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.binary())], ["id", "own"])
 
     # always dealt by id: a broadcast below some size would make the cost jump there
-    texts = docs.hint("merge").join(members, "id").dropDuplicates(["id"])
-    filled = texts.select("id", "block", "text").mapInArrow(sets, "id bigint, block bigint, own binary")
-    filled = written(filled.groupBy("block").agg(F.collect_list(F.struct("id", "own")).alias("rows")), "blocks")
-    x, y = (filled.select(F.col("block").alias(f"block_{s}"), F.col("rows").alias(f"rows_{s}")) for s in "ab")
-    work = work.join(x, "block_a").join(y, "block_b").select("block_a", "block_b", "rows_a", "rows_b")
+    texts = docs.hint("merge").join(groups.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    filled = groups.join(texts.mapInArrow(sets, "id bigint, own binary"), "id")
+    work = filled.groupBy(F.least("home", "target").alias("lo"), F.greatest("home", "target").alias("hi"))
+    work = work.agg(F.collect_list(F.struct("home", "id", "own")).alias("rows"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(np.empty(0, np.int64),) * 2]
-            for i in range(batch.num_rows):
-                sides = []
-                for s in "ab":
-                    rows = batch.column(f"rows_{s}")[i].as_py()
-                    sides += [np.array([r["id"] for r in rows], np.int64), [np.frombuffer(r["own"], np.uint64) for r in rows]]
-                found.append(block_links(*sides, same=batch.column("block_a")[i].as_py() == batch.column("block_b")[i].as_py(), percent=percent))
+            for lo, hi, rows in zip(batch.column("lo").to_pylist(), batch.column("hi").to_pylist(), batch.column("rows"), strict=True):
+                rows, sides = rows.as_py(), []
+                for block in (lo, hi):
+                    own = [r for r in rows if r["home"] == block]
+                    sides += [np.array([r["id"] for r in own], np.int64), [np.frombuffer(r["own"], np.uint64) for r in own]]
+                found.append(block_links(*sides, same=lo == hi, percent=percent))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["a", "b"])
 
     return work.mapInArrow(verify, "a bigint, b bigint")
