@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables and their SQL."""
 
-from . import selecting
+from . import preparing, selecting
 
-QUERIES = {**selecting.QUERIES}
-ORACLE_SQL = {**selecting.ORACLE_SQL}
+QUERIES = {**preparing.QUERIES, **selecting.QUERIES}
+ORACLE_SQL = {**preparing.ORACLE_SQL, **selecting.ORACLE_SQL}
 flagship = selecting.flagship

@@ -263,7 +263,7 @@ KNAPSACK = """ratio AS (SELECT *, round(gain / cost, 12) AS ratio FROM own WHERE
 steps AS (SELECT ratio, sum(cost) AS paid FROM ratio GROUP BY ratio),
 cum AS (SELECT *, coalesce(sum(paid) OVER (ORDER BY ratio DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM steps),
 share AS (SELECT ratio, greatest(0.0, least(1.0, (900.0 - before) / paid)) AS share FROM cum)
-SELECT own.unit, round_even(CASE WHEN is_labeled THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE, 9) AS s FROM own LEFT JOIN ratio r ON own.unit = r.unit LEFT JOIN share ON r.ratio = share.ratio"""
+SELECT own.unit, round_even(CASE WHEN own.is_labeled THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE, 9) AS s FROM own LEFT JOIN ratio r ON own.unit = r.unit LEFT JOIN share ON r.ratio = share.ratio"""
 WITH_COST = f"WITH {fx.POINTS}, {fx.UNITS}, {fx.UNIT_COST}, u AS (SELECT units.*, cost FROM units JOIN unit_cost ON units.unit = unit_cost.unit)"
 
 QUERIES = {
