@@ -44,23 +44,31 @@ def parse_run_path(path: Column, datasets: Sequence[str]) -> Column:
     deeper; empty_initial_set is found at any place after the dataset; methods
     that start with poprisk carry their group type and lambda.
     """
-    parts = F.split(F.trim(path), "/")
-    at = reduce(lambda c, d: F.when(F.array_position(parts, d) > 0, F.array_position(parts, d)).otherwise(c), datasets, F.lit(0).cast("long"))
-    part = lambda i: F.get(parts, (i - 1).cast("int"))  # noqa: E731  1-based
-    empty = F.array_position(parts, "empty_initial_set")
-    near = F.slice(parts, (at + 1).cast("int"), 5)
-    nested = F.array_contains(near, "multiple") | F.array_contains(near, "multiple_cluster_sampling")
-    init_at = F.when(empty > at, empty).when(nested, at + 4).otherwise(at + 3)
-    opt = F.array_position(parts, "opt")
-    base = F.when(opt > 0, opt + 1).otherwise(init_at + 2)
-    name = part(base)
-    risky = (opt > 0) & name.startswith("poprisk")
-    method = F.when(risky, F.concat_ws("_", name, part(base + 1), F.regexp_replace(part(base + 3), "util_lambda_", ""))).otherwise(name)
-    budget = F.regexp_replace(F.when(risky, part(base + 2)).otherwise(part(base + 1)), "budget_", "")
-    seed = F.get(F.split(F.element_at(parts, -1), "_"), F.lit(1))
-    init = F.regexp_replace(part(init_at), r"_seed_\d+", "")
-    fields = F.struct(part(at).alias("dataset"), init.alias("init_set"), part(init_at + 1).alias("cost_type"), method.alias("method"), budget.alias("budget"), seed.alias("seed"))
-    return F.when((at > 0) & budget.isNotNull() & seed.isNotNull(), fields)
+
+    # lambdas over a one-element array bind each intermediate value once
+    def places(parts: Column) -> Column:
+        at = reduce(lambda c, d: F.when(F.array_position(parts, d) > 0, F.array_position(parts, d)).otherwise(c), datasets, F.lit(0).cast("long"))
+        return F.struct(parts.alias("parts"), at.alias("at"), F.array_position(parts, "empty_initial_set").alias("empty"), F.array_position(parts, "opt").alias("opt"))
+
+    def starts(s: Column) -> Column:
+        near = F.slice(s["parts"], (s["at"] + 1).cast("int"), 5)
+        nested = F.array_contains(near, "multiple") | F.array_contains(near, "multiple_cluster_sampling")
+        init = F.when(s["empty"] > s["at"], s["empty"]).when(nested, s["at"] + 4).otherwise(s["at"] + 3)
+        return F.struct(s["parts"].alias("parts"), s["at"].alias("at"), s["opt"].alias("opt"), init.alias("init"))
+
+    def fields(s: Column) -> Column:
+        part = lambda i: F.get(s["parts"], (i - 1).cast("int"))  # noqa: E731  1-based
+        base = F.when(s["opt"] > 0, s["opt"] + 1).otherwise(s["init"] + 2)
+        risky = (s["opt"] > 0) & part(base).startswith("poprisk")
+        method = F.when(risky, F.concat_ws("_", part(base), part(base + 1), F.regexp_replace(part(base + 3), "util_lambda_", ""))).otherwise(part(base))
+        budget = F.regexp_replace(F.when(risky, part(base + 2)).otherwise(part(base + 1)), "budget_", "")
+        seed = F.get(F.split(F.element_at(s["parts"], -1), "_"), F.lit(1))
+        init = F.regexp_replace(part(s["init"]), r"_seed_\d+", "")
+        own = F.struct(part(s["at"]).alias("dataset"), init.alias("init_set"), part(s["init"] + 1).alias("cost_type"), method.alias("method"), budget.alias("budget"), seed.alias("seed"))
+        return F.when(s["at"] > 0, own)
+
+    run = F.get(F.transform(F.transform(F.transform(F.array(F.split(F.trim(path), "/")), places), starts), fields), F.lit(0))
+    return F.when(run["budget"].isNotNull() & run["seed"].isNotNull(), run)
 
 
 def parse_sample_name(name: Column, kind: str) -> list[Column]:
@@ -95,7 +103,7 @@ def initial_size(init_set: Column) -> Column:
 def collect_runs(logs: DataFrame, datasets: Sequence[str], **only: str) -> DataFrame:
     """(path, key columns, method, seed, metrics) of logs (path, text), optionally of given key values; unparsable ones are left out."""
     folder = F.regexp_replace("path", r"/[^/]*$", "")
-    own = logs.select("path", parse_run_path(folder, datasets).alias("run"), *parse_metrics(F.col("text"))).filter("run is not null")
+    own = logs.select("path", parse_run_path(folder, datasets).alias("run"), *parse_metrics(F.col("text"))).filter("run.dataset is not null")
     own = own.select("path", "run.*", *LOG_LINES)
     for column, value in only.items():
         own = own.filter(F.col(column) == value)

@@ -1,7 +1,8 @@
 """Registered queries over the driver's tables and their SQL."""
 
-from . import preparing, selecting
+from . import modelling, preparing, reporting, selecting
 
-QUERIES = {**preparing.QUERIES, **selecting.QUERIES}
-ORACLE_SQL = {**preparing.ORACLE_SQL, **selecting.ORACLE_SQL}
+_MODULES = (preparing, selecting, modelling, reporting)
+QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
 flagship = selecting.flagship

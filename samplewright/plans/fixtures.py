@@ -111,10 +111,8 @@ def run_logs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").filter("user_id % 97 <> 3")
     own = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value"))).cast("double").alias("v"))
     seed, budget, v = F.col("user_id") % 10, (F.col("user_id") % 3 + 1) * 100, F.col("v") % 1000
-    path = F.format_string("/out/TOGO_PH_H2O/ridge/%s/uniform/%s/budget_%d/seed_%d/u%d/stdout.log", F.concat(F.lit("multi_"), (F.col("user_id") % 2 * 50 + 50).cast("string"), F.lit("_size_seed_"), seed.cast("string")), "event_type", budget, seed, "user_id")
-    path = F.regexp_replace(F.regexp_replace(path, "/ridge/", "/ridge/cluster/"), r"/seed_(\d+)/u(\d+)/", "/u$2_seed/seed_$1/")
-    path = F.regexp_replace(path, "/u[0-9]+_seed/", "/")
-    text = F.format_string("Initial R² score: %.2f\nInitial MSE: %.1f\nSelected %d new samples\nUpdated R² score: %.2f\nUpdated MSE: %.1f\n", v / 2000, v + 100, F.col("n"), v / 1000, v)
+    path = F.format_string("/out/u%d/TOGO_PH_H2O/ridge/cluster/multi_%d_size_seed_%d/uniform/%s/budget_%d/seed_%d/stdout.log", "user_id", F.col("user_id") % 2 * 50 + 50, seed, "event_type", budget, seed)
+    text = F.format_string("Initial R² score: %.2f\nInitial MSE: %.1f\nSelected %d new samples\nUpdated R² score: %.2f\nUpdated MSE: %.1f\n", F.floor(v / 20) / 100, v + 100, F.col("n"), F.floor(v / 10) / 100, v)
     return own.select(path.alias("path"), text.alias("text"), "user_id", "event_type", "n", v.alias("v"), seed.alias("seed"), budget.alias("budget"))
 
 
