@@ -30,14 +30,14 @@ def running_sums(rows: DataFrame, by: Sequence[str], levels: Sequence[str], orde
     The columns of by and levels must not be null. Rows is read more than once:
     it must be deterministic, and a stored table if it is costly.
     """
-    by, levels = list(by), list(levels)
-    leaf = rows.groupBy(*by, *levels).agg(*[F.sum(v).alias(v) for v in values])
+    by, levels, sums_of = list(by), list(levels), {v: f"_sum_{v}" for v in values}
+    leaf = rows.groupBy(*by, *levels).agg(*[F.sum(v).alias(s) for v, s in sums_of.items()])
     offsets: DataFrame | None = None
     for depth, level in enumerate(levels):
         parents = by + levels[:depth]
-        sums = leaf if depth == len(levels) - 1 else leaf.groupBy(*parents, level).agg(*[F.sum(v).alias(v) for v in values])
+        sums = leaf if depth == len(levels) - 1 else leaf.groupBy(*parents, level).agg(*[F.sum(s).alias(s) for s in sums_of.values()])
         w = Window.partitionBy(*parents).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        here = sums.select(*parents, level, *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_at{depth}_{v}") for v in values])
+        here = sums.select(*parents, level, *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_at{depth}_{v}") for v, s in sums_of.items()])
         offsets = here if offsets is None else here.join(offsets, parents)
     keys = by + levels
     base = offsets.select(*keys, *[sum((F.col(f"_at{d}_{v}") for d in range(len(levels))), F.lit(0)).alias(f"_base_{v}") for v in values])

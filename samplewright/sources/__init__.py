@@ -49,7 +49,7 @@ def read_sample(spark: SparkSession, path: str, run_id: str | None = None) -> Da
 
 def read_run_logs(spark: SparkSession, path: str, name: str = "stdout.log") -> DataFrame:
     """(path, text) of every log below a folder, whole."""
-    raw = spark.read.options(recursiveFileLookup=True, pathGlobFilter=name, wholetext=True).text(path)
+    raw = spark.read.options(recursiveFileLookup=True, pathGlobFilter=name).text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
