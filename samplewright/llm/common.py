@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..prefix import hash_digits, running_sums
+
+__all__ = ["attach", "components", "erase", "hash_digits", "read", "running_sums", "shared_dir", "squeezed", "word_count", "written"]
+
 #: White space as the contracts define it: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,8 +52,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def n_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def erase(table: DataFrame) -> None:
+    """Deletes a written table that no later plan reads, and lets the driver's
+    cleaner drop the shuffle files of plans that are gone."""
+    spark = table.sparkSession
+    folders = {os.path.dirname(f) for f in table.inputFiles()}
+    for folder in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def squeezed(text: Column) -> Column:
@@ -67,41 +79,6 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(spaced, SPACE, "")).cast("long")
 
 
-def hash_digits(rows: int, per_bucket: int = 20_000) -> int:
-    """Hex digits of a hash that cut `rows` rows into buckets of about per_bucket."""
-    return max(1, math.ceil(math.log(max(1.0, rows / per_bucket), 16)))
-
-
-def running_sums(
-    rows: DataFrame, by: Sequence[str], levels: Sequence[str], order: Sequence[str], values: Sequence[str]
-) -> DataFrame:
-    """Adds before_<value>: the sum of value over the rows that come earlier in
-    the order (levels..., order...) within `by`.
-
-    No task sees a whole group: sums of the buckets (by, levels) become offsets
-    level by level, and only the rows of one bucket are sorted together. The
-    columns of by and levels must not be null. Rows is read more than once and
-    should be a written table.
-    """
-    by, levels = list(by), list(levels)
-    leaf = rows.groupBy(*by, *levels).agg(*[F.sum(v).alias(v) for v in values])
-    offsets: DataFrame | None = None
-    for depth, level in enumerate(levels):
-        parents = by + levels[:depth]
-        sums = leaf if depth == len(levels) - 1 else leaf.groupBy(*parents, level).agg(*[F.sum(v).alias(v) for v in values])
-        w = Window.partitionBy(*parents).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
-        here = sums.select(*parents, level, *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"_at{depth}_{v}") for v in values])
-        offsets = here if offsets is None else here.join(offsets, parents)
-    keys = by + levels
-    base = offsets.select(*keys, *[sum((F.col(f"_at{d}_{v}") for d in range(len(levels))), F.lit(0)).alias(f"_base_{v}") for v in values])
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.join(base, keys)
-        .withColumns({f"before_{v}": F.col(f"_base_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values})
-        .drop(*[f"_base_{v}" for v in values])
-    )
-
-
 def attach(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows left-joined to one row per class, without a hot partition.
 
