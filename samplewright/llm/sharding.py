@@ -91,10 +91,15 @@ def _cells(df: DataFrame, dims: Mapping[str, Column], bits: int) -> list[Column]
     out = []
     for j, c in enumerate(ranked.values()):
         bounds = F.array(*[F.lit(float(x)) for x in cuts[f"q{j}"] or []]).cast("array<double>")
-        out.append(F.coalesce(F.size(F.filter(bounds, lambda b, c=c: b < c)), F.lit(0)))
+        out.append(_below(bounds, c))
     return out
 
 
+def _below(bounds: Column, value: Column) -> Column:
+    """How many of the bounds are below a value; 0 for null."""
+    return F.when(value.isNotNull(), F.size(F.filter(bounds, lambda b: b < value))).otherwise(F.lit(0))
+
+
 def hilbert_shards(
     df: DataFrame, dims: Mapping[str, Column], size: Column, tie: Column, id_col: str = "doc_id", n_shards: int = N_SHARDS, bits: int = BITS, extra: Mapping[str, Column] | None = None
 ) -> DataFrame:
