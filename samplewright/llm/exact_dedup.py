@@ -193,7 +193,8 @@ def _check_bytes(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str)
     """Compares the normalised bytes of both sides of every positive."""
     wanted = pairs.select("digest", F.explode(F.array("id", "other")).alias("id")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), squeezed(F.col(text_col)).alias("norm"))
-    met = texts.join(wanted, "id").filter(F.unhex(F.sha2("norm", 256)) == F.col("digest"))
+    # always dealt by id: a broadcast below some size would make the cost jump there
+    met = texts.hint("merge").join(wanted, "id").filter(F.unhex(F.sha2("norm", 256)) == F.col("digest"))
     bad = met.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi")
     if not bad.isEmpty():
         raise RuntimeError("two different texts share a SHA-256 digest")
