@@ -29,6 +29,29 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), k=3, percent=90).withColumnRenamed("id", "doc_id")
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w
+), n AS (
+  SELECT doc_id, len(s)::BIGINT AS n FROM s
+), e AS (
+  SELECT doc_id, unnest(s) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)
+), b AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(doc_id, c) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT b.y, r.c FROM r JOIN b ON r.doc_id = b.x
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON n.doc_id = r.doc_id GROUP BY ALL
+"""
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -119,4 +142,4 @@ QUERIES = {
     "op10_mix": op10_mix,
 }
 
-ORACLE_SQL = {"op7_exact_dedup": OP7_SQL, "op8_licence_scan": licences.scan_sql(), "op10_mix": OP10_SQL}
+ORACLE_SQL = {"op4_jaccard_join": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_licence_scan": licences.scan_sql(), "op10_mix": OP10_SQL}
