@@ -231,9 +231,10 @@ def candidate_groups(chosen: DataFrame, percent: int) -> DataFrame:
     """(id, home, target): documents to verify together, from adapted postings.
 
     A document's home is a bounded block of those of about its size whose
-    prefixes share its most popular shingle. It goes to every block, its own included, with which it
-    shares as many prefix shingles as it or a member of the block asks for and
-    whose sizes allow a link, if some member of that block also goes to its home.
+    prefixes share its most popular shingle. It goes to every block, its own
+    included, with which it shares as many prefix shingles as it or a member of
+    the block asks for and whose sizes allow a link, if some member of that block
+    also goes to its home.
     """
     band = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
     home = chosen.groupBy("id", "n", "m").agg(F.max(F.struct("docs", "token"))["token"].alias("key")).withColumn("band", band)
@@ -256,7 +257,7 @@ def class_edges(docs: DataFrame, classes: DataFrame, k: int, percent: int, seen:
     reps = classes.filter("n > 0").select(F.col("rep").alias("id"))
     own = written(postings(docs, k, percent, seen).join(reps, "id", "left_semi").dropDuplicates(["id"]), "prefixes")
     flat = own.select("id", "n", "base", (F.size("tokens") - F.col("base")).alias("most"), F.posexplode("tokens").alias("pos", "token"))
-    groups = written(candidate_groups(adapted(flat), percent), "groups")
+    groups = written(candidate_groups(written(adapted(flat), "adapted"), percent), "groups")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
