@@ -87,14 +87,14 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(spaced, SPACE, "")).cast("long")
 
 
-def attach(rows: DataFrame, classes: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def attach(rows: DataFrame, classes: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """rows left-joined to one row per class, without a hot partition.
 
     Classes that hold HOT_SHARE of the rows or more are at most 1 / HOT_SHARE
     and are broadcast; the others meet in a shuffle join.
     """
     floor = max(1, math.ceil(total * HOT_SHARE))
-    gained = [c for c in classes.columns if c != key]
+    gained = [c for c in classes.columns if c not in ([key] if isinstance(key, str) else key)]
     hot, cold = classes.filter(F.col(size) >= floor), classes.filter(F.col(size) < floor)
     hit = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     return (

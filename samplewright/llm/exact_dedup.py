@@ -3,8 +3,9 @@
 The corpus arrives in batches. Each batch is grouped by digest on its own; its
 distinct digests are screened against one static binary-fuse filter per
 earlier, immutable snapshot; the positives alone join the exact digest buckets
-of that snapshot, where the texts' bytes are compared. Digests that no snapshot
-holds make the batch's own snapshot.
+of that snapshot, where the texts' bytes are compared, and take that snapshot's
+class. Digests that no snapshot holds make the batch's own snapshot and classes
+of their own; nothing else groups the batches.
 """
 
 from __future__ import annotations
@@ -161,40 +162,45 @@ def exact_dedup(docs: DataFrame, batch: Column, n_batches: int, id_col: str = "d
     repeat an id share its verdict. An empty table gives no rows. Columns other
     than the named ones are not read, so their names cannot clash.
 
-    Raises if two texts with one SHA-256 digest differ in their bytes.
+    Raises if a batch's text and the earlier snapshot's text with its SHA-256
+    digest differ in their bytes.
     """
     facts = written(digest_rows(docs, id_col, text_col, batch), "digests")
     best = F.min(F.struct((-F.col("points")).alias("neg"), F.col("id"))).alias("best")
     grouped = written(facts.groupBy("batch", "digest").agg(best, F.count("*").alias("n")), "batch-groups")
     snapshots: list[tuple[DataFrame, DataFrame, int]] = []
-    pairs = []
+    pairs, members = [], []  # members: (batch, digest, best, n, home), home being the snapshot whose class it is
     for k in range(n_batches):
-        own = grouped.filter(F.col("batch") == k).drop("batch")
-        fresh = own
-        for old, filters, buckets in snapshots:
-            maybe = screen(own, filters, buckets)
-            sure = maybe.join(old.select("digest", F.col("best.id").alias("other")), "digest").join(own, "digest")
-            sure = written(sure.select("digest", "best.id", "other"), "positives")
-            pairs.append(sure)
+        fresh = grouped.filter(F.col("batch") == k)
+        for home, (old, filters, buckets) in enumerate(snapshots):
+            maybe = screen(fresh, filters, buckets)
+            sure = maybe.join(old.select("digest", F.col("best.id").alias("other")), "digest").join(fresh, "digest")
+            sure = written(sure.select("batch", "digest", "best", "n", F.lit(home).alias("home"), "other"), "positives")
+            pairs.append(sure.select("digest", "best.id", "other"))
+            members.append(sure.drop("other"))
             fresh = fresh.join(sure.select("digest"), "digest", "left_anti")
+        fresh = written(fresh.select("batch", "digest", "best", "n", F.lit(k).alias("home")), "snapshot")
+        members.append(fresh)
         if k < n_batches - 1:  # the last batch is not a snapshot for any other
-            fresh = written(fresh, "snapshot")
             buckets = max(1, math.ceil(fresh.count() / KEYS_PER_FILTER))
             snapshots.append((fresh, written(build_filters(fresh, buckets), "filters"), buckets))
     if pairs:
         _check_bytes(docs, reduce(DataFrame.unionByName, pairs), id_col, text_col)
-    classes = written(grouped.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("group_size")), "classes")
-    return attach(facts.drop("batch"), classes, "digest", "group_size", facts.count()).select(
+    members = reduce(DataFrame.unionByName, members)
+    totals = members.groupBy("digest", "home").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
+    classes = written(members.drop("best").join(totals, ["digest", "home"]).drop("home"), "classes")
+    return attach(facts, classes, ["batch", "digest"], "n", facts.count()).select(
         "id", "digest", F.col("best.id").alias("keep_id"), "group_size", F.col("id").eqNullSafe(F.col("best.id")).alias("kept")
     )
 
 
 def _check_bytes(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> None:
-    """Compares the normalised bytes of both sides of every positive."""
+    """Compares the normalised bytes of both sides of every positive, those with a null id too."""
     wanted = pairs.select("digest", F.explode(F.array("id", "other")).alias("id")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), squeezed(F.col(text_col)).alias("norm"))
-    # always dealt by id: a broadcast below some size would make the cost jump there
-    met = texts.hint("merge").join(wanted, "id").filter(F.unhex(F.sha2("norm", 256)) == F.col("digest"))
+    norm = squeezed(F.col(text_col))
+    texts = docs.select(F.col(id_col).alias("own_id"), F.unhex(F.sha2(norm, 256)).alias("own_digest"), norm.alias("norm"))
+    # always dealt by id and digest: a broadcast below some size would make the cost jump there
+    met = texts.hint("merge").join(wanted, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_digest") == F.col("digest")))
     bad = met.groupBy("digest").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).filter("lo <> hi")
     if not bad.isEmpty():
         raise RuntimeError("two different texts share a SHA-256 digest")

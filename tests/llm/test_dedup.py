@@ -79,6 +79,19 @@ def test_exact_dedup_of_odd_rows(spark, odd):
     assert exact_dedup.exact_dedup(odd.limit(0), exact_dedup.arrival(), 3).count() == 0
 
 
+def test_a_lost_positive_splits_its_class(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"t {i % 3}") for i in range(9)] + [(None, "t  0")], "doc_id long, text string")
+    batch = F.coalesce(F.col("doc_id"), F.lit(8)).cast("int") / 3
+
+    def run():
+        return {r["id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs, F.floor(batch).cast("int"), 3).collect()}
+
+    whole, screen, lost = run(), exact_dedup.screen, hashlib.sha256(b"t1").digest()
+    assert whole == {**{i: (i % 3 or None, 3) for i in range(9)}, **{i: (None, 4) for i in (None, 0, 3, 6)}}
+    monkeypatch.setattr(exact_dedup, "screen", lambda own, *a: screen(own, *a).filter(F.col("digest") != F.lit(lost)))
+    assert run() == whole | {i: (i, 1) for i in (1, 4, 7)}
+
+
 def test_screen_passes_every_stored_digest(spark):
     own = spark.range(5000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
     filters = exact_dedup.build_filters(own.limit(3000), 4)
