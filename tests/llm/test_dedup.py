@@ -199,6 +199,26 @@ def test_repeated_passages_are_found(spark):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_holders_of_fragments_hide_no_passage(spark):
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"t{rng.integers(10**9)}" for _ in range(n)]
+    texts, want = [], set()
+    for g in range(12):  # the least ids hold 45 words of a passage of 60, two or more later texts hold all of it
+        shared, at, late = fresh(60), 10 * g, range(6, 8 + g % 3)
+        texts += [(at + k, fresh(30) + shared[s : s + 45] + fresh(30)) for k, s in enumerate([0, 15, 7, 0, 11, 4][: 1 + g % 6])]
+        texts += [(at + k, fresh(40) + shared + fresh(20)) for k in late]
+        want |= {(at + k, at + 6) for k in late[1:]}
+    # text 201 repeats one passage of 200 in full, of the other only text 202 does
+    one, two = fresh(70), fresh(70)
+    texts += [(200, one + fresh(30) + two[:45]), (201, fresh(9) + one + fresh(9) + two), (202, two + fresh(50) + one)]
+    want |= {(201, 200), (202, 200), (202, 201)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    got = substring_dedup.repeated_passages(df).collect()
+    by = {i: w for i, w in texts}
+    assert want <= {(r["id"], r["other_id"]) for r in got} and {r["id"] for r in got} == {i for i, _ in want}
+    assert all(by[r["id"]][r["start"] : r["end"]] == by[r["other_id"]][r["other_start"] : r["other_end"]] and r["end"] - r["start"] >= 60 for r in got)
+
+
 def test_exact_passages_of_the_table_are_all_found(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     texts, first, repeats = sorted((r["doc_id"], words(r["text"])) for r in docs.collect()), {}, set()
