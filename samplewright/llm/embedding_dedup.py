@@ -4,13 +4,16 @@ Iterative quantisation (Gong and Lazebnik, 2011) learns, on a bounded sample, a
 rotation of the principal components for which the signs lose least. Every
 vector gets a binary code. Codes are cut into substrings, a table each; two
 codes are candidates when some substring differs in at most two bits, found by
-an equi-join of the substrings with one bit flipped on either side. Candidates
-are verified with the original vectors, in double precision.
+an equi-join of the substrings with one bit flipped on either side; where pairs of
+the threshold's cosine lie further apart, as off a common mean, more bits are
+flipped. Candidates are verified with the original vectors, in double precision.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ SAMPLE = 20_000
 ITERATIONS = 40
 #: Bits by which two codes may differ in all; at cosine 0.9 about 9 of 64 do, deviation 3.
 MOST_BITS = 20
+#: Share of pairs right at the threshold that must be candidates, and vectors on which this is measured.
+RECALL, PROBED = 0.95, 1000
 #: Vectors of one code that are compared as a block.
 BLOCK = 256
 
@@ -50,19 +55,53 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _unit(rows: list) -> np.ndarray:
+def _unit(rows: list | np.ndarray) -> np.ndarray:
     x = np.array(rows, float)
     x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def encode(vectors: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> tuple[DataFrame, int]:
-    """(id, code, vec) of usable (id, v): the code and the unit vector's bytes; and the number of bits."""
+def substrings(width: int, tables: int = TABLES) -> list[tuple[int, int]]:
+    return [(width * t // tables, width * (t + 1) // tables) for t in range(tables)]
+
+
+def radii(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, threshold: float) -> tuple[int, int]:
+    """(bits to flip on either side, bits by which whole codes may differ) for pairs of at least the threshold's cosine.
+
+    Measured on pairs of that very cosine, made from sampled vectors by turning
+    them towards one another and in random directions, and on the sample's own
+    near pairs; the worst of the three counts.
+    """
+    rng = np.random.default_rng(11)
+    x = unit[rng.permutation(len(unit))[:PROBED]]
+    pairs = []
+    for to in (np.roll(x, 1, axis=0), rng.standard_normal(x.shape)):
+        off = to - (to * x).sum(axis=1, keepdims=True) * x
+        size = np.sqrt((off * off).sum(axis=1))
+        fine = size > 1e-6
+        pairs.append((x[fine], threshold * x[fine] + np.sqrt(max(0.0, 1 - threshold**2)) * off[fine] / size[fine, None]))
+    i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
+    some = rng.permutation(len(i))[: 10 * PROBED]
+    pairs.append((x[i[some]], x[j[some]]))
+    flips, most = 1, MOST_BITS
+    for a, b in pairs:
+        if len(a):
+            apart = ((a - mean) @ projection >= 0) != ((b - mean) @ projection >= 0)
+            least = np.min([apart[:, lo:hi].sum(axis=1) for lo, hi in substrings(apart.shape[1]) if hi > lo], axis=0)
+            flips = max(flips, -(-int(np.quantile(least, RECALL, method="higher")) // 2))
+            most = max(most, int(np.quantile(apart.sum(axis=1), 0.999, method="higher")))
+    return flips, most
+
+
+def encode(vectors: DataFrame, bits: int = BITS, sample: int = SAMPLE, threshold: float = THRESHOLD) -> tuple[DataFrame, int, tuple[int, int]]:
+    """(id, code, vec) of usable (id, v): the code and the unit vector's bytes; the number of bits; and the radii."""
     n = vectors.count()
     h = F.xxhash64(F.lit("itq"), "id")
     near = vectors.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 30)) < float(1 << 30) * min(1.0, 2 * sample / max(n, 1)))
-    taken = near.orderBy("h", "id").limit(sample).select("v").toArrow().column("v").to_pylist()
-    mean, projection = learn_rotation(_unit(taken), bits) if taken else (np.zeros(1), np.zeros((1, 1)))
+    taken = near.orderBy("h", "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    unit = _unit(taken.flatten().to_numpy(zero_copy_only=False).reshape(len(taken), -1)) if len(taken) else None
+    mean, projection = learn_rotation(unit, bits) if unit is not None else (np.zeros(1), np.zeros((1, 1)))
+    reach = radii(unit, mean, projection, threshold) if unit is not None else (1, MOST_BITS)
     width = projection.shape[1]
     place = (np.uint64(1) << np.arange(width, dtype=np.uint64))
 
@@ -74,18 +113,22 @@ def encode(vectors: DataFrame, bits: int = BITS, sample: int = SAMPLE) -> tuple[
                 code = (((unit - mean) @ projection >= 0) * place).sum(axis=1, dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(code), pa.array([u.tobytes() for u in unit], pa.binary())], ["id", "code", "vec"])
 
-    return vectors.select("id", "v").mapInArrow(run, "id bigint, code bigint, vec binary"), width
+    return vectors.select("id", "v").mapInArrow(run, "id bigint, code bigint, vec binary"), width, reach
 
 
-def near_codes(codes: DataFrame, width: int, tables: int = TABLES, most: int = MOST_BITS) -> DataFrame:
-    """Pairs a < b of distinct codes of which some substring differs in at most two bits and the whole in at most `most`.
+def near_codes(codes: DataFrame, width: int, tables: int = TABLES, most: int = MOST_BITS, flips: int = 1) -> DataFrame:
+    """Pairs a < b of distinct codes of which some substring differs in at most 2 * flips bits and the whole in at most `most`.
 
     A pair meets under several keys; it is kept only at its first table and, there, at the lesser key.
     """
-    cuts = [(width * t // tables, width * (t + 1) // tables) for t in range(tables)]
-    probes = [(t, lo, (1 << (hi - lo)) - 1, flip) for t, (lo, hi) in enumerate(cuts) for flip in [0, *(1 << i for i in range(hi - lo))]]
-    table = F.array(*[F.struct(*[F.lit(x).cast("long").alias(k) for k, x in zip(("t", "lo", "mask", "flip"), p, strict=True)]) for p in probes])
-    keyed = codes.select("code", F.explode(table).alias("p"))
+    cuts = substrings(width, tables)
+    probes = [(t, lo, (1 << (hi - lo)) - 1, sum(1 << i for i in at)) for t, (lo, hi) in enumerate(cuts) for n in range(min(flips, hi - lo) + 1) for at in combinations(range(hi - lo), n)]
+    if flips == 1:
+        table = F.array(*[F.struct(*[F.lit(x).cast("long").alias(k) for k, x in zip(("t", "lo", "mask", "flip"), p, strict=True)]) for p in probes])
+        keyed = codes.select("code", F.explode(table).alias("p"))
+    else:
+        table = codes.sparkSession.createDataFrame(probes, "t long, lo long, mask long, flip long")
+        keyed = codes.crossJoin(F.broadcast(table.select(F.struct("*").alias("p"))))
     keyed = keyed.select("code", "p.t", "p.flip", F.expr("shiftrightunsigned(code, cast(p.lo as int))").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("key"))
     a, b = (keyed.select(F.col("code").alias(s), "t", "key", F.col("flip").alias(f"f{s}")) for s in "ab")
     apart = F.col("a").bitwiseXOR(F.col("b"))
@@ -98,10 +141,15 @@ def near_codes(codes: DataFrame, width: int, tables: int = TABLES, most: int = M
     for t in range(1, tables):
         earlier = F.lit(True)
         for s in range(t):
-            earlier = earlier & (bits(s) > 2)
+            earlier = earlier & (bits(s) > 2 * flips)
         first = first & ((F.col("t") != t) | earlier)
     lesser = F.when(F.col("fa") == F.col("fb"), F.col("fa") == 0).otherwise(F.col("key") < F.col("key").bitwiseXOR(F.col("fa")).bitwiseXOR(F.col("fb")))
-    return a.join(b, ["t", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & lesser & first).select("a", "b")
+    met = a.join(b, ["t", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & first)
+    if flips == 1:
+        return met.filter(lesser).select("a", "b")
+    # of the ways to share the differing bits out, the even ones
+    even = (F.col("fa").bitwiseAND(F.col("fb")) == 0) & (F.bit_count("fb") - F.bit_count("fa")).isin(0, 1)
+    return met.filter(even).select("a", "b").distinct()
 
 
 def _links(x_ids: np.ndarray, x: np.ndarray, y_ids: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,20 +175,9 @@ def _links(x_ids: np.ndarray, x: np.ndarray, y_ids: np.ndarray, y: np.ndarray, s
     return np.r_[x_ids[keep_x], y_ids[keep_y]], np.r_[n_x[keep_x], n_y[keep_y]], np.r_[left[keep_x], right[keep_y]]
 
 
-def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, n_links, component_id, kept), one row per input row.
-
-    Links are the pairs found with cosine >= threshold; n_links counts a
-    vector's links, component_id is the smallest id reachable. Vectors that are
-    null, zero, or hold null or non-finite components, those of another length
-    than most, and null ids link with nothing: 0 links, their own component.
-    Rows that repeat an id never link with each other and share the sum of
-    their links. An empty table gives no rows. Other columns are not read.
-    """
-    own = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    good = own.filter(usable(F.col("v")) & F.col("id").isNotNull())
-    common = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    vectors, width = encode(good.filter(F.size("v") == (common["d"] if common else 0)))
+def _linked(good: DataFrame, threshold: float) -> DataFrame:
+    """(id, n, root) of usable (id, v) of one length: numbers of links and least linked ids, block by block."""
+    vectors, width, (flips, most) = encode(good, threshold=threshold)
     vectors = written(vectors, "codes")
     total = vectors.count()
     codes = written(vectors.groupBy("code").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "code-sizes")
@@ -150,7 +187,7 @@ def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     every = codes.select("code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("sub"))
     inside = every.alias("x").join(every.alias("y"), "code").filter("x.sub <= y.sub").join(codes.filter("n > 1").select("code"), "code", "left_semi")
     inside = inside.select(F.col("code").alias("a"), F.col("x.sub").alias("sa"), F.col("code").alias("b"), F.col("y.sub").alias("sb"))
-    pairs = written(near_codes(codes.select("code"), width), "code-pairs")
+    pairs = written(near_codes(codes.select("code"), width, most=most, flips=flips), "code-pairs")
     x, y = (every.select(F.col("code").alias(s), F.col("sub").alias(f"s{s}")) for s in "ab")
     across = pairs.join(x, "a").join(y, "b").select("a", "sa", "b", "sb")
     work = inside.unionByName(across)
@@ -171,7 +208,25 @@ def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             ids, n, root = (np.concatenate([o[j] for o in out]) if out else np.empty(0, np.int64) for j in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(root)], ["id", "n", "root"])
 
-    found = written(work.select("a", "sa", "b", "sb", "ra", "rb").mapInArrow(run, "id bigint, n bigint, root bigint"), "links")
+    return written(work.select("a", "sa", "b", "sb", "ra", "rb").mapInArrow(run, "id bigint, n bigint, root bigint"), "links")
+
+
+def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+    """(id, n_links, component_id, kept), one row per input row.
+
+    Links are the pairs found with cosine >= threshold; n_links counts a
+    vector's links, component_id is the smallest id reachable. Vectors that are
+    null, zero, or hold null or non-finite components, and null ids link with
+    nothing: 0 links, their own component. Vectors link with those of their own
+    length; each length is a run of its own.
+    Rows that repeat an id never link with each other and share the sum of
+    their links. An empty table gives no rows. Other columns are not read.
+    """
+    own = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    good = own.filter(usable(F.col("v")) & F.col("id").isNotNull())
+    lengths = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).filter("n > 1").orderBy("d").collect()
+    parts = [_linked(good.filter(F.size("v") == r["d"]), threshold) for r in lengths]
+    found = reduce(DataFrame.unionByName, parts) if parts else embeddings.sparkSession.createDataFrame([], "id bigint, n bigint, root bigint")
     reach = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links")).join(reach, F.col("id") == F.col("node"), "left").drop("node")
     out = own.select("id").join(counts, "id", "left")

@@ -165,6 +165,21 @@ def test_embedding_edge_cases(spark):
     assert embedding_dedup.link(df.limit(0)).count() == 0
 
 
+def test_embedding_links_off_a_common_mean(spark):
+    rng = np.random.default_rng(8)
+    mean = np.eye(64)[0]
+    own = rng.normal(size=(300, 64)) / 8
+    own[150:] = own[:150] * 0.54 + rng.normal(size=(150, 64)) / 8 * np.sqrt(1 - 0.54**2)
+    x = np.sqrt(0.8) * mean + np.sqrt(0.2) * own
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(1000 + i, [1.0, 2.0, 3.0]) for i in range(2)]
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.9).sum() - len(x)
+    got = {r["id"]: r for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert near > 100 and 0.9 * near <= sum(r["n_links"] for i, r in got.items() if i < 1000) <= near
+    assert got[1001]["component_id"] == 1000 and got[1000]["n_links"] == 1  # of another length than most
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(2)
     for h in (rng.integers(0, 50, 90).astype(np.uint64), np.zeros(30, np.uint64), np.arange(40, dtype=np.uint64)):
