@@ -5,15 +5,17 @@ from __future__ import annotations
 import gc
 import math
 import os
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..prefix import hash_digits, running_sums
 
-__all__ = ["attach", "components", "erase", "hash_digits", "read", "running_sums", "shared_dir", "squeezed", "word_count", "written"]
+__all__ = ["attach", "components", "erase", "hash_digits", "kept_once", "read", "running_sums", "shared_dir", "squeezed", "unused", "word_count", "written"]
 
 #: White space as the contracts define it: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -31,11 +33,14 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests in local mode), a folder of our own.
+    Where the setting is absent: a folder of our own in local mode (tests), an
+    error on a cluster, whose machines would each write to their own disk.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-shared-"))
     return _own_dir[0]
@@ -72,6 +77,32 @@ def erase(table: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def kept_once(docs: DataFrame, keys: list[Column], kept: DataFrame) -> DataFrame:
+    """The rows of docs whose keys are in kept, with all their columns: one for each row of kept keys.
+
+    kept: the same keys, null-safe, by place. Rows that repeat a key are rows with
+    one text; the one with the least hash of all its columns stays.
+    """
+    names = [unused(docs, f"_key{j}") for j in range(len(keys))]
+    counted = written(kept.toDF(*names).groupBy(*names).agg(F.count("*").alias(unused(docs, "_times"))), "kept")
+    times = counted.columns[-1]
+    on = reduce(lambda x, y: x & y, [k.eqNullSafe(counted[n]) for k, n in zip(keys, names, strict=True)])
+    out = docs.join(counted.filter(F.col(times) == 1), on, "left_semi")
+    repeated = counted.filter(F.col(times) > 1)
+    if repeated.isEmpty():
+        return out
+    row = F.struct(*[docs[c] for c in docs.columns])
+    again = docs.join(repeated, on).select(*names, row.alias("row"), F.xxhash64(row).alias("h"))
+    return out.unionByName(again.groupBy(*names).agg(F.min_by("row", "h").alias("row")).select("row.*"))
+
+
 def squeezed(text: Column) -> Column:
     """The text without white space; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), SPACE, "")

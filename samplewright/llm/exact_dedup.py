@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, squeezed, written
+from .common import attach, kept_once, squeezed, written
 
 #: Digests in one filter; a snapshot has as many filters as that takes.
 KEYS_PER_FILTER = 32_768
@@ -217,8 +217,7 @@ def arrival(id_col: str = "doc_id") -> Column:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns as they were."""
+    """The documents that stay, all columns as they were; of rows that repeat an id and its text, one."""
     found = exact_dedup(docs, arrival(), N_BATCHES).filter("kept")
-    keep = found.select(F.col("id").alias("_kept_id"), F.col("digest").alias("_kept_digest")).distinct()
-    digest = F.unhex(F.sha2(squeezed(F.col("text")), 256))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]) & (digest == keep["_kept_digest"]), "left_semi")
+    digest = F.unhex(F.sha2(squeezed(docs["text"]), 256))
+    return kept_once(docs, [docs["doc_id"], digest], found.select("id", "digest"))

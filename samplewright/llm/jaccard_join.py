@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, written
+from .common import attach, components, kept_once, written
 
 #: Counters of the shingle-frequency table that orders shingles; its size is fixed.
 COUNTERS = 1 << 20
@@ -307,6 +307,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
 
 def near_dedup_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, that with the smallest id, all columns as they were."""
-    keep = jaccard_components(docs, k, percent).filter(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_kept_id"]), "left_semi")
+    """One document of each group, that with the smallest id, all columns as they were; of rows that repeat an id, one.
+
+    Documents with a null id link with nothing and all stay.
+    """
+    kept = jaccard_components(docs, k, percent).filter(F.col("id") == F.col("component_id")).select("id")
+    return kept_once(docs, [docs["doc_id"].cast("long")], kept).unionByName(docs.filter("doc_id is null"))

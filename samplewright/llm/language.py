@@ -123,7 +123,8 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """Fits on a sample of the rows that `learn` admits, bounded by `most` rows.
 
     Executors turn the sampled whole texts into bit vectors of DIMENSIONS bits;
-    those, at most `most` of them, come to the driver.
+    one task fits on those, at most `most` of them, and the driver gets the
+    weights alone: DIMENSIONS numbers for each language.
     """
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +134,17 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
                 packed = np.packbits(presence(part.column("text").to_pylist())[0].astype(bool), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), pa.array([x.tobytes() for x in packed], pa.binary())], ["lang", "place", "bits"])
 
-    got = training_rows(docs, learn, id_col, text_col, lang_col, most).mapInArrow(bits, "lang string, place int, bits binary").toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])
-    rows = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(-1, DIMENSIONS // 8)
-    return fit(rows, np.array(got.column("lang").to_pylist(), object))
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("place", "ascending"), ("lang", "ascending")])
+        rows = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint8).reshape(-1, DIMENSIONS // 8)
+        own = fit(rows, np.array(t.column("lang").to_pylist(), object))
+        return pa.table([pa.array([own.languages]), pa.array([own.weights.tobytes()], pa.binary())], ["languages", "weights"])
+
+    sample = training_rows(docs, learn, id_col, text_col, lang_col, most).mapInArrow(bits, "lang string, place int, bits binary")
+    fitted = sample.groupBy(F.lit("model")).applyInArrow(solve, "languages array<string>, weights binary").first()
+    if fitted is None:
+        return Model([], np.zeros((DIMENSIONS, 0), np.float32))
+    return Model(fitted["languages"], np.frombuffer(fitted["weights"], np.float32).reshape(DIMENSIONS, -1))
 
 
 def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
@@ -190,5 +199,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def language_documents(docs: DataFrame) -> DataFrame:
     """The documents that have a language, all columns as they were; NONE is rejected."""
     model = train(docs, ~held_out())
-    own = docs.withColumn("_language", predicted(docs, model))
-    return own.filter(F.col("_language.lang") != NONE).select(*[docs[c] for c in docs.columns])
+    return docs.filter(predicted(docs, model)["lang"] != NONE)

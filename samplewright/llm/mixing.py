@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, hash_digits, running_sums, word_count, written
+from ..prefix import BUCKET_ROWS
+from .common import attach, hash_digits, running_sums, unused, word_count, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -79,13 +80,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, all columns as they were, each row once per copy.
+    """The documents of the mix, all columns as they were, each row once per copy that mix decided.
 
-    Rows that share an id are told apart by their size; where ids repeat with one
-    size, each such row gets the sum of their copies divided among them at most once.
+    Rows that share an id are told apart by their size. Rows that share both are
+    put in the order of a hash of all their columns and take the copies of their
+    group in turn, most first, so that no copy is lost or added.
     """
-    own = docs.columns
-    got = mix(docs).filter("copies > 0").groupBy("id", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    got = got.select(F.col("id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.round(F.col("copies") / F.col("rows")).cast("int").alias("_mix_copies"))
-    joined = docs.join(got, docs["doc_id"].eqNullSafe(got["_mix_id"]) & (word_count(docs["text"]) == got["_mix_size"]))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_copies"))).select(*[docs[c] for c in own])
+    got = written(mix(docs).select("id", "size", "copies"), "mix-copies")
+    groups = got.groupBy("id", "size").agg(F.count("*").alias("rows"), F.max("copies").alias("copies")).filter("copies > 0")
+    name, size = unused(docs, "_mix"), word_count(docs["text"])
+
+    def met(part: DataFrame) -> DataFrame:
+        part = part.select(F.struct("*").alias(name))
+        return docs.join(part, docs["doc_id"].eqNullSafe(part[f"{name}.id"]) & (size == part[f"{name}.size"]))
+
+    every = lambda n: F.explode(F.sequence(F.lit(1), n.cast("int")))
+    out = met(groups.filter("rows = 1")).withColumn(name, every(F.col(f"{name}.copies"))).drop(name)
+    several = written(groups.filter("rows > 1").select("id", "size", "rows"), "mix-repeats")
+    if several.isEmpty():
+        return out
+    key = F.md5(F.concat_ws("|", F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("-")), "size"))
+    row = F.struct(*[docs[c] for c in docs.columns])
+    total = several.agg(F.sum("rows")).first()[0]
+    own = met(several.withColumn("key", key)).select(F.col(name)["key"].alias("key"), row.alias("row"), F.xxhash64(row).alias("h"), F.lit(1).alias("one"))
+    own = written(own.withColumn("part", F.pmod("h", F.lit(total // BUCKET_ROWS + 1))), "mix-rows")
+    ranked = running_sums(own, ["key"], ["part"], ["h"], ["one"])
+    # how many rows of a group take how many copies: at most cap + 1 entries
+    shares = got.join(several, got["id"].eqNullSafe(several["id"]) & (got["size"] == several["size"]), "left_semi").withColumn("key", key)
+    shares = shares.groupBy("key", "copies").agg(F.count("*").alias("n")).groupBy("key").agg(F.collect_list(F.struct("copies", "n")).alias("shares"), F.sum("n").alias("n"))
+    upto = lambda c: F.aggregate(F.filter("shares", lambda x: x["copies"] > c), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    turn = F.filter("shares", lambda x: (upto(x["copies"]) <= F.col("before_one")) & (F.col("before_one") < upto(x["copies"]) + x["n"]))
+    dealt = attach(ranked, written(shares, "mix-shares"), "key", "n", total).withColumn("copies", turn[0]["copies"]).filter("copies > 0")
+    return out.unionByName(dealt.withColumn("copy", every(F.col("copies"))).select("row.*"))
