@@ -180,14 +180,22 @@ def test_embedding_links_off_a_common_mean(spark):
     assert got[1001]["component_id"] == 1000 and got[1000]["n_links"] == 1  # of another length than most
 
 
-def test_compact_windows_are_the_cartesian_tree():
-    rng = np.random.default_rng(2)
-    for h in (rng.integers(0, 50, 90).astype(np.uint64), np.zeros(30, np.uint64), np.arange(40, dtype=np.uint64)):
-        got = substring_dedup.compact_windows(h, 8)
-        for i in range(len(h)):  # every long enough subsequence lies in exactly one window, with its first least place
-            for j in range(i + 7, len(h)):
-                c = i + int(h[i : j + 1].argmin())
-                assert [w for w in got if w[0] <= i <= w[1] <= j <= w[2]] == [next(w for w in got if w[1] == c)]
+def test_compact_windows_group_subsequences_by_their_least_hash():
+    rng, least = np.random.default_rng(2), 8
+    sequences = [rng.integers(0, 2**63, 90, dtype=np.uint64), rng.integers(0, 5, 40).astype(np.uint64) << np.uint64(40), np.zeros(30, np.uint64), np.arange(8, dtype=np.uint64) << np.uint64(40), rng.integers(0, 2**63, 7, dtype=np.uint64)]
+    owner = np.repeat(np.arange(len(sequences)), [len(h) for h in sequences])
+    h, got = np.concatenate(sequences), {}
+    for l, c, r in zip(*substring_dedup.compact_windows(h, owner, least), strict=True):  # noqa: E741
+        for i in range(l, r - least + 2):
+            assert got.setdefault(i, c) == c and len(set(owner[i : i + least])) == 1
+            assert i not in got or got[i] == c
+    want = {i: i + int(h[i : i + least].argmin()) for i in range(len(h) - least + 1) if owner[i] == owner[i + least - 1]}
+    assert got == want  # each in one window, that of its first least hash
+    # a window is a node of the Cartesian tree as far as it reaches: one wider has a lesser hash or is out of reach
+    for l, c, r in zip(*substring_dedup.compact_windows(h, owner, least), strict=True):  # noqa: E741
+        assert (h[l : r + 1] >= h[c]).all() and c - l < least and r - c < least
+        assert c - l == least - 1 or l == 0 or owner[l - 1] != owner[l] or h[l - 1] <= h[c]
+        assert r - c == least - 1 or r + 1 == len(h) or owner[r + 1] != owner[r] or h[r + 1] < h[c]
 
 
 def test_repeated_passages_are_found(spark):
@@ -202,14 +210,15 @@ def test_repeated_passages_are_found(spark):
     inner = fresh(60)
     texts += [(20, " ".join(inner + fresh(50) + inner)), (21, " ".join(fresh(20) + shared[:40] + fresh(50))), (22, None), (23, ""), (24, "a b"), (None, " ".join(shared))]
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("id", F.lit("x"))
-    got = substring_dedup.repeated_passages(df).collect()
+    got = substring_dedup.repeated_passages(df, within=True).collect()
     assert {r["id"] for r in got} == {3, 5, 7, 9, 11, 20}
+    assert {r["id"] for r in substring_dedup.repeated_passages(df).collect()} == {3, 5, 7, 9, 11}  # across texts alone
     for r in got:
         if r["id"] != 20:
             assert r["other_id"] < r["id"] and r["start"] <= 74 and r["end"] >= 146 and r["similarity"] >= 0.8
         else:
             assert (r["start"], r["end"], r["other_start"], r["other_end"]) == (110, 170, 0, 60)
-    cut = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(df, substring_dedup.repeated_passages(df)).collect()}
+    cut = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(df, substring_dedup.repeated_passages(df, within=True)).collect()}
     assert len(words(cut[20])) == 110 and cut[0] == texts[0][1] and cut[22] is None
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
@@ -234,15 +243,65 @@ def test_holders_of_fragments_hide_no_passage(spark):
     assert all(by[r["id"]][r["start"] : r["end"]] == by[r["other_id"]][r["other_start"] : r["other_end"]] and r["end"] - r["start"] >= 60 for r in got)
 
 
-def test_exact_passages_of_the_table_are_all_found(spark, data):
+@pytest.mark.parametrize(("heads", "part", "size"), [(2, 40, 60), (3, 45, 60), (2, 40, 50), (6, 45, 100)])
+def test_no_verbatim_passage_is_lost_to_decoys(spark, heads, part, size):
+    rng = np.random.default_rng(part + size)
+    fresh = lambda n: [f"t{rng.integers(10**9)}" for _ in range(n)]
+    texts, want = {}, {}
+    for g in range(0, 3000, 100):  # texts before the two that share a passage hold a part of it
+        shared = fresh(size)
+        for k in range(heads):
+            s = int(rng.integers(0, size - part + 1))
+            texts[g + k] = fresh(30) + shared[s : s + part] + fresh(30)
+        texts[g + 50], texts[g + 60] = fresh(40) + shared + fresh(20), fresh(25) + shared + fresh(35)
+        want[g + 60] = (25, 25 + size, g + 50, 40, 40 + size, 1.0)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {(r["id"], r["other_id"]): tuple(r)[1:] for r in substring_dedup.repeated_passages(df).collect()}
+    assert all(got[i, w[2]] == w for i, w in want.items())
+
+
+def test_similar_passages_in_context_are_found(spark):
+    rng = np.random.default_rng(9)
+    fresh = lambda n: [f"t{rng.integers(10**9)}" for _ in range(n)]
+    texts, want = [], 0
+    for g in range(150):
+        shared = fresh(int(rng.integers(60, 160)))
+        other = list(shared)
+        for at in rng.choice(len(other) - 10, max(1, len(other) // 50), replace=False) + 5:
+            other[at] = f"e{g}"
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (shared, other))
+        assert len(a & b) >= 0.8 * len(a | b)
+        texts += [(2 * g, " ".join(fresh(40) + shared + fresh(60))), (2 * g + 1, " ".join(fresh(70) + other + fresh(30)))]
+        want += 1
+    rows = substring_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert all(r["other_id"] == r["id"] - 1 and r["similarity"] >= 0.8 for r in rows)
+    assert len({r["id"] for r in rows}) >= 0.95 * want
+
+
+def test_every_verbatim_passage_of_the_table_is_covered(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    texts, first, repeats = sorted((r["doc_id"], words(r["text"])) for r in docs.collect()), {}, set()
-    for i, w in texts:
-        for j in range(len(w) - 49):
-            other = first.setdefault(tuple(w[j : j + 50]), i)
-            if other != i:
-                repeats.add(i)
-    assert repeats <= {r["doc_id"] for r in QUERIES["op6_substring_dedup"](spark, data).collect()}
+    texts = {r["doc_id"]: words(r["text"]) for r in docs.collect()}
+    rows, cover, first = QUERIES["op6_substring_dedup"](spark, data).collect(), {}, {}
+    for r in rows:
+        cover.setdefault(r["doc_id"], []).append((r["start"], r["end"]))
+        a, b = (shingles(" ".join(w.decode("utf-8", "surrogatepass") for w in texts[i][s:e]), 5) for i, s, e in ((r["doc_id"], r["start"], r["end"]), (r["other_doc_id"], r["other_start"], r["other_end"])))
+        assert r["other_doc_id"] < r["doc_id"] and r["end"] - r["start"] >= 50
+        assert len(a & b) / len(a | b) == pytest.approx(r["similarity"]) and r["similarity"] >= 0.8
+    for i, w in sorted(texts.items()):
+        own = [tuple(w[j : j + 50]) for j in range(len(w) - 49)]
+        for j, gram in enumerate(own):
+            assert gram not in first or any(s <= j and j + 50 <= e for s, e in cover.get(i, []))
+        first.update((gram, i) for gram in own if gram not in first)
+
+
+def test_passages_of_odd_rows(spark):
+    rng = np.random.default_rng(4)
+    long, shared = [f"w{x}" for x in rng.integers(0, 10**6, 300_000)], [f"s{k}" for k in range(55)]
+    rows = [(1, long + shared), (2, shared + ["a"] * 200), (3, ["a"] * 120), (4, None), (5, []), (5, shared), (5, shared), (None, shared), (None, None), (6, ["x" * 300_000, *shared])]
+    df = spark.createDataFrame([(i, None if w is None else " ".join(w), "y", 1) for i, w in rows], "doc_id long, text string, key string, spot int")
+    got = {(r["id"], r["other_id"]): (r["start"], r["end"], r["other_start"]) for r in substring_dedup.repeated_passages(df).collect()}
+    assert got.keys() - {(5, 1)} == {(2, 1), (3, 2), (6, 1)}  # of the rows with id 5 either text may be read
+    assert got[2, 1] == (0, 55, 300_000) and got[6, 1] == (1, 56, 300_000) and got[3, 2][:2] == (0, 120)
 
 
 def test_words_split_alike():
