@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, components, kept_once, written
+from .shingles import sets
 
 #: Counters of the shingle-frequency table that orders shingles; its size is fixed.
 COUNTERS = 1 << 20
@@ -36,41 +37,6 @@ CHUNK = 1 << 14
 BLOCK_SHINGLES = 100_000
 
 
-class _Words(dict):
-    """64-bit hash of a word; bounded by clearing."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; the whole sequence is one if it is shorter.
-
-    Lower-cases A-Z and splits at space and U+0009 to U+000D, both as bytes.lower and bytes.split do.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    width = min(k, len(w))
-    h = np.full(len(w) - width + 1, 0x9E3779B97F4A7C15 * width & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for j in range(width):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + w[j : len(w) - width + 1 + j]
-    return np.unique(_mixed(h))
-
-
 def profiles(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """(id, n, fp) of each (id, text), and the counts of shingles by counter, (chunk, counts)."""
 
@@ -79,12 +45,10 @@ def profiles(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
         names = ["id", "n", "fp", "chunk", "counts"]
         for b in batches:
             n, fp = [], []
-            for s in range(0, b.num_rows, 256):
-                for text in b.column("text").slice(s, 256).to_pylist():
-                    own = shingle_set(text, k)
-                    n.append(len(own))
-                    fp.append(xxhash.xxh3_128_digest(own.tobytes()))
-                    np.add.at(count, (own & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+            for own in sets(b.column("text"), k):
+                n.append(len(own))
+                fp.append(xxhash.xxh3_128_digest(own.tobytes()))
+                np.add.at(count, (own & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
             none = pa.nulls(len(n))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if count.any():
@@ -142,15 +106,13 @@ def postings(docs: DataFrame, k: int, percent: int, seen: np.ndarray) -> DataFra
         lv = shared.value
         for b in batches:
             ids, kept, n, bases, tokens = b.column("id").to_pylist(), [], [], [], []
-            for s in range(0, b.num_rows, 256):
-                for j, text in enumerate(b.column("text").slice(s, 256).to_pylist()):
-                    own = shingle_set(text, k)
-                    if len(own):
-                        first, base = prefix(own, lv, percent)
-                        kept.append(ids[s + j])
-                        n.append(len(own))
-                        bases.append(base)
-                        tokens.append(first.view(np.int64))
+            for i, own in zip(ids, sets(b.column("text"), k), strict=True):
+                if len(own):
+                    first, base = prefix(own, lv, percent)
+                    kept.append(i)
+                    n.append(len(own))
+                    bases.append(base)
+                    tokens.append(first.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(n, pa.int64()), pa.array(bases, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "n", "base", "tokens"])
 
     return docs.mapInArrow(run, "id bigint, n bigint, base int, tokens array<bigint>")
@@ -237,9 +199,9 @@ def candidate_groups(chosen: DataFrame, percent: int) -> DataFrame:
     also goes to its home.
     """
     band = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")
-    home = chosen.groupBy("id", "n", "m").agg(F.max(F.struct("docs", "token"))["token"].alias("key")).withColumn("band", band)
-    sizes = home.groupBy("key", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("subs"))
-    home = home.join(sizes, ["key", "band"]).withColumn("block", F.xxhash64("key", "band", F.pmod(F.xxhash64("id"), F.col("subs"))))
+    home = written(chosen.groupBy("id", "n", "m").agg(F.max(F.struct("docs", "token"))["token"].alias("key")).withColumn("band", band), "home-keys")
+    sizes = written(home.groupBy("key", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("subs"), F.count("*").alias("members")), "home-sizes")
+    home = attach(home, sizes, ["key", "band"], "members", home.count()).withColumn("block", F.xxhash64("key", "band", F.pmod(F.xxhash64("id"), F.col("subs"))))
     home = written(home.select("id", "n", "m", "block"), "homes")
     placed = written(chosen.join(home.select("id", F.col("block").alias("home")), "id").select("id", "n", "m", "token", "home"), "placed")
     blocks = home.groupBy(F.col("block").alias("target")).agg(F.min("m").alias("least"), F.min("n").alias("lo"), F.max("n").alias("hi"))
@@ -259,15 +221,14 @@ def class_edges(docs: DataFrame, classes: DataFrame, k: int, percent: int, seen:
     flat = own.select("id", "n", "base", (F.size("tokens") - F.col("base")).alias("most"), F.posexplode("tokens").alias("pos", "token"))
     groups = written(candidate_groups(written(adapted(flat), "adapted"), percent), "groups")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [shingle_set(t, k).tobytes() for s in range(0, b.num_rows, 256) for t in b.column("text").slice(s, 256).to_pylist()]
+            got = [own.tobytes() for own in sets(b.column("text"), k)]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got, pa.binary())], ["id", "own"])
 
     # always dealt by id: a broadcast below some size would make the cost jump there
     texts = docs.hint("merge").join(groups.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    filled = groups.join(texts.mapInArrow(sets, "id bigint, own binary"), "id")
-    work = filled.groupBy(F.least("home", "target").alias("lo"), F.greatest("home", "target").alias("hi"))
+    work = groups.join(texts.mapInArrow(filled, "id bigint, own binary"), "id").groupBy(F.least("home", "target").alias("lo"), F.greatest("home", "target").alias("hi"))
     work = work.agg(F.collect_list(F.struct("home", "id", "own")).alias("rows"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
