@@ -1,19 +1,21 @@
 """Near duplicates among embeddings: ITQ codes, multi-index Hamming tables, rerank.
 
 Iterative quantisation (Gong and Lazebnik, 2011) learns, on a bounded sample, a
-rotation of the principal components for which the signs lose least. Every
-vector gets a binary code. Codes are cut into substrings, a table each; two
-codes are candidates when some substring differs in at most two bits, found by
-an equi-join of the substrings with one bit flipped on either side; where pairs of
-the threshold's cosine lie further apart, as off a common mean, more bits are
-flipped. Candidates are verified with the original vectors, in double precision.
+rotation of the principal components for which the signs lose least; from two
+starts, two rotations. Every vector gets a binary code of their signs. A table
+takes some of the code's bits, about as many as the number of vectors needs for
+buckets of BUCKET; codes that agree on them are candidates if they are near
+enough as a whole. How near, and how many tables, is measured on pairs of
+sampled vectors at the threshold. Candidates are verified with the original
+vectors, in double precision. Equal vectors are one class throughout.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,26 +25,27 @@ from pyspark.sql import functions as F
 from .common import attach, components, written
 
 THRESHOLD = 0.9
-BITS, TABLES = 64, 4
-#: Rows on which the rotation is learnt.
-SAMPLE = 20_000
+#: Bits of one rotation at most; a code has twice as many.
+BITS = 64
+#: Rows on which the rotations are learnt and the tables chosen.
+SAMPLE = 10_000
 ITERATIONS = 40
-#: Bits by which two codes may differ in all; at cosine 0.9 about 9 of 64 do, deviation 3.
-MOST_BITS = 20
 #: Share of pairs right at the threshold that must be candidates, and vectors on which this is measured.
-RECALL, PROBED = 0.95, 1000
-#: Vectors of one code that are compared as a block.
-BLOCK = 256
+RECALL, PROBED = 0.97, 1000
+#: Unrelated vectors of a bucket, about; tables at most.
+BUCKET, MOST_TABLES = 8, 512
+#: Codes of one bucket, and vectors of one code, that are compared as a block.
+CODES, BLOCK = 2048, 256
 
 
-def learn_rotation(x: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS) -> tuple[np.ndarray, np.ndarray]:
+def learn_rotation(x: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS, start: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(mean, projection d x bits): signs of (x - mean) @ projection are balanced codes."""
     mean = x.mean(axis=0)
     c = x - mean
     bits = min(bits, x.shape[1])
     vectors = np.linalg.eigh(c.T @ c)[1][:, ::-1][:, :bits]
     v = c @ vectors
-    r = np.linalg.qr(np.random.default_rng(7).standard_normal((bits, bits)))[0]
+    r = np.linalg.qr(np.random.default_rng(start).standard_normal((bits, bits)))[0]
     for _ in range(iterations):
         left, _, right = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
         r = (left @ right).T
@@ -61,17 +64,26 @@ def _unit(rows: list | np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def substrings(width: int, tables: int = TABLES) -> list[tuple[int, int]]:
-    return [(width * t // tables, width * (t + 1) // tables) for t in range(tables)]
+@dataclass
+class Index:
+    """Mean, projection (d x 2 bits), a table a row of masks (two words), and the bits by which candidates may differ."""
 
+    mean: np.ndarray
+    projection: np.ndarray
+    masks: np.ndarray
+    most: int
 
-def radii(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, threshold: float) -> tuple[int, int]:
-    """(bits to flip on either side, bits by which whole codes may differ) for pairs of at least the threshold's cosine.
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        """Two words a vector."""
+        signs = (unit - self.mean) @ self.projection >= 0
+        half = signs.shape[1] // 2
+        place = np.uint64(1) << np.arange(half, dtype=np.uint64)
+        return np.column_stack([(s * place).sum(axis=1, dtype=np.uint64) for s in (signs[:, :half], signs[:, half:])]).view(np.int64)
 
-    Measured on pairs of that very cosine, made from sampled vectors by turning
-    them towards one another and in random directions, and on the sample's own
-    near pairs; the worst of the three counts.
-    """
+
+def near_pairs(unit: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the threshold's very cosine, made from sampled vectors by turning them
+    towards one another and in random directions, and the sample's own near pairs."""
     rng = np.random.default_rng(11)
     x = unit[rng.permutation(len(unit))[:PROBED]]
     pairs = []
@@ -82,78 +94,110 @@ def radii(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, threshold:
         pairs.append((x[fine], threshold * x[fine] + np.sqrt(max(0.0, 1 - threshold**2)) * off[fine] / size[fine, None]))
     i, j = np.nonzero(np.triu(x @ x.T >= threshold, 1))
     some = rng.permutation(len(i))[: 10 * PROBED]
-    pairs.append((x[i[some]], x[j[some]]))
-    flips, most = 1, MOST_BITS
-    for a, b in pairs:
-        if len(a):
-            apart = ((a - mean) @ projection >= 0) != ((b - mean) @ projection >= 0)
-            least = np.min([apart[:, lo:hi].sum(axis=1) for lo, hi in substrings(apart.shape[1]) if hi > lo], axis=0)
-            flips = max(flips, -(-int(np.quantile(least, RECALL, method="higher")) // 2))
-            most = max(most, int(np.quantile(apart.sum(axis=1), 0.999, method="higher")))
-    return flips, most
-
-
-def encode(vectors: DataFrame, bits: int = BITS, sample: int = SAMPLE, threshold: float = THRESHOLD) -> tuple[DataFrame, int, tuple[int, int]]:
-    """(id, code, vec) of usable (id, v): the code and the unit vector's bytes; the number of bits; and the radii."""
-    n = vectors.count()
+    return [*pairs, (x[i[some]], x[j[some]])]
+
+
+def learn(unit: np.ndarray, n: int, threshold: float, bits: int = BITS) -> Index:
+    """The index for n vectors, from a sample of them.
+
+    The tables deal out the code's bits from one shuffled pack after the other,
+    and are added until RECALL of each kind of near_pairs meet in one.
+    """
+    (mean, one), (_, two) = (learn_rotation(unit, bits, start=s) for s in (7, 13))
+    projection = np.hstack([one, two])
+    width = projection.shape[1]
+    apart = [((a - mean) @ projection >= 0) != ((b - mean) @ projection >= 0) for a, b in near_pairs(unit, threshold) if len(a)]
+    most = max([int(np.quantile(x.sum(axis=1), 0.999, method="higher")) for x in apart], default=width)
+    w = min(max(1, math.ceil(math.log2(max(2, n / BUCKET)))), max(1, width // 3))
+    rng, deck, masks = np.random.default_rng(5), np.empty(0, np.int64), []
+    open_ = [np.ones(len(x), bool) for x in apart]
+    while len(masks) < MOST_TABLES and (not masks or any(o.mean() > 1 - RECALL for o in open_)):
+        if len(deck) < w:
+            deck = rng.permutation(width)
+        at, deck = deck[:w], deck[w:]
+        open_ = [o & x[:, at].any(axis=1) for o, x in zip(open_, apart, strict=True)]
+        half = width // 2
+        masks.append([sum(1 << int(i) for i in at if i < half), sum(1 << int(i - half) for i in at if i >= half)])
+    return Index(mean, projection, np.array(masks, np.uint64), most)
+
+
+def fitted(vectors: DataFrame, n: int, threshold: float = THRESHOLD, sample: int = SAMPLE) -> Index:
+    """Learns the index in one task, on at most `sample` rows of usable (id, v) by a hash of the id; the driver gets the index alone."""
     h = F.xxhash64(F.lit("itq"), "id")
     near = vectors.withColumn("h", h).filter(F.pmod("h", F.lit(1 << 30)) < float(1 << 30) * min(1.0, 2 * sample / max(n, 1)))
-    taken = near.orderBy("h", "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
-    unit = _unit(taken.flatten().to_numpy(zero_copy_only=False).reshape(len(taken), -1)) if len(taken) else None
-    mean, projection = learn_rotation(unit, bits) if unit is not None else (np.zeros(1), np.zeros((1, 1)))
-    reach = radii(unit, mean, projection, threshold) if unit is not None else (1, MOST_BITS)
-    width = projection.shape[1]
-    place = (np.uint64(1) << np.arange(width, dtype=np.uint64))
+
+    def solve(t: pa.Table) -> pa.Table:
+        v = t.sort_by([("h", "ascending"), ("id", "ascending")]).column("v").combine_chunks()
+        own = learn(_unit(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)), n, threshold)
+        raw = [own.mean.tobytes(), own.projection.tobytes(), own.masks.tobytes()]
+        return pa.table([*[pa.array([x], pa.binary()) for x in raw], pa.array([own.most], pa.int32())], ["mean", "projection", "masks", "most"])
+
+    schema = "mean binary, projection binary, masks binary, most int"
+    got = near.orderBy("h", "id").limit(sample).select("h", "id", F.col("v").cast("array<double>").alias("v")).groupBy(F.lit("index")).applyInArrow(solve, schema).first()
+    mean = np.frombuffer(got["mean"])
+    return Index(mean, np.frombuffer(got["projection"]).reshape(len(mean), -1), np.frombuffer(got["masks"], np.uint64).reshape(-1, 2), got["most"])
+
+
+def encode(vectors: DataFrame, index: Index) -> DataFrame:
+    """(id, c0, c1, vec) of usable (id, v): the code and the unit vector's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 2000):
                 part = b.slice(k, 2000)
-                unit = _unit(part.column("v").to_pylist())
-                code = (((unit - mean) @ projection >= 0) * place).sum(axis=1, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(code), pa.array([u.tobytes() for u in unit], pa.binary())], ["id", "code", "vec"])
+                v = part.column("v")
+                unit = _unit(v.flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1))
+                code = index.codes(unit)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(code[:, 0]), pa.array(code[:, 1]), pa.array([u.tobytes() for u in unit], pa.binary())], ["id", "c0", "c1", "vec"])
 
-    return vectors.select("id", "v").mapInArrow(run, "id bigint, code bigint, vec binary"), width, reach
+    return vectors.select("id", "v").mapInArrow(run, "id bigint, c0 bigint, c1 bigint, vec binary")
 
 
-def near_codes(codes: DataFrame, width: int, tables: int = TABLES, most: int = MOST_BITS, flips: int = 1) -> DataFrame:
-    """Pairs a < b of distinct codes of which some substring differs in at most 2 * flips bits and the whole in at most `most`.
+def near_codes(codes: DataFrame, masks: np.ndarray, most: int) -> DataFrame:
+    """Pairs a, b of distinct codes (code, c0, c1) that agree on all bits of some mask and differ in at most `most`, each once.
 
-    A pair meets under several keys; it is kept only at its first table and, there, at the lesser key.
+    A pair that several tables hold is kept at the first of them. Buckets of more
+    than CODES codes are cut into parts, and part meets part.
     """
-    cuts = substrings(width, tables)
-    probes = [(t, lo, (1 << (hi - lo)) - 1, sum(1 << i for i in at)) for t, (lo, hi) in enumerate(cuts) for n in range(min(flips, hi - lo) + 1) for at in combinations(range(hi - lo), n)]
-    if flips == 1:
-        table = F.array(*[F.struct(*[F.lit(x).cast("long").alias(k) for k, x in zip(("t", "lo", "mask", "flip"), p, strict=True)]) for p in probes])
-        keyed = codes.select("code", F.explode(table).alias("p"))
-    else:
-        table = codes.sparkSession.createDataFrame(probes, "t long, lo long, mask long, flip long")
-        keyed = codes.crossJoin(F.broadcast(table.select(F.struct("*").alias("p"))))
-    keyed = keyed.select("code", "p.t", "p.flip", F.expr("shiftrightunsigned(code, cast(p.lo as int))").bitwiseAND(F.col("p.mask")).bitwiseXOR(F.col("p.flip")).alias("key"))
-    a, b = (keyed.select(F.col("code").alias(s), "t", "key", F.col("flip").alias(f"f{s}")) for s in "ab")
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-
-    def bits(t: int) -> Column:
-        lo, hi = cuts[t]
-        return F.bit_count(F.shiftrightunsigned(apart, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)))
-
-    first = F.lit(True)
-    for t in range(1, tables):
-        earlier = F.lit(True)
-        for s in range(t):
-            earlier = earlier & (bits(s) > 2 * flips)
-        first = first & ((F.col("t") != t) | earlier)
-    lesser = F.when(F.col("fa") == F.col("fb"), F.col("fa") == 0).otherwise(F.col("key") < F.col("key").bitwiseXOR(F.col("fa")).bitwiseXOR(F.col("fb")))
-    met = a.join(b, ["t", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= most) & first)
-    if flips == 1:
-        return met.filter(lesser).select("a", "b")
-    # of the ways to share the differing bits out, the even ones
-    even = (F.col("fa").bitwiseAND(F.col("fb")) == 0) & (F.bit_count("fb") - F.bit_count("fa")).isin(0, 1)
-    return met.filter(even).select("a", "b").distinct()
-
-
-def _links(x_ids: np.ndarray, x: np.ndarray, y_ids: np.ndarray, y: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, their numbers of links and their least linked id, of two blocks."""
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(a).alias("m0"), F.lit(b).alias("m1")) for t, (a, b) in enumerate(masks.view(np.int64).tolist())])
+    keyed = codes.select("code", "c0", "c1", F.explode(tables).alias("p"))
+    keyed = keyed.select("code", "c0", "c1", "p.t", F.xxhash64("p.t", F.col("c0").bitwiseAND(F.col("p.m0")), F.col("c1").bitwiseAND(F.col("p.m1"))).alias("key"))
+    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
+    total = codes.count() * len(masks)
+    parts = F.ceil(F.col("n") / CODES)
+    dealt = attach(keyed, sizes, "key", "n", total).filter("n > 1").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "code"), parts))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))
+    met = dealt.withColumn("to", other).groupBy("key", "t", F.least("part", "to").alias("lo"), F.greatest("part", "to").alias("hi"))
+    met = met.agg(F.collect_list(F.struct("part", "code", "c0", "c1")).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(np.empty(0, np.int64),) * 2]
+            tables, los, his = (b.column(c).to_pylist() for c in ("t", "lo", "hi"))
+            rows = b.column("rows")
+            own = {n: rows.flatten().field(n).to_numpy() for n in ("part", "code", "c0", "c1")}
+            ends = np.concatenate(([0], np.cumsum(rows.value_lengths().to_numpy())))
+            for k, (t, lo, hi) in enumerate(zip(tables, los, his, strict=True)):
+                part, code, c0, c1 = (own[n][ends[k] : ends[k + 1]] for n in ("part", "code", "c0", "c1"))
+                left, right = (np.flatnonzero(part == x) for x in (lo, hi))
+                for s in range(0, len(left), 512):
+                    i, j = left[s : s + 512, None], right[None, :]
+                    x0, x1 = ((c[i] ^ c[j]).view(np.uint64) for c in (c0, c1))
+                    near = (np.bitwise_count(x0) + np.bitwise_count(x1) <= most) & ((i < j) if lo == hi else True)
+                    x0, x1, (p, q) = x0[near], x1[near], np.nonzero(near)
+                    if t and len(p):
+                        new = np.ones(len(p), bool)
+                        for m0, m1 in masks[:t]:
+                            new &= (x0 & m0 | x1 & m1) != 0
+                        p, q = p[new], q[new]
+                    out.append((code[left[s + p]], code[right[q]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return met.select("t", "lo", "hi", "rows").mapInArrow(run, "a bigint, b bigint")
+
+
+def _links(x_ids: np.ndarray, x: np.ndarray, x_size: np.ndarray, y_ids: np.ndarray, y: np.ndarray, y_size: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, their numbers of links and their least linked id, of two blocks of classes with so many members."""
     near = x @ y.T >= threshold
     near &= x_ids[:, None] != y_ids[None, :]
     if not near.any():
@@ -168,47 +212,60 @@ def _links(x_ids: np.ndarray, x: np.ndarray, y_ids: np.ndarray, y: np.ndarray, s
         if (a == left).all() and (b == right).all():
             break
         left, right = a, b
-    n_x, n_y = near.sum(axis=1), near.sum(axis=0)
+    n_x, n_y = near @ y_size, x_size @ near
     if same:
         return x_ids[n_x > 0], n_x[n_x > 0], left[n_x > 0]
     keep_x, keep_y = n_x > 0, n_y > 0
     return np.r_[x_ids[keep_x], y_ids[keep_y]], np.r_[n_x[keep_x], n_y[keep_y]], np.r_[left[keep_x], right[keep_y]]
 
 
-def _linked(good: DataFrame, threshold: float) -> DataFrame:
-    """(id, n, root) of usable (id, v) of one length: numbers of links and least linked ids, block by block."""
-    vectors, width, (flips, most) = encode(good, threshold=threshold)
-    vectors = written(vectors, "codes")
-    total = vectors.count()
-    codes = written(vectors.groupBy("code").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "code-sizes")
-    placed = attach(vectors, codes, "code", "n", total).withColumn("sub", F.pmod(F.xxhash64("id", "vec"), F.col("blocks")))
-    blocks = written(placed.groupBy("code", "sub").agg(F.collect_list(F.struct("id", "vec")).alias("rows")), "blocks")
+def _linked(good: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(id, n, root) of usable (id, v) of one length: numbers of links and least linked ids, part by part."""
+    index = fitted(good, n, threshold)
+    vectors = written(encode(good, index).withColumn("same", F.md5("vec")), "codes")
+    # an id with several vectors does not link with itself: each of its rows is a class of its own
+    torn = vectors.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo <> hi").select("id", F.col("id").alias("alone"))
+    vectors = vectors.join(torn, "id", "left").withColumn("class", F.concat_ws("|", "same", "alone")).drop("same", "alone")
+    first = [F.first(c).alias(c) for c in ("c0", "c1", "vec")]
+    classes = vectors.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("size"), *first)
+    classes = written(classes.withColumn("code", F.xxhash64("c0", "c1")), "vector-classes")
+    codes = classes.groupBy("code").agg(F.first("c0").alias("c0"), F.first("c1").alias("c1"), F.count("*").alias("n"))
+    codes = written(codes.withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "code-sizes")
+    placed = attach(classes, codes.select("code", "n", "blocks"), "code", "n", n).withColumn("sub", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    blocks = written(placed.groupBy("code", "sub").agg(F.collect_list(F.struct("rep", "size", "vec")).alias("rows")), "blocks")
 
     every = codes.select("code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("sub"))
     inside = every.alias("x").join(every.alias("y"), "code").filter("x.sub <= y.sub").join(codes.filter("n > 1").select("code"), "code", "left_semi")
     inside = inside.select(F.col("code").alias("a"), F.col("x.sub").alias("sa"), F.col("code").alias("b"), F.col("y.sub").alias("sb"))
-    pairs = written(near_codes(codes.select("code"), width, most=most, flips=flips), "code-pairs")
+    pairs = written(near_codes(codes.select("code", "c0", "c1"), index.masks, index.most), "code-pairs")
     x, y = (every.select(F.col("code").alias(s), F.col("sub").alias(f"s{s}")) for s in "ab")
     across = pairs.join(x, "a").join(y, "b").select("a", "sa", "b", "sb")
-    work = inside.unionByName(across)
     x, y = (blocks.select(F.col("code").alias(s), F.col("sub").alias(f"s{s}"), F.col("rows").alias(f"r{s}")) for s in "ab")
-    work = work.join(x, ["a", "sa"]).join(y, ["b", "sb"])
+    work = inside.unionByName(across).join(x, ["a", "sa"]).join(y, ["b", "sb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            sides = [batch.column(f"r{s}") for s in "ab"]
+            out = [(np.empty(0, np.int64),) * 3]
             keys = [batch.column(c).to_pylist() for c in ("a", "sa", "b", "sb")]
+            sides = []
+            for s in "ab":
+                rows = batch.column(f"r{s}")
+                raw = rows.flatten().field("vec")
+                vec = np.frombuffer(b"".join(raw.to_pylist()), float).reshape(len(raw), -1)
+                sides.append((rows.flatten().field("rep").to_numpy(), vec, rows.flatten().field("size").to_numpy(), np.concatenate(([0], np.cumsum(rows.value_lengths().to_numpy())))))
             for k, (a, sa, b, sb) in enumerate(zip(*keys, strict=True)):
-                got = []
-                for side in sides:
-                    rows = side[k].as_py()
-                    got += [np.array([r["id"] for r in rows], np.int64), np.frombuffer(b"".join(r["vec"] for r in rows), float).reshape(len(rows), -1)]
-                out.append(_links(*got, same=(a, sa) == (b, sb), threshold=threshold))
-            ids, n, root = (np.concatenate([o[j] for o in out]) if out else np.empty(0, np.int64) for j in range(3))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(root)], ["id", "n", "root"])
+                own = [x[ends[k] : ends[k + 1]] for *side, ends in sides for x in side]
+                out.append(_links(*own, same=(a, sa) == (b, sb), threshold=threshold))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["rep", "n", "root"])
 
-    return written(work.select("a", "sa", "b", "sb", "ra", "rb").mapInArrow(run, "id bigint, n bigint, root bigint"), "links")
+    found = written(work.select("a", "sa", "b", "sb", "ra", "rb").mapInArrow(run, "rep bigint, n bigint, root bigint"), "links")
+    sums = found.groupBy("rep").agg(F.sum("n").alias("links"))
+    of_class = written(classes.select("class", "rep", "size").join(sums, "rep", "left").filter("size > 1 or links > 0"), "class-links")
+    members = vectors.groupBy("id", "class").agg(F.count("*").alias("rows"))
+    met = attach(members, of_class, "class", "size", n).filter("rep is not null")
+    own = met.select("id", (F.col("rows") * (F.coalesce("links", F.lit(0)) + F.col("size") - F.col("rows"))).alias("n"), F.col("rep").alias("root"))
+    # every edge between classes, one row a representative and block
+    return written(own.unionByName(found.select(F.col("rep").alias("id"), F.lit(0).cast("long").alias("n"), "root")), "vector-links")
 
 
 def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -218,14 +275,15 @@ def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     vector's links, component_id is the smallest id reachable. Vectors that are
     null, zero, or hold null or non-finite components, and null ids link with
     nothing: 0 links, their own component. Vectors link with those of their own
-    length; each length is a run of its own.
-    Rows that repeat an id never link with each other and share the sum of
-    their links. An empty table gives no rows. Other columns are not read.
+    length; each length is a run of its own. Rows that repeat an id and its
+    vector count once; rows that repeat an id with other vectors never link with
+    each other and share the sum of their links. An empty table gives no rows.
+    Other columns are not read.
     """
     own = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     good = own.filter(usable(F.col("v")) & F.col("id").isNotNull())
     lengths = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).filter("n > 1").orderBy("d").collect()
-    parts = [_linked(good.filter(F.size("v") == r["d"]), threshold) for r in lengths]
+    parts = [_linked(good.filter(F.size("v") == r["d"]), r["n"], threshold) for r in lengths]
     found = reduce(DataFrame.unionByName, parts) if parts else embeddings.sparkSession.createDataFrame([], "id bigint, n bigint, root bigint")
     reach = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links")).join(reach, F.col("id") == F.col("node"), "left").drop("node")

@@ -180,6 +180,56 @@ def test_embedding_links_off_a_common_mean(spark):
     assert got[1001]["component_id"] == 1000 and got[1000]["n_links"] == 1  # of another length than most
 
 
+@pytest.mark.parametrize(("d", "mean"), [(8, 0.0), (64, 0.0), (64, 0.8), (384, 0.0)])
+def test_embedding_recall_just_above_the_threshold(spark, d, mean):
+    rng = np.random.default_rng(d)
+    base = rng.normal(size=(200, d))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    of, t = rng.integers(0, 200, 400), rng.uniform(0.88, 0.97, 400)
+    cos = np.clip((t - mean) / (1 - mean), -1, 1)[:, None]
+    off = rng.normal(size=(400, d))
+    off -= (off * base[of]).sum(axis=1, keepdims=True) * base[of]
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    x = np.sqrt(mean) * np.eye(d)[0] + np.sqrt(1 - mean) * np.vstack([base, cos * base[of] + np.sqrt(1 - cos**2) * off])
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {r["id"]: r["n_links"] for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.95 * near.sum()
+
+
+def test_unrelated_codes_meet_seldom(spark):
+    counts = []
+    for n in (3000, 12_000):
+        x = np.random.default_rng(n).normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        index = embedding_dedup.learn(x[:10_000], n, 0.9)
+        half = n / 2 ** np.bitwise_count(index.masks).sum(axis=1).max() / 2  # partners of a code in one table
+        counts.append(n * half * len(index.masks))
+        codes = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(index.codes(x))], "code long, c0 long, c1 long")
+        assert embedding_dedup.near_codes(codes, index.masks, index.most).count() < n / 20
+    assert counts[1] < 8 * counts[0]
+
+
+def test_near_codes_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CODES", 5)  # buckets are cut into parts
+    rng = np.random.default_rng(3)
+    c = np.unique(rng.integers(0, 2**62, (6, 2))[rng.integers(0, 6, 150)] ^ (1 << rng.integers(0, 62, (150, 2))), axis=0)
+    masks, most = np.array([[0xFF, 0xF0], [0xFF00, 0xF], [0xF000F, 0xF000]], np.uint64), 4
+    got = [tuple(sorted(r)) for r in embedding_dedup.near_codes(spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(c)], "code long, c0 long, c1 long"), masks, most).collect()]
+    x = (c[:, None] ^ c[None]).view(np.uint64)
+    near = (np.bitwise_count(x).sum(axis=2) <= most) & ((x[:, :, None] & masks[None, None] == 0).all(axis=3)).any(axis=2)
+    assert sorted(got) == [(i, j) for i in range(len(c)) for j in range(i + 1, len(c)) if near[i, j]]
+
+
+def test_many_equal_vectors_are_one_class(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(3000)] + [(5000, [2.0, 4.0, 6.0]), (5001, [-1.0, 0.0, 0.0]), (5001, [1.0, 2.0, 3.0])]
+    got = {(r["id"], r["n_links"], r["component_id"]) for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(i, 3001, 0) for i in [*range(3000), 5000]} | {(5001, 3001, 0)}
+
+
 def test_compact_windows_group_subsequences_by_their_least_hash():
     rng, least = np.random.default_rng(2), 8
     sequences = [rng.integers(0, 2**63, 90, dtype=np.uint64), rng.integers(0, 5, 40).astype(np.uint64) << np.uint64(40), np.zeros(30, np.uint64), np.arange(8, dtype=np.uint64) << np.uint64(40), rng.integers(0, 2**63, 7, dtype=np.uint64)]
