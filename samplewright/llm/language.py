@@ -28,6 +28,8 @@ RIDGE = 1e-4
 NONE = "und"
 #: Texts, and characters, that are scored together.
 BATCH_TEXTS, BATCH_CHARS = 32, 400_000
+#: Dimensions that the fit unpacks together.
+COLUMNS = 1 << 13
 
 _letter: list[np.ndarray] = []
 
@@ -87,20 +89,21 @@ def fit(rows: np.ndarray, languages: np.ndarray, landmarks: int = MAX_LANDMARKS,
     # landmarks go round the languages in the order of the rows
     turn = pd.Series(languages).groupby(languages).cumcount().to_numpy()
     chosen = np.sort(np.argsort(turn, kind="stable")[:landmarks])
-    marks = _unpacked(rows[chosen])
-    marks /= np.sqrt(marks.sum(axis=1))[:, None]
-    k_mm = (marks @ marks.T).astype(float)
-    values, vectors = np.linalg.eigh(k_mm)
+    length = np.sqrt(np.bitwise_count(rows).sum(axis=1, dtype=np.int64))
+    kernel = np.zeros((len(rows), len(chosen)))
+    stretches = [slice(b, b + COLUMNS // 8) for b in range(0, rows.shape[1], COLUMNS // 8)]
+    for part in stretches:  # so that few rows are unpacked at a time
+        marks = _unpacked(rows[chosen, part])
+        for k in range(0, len(rows), 512):
+            kernel[k : k + 512] += _unpacked(rows[k : k + 512, part]) @ marks.T
+    kernel /= length[:, None] * length[chosen]
+    values, vectors = np.linalg.eigh(kernel[chosen])
     root = vectors[:, values > 1e-6 * values[-1]] / np.sqrt(values[values > 1e-6 * values[-1]])
-    gram, right = np.zeros((root.shape[1],) * 2), np.zeros((root.shape[1], len(names)))
-    for k in range(0, len(rows), 64):
-        part = _unpacked(rows[k : k + 64])
-        part /= np.sqrt(part.sum(axis=1))[:, None]
-        phi = (part @ marks.T).astype(float) @ root
-        gram += phi.T @ phi
-        right += phi.T @ (2.0 * (languages[k : k + 64, None] == np.array(names)) - 1)
-    w = np.linalg.solve(gram + ridge * len(rows) * np.eye(len(gram)), right)
-    return Model(names, (marks.T @ (root @ w).astype(np.float32)).astype(np.float32))
+    phi = kernel @ root
+    right = phi.T @ (2.0 * (languages[:, None] == np.array(names)) - 1)
+    w = np.linalg.solve(phi.T @ phi + ridge * len(rows) * np.eye(phi.shape[1]), right)
+    of_marks = (root @ w / length[chosen, None]).astype(np.float32)
+    return Model(names, np.concatenate([_unpacked(rows[chosen, part]).T @ of_marks for part in stretches]))
 
 
 def _unpacked(bits: np.ndarray) -> np.ndarray:
