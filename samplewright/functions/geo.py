@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_M = 6_371_000.0
 #: Ground size of a web-map pixel at zoom 0 on the equator, in metres; metres in a degree of latitude.
 PIXEL_AT_ZOOM_0 = 156543.03392
+DEGREE_M = math.pi * EARTH_RADIUS_M / 180
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -87,19 +88,28 @@ def inside(rings: Column, lon: Column, lat: Column) -> Column:
     return (F.size(F.filter(every, crosses)) % 2 == 1) & ~F.exists(every, touches)
 
 
-def distance_to_polygon(rings: Column, lon: Column, lat: Column) -> Column:
-    """Metres from a point to the nearest place on the polygon's edges, on a plane scaled at the point's latitude."""
+def distance_to_segment(a: Column, b: Column, lon: Column, lat: Column) -> Column:
+    """Metres from a point to the nearest place on a segment, on a plane scaled at the point's latitude."""
     k = F.cos(F.radians(lat))
+    ax, ay, bx, by = (a["x"] - lon) * k, a["y"] - lat, (b["x"] - lon) * k, b["y"] - lat
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / length))).otherwise(0.0)
+    x, y = ax + t * dx, ay + t * dy
+    return F.sqrt(x * x + y * y) * DEGREE_M
 
-    def to(e: Column) -> Column:
-        ax, ay, bx, by = (e["a"]["x"] - lon) * k, e["a"]["y"] - lat, (e["b"]["x"] - lon) * k, e["b"]["y"] - lat
-        dx, dy = bx - ax, by - ay
-        length = dx * dx + dy * dy
-        t = F.when(length > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(ax * dx + ay * dy) / length))).otherwise(0.0)
-        x, y = ax + t * dx, ay + t * dy
-        return F.sqrt(x * x + y * y)
 
-    return F.array_min(F.transform(edges(rings), to)) * (math.pi * EARTH_RADIUS_M / 180)
+def meets_box(a: Column, b: Column, lon: Column, lat: Column, reach: float) -> Column:
+    """Whether a segment has a place within reach degrees of a point, in longitude and in latitude at once."""
+
+    def along(c: str, at: Column) -> tuple[Column, Column, Column]:
+        """The part of the segment, from 0 to 1, that is in reach along one axis."""
+        d, lo, hi = b[c] - a[c], at - reach - a[c], at + reach - a[c]
+        still = d == 0
+        return F.when(still, 0.0).otherwise(F.least(lo / d, hi / d)), F.when(still, 1.0).otherwise(F.greatest(lo / d, hi / d)), ~still | ((lo <= 0) & (hi >= 0))
+
+    (x0, x1, x), (y0, y1, y) = along("x", lon), along("y", lat)
+    return x & y & (F.greatest(F.lit(0.0), x0, y0) <= F.least(F.lit(1.0), x1, y1))
 
 
 def bbox(rings: Column) -> Column:

@@ -10,33 +10,15 @@ exact line search over a few sums.
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..prefix import hash_ranked, value_ranked
 from ..rng import uniform
+from ..stored import stored
 from .selection import cap_per_unit, within_budget
 
-_own: list[str] = []
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, so that an iteration does not grow the plan."""
-    named = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not _own:
-        _own.append(tempfile.mkdtemp(prefix="spark-shared-"))
-    path = os.path.join(named or _own[0], f"step-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    jvm = df.sparkSession._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def knapsack(units: DataFrame, gain: str, budget: float) -> DataFrame:
     """Adds s: the fractional knapsack by gain over cost, units of one ratio sharing the margin evenly.
 
@@ -123,7 +105,7 @@ def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFra
     """
     share = {r["grp"]: r["share"] for r in weights.collect()}  # a row for each group
     kept = matrix.filter(F.col("grp").isin(list(share)))
-    now = _stored(_start(units, budget).select("unit", "cost", "is_labeled", "s"))
+    now = stored(_start(units, budget).select("unit", "cost", "is_labeled", "s"), "step")
 
     def sizes(frame: DataFrame) -> dict[str, float]:
         got = kept.join(frame.select("unit", "s"), "unit").groupBy("grp").agg(F.sum(F.col("a") * F.col("s")).alias("n")).collect()
@@ -139,7 +121,7 @@ def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFra
         slope = {g: w * lam / 2 * max(n[g], 1e-12) ** -1.5 + sum(share.values()) * (1 - lam) / 2 * max(total, 1e-12) ** -1.5 for g, w in share.items()}
         per = F.coalesce(*[F.when(F.col("grp") == g, F.lit(v)) for g, v in slope.items()])
         gains = kept.groupBy("unit").agg(F.sum(F.col("a") * per).alias("gain"))
-        corner = _stored(knapsack(now.drop("s").join(gains, "unit", "left").na.fill(0.0, ["gain"]), "gain", budget).select("unit", "gain", F.col("s").alias("v")))
+        corner = stored(knapsack(now.drop("s").join(gains, "unit", "left").na.fill(0.0, ["gain"]), "gain", budget).select("unit", "gain", F.col("s").alias("v")), "step")
         m = sizes(corner.withColumnRenamed("v", "s"))
         bound = sum(slope[g] * (m[g] - n[g]) for g in share)
         if bound <= gap * abs(value(n)):
@@ -150,25 +132,25 @@ def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFra
             at = lambda t: value({g: n[g] + t * (m[g] - n[g]) for g in share})
             lo, hi = (a, hi) if at(a) < at(b) else (lo, b)
         t = (lo + hi) / 2
-        now = _stored(now.join(corner.select("unit", "v"), "unit").withColumn("s", F.col("s") + t * (F.col("v") - F.col("s"))).drop("v"))
+        now = stored(now.join(corner.select("unit", "v"), "unit").withColumn("s", F.col("s") + t * (F.col("v") - F.col("s"))).drop("v"), "step")
         n = {g: n[g] + t * (m[g] - n[g]) for g in share}
     return now.select("unit", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")).alias("s"))
 
 
 def diversity_probabilities(units: DataFrame, similarity: DataFrame, budget: float, weight: float = 100.0, eps: float = 1e-4, gap: float = 1e-4, steps: int = 50) -> DataFrame:
     """(unit, s) that maximises weight * sum(s) - s'(M + eps I)s, by Frank-Wolfe with exact steps."""
-    matrix = _stored(symmetric(similarity))
-    now = _stored(_start(units, budget).select("unit", "cost", "is_labeled", "s"))
+    matrix = stored(symmetric(similarity), "similarity")
+    now = stored(_start(units, budget).select("unit", "cost", "is_labeled", "s"), "step")
     for _ in range(steps):
         ms = matrix.join(now.select(F.col("unit").alias("col_id"), "s"), "col_id").groupBy(F.col("row_id").alias("unit")).agg(F.sum(F.col("sim") * F.col("s")).alias("ms"))
         own = now.join(ms, "unit", "left").na.fill(0.0, ["ms"]).withColumn("gain", F.lit(weight) - 2 * (F.col("ms") + eps * F.col("s")))
-        corner = _stored(knapsack(own, "gain", budget).select("unit", "cost", "is_labeled", "gain", F.col("s").alias("v")).join(now.select("unit", "s"), "unit").withColumn("d", F.col("v") - F.col("s")))
+        corner = stored(knapsack(own, "gain", budget).select("unit", "cost", "is_labeled", "gain", F.col("s").alias("v")).join(now.select("unit", "s"), "unit").withColumn("d", F.col("v") - F.col("s")), "step")
         md = matrix.join(corner.select(F.col("unit").alias("col_id"), "d"), "col_id").groupBy(F.col("row_id").alias("unit")).agg(F.sum(F.col("sim") * F.col("d")).alias("md"))
         sums = corner.join(md, "unit", "left").agg(F.sum(F.col("gain") * F.col("d")).alias("g"), F.sum(F.col("d") * (F.coalesce("md", F.lit(0.0)) + eps * F.col("d"))).alias("q"), F.sum(F.abs(F.col("gain") * F.col("s"))).alias("size")).first()
         if (sums["g"] or 0.0) <= gap * max(sums["size"] or 0.0, 1e-12):
             break
         t = 1.0 if sums["q"] <= 0 else min(1.0, sums["g"] / (2 * sums["q"]))
-        now = _stored(corner.select("unit", "cost", "is_labeled", (F.col("s") + t * F.col("d")).alias("s")))
+        now = stored(corner.select("unit", "cost", "is_labeled", (F.col("s") + t * F.col("d")).alias("s")), "step")
     return now.select("unit", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")).alias("s"))
 
 

@@ -5,45 +5,93 @@ points: (id, lon, lat); polygons: (polygon, rings), see functions.geo.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import bbox, distance_to_polygon, inside, tile_half_sizes
+from ..functions.geo import DEGREE_M, bbox, distance_to_segment, edges, inside, meets_box, tile_half_sizes
 from ..functions.keys import tile_id
+from ..stored import stored
+
+#: Cells along a side of a box, about; a box gets the level of the grid at which it covers no more.
+PARTS = 4
+
+
+def in_cells(shapes: DataFrame, box: Sequence[Column], cell: float) -> DataFrame:
+    """Adds level, cx and cy: the grid cells that the box (x0, y0, x1, y1) covers.
+
+    Cells of a level are twice as wide as those of the level below, so that every
+    box, whatever its size, covers at most (PARTS + 1) squared of them.
+    """
+    x0, y0, x1, y1 = box
+    size = F.greatest(x1 - x0, y1 - y0)
+    level = F.when(size > cell * PARTS, F.ceil(F.log2(size / (cell * PARTS)))).otherwise(0).cast("int")
+    own = shapes.withColumns({"level": level, "_x0": x0, "_y0": y0, "_x1": x1, "_y1": y1}).withColumn("_s", cell * F.pow(F.lit(2.0), "level"))
+    span = lambda c: F.explode(F.sequence(F.floor(F.col(f"_{c}0") / F.col("_s")), F.floor(F.col(f"_{c}1") / F.col("_s"))))
+    return own.withColumn("cx", span("x")).withColumn("cy", span("y")).drop("_s", "_x0", "_y0", "_x1", "_y1")
 
-#: A polygon that covers more cells than this meets points by a range join on its box.
-MAX_CELLS = 4096
+
+def at_cells(points: DataFrame, levels: Sequence[int], cell: float) -> DataFrame:
+    """Adds level, cx and cy: the cell that holds the point at each of the levels, of which there are as many as doublings of the cell."""
+    own = points.withColumn("level", F.explode(F.array(*[F.lit(int(x)) for x in levels]).cast("array<int>")))
+    size = cell * F.pow(F.lit(2.0), "level")
+    return own.withColumns({"cx": F.floor(F.col("lon") / size), "cy": F.floor(F.col("lat") / size)})
+
+
+def _meeting(points: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
+    """points joined to the shapes (with level, cx, cy) whose box covers their cell: an equi-join."""
+    levels = [r["level"] for r in shapes.select("level").distinct().collect()]  # a row for each doubling of the cell
+    return at_cells(points.select("id", "lon", "lat"), levels, cell).join(shapes, ["level", "cx", "cy"]).drop("level", "cx", "cy")
 
 
 def points_within_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
     """Left spatial join: adds polygon, the least one that strictly holds the point, or null.
 
-    Polygons are dealt to the grid cells of their boxes and meet the points of a
-    cell by an equi-join; the exact test follows.
+    Polygons are dealt to the grid cells of their boxes, at the level that suits
+    their size, and meet the points of a cell by an equi-join; the exact test follows.
     """
+    b = F.col("b")
     boxed = polygons.select("polygon", "rings", bbox(F.col("rings")).alias("b"))
-    span = lambda c: F.sequence(F.floor(F.col(f"b.{c}0") / cell), F.floor(F.col(f"b.{c}1") / cell))
-    cells = F.size(span("x")).cast("long") * F.size(span("y"))
-    small = boxed.filter(cells <= MAX_CELLS).withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-    near = points.select("id", "lon", "lat").withColumn("cx", F.floor(F.col("lon") / cell)).withColumn("cy", F.floor(F.col("lat") / cell)).join(small, ["cx", "cy"])
-    hit = near.filter(inside(F.col("rings"), F.col("lon"), F.col("lat"))).select("id", "polygon")
-    wide = boxed.filter(cells > MAX_CELLS)
-    boxes = (F.col("lon") >= F.col("b.x0")) & (F.col("lon") <= F.col("b.x1")) & (F.col("lat") >= F.col("b.y0")) & (F.col("lat") <= F.col("b.y1"))
-    hit = hit.unionByName(points.select("id", "lon", "lat").join(wide, boxes).filter(inside(F.col("rings"), F.col("lon"), F.col("lat"))).select("id", "polygon"))
-    return points.join(hit.groupBy("id").agg(F.min("polygon").alias("polygon")), "id", "left")
+    near = _meeting(points, in_cells(boxed, [b["x0"], b["y0"], b["x1"], b["y1"]], cell), cell)
+    near = near.filter(F.col("lon").between(b["x0"], b["x1"]) & F.col("lat").between(b["y0"], b["y1"]))
+    hit = near.filter(inside(F.col("rings"), F.col("lon"), F.col("lat"))).groupBy("id").agg(F.min("polygon").alias("polygon"))
+    return points.join(hit, "id", "left")
 
 
 def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float = 0.5) -> DataFrame:
-    """(id, polygon, metres): the polygon of least distance among those whose box comes within reach degrees, among all if there are none."""
-    boxed = polygons.select("polygon", "rings", bbox(F.col("rings")).alias("b"))
+    """(id, polygon, metres): the polygon of least distance among those that come within reach degrees in both directions, among all if there are none.
+
+    A polygon that holds the point is at distance 0; of equally near ones the
+    least is taken. Edges are dealt to the grid cells of their boxes, widened by
+    the reach, and meet the points of a cell by an equi-join. Points without any
+    edge in reach are taken again with twice the reach, until what they found is
+    nearer than all that lies out of reach: as many passes as doublings.
+    """
     own = points.select("id", "lon", "lat")
-    near = (F.col("lon") >= F.col("b.x0") - reach) & (F.col("lon") <= F.col("b.x1") + reach) & (F.col("lat") >= F.col("b.y0") - reach) & (F.col("lat") <= F.col("b.y1") + reach)
-    metres = distance_to_polygon(F.col("rings"), F.col("lon"), F.col("lat"))
-    least = lambda df: df.withColumn("m", metres).groupBy("id").agg(F.min(F.struct("m", "polygon")).alias("r"))
-    close = least(own.join(boxed, near))
-    rest = own.join(close, "id", "left_anti")
-    far = least(rest.join(F.broadcast(boxed.agg(F.collect_list(F.struct("polygon", "rings")).alias("all")))).select("id", "lon", "lat", F.explode("all").alias("p")).select("id", "lon", "lat", "p.*"))
-    return close.unionByName(far).select("id", F.col("r.polygon").alias("polygon"), F.col("r.m").alias("metres"))
+    held = points_within_polygons(own, polygons).filter("polygon is not null").select("id", "polygon", F.lit(0.0).alias("metres"))
+    segments = stored(polygons.select("polygon", F.explode(edges(F.col("rings"))).alias("e")).select("polygon", "e.a", "e.b"), "edges")
+    x, y = ([F.col(f"{p}.{c}") for p in "ab"] for c in "xy")
+
+    def within(open_: DataFrame, far: float) -> DataFrame:
+        box = [F.least(*x) - far, F.least(*y) - far, F.greatest(*x) + far, F.greatest(*y) + far]
+        met = _meeting(open_, in_cells(segments, box, 2 * far), 2 * far).filter(meets_box(F.col("a"), F.col("b"), F.col("lon"), F.col("lat"), far))
+        metres = distance_to_segment(F.col("a"), F.col("b"), F.col("lon"), F.col("lat"))
+        return met.groupBy("id").agg(F.min(F.struct(metres.alias("metres"), "polygon")).alias("r")).select("id", "r.polygon", "r.metres")
+
+    rest = stored(own.join(held, "id", "left_anti"), "unmatched")
+    first = stored(within(rest, reach), "nearest")
+    out, open_, far = held.unionByName(first), rest.join(first, "id", "left_anti"), reach
+    while True:
+        open_ = stored(open_, "unmatched")
+        if open_.isEmpty() or segments.isEmpty():
+            return out
+        far *= 2
+        found = stored(within(open_, far).join(open_.select("id", "lat"), "id"), "nearest")
+        # what lies out of reach is at least this far, going north or south and east or west
+        sure = found.filter(F.col("metres") <= far * DEGREE_M * F.cos(F.radians("lat"))) if far < 720 else found
+        out = out.unionByName(sure.drop("lat"))
+        open_ = open_.join(sure, "id", "left_anti")
 
 
 def polygon_or_nearest(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
