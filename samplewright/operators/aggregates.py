@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..prefix import exact_percentiles
 from .prep import average_rank
 
 # Land-cover class codes.
@@ -79,8 +80,7 @@ def spearman_by_type(scores: DataFrame, by: str, x: str, y: str) -> DataFrame:
 
 def boxplot_stats(scores: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges and the number of outliers of each type."""
-    q = scores.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    own = scores.join(q, by)
+    own = scores.join(exact_percentiles(scores, value, [0.25, 0.5, 0.75], [by]), by)
     v, reach = F.col(value), 1.5 * (F.col("q")[2] - F.col("q")[0])
     within = (v >= F.col("q")[0] - reach) & (v <= F.col("q")[2] + reach)
     return own.groupBy(by).agg(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import drop_missing_label, drop_missing_rows, transform_label, valid_label
+from ..prefix import counted_before, exact_percentiles
 from .designs import train_test_split
 
 # Ids that are known to be bad.
@@ -31,9 +32,9 @@ def drop_null_label(df: DataFrame, y: str) -> DataFrame:
 
 
 def trim_upper(df: DataFrame, y: str, percent: float = 99.9, year: int | None = None, keep_equal: bool = False) -> DataFrame:
-    """Drops rows at or above an interpolated percentile; with year, y first becomes the age year - y."""
+    """Drops rows at or above an interpolated percentile, found by rank; with year, y first becomes the age year - y."""
     own = df.withColumn(y, F.lit(year) - F.col(y)) if year is not None else df
-    edge = own.agg(F.percentile(y, F.lit(percent / 100)).alias("_edge"))  # one row
+    edge = exact_percentiles(own, y, [percent / 100]).select(F.col("q")[0].alias("_edge"))  # one row
     ok = F.col(y) <= F.col("_edge") if keep_equal else F.col(y) < F.col("_edge")
     return own.join(F.broadcast(edge)).filter(ok).drop("_edge")
 
@@ -138,7 +139,6 @@ def geo_sort(rows: DataFrame) -> DataFrame:
 
 
 def average_rank(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Adds rank, ties sharing their mean rank, within by."""
-    w = Window.partitionBy(*by).orderBy(key)
-    ties = F.count("*").over(Window.partitionBy(*by, key))
-    return rows.withColumn("rank", F.rank().over(w) + (ties - 1) / 2)
+    """Adds rank, ties sharing their mean rank, within by, from counts of the distinct keys."""
+    ranks = counted_before(rows, key, by).select(*by, key, (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"))
+    return rows.join(ranks, [*by, key])

@@ -16,11 +16,16 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import clip as clipped
 from ..prefix import hash_ranked
+from ..stored import stored
 from .aggregates import metric_columns
 
 ALPHAS = tuple(float(a) for a in np.logspace(-5, 5, 10))
-#: Rows of a Gram matrix that travel together, and sums that a task holds before it sends them on.
-BLOCK, HELD = 256, 64
+#: Rows of a Gram matrix that travel together at most, and their bytes; bytes of the sums that a task holds before it sends them on.
+BLOCK, BLOCK_BYTES, HELD_BYTES = 256, 1 << 20, 1 << 28
+#: Parts in which the sums of all tasks are added first.
+SALTS = 32
+#: Models up to this size are sent to all tasks.
+MODEL_BYTES = 1 << 26
 
 
 def with_folds(df: DataFrame, k: int, seed: str, by: Sequence[str] = ("run_id",), id_col: str = "id") -> DataFrame:
@@ -28,23 +33,37 @@ def with_folds(df: DataFrame, k: int, seed: str, by: Sequence[str] = ("run_id",)
     return hash_ranked(df, seed, id_col, by=list(by)).withColumn("fold", (F.col("rank") % k).cast("int")).drop("rank")
 
 
+def block_rows(width: int) -> int:
+    """Rows of a Gram matrix of this width that travel together."""
+    return max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))
+
+
 def sufficient_stats(df: DataFrame, y: Sequence[str] = ("y",), x: str = "x") -> DataFrame:
     """(run_id, fold, block, part): blocks of rows of the sum of z z' with z = (1, x, y...), from (run_id, fold, x, y...).
 
-    Rows with a null in x or y are left out.
+    Rows with a null in x or y are left out. Every task adds up the rows of a run
+    and fold before it sends a sum on; where few sums fit into a task, its rows
+    are sorted by run and fold first. Sums of many tasks are added in two levels.
     """
     ys = list(y)
     ok = F.col(x).isNotNull() & F.forall(x, lambda v: v.isNotNull())
     for c in ys:
         ok = ok & F.col(c).isNotNull()
     own = df.filter(ok).select("run_id", F.col("fold").cast("int").alias("fold"), F.col(x).cast("array<double>").alias("x"), F.array(*[F.col(c).cast("double") for c in ys]).alias("y"))
+    one = own.select(F.size("x").alias("d")).first()
+    width = 1 + len(ys) + (one["d"] if one else 0)
+    held = max(1, HELD_BYTES // (8 * width * width))
+    if held < 64:
+        own = own.sortWithinPartitions("run_id", "fold")
     schema = "run_id string, fold int, block int, part binary"
     names = ["run_id", "fold", "block", "part"]
 
-    def batch_of(sums: dict) -> pa.RecordBatch:
-        rows = [(r, f, b // BLOCK, g[b : b + BLOCK].tobytes()) for (r, f), g in sums.items() for b in range(0, len(g), BLOCK)]
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
+    def batches_of(sums: dict) -> Iterator[pa.RecordBatch]:
+        step = block_rows(width)
+        for (r, f), g in sums.items():
+            parts = [g[b : b + step].tobytes() for b in range(0, len(g), step)]
+            n = len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([r] * n, pa.string()), pa.array([f] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
@@ -58,19 +77,22 @@ def sufficient_stats(df: DataFrame, y: Sequence[str] = ("y",), x: str = "x") ->
             for i, key in enumerate(keys):
                 where.setdefault(key, []).append(i)
             for key, rows in where.items():
+                if key not in sums and len(sums) >= held:
+                    yield from batches_of(sums)
+                    sums = {}
                 part = z[rows]
                 sums[key] = sums.get(key, 0) + part.T @ part
-            if len(sums) > HELD:
-                yield batch_of(sums)
-                sums = {}
-        yield batch_of(sums)
+        yield from batches_of(sums)
 
     def add(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(p.as_py()) for p in t.column("part")]
-        first = t.slice(0, 1)
-        return first.set_column(3, "part", pa.array([np.sum(parts, axis=0).tobytes()], pa.binary()))
+        total = 0
+        for p in t.column("part"):
+            total = total + np.frombuffer(p.as_py())
+        return t.slice(0, 1).set_column(3, "part", pa.array([total.tobytes()], pa.binary())).select(names)
 
-    return own.mapInArrow(run, schema).groupBy("run_id", "fold", "block").applyInArrow(add, schema)
+    by = ["run_id", "fold", "block"]
+    salted = own.mapInArrow(run, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return salted.groupBy(*by, "salt").applyInArrow(add, schema).groupBy(*by).applyInArrow(add, schema)
 
 
 def _grams(t: pa.Table) -> dict[int, np.ndarray]:
@@ -142,9 +164,62 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def ridge_predict(rows: DataFrame, models: DataFrame, on: Sequence[str], lo: float | None = None, hi: float | None = None) -> DataFrame:
-    """Adds pred = intercept + coef . x of the models that join on the given columns, optionally clipped."""
-    own = rows.join(models, list(on))
-    return own.withColumn("pred", clipped(F.col("intercept") + dot(F.col("coef"), F.col("x")), lo, hi)).drop("intercept", "coef")
+    """rows without x, with the other columns of every model that joins on the given columns, or of all models if
+    there are none, and pred = intercept + coef . x, optionally clipped; null where x or one of its values is.
+
+    Models of up to MODEL_BYTES go to all tasks, which multiply matrices; the rows
+    are not shuffled. Larger sets of models are joined, dealt in blocks to which all rows go.
+    """
+    on, models = list(on), stored(models, "models")
+    size = models.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("coef")), F.lit(0)).alias("d")).first()
+    own = rows.withColumn("x", F.col("x").cast("array<double>"))
+    if 8 * size["n"] * (size["d"] + 2) > MODEL_BYTES:
+        if on:
+            met = own.join(models, on)
+        else:  # a row meets every block of models; the copies of a block share the rows out
+            parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            left = own.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_copy", F.pmod(F.xxhash64("x"), F.lit(parts)))
+            right = models.withColumn("_part", F.pmod(F.xxhash64("coef"), F.lit(parts))).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+            met = left.join(right, ["_part", "_copy"]).drop("_part", "_copy")
+        pred = F.when(F.forall("x", lambda v: v.isNotNull()), F.col("intercept") + dot(F.col("coef"), F.col("x")))
+        return met.withColumn("pred", clipped(pred, lo, hi)).drop("intercept", "coef", "x")
+    table = models.toArrow()
+    extra = [c for c in table.column_names if c not in (*on, "intercept", "coef")]
+    known: dict = {}
+    for j, key in enumerate(zip(*(table.column(c).to_pylist() for c in on), strict=True) if on else [()] * len(table)):
+        known.setdefault(key, []).append(j)
+    coef = np.array(table.column("coef").to_pylist(), float).reshape(len(table), -1)
+    shared = rows.sparkSession.sparkContext.broadcast((known, np.array(table.column("intercept").to_pylist(), float), coef, table.select(extra)))
+    kept = [c for c in own.columns if c != "x"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, intercept, coef, others = shared.value
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1024):
+                b = whole.slice(s, 1024)
+                x = b.column("x")
+                fine = x.is_valid().to_numpy(zero_copy_only=False)
+                v = x.filter(pa.array(fine)).flatten().to_numpy(zero_copy_only=False).reshape(int(fine.sum()), -1)
+                keys = list(zip(*(b.column(c).to_pylist() for c in on), strict=True)) if on else [()] * b.num_rows
+                at = np.cumsum(fine) - 1
+                where: dict = {}
+                for i, key in enumerate(keys):
+                    if key in known:
+                        where.setdefault(key, []).append(i)
+                for key, i in where.items():
+                    i, m = np.array(i), np.array(known[key])
+                    pred = np.full((len(i), len(m)), np.nan)
+                    ok = fine[i]
+                    if ok.any():
+                        pred[ok] = v[at[i[ok]]] @ coef[m].T + intercept[m]
+                    mine, theirs = np.repeat(i, len(m)), np.tile(m, len(i))
+                    pred = pred.ravel()
+                    cols = [b.column(c).take(pa.array(mine)) for c in kept] + [others.column(c).take(pa.array(theirs)).combine_chunks() for c in extra]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(pred, mask=np.isnan(pred))], [*kept, *extra, "pred"])
+
+    types = dict(own.dtypes) | dict(models.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*kept, *extra)) + ", pred double"
+    return own.mapInArrow(run, schema).withColumn("pred", clipped(F.col("pred"), lo, hi))
 
 
 def ridge_sweep(stats: DataFrame, lambdas: Sequence[float], outcomes: Sequence[str] = ("y",), intercept: bool = True, leave_out: bool = True) -> DataFrame:
@@ -179,13 +254,22 @@ def ridge_sweep(stats: DataFrame, lambdas: Sequence[float], outcomes: Sequence[s
     return stats.groupBy("run_id").applyInArrow(solve, "run_id string, fold int, outcome string, lambda double, rcond double, ill boolean, intercept double, coef array<double>")
 
 
-def kfold_sweep(df: DataFrame, lambdas: Sequence[float], outcomes: Sequence[str] = ("y",), intercept: bool = True, bounds: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
-    """Metrics of every fold, outcome and lambda: (run_id, fold, outcome, lambda, ill, r2, mse, rmse, mae), from (run_id, fold, x, outcomes...)."""
+def kfold_sweep(
+    df: DataFrame, lambdas: Sequence[float], outcomes: Sequence[str] = ("y",), intercept: bool = True, bounds: dict[str, tuple[float | None, float | None]] | None = None, run_bounds: DataFrame | None = None
+) -> DataFrame:
+    """Metrics of every fold, outcome and lambda: (run_id, fold, outcome, lambda, ill, r2, mse, rmse, mae), from (run_id, fold, x, outcomes...).
+
+    Predictions are clipped to the outcome's bounds, or to those of the run, from run_bounds (run_id, lo, hi).
+    """
     models = ridge_sweep(sufficient_stats(df, outcomes), lambdas, outcomes, intercept)
-    long = df.select("run_id", "fold", "x", F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).cast("double").alias("y")) for o in outcomes])).alias("o")).select("run_id", "fold", "x", "o.*")
-    pred = ridge_predict(long, models, ["run_id", "fold", "outcome"])
+    values = [F.col(o).cast("double").alias(f"_{i}") for i, o in enumerate(outcomes)]
+    pred = ridge_predict(df.select("run_id", F.col("fold").cast("int").alias("fold"), "x", *values), models, ["run_id", "fold"])
+    of = F.coalesce(*[F.when(F.col("outcome") == o, F.col(f"_{i}")) for i, o in enumerate(outcomes)])
+    pred = pred.withColumn("y", of).drop(*[f"_{i}" for i in range(len(outcomes))])
     for o, (lo, hi) in (bounds or {}).items():
         pred = pred.withColumn("pred", F.when(F.col("outcome") == o, clipped(F.col("pred"), lo, hi)).otherwise(F.col("pred")))
+    if run_bounds is not None:
+        pred = pred.join(run_bounds.select("run_id", "lo", "hi"), "run_id").withColumn("pred", clipped(F.col("pred"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
     return pred.filter("y is not null").groupBy("run_id", "fold", "outcome", "lambda").agg(F.first("ill").alias("ill"), *metric_columns(F.col("y"), F.col("pred")))
 
 
@@ -218,13 +302,19 @@ def best_fold_results(metrics: DataFrame, best: DataFrame) -> DataFrame:
     return metrics.join(best.select("run_id", "outcome", "lambda"), ["run_id", "outcome", "lambda"])
 
 
-def regional_cv(df: DataFrame, lambdas: Sequence[float], k: int = 5, seed: str = "fold", frac_test: float = 0.2) -> DataFrame:
-    """Best lambda and its mean r2 in every region, from (id, region, x, y): 20 % held out, k folds on the rest."""
+def regional_cv(df: DataFrame, lambdas: Sequence[float], k: int = 5, seed: str = "fold", frac_test: float = 0.2, global_clip: bool = False) -> DataFrame:
+    """Best lambda and its mean r2 in every region, from (id, region, x, y): 20 % held out, k folds on the rest.
+
+    Predictions are clipped to the least and greatest y of the region, or of all regions.
+    """
     own = df.withColumn("run_id", F.col("region").cast("string"))
+    ends = own.groupBy("run_id").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    if global_clip:
+        ends = ends.select("run_id").join(F.broadcast(own.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))))
     ranked = hash_ranked(own, seed + "|test", "id", by=["run_id"])
     counts = own.groupBy("run_id").agg(F.count("*").alias("n"))
     train = ranked.join(counts, "run_id").filter(F.col("rank") >= F.floor(F.col("n") * frac_test)).drop("rank", "n")
-    return best_hyperparameter(kfold_sweep(with_folds(train, k, seed), lambdas))
+    return best_hyperparameter(kfold_sweep(with_folds(train, k, seed), lambdas, run_bounds=stored(ends, "bounds")))
 
 
 def min_sample_guard(samples: DataFrame, least: int) -> DataFrame:
@@ -240,8 +330,8 @@ def score_samples(samples: DataFrame, population: DataFrame, folds: int = 5, see
     """
     train = samples.distinct().join(population.filter("split = 'train'").select("id", "x", "y"), "id")
     keyed = with_folds(train.withColumn("_key", F.concat_ws("|", "run_id", "id")), folds, seed, id_col="_key")
-    models = ridge_cv(sufficient_stats(min_sample_guard(keyed, 2 * folds)), alphas).withColumn("split", F.lit("test"))
-    pred = ridge_predict(population.filter("split = 'test'").select("split", "x", "y"), models, ["split"])
+    models = ridge_cv(sufficient_stats(min_sample_guard(keyed, 2 * folds)), alphas)
+    pred = ridge_predict(population.filter("split = 'test'").select("x", "y"), models, [])
     return pred.filter("y is not null").groupBy("run_id").agg(F.first("n").alias("n"), F.first("alpha").alias("alpha"), *metric_columns(F.col("y"), F.col("pred")))
 
 
@@ -255,8 +345,8 @@ def evaluate_round(population: DataFrame, status: DataFrame, selection: DataFram
 def scene_regression(train: DataFrame, scene: DataFrame, outcomes: Sequence[str], lam: float, bounds: dict[str, tuple[float | None, float | None]]) -> DataFrame:
     """(id, outcome, pred) of the scene's rows for every outcome at one lambda, within each outcome's bounds."""
     own = train.withColumns({"run_id": F.lit("scene"), "fold": F.lit(0)})
-    models = ridge_sweep(sufficient_stats(own, outcomes), [lam], outcomes, leave_out=False).select("run_id", "outcome", "intercept", "coef")
-    pred = ridge_predict(scene.select("id", "x").withColumn("run_id", F.lit("scene")), models, ["run_id"])
+    models = ridge_sweep(sufficient_stats(own, outcomes), [lam], outcomes, leave_out=False).select("outcome", "intercept", "coef")
+    pred = ridge_predict(scene.select("id", "x"), models, [])
     for o, (lo, hi) in bounds.items():
         pred = pred.withColumn("pred", F.when(F.col("outcome") == o, clipped(F.col("pred"), lo, hi)).otherwise(F.col("pred")))
     return pred.select("id", "outcome", "pred")
@@ -265,7 +355,7 @@ def scene_regression(train: DataFrame, scene: DataFrame, outcomes: Sequence[str]
 def bounded_ridge(train: DataFrame, rows: DataFrame, alpha: float, lo: float | None, hi: float | None) -> DataFrame:
     """(id, pred): ridge without intercept, predictions within bounds."""
     own = train.withColumns({"run_id": F.lit("bounded"), "fold": F.lit(0)})
-    models = ridge_sweep(sufficient_stats(own), [alpha], intercept=False, leave_out=False).select("run_id", "intercept", "coef")
-    return ridge_predict(rows.select("id", "x").withColumn("run_id", F.lit("bounded")), models, ["run_id"], lo, hi).select("id", "pred")
+    models = ridge_sweep(sufficient_stats(own), [alpha], intercept=False, leave_out=False).select("intercept", "coef")
+    return ridge_predict(rows.select("id", "x"), models, [], lo, hi).select("id", "pred")
 
 

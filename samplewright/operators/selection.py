@@ -116,7 +116,7 @@ def _by_turn(own: DataFrame, costs: DataFrame, budget: float, levels: list[str])
 def select_stratified(points: DataFrame, costs: DataFrame, budget: float, seed: str) -> DataFrame:
     """Points one by one from the group with fewest labelled ones; ties by a hash of the group."""
     own = _in_groups(points, seed).withColumn("key", F.col("have") + F.col("rn") - 1)
-    return _by_turn(own.withColumn("_l", F.floor(F.col("key") / 1024)), costs, budget, ["_l", "key"])
+    return _by_turn(own.withColumns({"_k": F.floor(F.col("key") / 2**20), "_l": F.floor(F.col("key") / 1024)}), costs, budget, ["_k", "_l", "key"])
 
 
 def select_match_population(points: DataFrame, costs: DataFrame, budget: float, seed: str) -> DataFrame:
@@ -139,8 +139,8 @@ def select_shuffled_groups(points: DataFrame, costs: DataFrame, budget: float, s
     free = points.filter("not labeled").withColumn("grp", F.coalesce("grp", F.lit("")))
     gaps = free.withColumn("gap", -F.log(uniform(seed + "|gap", F.col("id"))))
     own = hash_ranked(gaps, seed, "id", by=["grp"], values=["gap"]).withColumn("key", F.col("before_gap") + F.col("gap"))
-    own = own.withColumn("ug", digits(seed, F.col("grp"))).withColumns({"_l": F.floor(F.col("key") / 64), "_m": F.floor(F.col("key") * 16)})
-    return _by_turn(own, costs, budget, ["_l", "_m"])
+    own = own.withColumn("ug", digits(seed, F.col("grp"))).withColumns({"_k": F.floor(F.col("key") / 2**16), "_l": F.floor(F.col("key") / 64), "_m": F.floor(F.col("key") * 16)})
+    return _by_turn(own, costs, budget, ["_k", "_l", "_m"])
 
 
 def selection_metadata(points: DataFrame, costs: DataFrame, selection: DataFrame, seed: str) -> DataFrame:

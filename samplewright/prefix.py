@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rng import digits
+from .stored import stored
 
 #: Rows that one bucket of a hash order holds, about.
 BUCKET_ROWS = 20_000
@@ -58,16 +59,43 @@ def hash_ranked(rows: DataFrame, seed: str, id_col: str, by: Sequence[str] = (),
 
 
 def value_ranked(rows: DataFrame, key: str, seed: str, id_col: str, by: Sequence[str] = (), values: Sequence[str] = ()) -> DataFrame:
-    """As hash_ranked, in the order of a numeric key, then of the hash, then of the id.
+    """As hash_ranked, in the order of a key, then of the hash, then of the id.
 
-    Cuts of the key, from its quantiles over all rows, make the first level; the
-    key itself and digits of the hash, for keys that many rows share, the others.
+    Ranges of (key, hash, id), as many as the rows fill with BUCKET_ROWS each,
+    are the level above the rows: Spark cuts them from a sample of all rows, so
+    neither the number of rows nor a key that many of them share makes a range large.
     """
-    n = rows.count()
-    cuts = rows.agg(F.percentile_approx(F.col(key).cast("double"), [i / 64 for i in range(1, 64)], 1000)).first()[0] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
-    own = rows.withColumn("_h", digits(seed, F.col(id_col))).withColumns(
-        {"_cut": F.size(F.filter(bounds, lambda b: b < F.col(key))), "_part": F.substring("_h", 1, hash_digits(n)), "rank": F.lit(1).cast("long")}
-    )
-    out = running_sums(own, by, ["_cut", key, "_part"], ["_h", id_col], ["rank", *values])
-    return out.drop("rank").withColumnRenamed("before_rank", "rank").drop("_h", "_cut", "_part")
+    own = rows.withColumn("_h", digits(seed, F.col(id_col)))
+    ranges = max(1, math.ceil(rows.count() / BUCKET_ROWS))
+    dealt = own.repartitionByRange(ranges, key, "_h", id_col).withColumns({"_range": F.spark_partition_id(), "rank": F.lit(1).cast("long")})
+    out = running_sums(stored(dealt, "ranges"), by, ["_range"], [key, "_h", id_col], ["rank", *values])
+    return out.drop("rank").withColumnRenamed("before_rank", "rank").drop("_h", "_range")
+
+
+def counted_before(rows: DataFrame, key: str, by: Sequence[str]) -> DataFrame:
+    """(by..., key, n, before_n): of every distinct key, the rows that hold it and the rows of lesser keys, within by."""
+    counts = stored(rows.groupBy(*by, key).agg(F.count("*").alias("n")), "key-counts")
+    return value_ranked(counts, key, "key", key, by=by, values=["n"]).drop("rank")
+
+
+def exact_percentiles(rows: DataFrame, key: str, shares: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., q): the interpolated percentiles of a number within by, as an array; nulls do not count.
+
+    Found by rank: no task holds the distinct values of a group.
+    """
+    by = list(by)
+    own = stored(counted_before(rows.filter(F.col(key).isNotNull()), key, by), "key-ranks")
+    last = own.groupBy(*by).agg((F.sum("n") - 1).alias("_last"))
+    met = own.join(last, by) if by else own.join(F.broadcast(last))
+    at = lambda place: F.max(F.when((F.col("before_n") <= place) & (place < F.col("before_n") + F.col("n")), F.col(key).cast("double")))
+    out = []
+    for i, s in enumerate(shares):
+        place = F.col("_last") * F.lit(float(s))
+        out += [at(F.floor(place)).alias(f"_lo{i}"), at(F.ceil(place)).alias(f"_hi{i}")]
+    ends = met.groupBy(*by, "_last").agg(*out)
+    q = []
+    for i, s in enumerate(shares):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        place = F.col("_last") * F.lit(float(s))
+        q.append(lo + (place - F.floor(place)) * (hi - lo))
+    return ends.select(*by, F.array(*q).alias("q"))
