@@ -18,6 +18,13 @@ LABELS = [
     ("treecover", "treecover", "treecover", "UAR", False, 0.0, 100.0, 0.0, 4.6, -3.0, 3.0, 9),
     ("income", "income", "income", "POP", False, 0.0, 300000.0, 0.0, 13.0, -3.0, 3.0, 9),
     ("roads", "length", "length", "POP", False, 0.0, 20000.0, 0.0, 10.0, -3.0, 3.0, 9),
+    ("B08303", "Val", "MinToWork", "POP", False, 0.0, None, None, None, -3.0, 3.0, 5),
+    ("B15003", "Val", "PctBachDeg", "POP", False, 0.0, 100.0, None, None, -3.0, 3.0, 5),
+    ("B19013", "Val", "MedHHIncome", "POP", False, 0.0, None, None, None, -3.0, 3.0, 5),
+    ("B19301", "Val", "MedPerCapIncome", "POP", False, 0.0, None, None, None, -3.0, 3.0, 5),
+    ("C17002", "Val", "PctBelowPov", "POP", False, 0.0, 100.0, None, None, -3.0, 3.0, 5),
+    ("B22010", "Val", "PctFoodStamp", "POP", False, 0.0, 100.0, None, None, -3.0, 3.0, 5),
+    ("B25071", "Val", "PctIncomeRent", "POP", False, 0.0, 100.0, None, None, 2.0, 5.0, 4),
 ]
 SPEC_SCHEMA = "label string, colname string, variable string, sampling string, logged boolean, lo double, hi double, log_lo double, log_hi double, lambda_from double, lambda_to double, n_lambda int"
 

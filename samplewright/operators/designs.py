@@ -97,6 +97,11 @@ def cluster_sample(rows: DataFrame, total: int, per_cluster: int, seed: str, **s
     return points_of(rows, drawn.filter("kept"), per_cluster, seed).select("id", "stratum", "cluster")
 
 
+def sample_sizes(sample: DataFrame, requested: int) -> DataFrame:
+    """(requested, actual): the size that was asked for, and that which the sample has."""
+    return sample.agg(F.lit(requested).cast("long").alias("requested"), F.count("*").alias("actual"))
+
+
 def softmax_log_weight(rows: DataFrame, distance: str, temperature: float) -> DataFrame:
     """Adds logw, the unnormalised log-weight -d / temperature of distances scaled to 0..1; equal distances weigh the same."""
     ends = rows.agg(F.min(distance).alias("_lo"), F.max(distance).alias("_hi"))
@@ -120,12 +125,15 @@ def convenience_points(rows: DataFrame, n: int, seed: str, temperature: float |
     return value_ranked(keyed, "key", seed, id_col).filter(F.col("rank") < n).drop("rank", "key", "logw")
 
 
-def convenience_clusters(rows: DataFrame, total: int, per_cluster: int, seed: str, temperature: float | None = None) -> DataFrame:
+def convenience_clusters(rows: DataFrame, total: int, per_cluster: int, seed: str, temperature: float | None = None, distances: DataFrame | None = None) -> DataFrame:
     """(id, cluster): clusters by the distance of their least id's point, points of each until total is reached, then exactly total.
 
-    rows: (id, cluster, distance). Raises when there are fewer points.
+    rows: (id, cluster, distance); distances (cluster, distance), such as those of
+    centroid_distances, stand for the clusters where they are given. Raises when there are fewer points.
     """
     heads = rows.groupBy("cluster").agg(F.min_by("distance", "id").alias("distance"), F.count("*").alias("size"))
+    if distances is not None:
+        heads = heads.drop("distance").join(distances.select("cluster", "distance"), "cluster")
     heads = heads.withColumn("take", F.least(F.lit(per_cluster), "size").cast("long"))
     key = F.col("distance")
     if temperature is not None:
@@ -140,6 +148,12 @@ def convenience_clusters(rows: DataFrame, total: int, per_cluster: int, seed: st
     return random_sample(own, total, seed + "|down").select("id", "cluster")
 
 
+def centroid_distances(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
+    """(cluster, distance) of the mean place of each cluster of (cluster, lon, lat)."""
+    middle = points.groupBy("cluster").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    return nearest_place_distance(middle, places, k).select("cluster", "distance")
+
+
 def nearest_place_distance(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
     """Adds distance in metres to the nearest of the k places with most population; k is a parameter and bounds the broadcast."""
     top = places.orderBy(F.desc("population"), "lon", "lat").limit(k).select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))

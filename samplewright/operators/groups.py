@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import composite_key
+from ..stored import stored
 from .aggregates import CLASSES, class_shares
 from .prep import require_columns
 
@@ -28,7 +29,7 @@ def kmeans_groups(features: DataFrame, k: int, seed: int = 42, train: DataFrame
 
 def silhouettes(features: DataFrame, ks: range, seed: int = 42, metric: str = "squaredEuclidean") -> list[tuple[int, float]]:
     """(k, mean silhouette) of every k that gives at least two clusters; the metric is one of linear cost."""
-    own = features.select("id", array_to_vector(F.col("x").cast("array<double>")).alias("features"))
+    own = features.select("id", array_to_vector(F.col("x").cast("array<double>")).alias("features")).persist()
     n, out = own.count(), []
     for k in ks:
         if k < 2 or k >= n:
@@ -36,6 +37,7 @@ def silhouettes(features: DataFrame, ks: range, seed: int = 42, metric: str = "s
         got = KMeans(k=k, seed=seed).fit(own).transform(own)
         if got.select("prediction").distinct().count() > 1:
             out.append((k, ClusteringEvaluator(distanceMeasure=metric).evaluate(got)))
+    own.unpersist()
     return out
 
 
@@ -50,5 +52,5 @@ def best_k(features: DataFrame, ks: range, seed: int = 42, metric: str = "square
 def landcover_groups(pixels: DataFrame, ks: range = range(2, 11), seed: int = 42) -> DataFrame:
     """(id, grp): clusters of the tiles' class shares."""
     shares = class_shares(pixels)
-    own = shares.select(F.col("tile_id").alias("id"), F.array(*[F.col(f"c{c}").cast("double") for c in CLASSES]).alias("x"))
+    own = stored(shares.select(F.col("tile_id").alias("id"), F.array(*[F.col(f"c{c}").cast("double") for c in CLASSES]).alias("x")), "class-shares")
     return kmeans_groups(own, best_k(own, ks, seed), seed)

@@ -97,13 +97,13 @@ def _start(units: DataFrame, budget: float) -> DataFrame:
     return units.withColumn("s", F.when(F.col("is_labeled"), 1.0).otherwise(share))
 
 
-def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFrame, budget: float, lam: float = 0.5, gap: float = 1e-4, steps: int = 50) -> DataFrame:
-    """(unit, s) that maximises the population-risk utility, by Frank-Wolfe to a relative duality gap.
+def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFrame, budget: float, lam: float = 0.5, gap: float = 1e-4, steps: int = 500) -> DataFrame:
+    """(unit, s) that maximises the population-risk utility, by Frank-Wolfe to a relative duality gap; raises if that takes more steps.
 
     The line search needs the group sizes at both ends only, of which there is
     one a group of positive weight.
     """
-    share = {r["grp"]: r["share"] for r in weights.collect()}  # a row for each group
+    share, spark = {r["grp"]: r["share"] for r in weights.collect()}, units.sparkSession  # a row for each group
     kept = matrix.filter(F.col("grp").isin(list(share)))
     now = stored(_start(units, budget).select("unit", "cost", "is_labeled", "s"), "step")
 
@@ -119,8 +119,8 @@ def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFra
     for _ in range(steps):
         total = sum(n.values())
         slope = {g: w * lam / 2 * max(n[g], 1e-12) ** -1.5 + sum(share.values()) * (1 - lam) / 2 * max(total, 1e-12) ** -1.5 for g, w in share.items()}
-        per = F.coalesce(*[F.when(F.col("grp") == g, F.lit(v)) for g, v in slope.items()])
-        gains = kept.groupBy("unit").agg(F.sum(F.col("a") * per).alias("gain"))
+        slopes = F.broadcast(spark.createDataFrame(list(slope.items()), kept.select("grp", F.lit(0.0).alias("slope")).schema))  # a row for each group
+        gains = kept.join(slopes, "grp").groupBy("unit").agg(F.sum(F.col("a") * F.col("slope")).alias("gain"))
         corner = stored(knapsack(now.drop("s").join(gains, "unit", "left").na.fill(0.0, ["gain"]), "gain", budget).select("unit", "gain", F.col("s").alias("v")), "step")
         m = sizes(corner.withColumnRenamed("v", "s"))
         bound = sum(slope[g] * (m[g] - n[g]) for g in share)
@@ -134,11 +134,13 @@ def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFra
         t = (lo + hi) / 2
         now = stored(now.join(corner.select("unit", "v"), "unit").withColumn("s", F.col("s") + t * (F.col("v") - F.col("s"))).drop("v"), "step")
         n = {g: n[g] + t * (m[g] - n[g]) for g in share}
+    else:
+        raise RuntimeError(f"the gap is above {gap} after {steps} steps")
     return now.select("unit", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")).alias("s"))
 
 
-def diversity_probabilities(units: DataFrame, similarity: DataFrame, budget: float, weight: float = 100.0, eps: float = 1e-4, gap: float = 1e-4, steps: int = 50) -> DataFrame:
-    """(unit, s) that maximises weight * sum(s) - s'(M + eps I)s, by Frank-Wolfe with exact steps."""
+def diversity_probabilities(units: DataFrame, similarity: DataFrame, budget: float, weight: float = 100.0, eps: float = 1e-4, gap: float = 1e-4, steps: int = 500) -> DataFrame:
+    """(unit, s) that maximises weight * sum(s) - s'(M + eps I)s, by Frank-Wolfe with exact steps to a relative gap; raises if that takes more."""
     matrix = stored(symmetric(similarity), "similarity")
     now = stored(_start(units, budget).select("unit", "cost", "is_labeled", "s"), "step")
     for _ in range(steps):
@@ -151,6 +153,8 @@ def diversity_probabilities(units: DataFrame, similarity: DataFrame, budget: flo
             break
         t = 1.0 if sums["q"] <= 0 else min(1.0, sums["g"] / (2 * sums["q"]))
         now = stored(corner.select("unit", "cost", "is_labeled", (F.col("s") + t * F.col("d")).alias("s")), "step")
+    else:
+        raise RuntimeError(f"the gap is above {gap} after {steps} steps")
     return now.select("unit", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")).alias("s"))
 
 
@@ -159,3 +163,15 @@ def round_selection(points: DataFrame, units: DataFrame, probabilities: DataFram
     own = units.filter("not is_labeled").join(probabilities, "unit").filter(uniform(seed + "|draw", F.col("unit")) < F.col("s"))
     chosen = hash_ranked(own, seed, "unit", values=["cost"]).filter(within_budget("before_cost", "cost", budget)).select("unit")
     return cap_per_unit(points.filter("not labeled").join(chosen, "unit"), per_unit, seed).select("id", "unit")
+
+
+def select_optimised(method: str, points: DataFrame, costs: DataFrame, budget: float, seed: str, per_unit: int = 10, **inputs) -> DataFrame:
+    """(id, unit) by the inclusion probabilities of a utility: greedy, similarity, poprisk or diversity.
+
+    inputs: similarity for the second and the last, matrix, weights and lam for poprisk.
+    """
+    own = costs.select("unit", "cost", "is_labeled")
+    climb = {"greedy": greedy_probabilities, "similarity": similarity_probabilities, "poprisk": pop_risk_probabilities, "diversity": diversity_probabilities}
+    if method not in climb:
+        raise ValueError(f"unknown method {method}")
+    return round_selection(points, own, climb[method](own, budget=budget, **inputs), budget, seed, per_unit)

@@ -168,15 +168,17 @@ METHODS = {
 
 
 def run_selection(method: str, points: DataFrame, costs: DataFrame, budget: float, seed: str, **options) -> DataFrame:
-    """Selection by name; the budget must be positive and below the number of unlabelled points."""
+    """Selection by name, simple or optimised; the budget must be positive and below the number of unlabelled points."""
     free = points.filter("not labeled").count()
     if not 0 < budget < free:
         raise ValueError(f"budget {budget} is not between 0 and {free}")
     if method == "random":
         return select_random(points, int(budget), seed)
-    if method not in METHODS:
-        raise ValueError(f"unknown method {method}")
-    return METHODS[method](points, costs, budget, seed, **options)
+    if method in METHODS:
+        return METHODS[method](points, costs, budget, seed, **options)
+    from .inclusion import select_optimised
+
+    return select_optimised(method, points, costs, budget, seed, **options)
 
 
 def top_by(rows: DataFrame, key: str, n: int, seed: str, id_col: str = "id") -> DataFrame:

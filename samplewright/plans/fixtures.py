@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import CLASSES
 from ..rng import uniform, uniform_sql
 
-CODES = "11,12,21,22,23,24,31,41,42,43,52,71,81,82,90,95,0,99"
+#: The land-cover classes and two codes that are none.
+CODES = ",".join(map(str, [*CLASSES, 0, 99]))
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -107,8 +109,8 @@ clean AS (SELECT * FROM labels WHERE value IS NOT NULL AND NOT isnan(value) AND
 
 
 def run_logs(spark: SparkSession, d: str) -> DataFrame:
-    """One log a user and event type of the events: seeds are users modulo 10, budgets modulo 3; some logs miss."""
-    e = table(spark, d, "events").filter("user_id % 97 <> 3")
+    """One log a user and event type of the events: seeds are users modulo 10, budgets modulo 3."""
+    e = table(spark, d, "events")
     own = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("value"))).cast("double").alias("v"))
     seed, budget, v = F.col("user_id") % 10, (F.col("user_id") % 3 + 1) * 100, F.col("v") % 1000
     path = F.format_string("/out/u%d/TOGO_PH_H2O/ridge/cluster/multi_%d_size_seed_%d/uniform/%s/budget_%d/seed_%d/stdout.log", "user_id", F.col("user_id") % 2 * 50 + 50, seed, "event_type", budget, seed)
@@ -117,7 +119,7 @@ def run_logs(spark: SparkSession, d: str) -> DataFrame:
 
 
 LOGS = """log AS (SELECT user_id, event_type, count(*) AS n, (sum(floor(value)) % 1000)::DOUBLE AS v, user_id % 10 AS seed, (user_id % 3 + 1) * 100 AS budget,
-  'multi_' || (user_id % 2 * 50 + 50) || '_size' AS init_set FROM events WHERE user_id % 97 <> 3 GROUP BY ALL)"""
+  'multi_' || (user_id % 2 * 50 + 50) || '_size' AS init_set FROM events GROUP BY ALL)"""
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:

@@ -162,7 +162,7 @@ def centroids(spark, d):
 
 def tile_lookup(spark, d):
     px = fx.geo(spark, d)
-    raster = fx.pixels(spark, d).filter("tile_id < '2'").groupBy("row", "col").agg(F.min("class").alias("class"))
+    raster = fx.pixels(spark, d).groupBy("row", "col").agg(F.min("class").alias("class"))
     return spatial.tile_class_lookup(px, raster, 10.0, 20.0, 1.5).select("id", "class")
 
 
@@ -236,7 +236,7 @@ def kmeans(spark, d):
 
 
 def landcover(spark, d):
-    return groups.landcover_groups(fx.pixels(spark, d), range(2, 5))
+    return groups.landcover_groups(fx.pixels(spark, d))
 
 
 METRIC_SQL = "round_even(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 6) AS r2, round_even(avg((y - pred) * (y - pred)), 6) AS mse, round_even(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse, round_even(avg(abs(y - pred)), 6) AS mae"
@@ -297,7 +297,7 @@ round_even(2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin((radians(10) - radians(lat)
     "land_filter": f"WITH {fx.GEO}, {fx.POLYGONS} SELECT id FROM geo WHERE EXISTS (SELECT 1 FROM polygons WHERE polygon % 2 = 0 AND {INSIDE})",
     "nearest_grid_index": f"WITH {fx.GEO}, {fx.AXES} SELECT id, {_axis('lon_axis', 'lon')} AS i, {_axis('lat_axis', 'lat')} AS j FROM geo g",
     "grid_centroid": f"WITH {fx.AXES}, c AS (SELECT c_custkey, c_custkey % 40 + 1 AS i, c_nationkey + 1 AS j FROM customer) SELECT i || ',' || j AS id, c_custkey, x.coord AS lon, y.coord AS lat FROM c LEFT JOIN lon_axis x ON x.idx = i LEFT JOIN lat_axis y ON y.idx = j",
-    "tile_class_lookup": f"WITH {fx.GEO}, {fx.PIXELS}, r AS (SELECT row, col, min(class) AS class FROM pixels WHERE tile_id < '2' GROUP BY ALL) SELECT id, class FROM geo LEFT JOIN r ON row = floor((20 - lat) / 1.5) AND col = floor((lon - 10) / 1.5)",
+    "tile_class_lookup": f"WITH {fx.GEO}, {fx.PIXELS}, r AS (SELECT row, col, min(class) AS class FROM pixels GROUP BY ALL) SELECT id, class FROM geo LEFT JOIN r ON row = floor((20 - lat) / 1.5) AND col = floor((lon - 10) / 1.5)",
     "attach_tile_location": f"WITH {fx.GEO}, {fx.AXES}, ij AS (SELECT id, {_axis('lon_axis', 'lon')} AS i, {_axis('lat_axis', 'lat')} AS j FROM geo g) SELECT id, i || ',' || j AS grid_id FROM ij",
     "tile_vertices": f"WITH {fx.GEO} SELECT id, round_even(lon - {MPP} / cos(radians(lat)), 6) AS x, round_even(lat + {MPP}, 6) AS y, round_even(lon, 6) AS clon FROM geo",
     "counts_per_division": f"WITH {fx.POINTS}, n AS (SELECT count(*) AS n FROM points GROUP BY unit) SELECT avg(n) AS mean, quantile_cont(n, 0.5) AS median, min(n) AS min, max(n) AS max FROM n",

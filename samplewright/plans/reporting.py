@@ -96,16 +96,19 @@ def cost(spark, d):
 
 
 def utilities(spark, d):
-    own = fx.table(spark, d, "nation").select(F.concat(F.lit("set"), F.col("n_regionkey")).alias("initial_set"), (F.col("n_nationkey") % 3).alias("size"), F.concat(F.element_at(F.array(F.lit("random"), F.lit("cluster")), (F.col("n_nationkey") % 2 + 1).cast("int")), F.lit("_x"), F.col("n_nationkey")).alias("sampling_type"), F.col("n_nationkey").cast("double").alias("utility"))
-    scores = fx.table(spark, d, "region").select(F.concat(F.lit("set"), F.col("r_regionkey")).alias("initial_set"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(2)])).alias("size"), F.lit("cluster").alias("base_sampling_type"), (F.col("r_regionkey") / 10).alias("r2"))
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(F.lit("random"), F.lit("cluster")), (k % 2 + 1).cast("int"))
+    own = fx.table(spark, d, "customer").select(F.concat(F.lit("set"), F.floor(k / 3)).alias("initial_set"), (k % 3).alias("size"), F.concat(kind, F.lit("_x"), k).alias("sampling_type"), k.cast("double").alias("utility"))
+    scores = fx.table(spark, d, "customer").filter(k % 3 == 0)
+    scores = scores.select(F.concat(F.lit("set"), F.floor(k / 3)).alias("initial_set"), F.explode(F.array(*[F.lit(i).cast("long") for i in range(2)])).alias("size"), F.lit("cluster").alias("base_sampling_type"), (k / 10).alias("r2"))
     return results.merge_utilities_with_r2(own, scores, ["random", "cluster"])
 
 
 def grid(spark, d):
-    used = fx.table(spark, d, "nation").select(F.col("n_name").alias("dataset"))
+    used = fx.table(spark, d, "customer").select(F.col("c_name").alias("dataset"))
     own = results.experiment_grid(spark, ["random", "poprisk"], [100, 200], [1, 2, 3], lambdas=[0.1, 0.5], alphas=[0.0, 5.0])
     done = own.filter("seed = 1").select("run_id")
-    return used.join(results.skip_done_runs(own, done)).groupBy("dataset", "method", "c2").agg(F.count("*").alias("runs"))
+    return used.join(F.broadcast(results.skip_done_runs(own, done))).groupBy("dataset", "method", "c2").agg(F.count("*").alias("runs"))  # a grid of given values
 
 
 def layer(spark, d):
@@ -114,7 +117,7 @@ def layer(spark, d):
 
 
 def names(spark, d):
-    u = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
+    u = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     rnd = u.select("k", *results.parse_sample_name(F.format_string("x/random_sample_%d_points_seed_%d.pkl", F.col("k") * 10, "k"), "random"))
     clu = u.select("k", *[c.alias(f"c_{i}") for i, c in enumerate(results.parse_sample_name(F.format_string("x/sample_by_cluster_state_county_%dppc_%d_seed_%d.pkl", "k", F.col("k") * 10, "k"), "cluster"))])
     con = u.select("k", *[c.alias(f"v_{i}") for i, c in enumerate(results.parse_sample_name(F.format_string("x/urban_based_top%d_%d_clusters_%d_ppc_cluster_adm2_n_seed_prob_%d.pkl", "k", F.col("k") + 1, F.col("k") + 2, "k"), "convenience"))])
@@ -122,9 +125,9 @@ def names(spark, d):
 
 
 def run_keys(spark, d):
-    own = fx.table(spark, d, "nation").withColumn("m", F.when(F.col("n_nationkey") % 2 == 0, "poprisk").otherwise("random"))
+    own = fx.table(spark, d, "customer").withColumn("m", F.when(F.col("c_custkey") % 2 == 0, "poprisk").otherwise("random"))
     opt = F.col("m") == "poprisk"
-    return own.select("n_nationkey", keys.run_key(F.lit("init"), F.lit("uniform"), F.col("m"), F.when(opt, "state"), F.lit(100), F.when(opt, F.lit(0.5)), F.col("n_nationkey"), opt).alias("run_key"))
+    return own.select("c_custkey", keys.run_key(F.lit("init"), F.lit("uniform"), F.col("m"), F.when(opt, "state"), F.lit(100), F.when(opt, F.lit(0.5)), F.col("c_custkey"), opt).alias("run_key"))
 
 
 RUNS = f"""WITH {fx.LOGS}, runs AS (SELECT 'TOGO_PH_H2O' AS dataset, init_set, 'uniform' AS cost_type, budget::VARCHAR AS budget, event_type AS method, seed::VARCHAR AS seed, user_id || '/' AS p, n, v FROM log)"""
@@ -164,10 +167,11 @@ u AS (SELECT {BY}, method, {STATS} FROM long WHERE phase = 'updated' AND metric
 SELECT 50 AS initial_size, method, 50 AS cost, ini.mean AS value, 0.0::DOUBLE AS se FROM (SELECT DISTINCT method FROM own), ini WHERE ini.size = 50 AND ini.metric = 'mse'
 UNION ALL SELECT 50, method, 50 + budget::INT, mean, se FROM own""",
     "bad_logs": f"WITH {fx.LOGS} SELECT count(*) AS n FROM log WHERE user_id % 5 = 0",
-    "merge_utilities_with_r2": """SELECT 'set' || n_regionkey AS initial_set, n_nationkey % 3 AS size, 'cluster' AS base_sampling_type, 'cluster_x' || n_nationkey AS sampling_type, n_nationkey::DOUBLE AS utility, n_regionkey / 10 AS r2 FROM nation WHERE n_nationkey % 2 = 1 AND n_nationkey % 3 < 2""",
-    "experiment_grid": """SELECT n_name AS dataset, m AS method, 10 + a AS c2, CASE m WHEN 'random' THEN 4 ELSE 8 END::BIGINT AS runs FROM nation, (VALUES ('random'), ('poprisk')) x(m), (VALUES (0.0::DOUBLE), (5.0)) y(a)""",
+    "merge_utilities_with_r2": """SELECT 'set' || (c.c_custkey // 3) AS initial_set, c.c_custkey % 3 AS size, 'cluster' AS base_sampling_type, 'cluster_x' || c.c_custkey AS sampling_type, c.c_custkey::DOUBLE AS utility, s.c_custkey / 10 AS r2
+FROM customer c JOIN customer s ON s.c_custkey = c.c_custkey // 3 * 3 WHERE c.c_custkey % 2 = 1 AND c.c_custkey % 3 < 2""",
+    "experiment_grid": """SELECT c_name AS dataset, m AS method, 10 + a AS c2, CASE m WHEN 'random' THEN 4 ELSE 8 END::BIGINT AS runs FROM customer, (VALUES ('random'), ('poprisk')) x(m), (VALUES (0.0::DOUBLE), (5.0)) y(a)""",
     "map_layer": f"WITH {fx.GEO} SELECT id, nation = 3 AS in_sample FROM geo",
-    "parse_sample_name": """SELECT n_nationkey AS k, (n_nationkey * 10)::INT AS sample_size, n_nationkey::INT AS seed, n_nationkey::VARCHAR AS c_0, n_nationkey::VARCHAR || '' AS c_1, 'state' AS c_2, 'county' AS c_3,
-'urban_based' AS v_0, n_nationkey::VARCHAR AS v_1, 'prob' AS v_2, n_nationkey::INT AS v_3, 'adm2' AS v_4, (n_nationkey + 2)::INT AS v_5, (n_nationkey + 1)::INT AS v_6 FROM nation""",
-    "run_key": "SELECT n_nationkey, 'init/uniform/' || CASE WHEN n_nationkey % 2 = 0 THEN 'opt/poprisk/state/budget_100/util_lambda_0.5' ELSE 'random/budget_100' END || '/seed_' || n_nationkey AS run_key FROM nation",
+    "parse_sample_name": """SELECT c_custkey AS k, (c_custkey * 10)::INT AS sample_size, c_custkey::INT AS seed, c_custkey::VARCHAR AS c_0, c_custkey::VARCHAR || '' AS c_1, 'state' AS c_2, 'county' AS c_3,
+'urban_based' AS v_0, c_custkey::VARCHAR AS v_1, 'prob' AS v_2, c_custkey::INT AS v_3, 'adm2' AS v_4, (c_custkey + 2)::INT AS v_5, (c_custkey + 1)::INT AS v_6 FROM customer""",
+    "run_key": "SELECT c_custkey, 'init/uniform/' || CASE WHEN c_custkey % 2 = 0 THEN 'opt/poprisk/state/budget_100/util_lambda_0.5' ELSE 'random/budget_100' END || '/seed_' || c_custkey AS run_key FROM customer",
 }

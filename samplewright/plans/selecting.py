@@ -210,7 +210,7 @@ def _risk(spark, d):
 
 def pop_risk(spark, d):
     matrix, shares = _risk(spark, d)
-    return inclusion.pop_risk_probabilities(_units(spark, d), matrix, shares, 900.0, lam=0.5, steps=8)
+    return inclusion.pop_risk_probabilities(_units(spark, d), matrix, shares, 900.0, lam=0.5)
 
 
 def pop_risk_value(spark, d):
@@ -249,7 +249,7 @@ def mean_similarity(spark, d):
 
 def diversity(spark, d):
     own = fx.features(spark, d).select(F.col("id").alias("unit"), (1 + F.col("id").cast("int") % 5).cast("double").alias("cost"), F.lit(False).alias("is_labeled"))
-    return inclusion.diversity_probabilities(own, _similarity(spark, d), 100.0, steps=4)
+    return inclusion.diversity_probabilities(own, _similarity(spark, d), 100.0)
 
 
 def diversity_value(spark, d):
