@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..prefix import BUCKET_ROWS
 from .common import hash_digits, running_sums, written
 
 #: Bits for each dimension; three dimensions have 4096 cells.
@@ -65,33 +66,33 @@ def hilbert_index(axes: list[Column], bits: int) -> Column:
     return F.get(index, F.lit(0))
 
 
-def _ranked(df: DataFrame, dims: Mapping[str, Column]) -> dict[str, Column]:
-    """Each dimension as a number that keeps its order: strings by the six bytes
-    that follow the prefix common to all of them."""
-    kinds = dict(df.select(*[c.alias(k) for k, c in dims.items()]).dtypes)
-    text = [k for k in dims if kinds[k] == "string"]
-    ends = df.agg(*[f(dims[k]).alias(f"{k}_{i}") for k in text for i, f in enumerate((F.min, F.max))]).first() if text else None
-    out = {}
-    for k, c in dims.items():
-        if k not in text:
-            out[k] = c.cast("double")
-            continue
-        lo, hi = (x.encode() if x is not None else b"" for x in (ends[f"{k}_0"], ends[f"{k}_1"]))
-        same = next((i for i, (a, b) in enumerate(zip(lo, hi, strict=False)) if a != b), min(len(lo), len(hi)))
-        six = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), same + 1, 6)), 12, "0")
-        out[k] = F.conv(six, 16, 10).cast("double")
-    return out
+def _text_cell(df: DataFrame, value: Column, cells: int) -> Column:
+    """Equi-depth cell of a string, from the counts of all its values in order; whole strings are compared."""
+    counts = df.select(value.alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    counts = written(counts, "values")
+    ranges = counts.repartitionByRange(max(1, counts.count() // BUCKET_ROWS), "v").withColumn("part", F.spark_partition_id())
+    before = running_sums(written(ranges, "value-ranges"), [], ["part"], ["v"], ["n"])
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    cell = F.floor(F.col("before_n") * F.lit(cells) / F.lit(total)).cast("int")
+    cuts = before.groupBy(cell.alias("cell")).agg(F.min("v").alias("v")).orderBy("cell").collect()  # a row for each cell
+    found = F.lit(0)
+    for r in cuts:  # the last cut that is not above the value
+        found = F.when(value >= F.lit(r["v"]), r["cell"]).otherwise(found)
+    return F.coalesce(F.when(value.isNotNull(), found), F.lit(0))
 
 
 def _cells(df: DataFrame, dims: Mapping[str, Column], bits: int) -> list[Column]:
     """Equi-depth code of each dimension, from quantiles over all rows; null is the lowest cell."""
-    ranked = _ranked(df, dims)
-    n = 1 << bits
-    cuts = df.agg(*[F.percentile_approx(c, [i / n for i in range(1, n)], 10_000).alias(f"q{j}") for j, c in enumerate(ranked.values())]).first()
+    n, kinds = 1 << bits, dict(df.select(*[c.alias(k) for k, c in dims.items()]).dtypes)
+    numbers = {k: c.cast("double") for k, c in dims.items() if kinds[k] != "string"}
+    cuts = df.agg(*[F.percentile_approx(c, [i / n for i in range(1, n)], 10_000).alias(k) for k, c in numbers.items()]).first() if numbers else {}
     out = []
-    for j, c in enumerate(ranked.values()):
-        bounds = F.array(*[F.lit(float(x)) for x in cuts[f"q{j}"] or []]).cast("array<double>")
-        out.append(_below(bounds, c))
+    for k, c in dims.items():
+        if k not in numbers:
+            out.append(_text_cell(df, c, n))
+            continue
+        bounds = F.array(*[F.lit(float(x)) for x in cuts[k] or []]).cast("array<double>")
+        out.append(_below(bounds, numbers[k]))
     return out
 
 
@@ -136,10 +137,12 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     return hilbert_shards(docs, dims, size, F.xxhash64(text), n_shards=n_shards, extra={"text_crc32": F.crc32(F.encode(text, "UTF-8"))})
 
 
-def write_shards(df: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", files_per_shard: int = 1) -> None:
-    """Writes df in shard and slot order, a folder a shard; ids must be unique."""
+def write_shards(df: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", files_per_shard: int = 1, n_shards: int = N_SHARDS) -> None:
+    """Writes df in shard and slot order, a folder a shard; raises where an id has several places, as it could not be told which row is meant."""
     at = placed.select(F.col("id").alias(id_col), "shard", "slot")
-    out = df.drop("shard", "slot").join(at, id_col).repartitionByRange(files_per_shard * N_SHARDS, "shard", "slot")
+    if not at.groupBy(id_col).count().filter("count > 1").isEmpty():
+        raise ValueError(f"{id_col} is not unique")
+    out = df.drop("shard", "slot").join(at, id_col).repartitionByRange(files_per_shard * n_shards, "shard", "slot")
     out.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
