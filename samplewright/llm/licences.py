@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from .licence_texts import NOTICES, SPELLINGS, TEXTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz\n"
+#: Where a licence's own sentence, wrapped before "copyright", goes on.
+OWN_WORDS = r"copyright([ \t]+(?:notice|holder|owner|licen|law|statement|interest|protection|disclaimer|and|or|in|on|as)[a-z]*\b)"
 #: A line that states a copyright, or reserves all rights, and nothing of the licence.
-COPYRIGHT = r"^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©|[0-9]{4}|\[|<)|\(c\)[ \t]*[0-9]|©)[^\n]*$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
+COPYRIGHT = r"^[^a-z0-9\n]*(?:copyright(?:[^a-z0-9_\n][^\n]*|[0-9][^\n]*)?|\(c\)[ \t]*(?:copyright|[0-9])[^\n]*|\(c\)[^\n]*[0-9]{4}[^\n]*|©[^\n]*)$|^[^a-z0-9\n]*all rights reserved[^a-z0-9\n]*$"
 MARKS = r"[^\p{L}\p{N}\n]+"
 BREAKS = r" ?\n[ \n]*"
 SPELT = r"\b(?:" + "|".join(a for a, _ in SPELLINGS) + r")\b"
@@ -25,7 +27,7 @@ SPELT = r"\b(?:" + "|".join(a for a, _ in SPELLINGS) + r")\b"
 def canonical(text: Column) -> Column:
     """Lower case, words parted by one space, lines by one line feed; null stays null."""
     out = F.translate(text, UPPER, LOWER)
-    out = F.when(F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("©")) | F.contains(out, F.lit("rights reserved")), F.regexp_replace(out, "(?md)" + COPYRIGHT, "")).otherwise(out)
+    out = F.when(F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("(c)")) | F.contains(out, F.lit("©")) | F.contains(out, F.lit("rights reserved")), F.regexp_replace(F.regexp_replace(out, OWN_WORDS, "copyright_$1"), "(?md)" + COPYRIGHT, "")).otherwise(out)
     out = F.trim(F.regexp_replace(out, MARKS, " "))
     out = F.regexp_replace(out, BREAKS, "\n")
     spelt = out
@@ -58,7 +60,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
     canon = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("canon"))
     lines = {r["known_digest"]: r["licence"] for r in known(spark, notices).collect()}  # the notices given above
     named = F.create_map(*[F.lit(x) for kv in sorted(lines.items()) for x in kv]) if lines else F.create_map().cast("map<string,string>")
-    longest = max([len(t) for _, t in notices], default=0) * 2
+    given = spark.createDataFrame(list(notices), "licence string, text string")
+    longest = given.agg(F.coalesce(F.max(F.length(flat(canonical(F.col("text"))))), F.lit(0))).first()[0]  # no longer line has the digest of one
     hits = F.transform(F.filter(F.split("canon", "\n"), lambda x: F.length(x) <= longest), lambda x: named[F.sha2(x, 256)])
     rows = canon.select(
         "id",
@@ -76,6 +79,7 @@ def _sql(text: str) -> str:
 def canonical_sql(text: str) -> str:
     """The same canonical form as SQL."""
     out = f"translate({text}, {_sql(UPPER[:-1])} || chr(13), {_sql(LOWER[:-1])} || chr(10))"
+    out = f"regexp_replace({out}, {_sql(OWN_WORDS)}, {_sql('copyright_' + chr(92) + '1')}, 'g')"
     out = f"regexp_replace({out}, {_sql('(?m)' + COPYRIGHT)}, '', 'g')"
     out = f"trim(regexp_replace({out}, {_sql(MARKS)}, ' ', 'g'), ' ')"
     out = f"regexp_replace({out}, {_sql(BREAKS)}, chr(10), 'g')"
