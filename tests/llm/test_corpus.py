@@ -55,6 +55,25 @@ def test_shards_of_odd_rows(spark, odd):
     assert sharding.shard_documents(odd.limit(0)).count() == 0
 
 
+def test_long_names_get_cells_of_their_own(spark):
+    names = [f"https://www.example.com/very/long/common/path/{k % 16:02}/tail" for k in range(1600)] + [None] * 10
+    df = spark.createDataFrame(list(enumerate(names)), "doc_id long, host string").withColumn("one", F.lit(1).cast("long"))
+    got = sharding.hilbert_shards(df, {"host": F.col("host"), "host2": F.col("host")}, F.col("one"), F.col("doc_id"), n_shards=4, extra={"host": F.col("host")}).collect()
+    cells = {}
+    for r in got:
+        cells.setdefault(r["hilbert"], set()).add(r["host"])
+    assert len(cells) == 16 and all(len(x - {None}) == 1 for x in cells.values())  # null shares the lowest
+
+
+def test_written_shards_have_the_number_asked_for(spark, tmp_path):
+    df = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 7).alias("a"), F.lit(1).cast("long").alias("one"))
+    placed = sharding.hilbert_shards(df, {"a": F.col("a")}, F.col("one"), F.col("doc_id"), n_shards=11)
+    sharding.write_shards(df, placed, f"{tmp_path}/out", n_shards=11)
+    assert {r["shard"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("shard").count().collect()}.keys() == set(range(11))
+    with pytest.raises(ValueError, match="not unique"):
+        sharding.write_shards(df, placed.unionByName(placed), f"{tmp_path}/twice", n_shards=11)
+
+
 def test_shards_prune_on_every_dimension(spark):
     df = spark.range(4096).select(F.col("id").alias("doc_id"), (F.xxhash64("id") % 1000).alias("a"), (F.xxhash64("id", F.lit(1)) % 1000).alias("b"))
     dims = {"a": F.col("a"), "b": F.col("b")}
@@ -187,6 +206,29 @@ def test_licence_variants(spark):
     assert {r["id"]: r["notices"] for r in licences.scan(line).collect()} == {i: [k] for i, (k, _) in enumerate(NOTICES)}
 
 
+@pytest.mark.parametrize("line", ["Copyright The Foo Authors", "Copyright Jane Doe 2020", "Copyright: The Foo Authors.", "# Copyright (c) 2020, A. Body", "(c) Jane Doe, 2021", "© A. Body", "Copyright", "(C) Copyright A. Body", "All rights reserved."])
+def test_copyright_lines_are_set_aside(spark, line):
+    wrapped = {k: t.replace(" copyright notice", "\ncopyright notice").replace(" COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS") for k, t in TEXTS}
+    rows = [(i, f"{line}\n\n{t}") for i, t in enumerate(wrapped.values())]
+    got = {r["id"]: r["licence"] for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(wrapped))
+
+
+def test_planted_licences_match_sql_through_the_query(spark, same_rows, tmp_path):
+    import duckdb
+
+    rows = [(i, f"Copyright {i} The Foo Authors\n{t}") for i, (_, t) in enumerate(TEXTS)]
+    rows += [(100 + i, f"{'x ' * 300}\n{t}\n{'y ' * 3000}") for i, (_, t) in enumerate(NOTICES)]
+    rows += [(900, None), (901, ""), (902, "the copyright notice\nis here"), (902, "the copyright notice\nis here"), (903, "(c) 2020 nobody")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op8_licence_scan"](spark, str(tmp_path)).select("doc_id", "canonical_sha256", "licence", "notices").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, canonical_sha256, licence, notices FROM ({ORACLE_SQL['op8_licence_scan']})").fetchall(), key=repr)
+    assert sorted(got, key=repr) == want
+    assert {r[2] for r in got if r[0] < 100} == {k for k, _ in TEXTS} and all(r[3] for r in got if 100 <= r[0] < 900)
+
+
 def test_licence_plan_is_native(spark, odd):
     plan = licences.scan(odd)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
@@ -214,6 +256,61 @@ def test_encoded_lengths(spark, odd):
     assert len(got) == odd.count() and all(r["n_tokens"] == len(encode(texts[r["id"]] or "")) for r in got)
 
 
+def test_token_query_against_the_public_tokenizer(spark, tmp_path):
+    import public_tokenizers as p
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    own = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=load_tiktoken_bpe(p.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    texts = [None, "", " ", "a", "a", "été déjà vu", "日本語 テキスト 123", "word " * 400, "x" * 3000, "line\n\n  more\ttabs", "<|endoftext|>"]
+    spark.createDataFrame(list(enumerate(texts)) + [(3, "a"), (None, "b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    n = np.array([len(own.encode_ordinary(t or "")) for t in [*texts, "a", "b c"]])
+    rows = QUERIES["op9_token_counts"](spark, str(tmp_path)).collect()
+    assert {r["context_limit"] for r in rows} == set(n) | set(token_counts.LIMITS)
+    for r in rows:
+        c = r["context_limit"]
+        assert (r["docs"], r["docs_within"], r["tokens_within"], r["docs_over"], r["tokens_over"]) == ((n == c).sum(), (n <= c).sum(), n[n <= c].sum(), (n > c).sum(), n[n > c].sum())
+        assert r["truncated_tokens"] == np.minimum(n, c).sum() and r["n_docs"] == len(n) and r["n_tokens"] == n.sum()
+
+
+def test_mixed_documents_are_the_copies_that_mix_decides(spark):
+    rows = [(i if i >= 0 else None, " ".join(["w"] * (3 + i % 5)), "en", "abc"[i % 3], k) for i in range(-1, 60) for k in range(3)]
+    df = spark.createDataFrame(rows + [rows[0]] * 5, "doc_id long, text string, lang string, source string, _mix int")
+    want, got = {}, {}
+    for r in mixing.mix(df).collect():
+        want[r["id"], r["size"]] = want.get((r["id"], r["size"]), 0) + r["copies"]
+    out = mixing.mix_documents(df)
+    for r in out.collect():
+        key = r["doc_id"], len(r["text"].split())
+        got[key] = got.get(key, 0) + 1
+    assert out.columns == df.columns and got == {k: v for k, v in want.items() if v}
+
+
+def test_one_of_repeated_rows_stays(spark):
+    from samplewright.llm import exact_dedup, jaccard_join
+
+    rows = [(i % 4, f"a b c d e f {i % 4}", "en", "s", i) for i in range(12)] + [(None, "g h i j k l", "en", "s", 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _key0 int")
+    exact = exact_dedup.dedup_documents(df)
+    assert exact.columns == df.columns and sorted((r["doc_id"], r["text"]) for r in exact.collect() if r["doc_id"] is not None) == [(i, f"a b c d e f {i}") for i in range(4)]
+    assert exact.filter("doc_id is null").count() == 1
+    assert sorted(r["doc_id"] for r in jaccard_join.near_dedup_documents(df.filter("doc_id is not null")).collect()) == [0, 1, 2, 3]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from samplewright.llm.common import shared_dir
+
+    def session(master, **conf):
+        return SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077"))
+    assert shared_dir(session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://x"})) == "hdfs://x"
+    assert shared_dir(session("local[4]"))
+
+
 def test_mix_matches_sql(same_rows):
     same_rows(QUERIES["op10_mix"], OP10_SQL)
 
