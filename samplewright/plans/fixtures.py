@@ -85,13 +85,13 @@ lat_axis AS (SELECT (i + 1)::INT AS idx, 2 + i * 0.5::DOUBLE + i * i * 0.025::DO
 
 def ridge_rows(spark: SparkSession, d: str) -> DataFrame:
     """Line items with whole-number features and a linear outcome with hashed noise."""
-    key = F.concat_ws("|", "l_orderkey", "l_linenumber")
+    key = F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", F.floor(F.col("l_extendedprice").cast("double")), "l_linenumber")
     q, dis, tax = F.col("l_quantity").cast("double"), F.round(F.col("l_discount").cast("double") * 100), F.round(F.col("l_tax").cast("double") * 100)
     y = F.floor(3 * q - 2 * dis + 5 * tax + 40 * uniform("noise", key))
     return table(spark, d, "lineitem").select(key.alias("id"), F.col("l_returnflag").alias("run_id"), (F.col("l_orderkey") % 5).cast("int").alias("fold"), F.array(q, dis, tax).alias("x"), y.cast("double").alias("y"))
 
 
-RIDGE = f"""ridge AS (SELECT l_orderkey || '|' || l_linenumber AS id, l_returnflag AS run_id, (l_orderkey % 5)::INT AS fold,
+RIDGE = f"""ridge AS (SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, floor(l_extendedprice::DOUBLE)::BIGINT, l_linenumber) AS id, l_returnflag AS run_id, (l_orderkey % 5)::INT AS fold,
   l_quantity::DOUBLE AS q, round(l_discount::DOUBLE * 100) AS dis, round(l_tax::DOUBLE * 100) AS tax FROM lineitem),
 ridge_y AS (SELECT *, floor(3 * q - 2 * dis + 5 * tax + 40 * {uniform_sql('noise', 'id')}) AS y FROM ridge)"""
 

@@ -185,7 +185,7 @@ def sweep_sql(rows: str, lo: str = "'-inf'::DOUBLE", hi: str = "'inf'::DOUBLE")
     return f"""fs AS (SELECT run_id, outcome, fold, {sums_sql()} FROM {rows} GROUP BY ALL), loo AS ({without_fold('fs', 'run_id, outcome')}),
 lg AS (SELECT * FROM loo, {GRID}), fitted AS ({fit_sql('lg', 'run_id, outcome, fold, lam', 'lam')}),
 predicted AS (SELECT r.*, lam, least({hi}, greatest({lo}, {PREDICTED})) AS p FROM {rows} r JOIN fitted f ON r.run_id = f.run_id AND r.outcome = f.outcome AND r.fold = f.fold),
-metrics AS (SELECT run_id, outcome, fold, lam AS lambda, {METRICS}, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS raw FROM predicted GROUP BY ALL)"""
+metrics AS (SELECT run_id, outcome, fold, lam, {METRICS}, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS raw FROM predicted GROUP BY ALL)"""
 
 
 def cv_sql(rows: str) -> str:
@@ -215,16 +215,16 @@ ORACLE_SQL = {
     "ridge_folds": f"WITH {fx.RIDGE} SELECT id, run_id, ((row_number() OVER (PARTITION BY run_id ORDER BY substr(md5('cv|' || id), 1, 13), id) - 1) % 5)::INT AS fold FROM ridge",
     "ridge_cv": f"WITH {fx.RIDGE}, {cv_sql('ridge_y')} SELECT run_id, n, round_even(alpha, 9) AS alpha, round_even(cv_r2, 6) AS cv_r2, round_even(b, 5) AS intercept, round_even(w1, 6) AS w1, round_even(w2, 6) AS w2, round_even(w3, 6) AS w3 FROM best",
     "kfold_sweep": f"""WITH {fx.RIDGE}, long AS (SELECT * EXCLUDE y, y, 'y' AS outcome FROM ridge_y UNION ALL SELECT * EXCLUDE y, q + dis, 'y2' FROM ridge_y),
-{sweep_sql('long', "CASE WHEN r.outcome = 'y' THEN 0.0 ELSE '-inf'::DOUBLE END", "CASE WHEN r.outcome = 'y' THEN 160.0 ELSE 'inf'::DOUBLE END")} SELECT run_id, fold, outcome, lambda, false AS ill, r2, mse, rmse, mae FROM metrics""",
+{sweep_sql('long', "CASE WHEN r.outcome = 'y' THEN 0.0 ELSE '-inf'::DOUBLE END", "CASE WHEN r.outcome = 'y' THEN 160.0 ELSE 'inf'::DOUBLE END")} SELECT run_id, fold, outcome, lam AS "lambda", false AS ill, r2, mse, rmse, mae FROM metrics""",
     "single_solve": f"""WITH {fx.RIDGE}, t AS (SELECT {sums_sql()} FROM ridge_y WHERE fold > 0), tg AS (SELECT * FROM t, {GRID}), f AS ({fit_sql('tg', 'lam', 'lam')})
 SELECT lam AS lambda, {METRICS} FROM (SELECT lam, y, {PREDICTED} AS p FROM ridge_y, f WHERE fold = 0) GROUP BY lam""",
-    "best_fold_results": f"""WITH {fx.RIDGE}, long AS (SELECT *, 'y' AS outcome FROM ridge_y), {sweep_sql('long')}, m AS (SELECT run_id, lambda, avg(raw) AS score FROM metrics GROUP BY ALL),
-b AS (SELECT run_id, arg_min(lambda, (-score, lambda)) AS lambda FROM m GROUP BY run_id) SELECT metrics.run_id, fold, metrics.lambda, r2 FROM metrics JOIN b ON metrics.run_id = b.run_id AND metrics.lambda = b.lambda""",
+    "best_fold_results": f"""WITH {fx.RIDGE}, long AS (SELECT *, 'y' AS outcome FROM ridge_y), {sweep_sql('long')}, m AS (SELECT run_id, lam, avg(raw) AS score FROM metrics GROUP BY ALL),
+b AS (SELECT run_id, arg_min(lam, (-score, lam)) AS lam FROM m GROUP BY run_id) SELECT metrics.run_id, fold, metrics.lam AS "lambda", r2 FROM metrics JOIN b ON metrics.run_id = b.run_id AND metrics.lam = b.lam""",
     "regional_cv": f"""WITH {fx.RIDGE}, ends AS (SELECT run_id, min(y) AS lo, max(y) AS hi FROM ridge_y GROUP BY run_id),
 held AS (SELECT *, {ranked_sql('fold|test', 'id')} AS k, count(*) OVER (PARTITION BY run_id) AS c FROM ridge_y), kept AS (SELECT * EXCLUDE (k, c) FROM held WHERE k >= floor(c * 0.2::DOUBLE)),
 long AS (SELECT kept.* EXCLUDE fold, {ranked_sql('fold', 'id').replace('run_id', 'kept.run_id')} AS k, (k % 5)::INT AS fold, 'y' AS outcome, lo, hi FROM kept JOIN ends ON kept.run_id = ends.run_id),
-{sweep_sql('long', 'r.lo', 'r.hi')}, m AS (SELECT run_id, lambda, avg(raw) AS score FROM metrics GROUP BY ALL)
-SELECT run_id, arg_min(lambda, (-score, lambda)) AS lambda, round_even(max(score), 6) AS score FROM m GROUP BY run_id""",
+{sweep_sql('long', 'r.lo', 'r.hi')}, m AS (SELECT run_id, lam, avg(raw) AS score FROM metrics GROUP BY ALL)
+SELECT run_id, arg_min(lam, (-score, lam)) AS "lambda", round_even(max(score), 6) AS score FROM m GROUP BY run_id""",
     "score_samples": f"WITH {fx.RIDGE}, chosen AS (SELECT * EXCLUDE run_id, unnest(['all', 'flag_' || run_id]) AS run_id FROM ridge_y WHERE fold > 0), {SCORED}",
     "evaluate_round": f"""WITH {fx.RIDGE}, chosen AS (SELECT * EXCLUDE run_id, 'initial' AS run_id FROM ridge_y WHERE fold = 1 AND run_id = 'A'
 UNION ALL SELECT * EXCLUDE run_id, 'updated' FROM ridge_y WHERE (fold = 1 AND run_id = 'A') OR (fold = 2 AND run_id = 'R')), {SCORED}""",
