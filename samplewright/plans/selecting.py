@@ -70,6 +70,11 @@ def select_match(spark, d):
     return selection.select_match_population(p, c, 1500.0, "s1")
 
 
+def run_optimised(spark, d):
+    p, c = fx.points(spark, d), _units(spark, d)
+    return selection.run_selection("greedy", p, c, 800.0, "opt", per_unit=4)
+
+
 def select_shuffled(spark, d):
     p, c = _costs(spark, d)
     return selection.select_shuffled_groups(p, c, 1500.0, "s1").select("id", "unit", "grp", "charge")
@@ -168,6 +173,12 @@ def convenience_clusters(spark, d):
     return designs.convenience_clusters(_near(spark, d), 40, 8, "d10")
 
 
+def convenience_centroids(spark, d):
+    own = designs.nearest_place_distance(fx.geo(spark, d), fx.places(spark, d), 5).withColumn("cluster", F.col("nation").cast("string"))
+    heads = designs.centroid_distances(own.drop("distance"), fx.places(spark, d), 5).withColumn("distance", F.bround("distance", 3))
+    return designs.sample_sizes(designs.convenience_clusters(own, 40, 8, "d10", distances=heads), 40)
+
+
 def softmax(spark, d):
     return designs.softmax_neg_distance(_near(spark, d), "distance", 0.5).select("id", F.bround("p", 9).alias("p"))
 
@@ -272,7 +283,7 @@ QUERIES = {
     "select_match_population": select_match, "select_shuffled_groups": select_shuffled, "selection_metadata": metadata, "run_selection": run_by_name,
     "random_sample": simple_random, "train_test_split": split, "split_80_20": split_fifth, "allocate_strata": strata, "pps_clusters": clusters, "cluster_sample": cluster_points, "sample_sweep": sweep,
     "nearest_place_distance": near_places, "convenience_points": convenience, "convenience_points_softmax": convenience_soft, "convenience_clusters": convenience_clusters, "softmax_neg_distance": softmax,
-    "utility_greedy": greedy, "utility_similarity": similar, "inclusion_pop_risk": pop_risk, "utility_value_pop_risk": pop_risk_value, "group_matrix_avg": group_matrix, "round_selection": rounded,
+    "utility_greedy": greedy, "utility_similarity": similar, "inclusion_pop_risk": pop_risk, "utility_value_pop_risk": pop_risk_value, "group_matrix_avg": group_matrix, "round_selection": rounded, "run_selection_optimised": run_optimised, "convenience_centroids": convenience_centroids,
     "mean_similarity_per_unit": mean_similarity, "inclusion_diversity": diversity, "utility_value_diversity": diversity_value,
 }
 
@@ -289,6 +300,15 @@ ORACLE_SQL = {
     "select_points_cost_aware": POINTS_SQL,
     "select_stratified": _turns("have + rn - 1"),
     "select_match_population": _turns("(have + rn) / size"),
+    "select_shuffled_groups": _turns(f"sum(-ln({uniform_sql('s1|gap', 'id')})) OVER (PARTITION BY grp ORDER BY rn ROWS UNBOUNDED PRECEDING)"),
+    "run_selection_optimised": f"""{WITH_COST}, own AS (SELECT *, 1.0 AS gain FROM u), prob AS (WITH {KNAPSACK.replace("900.0", "800.0")}), hit AS (SELECT u.* FROM u JOIN prob ON u.unit = prob.unit WHERE NOT is_labeled AND {uniform_sql('opt|draw', 'u.unit')} < s),
+cum AS (SELECT *, sum(cost) OVER (ORDER BY {digits_sql('opt', 'unit')}, unit ROWS UNBOUNDED PRECEDING) AS cum FROM hit),
+pts AS (SELECT p.id, p.unit, row_number() OVER (PARTITION BY p.unit ORDER BY {digits_sql('opt', 'p.id')}, p.id) AS k FROM points p JOIN cum ON p.unit = cum.unit WHERE cum <= 800 AND NOT p.labeled) SELECT id, unit FROM pts WHERE k <= 4""",
+    "convenience_clusters": f"""{NEAR}, heads AS (SELECT cluster, arg_min(distance, id) AS distance, least(8, count(*)) AS take FROM near GROUP BY cluster),
+run AS (SELECT *, coalesce(sum(take) OVER (ORDER BY distance, {digits_sql('d10', 'cluster')}, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM heads),
+pts AS (SELECT id, n.cluster, row_number() OVER (PARTITION BY n.cluster ORDER BY {digits_sql('d10', 'id')}, id) AS k FROM near n JOIN run ON n.cluster = run.cluster WHERE before < 40)
+SELECT id, cluster FROM pts WHERE k <= 8 ORDER BY {digits_sql('d10|down', 'id')}, id LIMIT 40""",
+    "convenience_centroids": f"WITH {fx.GEO}, c AS (SELECT nation, least(8, count(*)) AS take FROM geo GROUP BY nation) SELECT 40::BIGINT AS requested, least(40, sum(take))::BIGINT AS actual FROM c",
     "selection_metadata": f"""{CHOSEN}, sel AS (SELECT * FROM pts WHERE k <= 5)
 SELECT (SELECT sum(cost) FROM costs WHERE is_labeled) AS baseline_cost, (SELECT sum(cost) FROM costs WHERE NOT is_labeled AND unit IN (SELECT unit FROM sel)) AS added_cost,
        (SELECT count(*) FROM sel) AS n_selected, (SELECT count(DISTINCT unit) FROM sel) AS n_new_units, 's1' AS seed""",

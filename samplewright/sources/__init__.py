@@ -74,9 +74,15 @@ def write_status(df: DataFrame, path: str, run_id: str, episode: int) -> None:
 
 
 def append_scores(df: DataFrame, path: str) -> None:
+    """Appends CSV files; each has its own header, as Spark's reader of many files takes it."""
     df.write.mode("append").option("header", True).csv(path)
 
 
+def read_scores(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All appended scores, every file's header left out."""
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def write_results(df: DataFrame, path: str, csv: bool = False) -> None:
     """The mart by dataset, initial set and cost type; as one CSV a folder for people."""
     own = df.coalesce(1) if csv else df  # the mart has a row for each run key

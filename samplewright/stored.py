@@ -24,11 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table there: cuts the plan, and survives lost executors. The files go when the driver's JVM ends."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path there that nothing uses; it goes when the driver's JVM ends."""
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table there: cuts the plan, and survives lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
