@@ -58,6 +58,19 @@ def mean_similarity_per_unit(similarity: DataFrame, unit_of: DataFrame) -> DataF
     return per.groupBy("unit").agg(F.avg("sim").alias("sim"))
 
 
+def mean_cosine_per_unit(features: DataFrame) -> DataFrame:
+    """(unit, sim): as mean_similarity_per_unit for the cosine of all pairs of a unit's vectors, from (unit, x).
+
+    The mean over all pairs is the squared length of the mean unit vector, so no
+    pair is formed; zero vectors are left out.
+    """
+    x = F.transform("x", lambda v: v.cast("double"))
+    norm = F.sqrt(F.aggregate(F.col("x"), F.lit(0.0), lambda s, v: s + v * v))
+    own = features.select("unit", x.alias("x")).withColumn("norm", norm).filter("norm > 0")
+    sums = own.select("unit", F.posexplode(F.transform("x", lambda v: v / F.col("norm"))).alias("at", "v")).groupBy("unit", "at").agg(F.sum("v").alias("v"), F.count("*").alias("n"))
+    return sums.groupBy("unit").agg((F.sum(F.col("v") * F.col("v")) / F.max("n") / F.max("n")).alias("sim"))
+
+
 def metric_columns(y: Column, p: Column) -> list[Column]:
     """r2, mse, rmse and mae as aggregates; r2 is null when y does not vary."""
     n, e = F.count("*"), y - p

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.labels import drop_missing_label, drop_missing_rows, transform_label, valid_label
@@ -27,8 +27,12 @@ def drop_invalid_ids(df: DataFrame, ids: list[str] = INVALID_IDS, id_col: str =
     return df.filter(F.col(id_col).isNull() | ~F.col(id_col).isin(ids))
 
 
-def drop_null_label(df: DataFrame, y: str) -> DataFrame:
-    return df.filter(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")))
+def drop_null_label(df: DataFrame, y: str, seen: Observation | None = None) -> DataFrame:
+    """Rows with a label; seen gets the numbers of rows and of removed ones when the result is computed."""
+    fine = F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double"))
+    if seen is not None:
+        df = df.observe(seen, F.count("*").alias("rows"), F.coalesce(F.sum((~fine).cast("long")), F.lit(0)).alias("removed"))
+    return df.filter(fine)
 
 
 def trim_upper(df: DataFrame, y: str, percent: float = 99.9, year: int | None = None, keep_equal: bool = False) -> DataFrame:

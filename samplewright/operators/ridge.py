@@ -52,14 +52,13 @@ def sufficient_stats(df: DataFrame, y: Sequence[str] = ("y",), x: str = "x") ->
     own = df.filter(ok).select("run_id", F.col("fold").cast("int").alias("fold"), F.col(x).cast("array<double>").alias("x"), F.array(*[F.col(c).cast("double") for c in ys]).alias("y"))
     one = own.select(F.size("x").alias("d")).first()
     width = 1 + len(ys) + (one["d"] if one else 0)
-    held = max(1, HELD_BYTES // (8 * width * width))
+    held, step = max(1, HELD_BYTES // (8 * width * width)), block_rows(width)
     if held < 64:
         own = own.sortWithinPartitions("run_id", "fold")
     schema = "run_id string, fold int, block int, part binary"
     names = ["run_id", "fold", "block", "part"]
 
     def batches_of(sums: dict) -> Iterator[pa.RecordBatch]:
-        step = block_rows(width)
         for (r, f), g in sums.items():
             parts = [g[b : b + step].tobytes() for b in range(0, len(g), step)]
             n = len(parts)

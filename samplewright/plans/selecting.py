@@ -252,10 +252,9 @@ def _similarity(spark, d):
 
 
 def mean_similarity(spark, d):
-    from ..operators.aggregates import mean_similarity_per_unit
+    from ..operators.aggregates import mean_cosine_per_unit
 
-    own = fx.features(spark, d).select(F.col("id").alias("row_id"), "unit")
-    return mean_similarity_per_unit(_similarity(spark, d), own).select("unit", F.bround("sim", 9).alias("sim"))
+    return mean_cosine_per_unit(fx.features(spark, d)).select("unit", F.bround("sim", 9).alias("sim"))
 
 
 def diversity(spark, d):
