@@ -361,7 +361,13 @@ def test_pipeline_stages_keep_columns_and_work(spark, data):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "jaccard_join", "mix", "pack"]
     before = docs.count()
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, data).cache()
+        given, docs = docs, stage(spark, docs, data).cache()
+        if name == "language_id":
+            lettered = {r["doc_id"] for r in given.collect() if any(c.isalpha() for c in r["text"] or "")}
+            assert sorted(r["doc_id"] for r in docs.collect()) == sorted(lettered)
+        if name == "mix":
+            copies = {r["id"]: r["copies"] for r in mixing.mix(given).collect() if r["copies"]}
+            assert {r["doc_id"]: r["count"] for r in docs.groupBy("doc_id").count().collect()} == copies
         if name == "pack":
             check_packing(docs.collect())
             continue
@@ -377,6 +383,17 @@ def test_pipeline_stages_keep_columns_and_work(spark, data):
     assert corpus_pipeline.run(spark, data).count() == docs.count()
 
 
+def test_stages_with_clashing_names(spark, data):
+    import corpus_pipeline
+
+    odd = {n: F.lit(1) for n in ("_mix", "_mix_id", "_kept_id", "_language", "_key0", "_key1", "_times", "id", "size", "copies", "digest")}
+    docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id < 60").withColumns(odd)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, data).cache()
+        assert out.count() > 0 and (name == "pack" or out.columns == docs.columns)
+        docs = out
+
+
 def test_stages_of_an_empty_table(spark, data):
     import corpus_pipeline
 
