@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from samplewright.llm import exact_dedup, jaccard_join, language, mixing, packing
-from samplewright.llm.common import read, written
+from samplewright.llm.common import erase_since, read, written, written_so_far
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +45,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, mark = read(spark, sf_dir, "documents"), written_so_far()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"stage-{name}")
+            erase_since(mark, docs)  # the stage's own tables, and its predecessor's result
     return docs

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..prefix import hash_digits, running_sums
 
-__all__ = ["attach", "components", "erase", "hash_digits", "kept_once", "read", "running_sums", "shared_dir", "squeezed", "unused", "word_count", "written"]
+__all__ = ["attach", "components", "erase", "erase_since", "hash_digits", "kept_once", "read", "running_sums", "shared_dir", "squeezed", "unused", "word_count", "written", "written_so_far"]
 
 #: White space as the contracts define it: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -28,6 +28,7 @@ HOT_SHARE = 1 / 1000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _own_dir: list[str] = []
+_written: list[str] = []  # folders of written tables, in order
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
 
-    The files go when the driver's JVM ends.
+    The files go with erase or erase_since, or else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
@@ -59,12 +60,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    _written.append(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_so_far() -> int:
+    return len(_written)
+
+
+def erase_since(mark: int, keep: DataFrame) -> None:
+    """Deletes the tables written since the mark, but for keep, the last one written: for a step whose result it is."""
+    spark = keep.sparkSession
+    kept = {os.path.basename(os.path.dirname(f)) for f in keep.inputFiles()} | {os.path.basename(p) for p in _written[-1:]}
+    for path in _written[mark:]:
+        if os.path.basename(path) not in kept:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _written[mark:] = [p for p in _written[mark:] if os.path.basename(p) in kept]
+
+
 def erase(table: DataFrame) -> None:
     """Deletes a written table that no later plan reads, and lets the driver's
     cleaner drop the shuffle files of plans that are gone."""
