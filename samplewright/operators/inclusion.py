@@ -10,6 +10,7 @@ exact line search over a few sums.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +99,7 @@ def _start(units: DataFrame, budget: float) -> DataFrame:
 
 
 def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFrame, budget: float, lam: float = 0.5, gap: float = 1e-4, steps: int = 500) -> DataFrame:
-    """(unit, s) that maximises the population-risk utility, by Frank-Wolfe to a relative duality gap; raises if that takes more steps.
+    """(unit, s) that maximises the population-risk utility, by Frank-Wolfe to a relative duality gap; warns if that takes more steps.
 
     The line search needs the group sizes at both ends only, of which there is
     one a group of positive weight.
@@ -135,12 +136,12 @@ def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFra
         now = stored(now.join(corner.select("unit", "v"), "unit").withColumn("s", F.col("s") + t * (F.col("v") - F.col("s"))).drop("v"), "step")
         n = {g: n[g] + t * (m[g] - n[g]) for g in share}
     else:
-        raise RuntimeError(f"the gap is above {gap} after {steps} steps")
+        warnings.warn(f"the relative gap is above {gap} after {steps} steps", RuntimeWarning, stacklevel=2)
     return now.select("unit", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")).alias("s"))
 
 
 def diversity_probabilities(units: DataFrame, similarity: DataFrame, budget: float, weight: float = 100.0, eps: float = 1e-4, gap: float = 1e-4, steps: int = 500) -> DataFrame:
-    """(unit, s) that maximises weight * sum(s) - s'(M + eps I)s, by Frank-Wolfe with exact steps to a relative gap; raises if that takes more."""
+    """(unit, s) that maximises weight * sum(s) - s'(M + eps I)s, by Frank-Wolfe with exact steps to a relative gap; warns if that takes more."""
     matrix = stored(symmetric(similarity), "similarity")
     now = stored(_start(units, budget).select("unit", "cost", "is_labeled", "s"), "step")
     for _ in range(steps):
@@ -154,7 +155,7 @@ def diversity_probabilities(units: DataFrame, similarity: DataFrame, budget: flo
         t = 1.0 if sums["q"] <= 0 else min(1.0, sums["g"] / (2 * sums["q"]))
         now = stored(corner.select("unit", "cost", "is_labeled", (F.col("s") + t * F.col("d")).alias("s")), "step")
     else:
-        raise RuntimeError(f"the gap is above {gap} after {steps} steps")
+        warnings.warn(f"the relative gap is above {gap} after {steps} steps", RuntimeWarning, stacklevel=2)
     return now.select("unit", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")).alias("s"))
 
 
