@@ -125,7 +125,8 @@ def tail(spark, d):
 
 def conv(spark, d):
     images = fx.features(spark, d).select("id", "x")
-    return features.random_conv_features(images, features.noise_filters(6, 3, 1, 5), 0.1, 8, 1, pool=3)
+    got = features.random_conv_features(images, features.noise_filters(6, 3, 1, 5), 0.1, 8, 1, pool=3)
+    return got.select("id", F.posexplode(F.transform("x", lambda v: v.cast("double"))).alias("k", "v"))
 
 
 def patches(spark, d):
@@ -139,7 +140,7 @@ def patch_features(spark, d):
 
 def pixel_model(spark, d):
     filters = features.noise_filters(4, 3, 1, 5)
-    return features.pixel_predictions(fx.features(spark, d).select("id", "x"), filters, np.linspace(-1, 1, 8), 0.5, 0.1, 8, 1)
+    return features.pixel_predictions(fx.features(spark, d).select("id", "x"), filters, np.linspace(-1, 1, 8), 0.5, 0.1, 8, 1).withColumn("pred", F.bround("pred", 9))
 
 
 # ridge in SQL: sums of three features, and the normal equations by Cramer's rule
@@ -204,6 +205,14 @@ SCORED = f"""test AS (SELECT * FROM ridge_y WHERE fold = 0), folded AS (SELECT *
 scored AS (SELECT best.run_id, n, alpha, y, {PREDICTED} AS p FROM test, best)
 SELECT run_id, any_value(n) AS n, round_even(any_value(alpha), 9) AS alpha, {METRICS} FROM scored GROUP BY run_id"""
 
+def activations_sql(filters: np.ndarray, bias: float) -> str:
+    """CTEs up to a (id, n, h, w, v): both activation maps of every 3 x 3 filter over the 8 x 8 embeddings."""
+    values = ", ".join(f"({n}, [{', '.join(f'{float(v)!r}::DOUBLE' for v in f.ravel())}])" for n, f in enumerate(filters))
+    return f"""px AS (SELECT vec_id::VARCHAR AS id, embedding::DOUBLE[] AS x FROM embeddings), f(n, f) AS (VALUES {values}),
+c AS (SELECT id, n, h, w, list_sum(list_transform(range(9), lambda k: x[(h + k // 3) * 8 + w + k % 3 + 1] * f[k + 1])) AS c FROM px, f, range(6) y(h), range(6) z(w)),
+a AS (SELECT id, n, h, w, greatest(c - {bias}, 0) AS v FROM c UNION ALL SELECT id, n + {len(filters)}, h, w, greatest(-c - {bias}, 0) FROM c)"""
+
+
 _Z = ["1.0::DOUBLE", "q", "dis", "tax", "y"]
 QUERIES = {
     "ridge_sufficient_stats": stats, "ridge_folds": folds, "ridge_cv": cv, "ridge_predict": predictions, "kfold_sweep": sweep, "single_solve": single, "best_fold_results": best, "best_hyperparameter": chosen,
@@ -233,6 +242,9 @@ SELECT id, round_even(least(150.0, greatest(10.0, {PREDICTED})), 6) AS pred FROM
     "scene_regression": f"""WITH {fx.RIDGE}, long AS (SELECT *, 'y' AS outcome FROM ridge_y UNION ALL SELECT * REPLACE (q - tax AS y), 'y2' FROM ridge_y),
 t AS (SELECT outcome, {sums_sql()}, 0.1::DOUBLE AS lam FROM long WHERE fold > 0 GROUP BY outcome), f AS ({fit_sql('t', 'outcome', 'lam')})
 SELECT id, f.outcome, round_even(CASE f.outcome WHEN 'y' THEN greatest(0.0, {PREDICTED}) ELSE {PREDICTED} END, 6) AS pred FROM long JOIN f ON long.outcome = f.outcome WHERE fold = 0""",
+    "random_conv_features": f"WITH {activations_sql(features.noise_filters(6, 3, 1, 5), 0.1)} SELECT id, (n * 4 + h // 3 * 2 + w // 3)::INT AS k, avg(v)::FLOAT::DOUBLE AS v FROM a GROUP BY ALL",
+    "pixel_predictions": f"""WITH {activations_sql(features.noise_filters(4, 3, 1, 5), 0.1)}, weights(n, weight) AS (VALUES {", ".join(f"({n}, {float(w)!r}::DOUBLE)" for n, w in enumerate(np.linspace(-1, 1, 8)))})
+SELECT id AS tile_id, h::INT AS row, w::INT AS col, round_even(0.5 + sum(weight * v), 9) AS pred FROM a JOIN weights ON a.n = weights.n GROUP BY ALL""",
     "ridge_predict": f"WITH {fx.RIDGE} SELECT id, least(150.0, greatest(25.0, CASE run_id WHEN 'A' THEN 20 + 3 * q - 2 * dis + 5 * tax ELSE 10 + 2 * q + 5 * tax END)) AS pred FROM ridge WHERE run_id IN ('A', 'N')",
     "best_hyperparameter": "SELECT DISTINCT l_returnflag AS run_id, 'y' AS outcome, CASE WHEN l_returnflag = 'A' THEN 10.0::DOUBLE ELSE 1.0 END AS lambda, 0.98::DOUBLE AS score, l_returnflag <> 'A' AS at_edge, false AS tied FROM lineitem",
     "min_sample_guard": f"WITH {fx.POINTS} SELECT unit AS run_id, id FROM points WHERE unit IN (SELECT unit FROM points GROUP BY unit HAVING count(*) >= 12)",
