@@ -65,8 +65,8 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float = 0.5)
     A polygon that holds the point is at distance 0; of equally near ones the
     least is taken. Edges are dealt to the grid cells of their boxes, widened by
     the reach, and meet the points of a cell by an equi-join. Points without any
-    edge in reach are taken again with twice the reach, until what they found is
-    nearer than all that lies out of reach: as many passes as doublings.
+    edge in reach are taken again with four times the reach, until what they found
+    is nearer than all that lies out of reach: as many passes as quadruplings.
     """
     own = points.select("id", "lon", "lat")
     held = points_within_polygons(own, polygons).filter("polygon is not null").select("id", "polygon", F.lit(0.0).alias("metres"))
@@ -82,16 +82,17 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float = 0.5)
     rest = stored(own.join(held, "id", "left_anti"), "unmatched")
     first = stored(within(rest, reach), "nearest")
     out, open_, far = held.unionByName(first), rest.join(first, "id", "left_anti"), reach
-    while True:
+    while not segments.isEmpty():
         open_ = stored(open_, "unmatched")
-        if open_.isEmpty() or segments.isEmpty():
-            return out
-        far *= 2
+        if open_.isEmpty():
+            break
+        far *= 4
         found = stored(within(open_, far).join(open_.select("id", "lat"), "id"), "nearest")
         # what lies out of reach is at least this far, going north or south and east or west
         sure = found.filter(F.col("metres") <= far * DEGREE_M * F.cos(F.radians("lat"))) if far < 720 else found
         out = out.unionByName(sure.drop("lat"))
         open_ = open_.join(sure, "id", "left_anti")
+    return out
 
 
 def polygon_or_nearest(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
