@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..prefix import hash_digits, running_sums
 
-__all__ = ["attach", "components", "erase", "erase_since", "hash_digits", "kept_once", "read", "running_sums", "shared_dir", "squeezed", "unused", "word_count", "written", "written_so_far"]
+__all__ = ["attach", "components", "erase", "erase_path", "erase_since", "hash_digits", "kept_once", "read", "running_sums", "shared_dir", "shared_path", "squeezed", "unused", "word_count", "written", "written_so_far"]
 
 #: White space as the contracts define it: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -47,6 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path there that nothing uses, for files of other formats; it goes with erase_path, or else when the driver's JVM ends."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def erase_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors.
 

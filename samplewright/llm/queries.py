@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, jaccard_join, language, licences, mixing, packing, sharding, substring_dedup, token_counts
+from . import embedding_dedup, exact_dedup, filter_audit, hard_negatives, jaccard_join, language, licences, mixing, packing, sharding, substring_dedup, token_counts, warc
 from .common import read
 
 
@@ -129,6 +129,38 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM q
 """
 
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").filter(F.col("label").isNotNull() & hard_negatives.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    v = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), v.alias("v")), F.col("vec_id") % 100 == 0)
+
+
+OP11_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, (row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b))::INTEGER AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+"""
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.converted(read(spark, sf_dir, "pages"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_hilbert_shards": op1_hilbert_shards,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -140,6 +172,9 @@ QUERIES = {
     "op8_licence_scan": op8_licence_scan,
     "op9_token_counts": op9_token_counts,
     "op10_mix": op10_mix,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_warc": op12_warc,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL = {"op4_jaccard_join": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_licence_scan": licences.scan_sql(), "op10_mix": OP10_SQL}
+ORACLE_SQL = {"op4_jaccard_join": OP4_SQL, "op7_exact_dedup": OP7_SQL, "op8_licence_scan": licences.scan_sql(), "op10_mix": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_warc": warc.warc_sql(), "op13_filter_audit": filter_audit.audit_sql()}
