@@ -125,7 +125,9 @@ def arc_records(content: bytes) -> Iterator[dict]:
     before its declared length is not whole.
     """
     s = Stream(content)
-    first = s.line() or b""
+    first = s.line()
+    if first is None:  # an empty file
+        return
     m = re.match(rb"filedesc://(\S*) .*?(\d{8,17}) .* (\d+)$", first)
     if m is None:
         raise ValueError(f"not an ARC file: {first[:80]!r}")
