@@ -1,13 +1,15 @@
 """Ridge regression from sufficient statistics.
 
 Rows are read once: every partition adds up, for each run and fold, the products
-of (1, x, y) with itself. All folds, penalties and refits are solved from those
-sums, so a sweep over many samples is one job.
+of (1, x, y) with itself, in tiles of TILE columns. All folds, penalties and
+refits are solved from those sums, a task for each run and fold, so a sweep over
+many samples is one job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +22,8 @@ from ..stored import stored
 from .aggregates import metric_columns
 
 ALPHAS = tuple(float(a) for a in np.logspace(-5, 5, 10))
-#: Rows of a Gram matrix that travel together at most, and their bytes; bytes of the sums that a task holds before it sends them on.
-BLOCK, BLOCK_BYTES, HELD_BYTES = 256, 1 << 20, 1 << 28
+#: Columns of a tile of a Gram matrix, and bytes of the sums that a task holds before it sends them on.
+TILE, HELD_BYTES = 256, 1 << 28
 #: Parts in which the sums of all tasks are added first.
 SALTS = 32
 #: Models up to this size are sent to all tasks.
@@ -33,17 +35,37 @@ def with_folds(df: DataFrame, k: int, seed: str, by: Sequence[str] = ("run_id",)
     return hash_ranked(df, seed, id_col, by=list(by)).withColumn("fold", (F.col("rank") % k).cast("int")).drop("rank")
 
 
-def block_rows(width: int) -> int:
-    """Rows of a Gram matrix of this width that travel together."""
-    return max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))
+def tiles(width: int, tile: int = TILE) -> list[tuple[int, int]]:
+    """The tiles (i, j), i <= j, of a symmetric matrix: the others are their mirror images."""
+    n = -(-width // tile)
+    return [(i, j) for i in range(n) for j in range(i, n)]
 
 
-def sufficient_stats(df: DataFrame, y: Sequence[str] = ("y",), x: str = "x") -> DataFrame:
-    """(run_id, fold, block, part): blocks of rows of the sum of z z' with z = (1, x, y...), from (run_id, fold, x, y...).
+def _span(i: int, width: int, tile: int) -> slice:
+    return slice(i * tile, min((i + 1) * tile, width))
+
+
+def matrix_of(width: int, tile: int, parts: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+    """The whole matrix from its tiles."""
+    g = np.empty((width, width))
+    for (i, j), p in parts.items():
+        rows, cols = _span(i, width, tile), _span(j, width, tile)
+        g[rows, cols] = p.reshape(rows.stop - rows.start, -1)
+        g[cols, rows] = g[rows, cols].T
+    return g
+
+
+STATS = "run_id string, fold int, i int, j int, width int, tile int, part binary"
+
+
+def sufficient_stats(df: DataFrame, y: Sequence[str] = ("y",), x: str = "x", tile: int = TILE) -> DataFrame:
+    """(run_id, fold, i, j, width, tile, part): tiles of the sum of z z' with z = (1, x, y...), from (run_id, fold, x, y...).
 
     Rows with a null in x or y are left out. Every task adds up the rows of a run
-    and fold before it sends a sum on; where few sums fit into a task, its rows
-    are sorted by run and fold first. Sums of many tasks are added in two levels.
+    and fold before it sends tiles on; it holds HELD_BYTES of sums at most: where few
+    sums fit, its rows are sorted by run and fold first; where not even one does,
+    its tiles are dealt to several passes over the rows. Sums of many tasks are
+    added in two levels, tile by tile as they arrive.
     """
     ys = list(y)
     ok = F.col(x).isNotNull() & F.forall(x, lambda v: v.isNotNull())
@@ -52,58 +74,71 @@ def sufficient_stats(df: DataFrame, y: Sequence[str] = ("y",), x: str = "x") ->
     own = df.filter(ok).select("run_id", F.col("fold").cast("int").alias("fold"), F.col(x).cast("array<double>").alias("x"), F.array(*[F.col(c).cast("double") for c in ys]).alias("y"))
     one = own.select(F.size("x").alias("d")).first()
     width = 1 + len(ys) + (one["d"] if one else 0)
-    held, step = max(1, HELD_BYTES // (8 * width * width)), block_rows(width)
+    every, at_once = tiles(width, tile), max(1, HELD_BYTES // (8 * min(tile, width) ** 2))
+    held = max(1, at_once // len(every))
     if held < 64:
         own = own.sortWithinPartitions("run_id", "fold")
-    schema = "run_id string, fold int, block int, part binary"
-    names = ["run_id", "fold", "block", "part"]
+    names = ["run_id", "fold", "i", "j", "width", "tile", "part"]
 
     def batches_of(sums: dict) -> Iterator[pa.RecordBatch]:
-        for (r, f), g in sums.items():
-            parts = [g[b : b + step].tobytes() for b in range(0, len(g), step)]
-            n = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([r] * n, pa.string()), pa.array([f] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(parts, pa.binary())], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict = {}
+        for (r, f), parts in sums.items():
+            for (i, j), p in parts.items():
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.string()), *(pa.array([v], pa.int32()) for v in (f, i, j, width, tile)), pa.array([p.tobytes()], pa.binary())], names)
+
+    def adds(own_tiles: list[tuple[int, int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict = {}
+            for b in batches:
+                n = b.num_rows
+                if not n:
+                    continue
+                z = np.column_stack([np.ones(n), *(c.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in (b.column("x"), b.column("y")))])
+                where: dict = {}
+                for k, key in enumerate(zip(b.column("run_id").to_pylist(), b.column("fold").to_pylist(), strict=True)):
+                    where.setdefault(key, []).append(k)
+                for key, rows in where.items():
+                    if key not in sums and len(sums) >= held:
+                        yield from batches_of(sums)
+                        sums = {}
+                    part, mine = z[rows], sums.setdefault(key, {})
+                    for i, j in own_tiles:
+                        mine[i, j] = mine.get((i, j), 0) + part[:, _span(i, width, tile)].T @ part[:, _span(j, width, tile)]
+            yield from batches_of(sums)
+
+        return run
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, first = 0, None
         for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            z = np.column_stack([np.ones(n), *(c.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in (b.column("x"), b.column("y")))])
-            keys = list(zip(b.column("run_id").to_pylist(), b.column("fold").to_pylist(), strict=True))
-            where: dict = {}
-            for i, key in enumerate(keys):
-                where.setdefault(key, []).append(i)
-            for key, rows in where.items():
-                if key not in sums and len(sums) >= held:
-                    yield from batches_of(sums)
-                    sums = {}
-                part = z[rows]
-                sums[key] = sums.get(key, 0) + part.T @ part
-        yield from batches_of(sums)
-
-    def add(t: pa.Table) -> pa.Table:
-        total = 0
-        for p in t.column("part"):
-            total = total + np.frombuffer(p.as_py())
-        return t.slice(0, 1).set_column(3, "part", pa.array([total.tobytes()], pa.binary())).select(names)
-
-    by = ["run_id", "fold", "block"]
-    salted = own.mapInArrow(run, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    return salted.groupBy(*by, "salt").applyInArrow(add, schema).groupBy(*by).applyInArrow(add, schema)
-
-
-def _grams(t: pa.Table) -> dict[int, np.ndarray]:
-    """The Gram matrix of every fold of a run."""
-    parts: dict = {}
-    for f, b, p in zip(*(t.column(c).to_pylist() for c in ("fold", "block", "part")), strict=True):
-        parts.setdefault(f, {})[b] = np.frombuffer(p)
-    out = {}
-    for f, own in sorted(parts.items()):
-        flat = np.concatenate([own[b] for b in sorted(own)])
-        out[f] = flat.reshape(int(round(len(flat) ** 0.5)), -1)
-    return out
+            first = b.slice(0, 1) if first is None and b.num_rows else first
+            for p in b.column("part"):
+                total = total + np.frombuffer(p.as_buffer())
+        yield pa.RecordBatch.from_arrays([*(first.column(c) for c in names[:-1]), pa.array([total.tobytes()], pa.binary())], names)
+
+    by = ["run_id", "fold", "i", "j"]
+    passes = [own.mapInArrow(adds(every[k : k + at_once]), STATS) for k in range(0, len(every), at_once)]
+    salted = reduce(DataFrame.unionByName, passes).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return salted.groupBy(*by, "salt").applyInArrow(add, STATS).groupBy(*by).applyInArrow(add, STATS)
+
+
+def left_out(stats: DataFrame) -> DataFrame:
+    """(run_id, fold, i, j, width, tile, folds, train, part): tiles of every fold's own sum and of the sum of its run's other
+    folds; and fold -1, without a part, whose train is the sum of all. A task sees one tile of the folds of a run."""
+    names = ["run_id", "fold", "i", "j", "width", "tile", "folds", "train", "part"]
+
+    def run(t: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(p.as_buffer()) for p in t.column("part")]
+        total, k = sum(parts), len(parts)
+        fixed = [pa.array([t.column(c)[0].as_py()] * (k + 1), pa.int32()) for c in ("i", "j", "width", "tile")]
+        cols = [pa.array([t.column("run_id")[0].as_py()] * (k + 1), pa.string()), pa.array([*t.column("fold").to_pylist(), -1], pa.int32()), *fixed, pa.array([k] * (k + 1), pa.int32())]
+        return pa.table([*cols, pa.array([*((total - p).tobytes() for p in parts), total.tobytes()], pa.binary()), pa.array([*(p.tobytes() for p in parts), None], pa.binary())], names)
+
+    return stats.groupBy("run_id", "i", "j").applyInArrow(run, "run_id string, fold int, i int, j int, width int, tile int, folds int, train binary, part binary")
+
+
+def _read_tiles(t: pa.Table, column: str) -> dict[tuple[int, int], np.ndarray]:
+    keys = zip(t.column("i").to_pylist(), t.column("j").to_pylist(), t.column(column), strict=True)
+    return {(i, j): np.frombuffer(p.as_buffer()) for i, j, p in keys if p.is_valid}
 
 
 def _standard(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, float]:
@@ -129,33 +164,47 @@ def fit_alphas(g: np.ndarray, alphas: Sequence[float]) -> list[tuple[float, np.n
     return out
 
 
-def r2_of(g: np.ndarray, intercept: float, w: np.ndarray) -> float:
-    """r2 of a linear model on the rows that a Gram matrix sums up; NaN when y does not vary."""
-    v = np.r_[intercept, w, -1.0]
-    sse, n = v @ g @ v, g[0, 0]
-    sst = g[-1, -1] - g[0, -1] ** 2 / n
-    return 1 - sse / sst if sst > 0 else float("nan")
+def _r2_by_tiles(width: int, tile: int, parts: dict[tuple[int, int], np.ndarray], v: np.ndarray) -> np.ndarray:
+    """r2 of linear models, columns (intercept, coefficients, -1) of v, on the rows that a fold's tiles sum up; NaN when y does not vary."""
+    sse, last = np.zeros(v.shape[1]), (width - 1) // tile
+    for (i, j), p in parts.items():
+        rows, cols = _span(i, width, tile), _span(j, width, tile)
+        sse += (1 if i == j else 2) * (v[rows] * (p.reshape(rows.stop - rows.start, -1) @ v[cols])).sum(axis=0)
+    corner, edge, n = parts[last, last][-1], parts[0, last].reshape(-1, width - last * tile)[0, -1], parts[0, 0][0]
+    sst = corner - edge**2 / n
+    return 1 - sse / sst if sst > 0 else np.full(v.shape[1], np.nan)
 
 
 def ridge_cv(stats: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """(run_id, n, alpha, cv_r2, intercept, coef): alpha of the best mean fold r2, the first on ties, refitted on all folds.
 
-    Runs with fewer than two rows a fold, or fewer than 5, get no row.
+    A task for each run and fold, and one for the refit of a run, makes one
+    decomposition and answers for all alphas; it holds about five matrices as wide
+    as the features. The best alpha is chosen by aggregation. Runs with fewer than
+    two rows a fold, or fewer than 5, get no row.
     """
+    names = ["run_id", "fold", "k", "alpha", "n", "r2", "intercept", "coef"]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
 
     def solve(t: pa.Table) -> pa.Table:
-        folds = _grams(t)
-        total, names = sum(folds.values()), ["run_id", "n", "alpha", "cv_r2", "intercept", "coef"]
-        n, kinds = int(total[0, 0]), (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
-        if n < max(5, 2 * len(folds)) or len(folds) < 2:
+        run, fold, width, tile, folds = (t.column(c)[0].as_py() for c in ("run_id", "fold", "width", "tile", "folds"))
+        parts, train = _read_tiles(t, "part"), matrix_of(width, tile, _read_tiles(t, "train"))
+        n = int(round(train[0, 0] + (parts[0, 0][0] if parts else 0)))
+        if n < max(5, 2 * folds) or folds < 2:
             return pa.table([pa.array([], k) for k in kinds], names)
-        scores = np.array([[r2_of(g, *m) for m in fit_alphas(total - g, alphas)] for g in folds.values()]).mean(axis=0)
-        best = int(np.nanargmax(scores)) if not np.isnan(scores).all() else 0
-        intercept, w = fit_alphas(total, [alphas[best]])[0]
-        row = (t.column("run_id")[0].as_py(), n, alphas[best], float(scores[best]), float(intercept), w.tolist())
-        return pa.table([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
+        fits = fit_alphas(train, alphas)
+        r2 = _r2_by_tiles(width, tile, parts, np.array([[b, *w, -1.0] for b, w in fits]).T).tolist() if parts else [None] * len(fits)
+        rows = [(run, fold, k, float(a), n, r, float(b), None if parts else w.tolist()) for k, (a, r, (b, w)) in enumerate(zip(alphas, r2, fits, strict=True))]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return stats.groupBy("run_id").applyInArrow(solve, "run_id string, n bigint, alpha double, cv_r2 double, intercept double, coef array<double>")
+    schema = "run_id string, fold int, k int, alpha double, n bigint, r2 double, intercept double, coef array<double>"
+    solved = left_out(stats).groupBy("run_id", "fold").applyInArrow(solve, schema)
+    whole = F.col("fold") < 0
+    mean = solved.groupBy("run_id", "k", "alpha").agg(
+        F.max("n").alias("n"), F.avg("r2").alias("cv_r2"), F.max(F.when(whole, F.col("intercept"))).alias("intercept"), F.first("coef", ignorenulls=True).alias("coef")
+    )
+    best = mean.groupBy("run_id").agg(F.min_by(F.struct("n", "alpha", "cv_r2", "intercept", "coef"), F.struct(-F.col("cv_r2"), "k")).alias("b"))  # NaN is the largest
+    return best.select("run_id", "b.*")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -232,25 +281,24 @@ def ridge_sweep(stats: DataFrame, lambdas: Sequence[float], outcomes: Sequence[s
     outs = list(outcomes)
 
     def solve(t: pa.Table) -> pa.Table:
-        folds, run, rows = _grams(t), t.column("run_id")[0].as_py(), []
-        total = sum(folds.values())
-        for f, g in [(f, total - g) for f, g in folds.items()] if leave_out else [(-1, total)]:
-            d = len(g) - 1 - len(outs)
-            xx, n = g[1 : d + 1, 1 : d + 1], g[0, 0]
-            mean = g[0, 1 : d + 1] / n if intercept else np.zeros(d)
-            xx = xx - n * np.outer(mean, mean)
-            values, vectors = np.linalg.eigh(xx)
-            for k, name in enumerate(outs):
-                y_mean = g[0, d + 1 + k] / n if intercept else 0.0
-                xy = vectors.T @ (g[1 : d + 1, d + 1 + k] - n * mean * y_mean)
-                for lam in lambdas:
-                    s = values + lam
-                    rcond = float(max(s.min(), 0) / s.max()) if s.max() > 0 else 0.0
-                    w = vectors @ (xy / np.where(np.abs(s) > 1e-300, s, np.inf))
-                    rows.append((run, f, name, float(lam), rcond, rcond < np.finfo(float).eps, float(y_mean - mean @ w), w.tolist()))
+        run, fold, width, tile = (t.column(c)[0].as_py() for c in ("run_id", "fold", "width", "tile"))
+        g, rows = matrix_of(width, tile, _read_tiles(t, "train")), []
+        d = width - 1 - len(outs)
+        xx, n = g[1 : d + 1, 1 : d + 1], g[0, 0]
+        mean = g[0, 1 : d + 1] / n if intercept and n else np.zeros(d)
+        values, vectors = np.linalg.eigh(xx - n * np.outer(mean, mean))
+        for k, name in enumerate(outs):
+            y_mean = g[0, d + 1 + k] / n if intercept and n else 0.0
+            xy = vectors.T @ (g[1 : d + 1, d + 1 + k] - n * mean * y_mean)
+            for lam in lambdas:
+                s = values + lam
+                rcond = float(max(s.min(), 0) / s.max()) if s.max() > 0 else 0.0
+                w = vectors @ (xy / np.where(np.abs(s) > 1e-300, s, np.inf))
+                rows.append((run, fold, name, float(lam), rcond, rcond < np.finfo(float).eps, float(y_mean - mean @ w), w.tolist()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return stats.groupBy("run_id").applyInArrow(solve, "run_id string, fold int, outcome string, lambda double, rcond double, ill boolean, intercept double, coef array<double>")
+    schema = "run_id string, fold int, outcome string, lambda double, rcond double, ill boolean, intercept double, coef array<double>"
+    return left_out(stats).filter("fold >= 0" if leave_out else "fold < 0").drop("part").groupBy("run_id", "fold").applyInArrow(solve, schema)
 
 
 def kfold_sweep(

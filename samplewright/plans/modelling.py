@@ -24,9 +24,11 @@ def stats(spark, d):
     def cells(batches):
         for b in batches:
             rows = []
-            for r, f, k, p in zip(*(b.column(c).to_pylist() for c in ("run_id", "fold", "block", "part")), strict=True):
-                g = np.frombuffer(p).reshape(-1, 5)
-                rows += [(r, f, k * ridge.BLOCK + i, j, float(v)) for i, row in enumerate(g) for j, v in enumerate(row)]
+            for r in b.to_pylist():
+                g = np.frombuffer(r["part"]).reshape(min(r["tile"], r["width"] - r["i"] * r["tile"]), -1)
+                for (i, j), v in np.ndenumerate(g):
+                    at = (r["i"] * r["tile"] + i, r["j"] * r["tile"] + j)
+                    rows += [(r["run_id"], r["fold"], *p, float(v)) for p in {at, at[::-1] if r["i"] < r["j"] else at}]
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["run_id", "fold", "i", "j", "value"])

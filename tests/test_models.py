@@ -32,9 +32,10 @@ def direct(x, y, a):
     return y.mean() - mean @ w, w
 
 
-def test_ridge_cv_equals_direct_fits(frame, xy):
+@pytest.mark.parametrize("tile", [256, 2])
+def test_ridge_cv_equals_direct_fits(frame, xy, tile):
     x, y = xy
-    got, fold = ridge.ridge_cv(ridge.sufficient_stats(frame)).first(), np.arange(len(y)) % 5
+    got, fold = ridge.ridge_cv(ridge.sufficient_stats(frame, tile=tile)).first(), np.arange(len(y)) % 5
     mean = []
     for a in ridge.ALPHAS:
         r2 = []
@@ -49,6 +50,32 @@ def test_ridge_cv_equals_direct_fits(frame, xy):
     assert np.allclose(got["coef"], w, atol=1e-6) and np.isclose(got["intercept"], b, atol=1e-4)
 
 
+def test_wide_ridge_is_bounded_by_tiles_and_folds(spark):
+    """1,000 features: tiles of at most TILE columns travel, and a task sees one fold of a run."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 1000)).round(3)
+    y = x[:, :5].sum(axis=1) + rng.normal(size=400)
+    df = spark.createDataFrame([("r", i % 4, x[i].tolist(), float(y[i])) for i in range(400)], "run_id string, fold int, x array<double>, y double").repartition(3)
+    stats = ridge.sufficient_stats(df)
+    sizes = [len(r["part"]) for r in stats.collect()]
+    assert len(sizes) == 4 * 10 and max(sizes) <= 8 * ridge.TILE**2 and sum(sizes) < 4 * 8 * 1002 * (1002 + ridge.TILE) / 2 * 1.1
+    model = ridge.ridge_cv(stats, (10.0, 1000.0))
+    plan = model._jdf.queryExecution().executedPlan().toString()
+    assert "run_id" in plan and plan.count("FlatMapGroupsInArrow") == 4  # two levels of sums, one left out, one solve
+    got = model.first()
+    b, w = direct(x, y, got["alpha"])
+    assert np.allclose(got["coef"], w, atol=1e-8) and np.isclose(got["intercept"], b)
+    scores = {}
+    for a in (10.0, 1000.0):
+        r2 = []
+        for f in range(4):
+            t = np.arange(400) % 4 == f
+            c, v = direct(x[~t], y[~t], a)
+            r2.append(1 - ((y[t] - x[t] @ v - c) ** 2).sum() / ((y[t] - y[t].mean()) ** 2).sum())
+        scores[a] = np.mean(r2)
+    assert got["alpha"] == max(scores, key=scores.get) and np.isclose(got["cv_r2"], max(scores.values()))
+
+
 def test_sweep_without_intercept(frame, xy):
     x, y = xy
     got = ridge.ridge_sweep(ridge.sufficient_stats(frame), [2.0], intercept=False, leave_out=False).first()

@@ -84,13 +84,16 @@ def test_predictions_by_many_models(spark, monkeypatch, small, on):
 
 def test_sums_of_wide_rows_are_bounded(spark, monkeypatch):
     df = spark.range(200).select(F.concat(F.lit("r"), F.col("id") % 3).alias("run_id"), (F.col("id") % 4).cast("int").alias("fold"), F.array(F.col("id") * 1.0, F.col("id") % 7 * 1.0).alias("x"), (F.col("id") % 5 * 1.0).alias("y"))
-    want = {(r["run_id"], r["fold"], r["block"]): bytes(r["part"]) for r in ridge.sufficient_stats(df).collect()}
+    sums = lambda **o: {(r["run_id"], r["fold"], r["i"], r["j"]): np.frombuffer(r["part"]) for r in ridge.sufficient_stats(df, **o).collect()}
+    want = sums()
     monkeypatch.setattr(ridge, "HELD_BYTES", 8 * 16 * 2)  # two sums a task
-    got = {(r["run_id"], r["fold"], r["block"]): bytes(r["part"]) for r in ridge.sufficient_stats(df).collect()}
-    assert got == want and len(want) == 12
-    monkeypatch.setattr(ridge, "BLOCK_BYTES", 64)  # two rows of a matrix travel together
-    halves = {(r["run_id"], r["fold"], r["block"]): bytes(r["part"]) for r in ridge.sufficient_stats(df).collect()}
-    assert len(halves) == 24 and all(halves[r, f, 0] + halves[r, f, 1] == want[r, f, 0] for r, f, _ in want)
+    got = sums()
+    assert len(want) == 12 and all((got[k] == v).all() for k, v in want.items())
+    monkeypatch.setattr(ridge, "HELD_BYTES", 8 * 4)  # one tile of two columns at a time: a pass over the rows for each
+    parts = sums(tile=2)
+    assert len(parts) == 36 and {len(v) for v in parts.values()} == {4}
+    for r, f, *_ in want:
+        assert (ridge.matrix_of(4, 2, {(i, j): parts[r, f, i, j] for i, j in ridge.tiles(4, 2)}).ravel() == want[r, f, 0, 0]).all()
 
 
 def test_a_cluster_needs_a_shared_folder():
