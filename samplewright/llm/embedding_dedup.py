@@ -7,12 +7,16 @@ takes some of the code's bits, about as many as the number of vectors needs for
 buckets of BUCKET; codes that agree on them are candidates if they are near
 enough as a whole. How near, and how many tables, is measured on pairs of
 sampled vectors at the threshold. Candidates are verified with the original
-vectors, in double precision. Equal vectors are one class throughout.
+vectors, in double precision. Equal vectors are one class throughout. Where the
+tables that a table of vectors can pay for do not reach the share asked for (all
+vectors lie close together, say), nothing is left to chance: all vectors meet, in
+bounded blocks, and a warning says so.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -32,10 +36,12 @@ SAMPLE = 10_000
 ITERATIONS = 40
 #: Share of pairs right at the threshold that must be candidates, and vectors on which this is measured.
 RECALL, PROBED = 0.97, 1000
-#: Unrelated vectors of a bucket, about; tables at most.
-BUCKET, MOST_TABLES = 8, 512
-#: Codes of one bucket, and vectors of one code, that are compared as a block.
-CODES, BLOCK = 2048, 256
+#: Unrelated vectors of a bucket, about.
+BUCKET = 8
+#: Tables at most: from a table for every 64 vectors on, comparing all in blocks costs no more than filling the tables.
+LEAST_TABLES, MOST_TABLES, TABLE_PAYS = 64, 4096, 64
+#: Codes of one bucket, and vectors of one code, that are compared as a block; vectors of a block where all meet.
+CODES, BLOCK, WIDE_BLOCK = 2048, 256, 1024
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, iterations: int = ITERATIONS, start: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -66,12 +72,14 @@ def _unit(rows: list | np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Mean, projection (d x 2 bits), a table a row of masks (two words), and the bits by which candidates may differ."""
+    """Mean, projection (d x 2 bits), a table a row of masks (two words), the bits by which candidates may differ,
+    and the share of pairs at the threshold, of the kind that fares worst, that meet in some table."""
 
     mean: np.ndarray
     projection: np.ndarray
     masks: np.ndarray
     most: int
+    share: float
 
     def codes(self, unit: np.ndarray) -> np.ndarray:
         """Two words a vector."""
@@ -101,7 +109,8 @@ def learn(unit: np.ndarray, n: int, threshold: float, bits: int = BITS) -> Index
     """The index for n vectors, from a sample of them.
 
     The tables deal out the code's bits from one shuffled pack after the other,
-    and are added until RECALL of each kind of near_pairs meet in one.
+    and are added until RECALL of each kind of near_pairs meet in one, or until
+    comparing all vectors would cost no more; the share reached is told.
     """
     (mean, one), (_, two) = (learn_rotation(unit, bits, start=s) for s in (7, 13))
     projection = np.hstack([one, two])
@@ -111,14 +120,15 @@ def learn(unit: np.ndarray, n: int, threshold: float, bits: int = BITS) -> Index
     w = min(max(1, math.ceil(math.log2(max(2, n / BUCKET)))), max(1, width // 3))
     rng, deck, masks = np.random.default_rng(5), np.empty(0, np.int64), []
     open_ = [np.ones(len(x), bool) for x in apart]
-    while len(masks) < MOST_TABLES and (not masks or any(o.mean() > 1 - RECALL for o in open_)):
+    most_tables = min(MOST_TABLES, max(LEAST_TABLES, n // TABLE_PAYS))
+    while len(masks) < most_tables and (not masks or any(o.mean() > 1 - RECALL for o in open_)):
         if len(deck) < w:
             deck = rng.permutation(width)
         at, deck = deck[:w], deck[w:]
         open_ = [o & x[:, at].any(axis=1) for o, x in zip(open_, apart, strict=True)]
         half = width // 2
         masks.append([sum(1 << int(i) for i in at if i < half), sum(1 << int(i - half) for i in at if i >= half)])
-    return Index(mean, projection, np.array(masks, np.uint64), most)
+    return Index(mean, projection, np.array(masks, np.uint64), most, float(min((1 - o.mean() for o in open_), default=1.0)))
 
 
 def fitted(vectors: DataFrame, n: int, threshold: float = THRESHOLD, sample: int = SAMPLE) -> Index:
@@ -130,12 +140,12 @@ def fitted(vectors: DataFrame, n: int, threshold: float = THRESHOLD, sample: int
         v = t.sort_by([("h", "ascending"), ("id", "ascending")]).column("v").combine_chunks()
         own = learn(_unit(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)), n, threshold)
         raw = [own.mean.tobytes(), own.projection.tobytes(), own.masks.tobytes()]
-        return pa.table([*[pa.array([x], pa.binary()) for x in raw], pa.array([own.most], pa.int32())], ["mean", "projection", "masks", "most"])
+        return pa.table([*[pa.array([x], pa.binary()) for x in raw], pa.array([own.most], pa.int32()), pa.array([own.share])], ["mean", "projection", "masks", "most", "share"])
 
-    schema = "mean binary, projection binary, masks binary, most int"
+    schema = "mean binary, projection binary, masks binary, most int, share double"
     got = near.orderBy("h", "id").limit(sample).select("h", "id", F.col("v").cast("array<double>").alias("v")).groupBy(F.lit("index")).applyInArrow(solve, schema).first()
     mean = np.frombuffer(got["mean"])
-    return Index(mean, np.frombuffer(got["projection"]).reshape(len(mean), -1), np.frombuffer(got["masks"], np.uint64).reshape(-1, 2), got["most"])
+    return Index(mean, np.frombuffer(got["projection"]).reshape(len(mean), -1), np.frombuffer(got["masks"], np.uint64).reshape(-1, 2), got["most"], got["share"])
 
 
 def encode(vectors: DataFrame, index: Index) -> DataFrame:
@@ -196,12 +206,14 @@ def near_codes(codes: DataFrame, masks: np.ndarray, most: int) -> DataFrame:
     return met.select("t", "lo", "hi", "rows").mapInArrow(run, "a bigint, b bigint")
 
 
-def _links(x_ids: np.ndarray, x: np.ndarray, x_size: np.ndarray, y_ids: np.ndarray, y: np.ndarray, y_size: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, their numbers of links and their least linked id, of two blocks of classes with so many members."""
+def _links(
+    x_cid: np.ndarray, x_ids: np.ndarray, x: np.ndarray, x_size: np.ndarray, y_cid: np.ndarray, y_ids: np.ndarray, y: np.ndarray, y_size: np.ndarray, same: bool, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, their ids, numbers of links and least linked ids, of two blocks of classes with so many members."""
     near = x @ y.T >= threshold
     near &= x_ids[:, None] != y_ids[None, :]
     if not near.any():
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 4
     left, right = x_ids.copy(), y_ids.copy()
     top = np.iinfo(np.int64).max
     while True:  # least id reachable inside the two blocks
@@ -213,31 +225,40 @@ def _links(x_ids: np.ndarray, x: np.ndarray, x_size: np.ndarray, y_ids: np.ndarr
             break
         left, right = a, b
     n_x, n_y = near @ y_size, x_size @ near
-    if same:
-        return x_ids[n_x > 0], n_x[n_x > 0], left[n_x > 0]
     keep_x, keep_y = n_x > 0, n_y > 0
-    return np.r_[x_ids[keep_x], y_ids[keep_y]], np.r_[n_x[keep_x], n_y[keep_y]], np.r_[left[keep_x], right[keep_y]]
+    if same:
+        return x_cid[keep_x], x_ids[keep_x], n_x[keep_x], left[keep_x]
+    return np.r_[x_cid[keep_x], y_cid[keep_y]], np.r_[x_ids[keep_x], y_ids[keep_y]], np.r_[n_x[keep_x], n_y[keep_y]], np.r_[left[keep_x], right[keep_y]]
 
 
 def _linked(good: DataFrame, n: int, threshold: float) -> DataFrame:
     """(id, n, root) of usable (id, v) of one length: numbers of links and least linked ids, part by part."""
     index = fitted(good, n, threshold)
+    every_pair = index.share < RECALL
+    if every_pair:
+        warnings.warn(f"{len(index.masks)} tables for {n} vectors would find {index.share:.2f} of the pairs at {threshold}: all vectors are compared in blocks", RuntimeWarning, stacklevel=2)
     vectors = written(encode(good, index).withColumn("same", F.md5("vec")), "codes")
     # an id with several vectors does not link with itself: each of its rows is a class of its own
     torn = vectors.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo <> hi").select("id", F.col("id").alias("alone"))
     vectors = vectors.join(torn, "id", "left").withColumn("class", F.concat_ws("|", "same", "alone")).drop("same", "alone")
     first = [F.first(c).alias(c) for c in ("c0", "c1", "vec")]
     classes = vectors.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("size"), *first)
-    classes = written(classes.withColumn("code", F.xxhash64("c0", "c1")), "vector-classes")
+    wide = max(1, math.ceil(n / WIDE_BLOCK))
+    code = F.pmod(F.xxhash64(F.lit("block"), "class"), F.lit(wide).cast("long")) if every_pair else F.xxhash64("c0", "c1")
+    classes = written(classes.withColumns({"code": code, "cid": F.xxhash64("class")}), "vector-classes")
     codes = classes.groupBy("code").agg(F.first("c0").alias("c0"), F.first("c1").alias("c1"), F.count("*").alias("n"))
-    codes = written(codes.withColumn("blocks", F.ceil(F.col("n") / BLOCK)), "code-sizes")
+    codes = written(codes.withColumn("blocks", F.ceil(F.col("n") / (2 * WIDE_BLOCK if every_pair else BLOCK))), "code-sizes")
     placed = attach(classes, codes.select("code", "n", "blocks"), "code", "n", n).withColumn("sub", F.pmod(F.xxhash64("class"), F.col("blocks")))
-    blocks = written(placed.groupBy("code", "sub").agg(F.collect_list(F.struct("rep", "size", "vec")).alias("rows")), "blocks")
+    blocks = written(placed.groupBy("code", "sub").agg(F.collect_list(F.struct("cid", "rep", "size", "vec")).alias("rows")), "blocks")
 
     every = codes.select("code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("sub"))
     inside = every.alias("x").join(every.alias("y"), "code").filter("x.sub <= y.sub").join(codes.filter("n > 1").select("code"), "code", "left_semi")
     inside = inside.select(F.col("code").alias("a"), F.col("x.sub").alias("sa"), F.col("code").alias("b"), F.col("y.sub").alias("sb"))
-    pairs = written(near_codes(codes.select("code", "c0", "c1"), index.masks, index.most), "code-pairs")
+    if every_pair:  # the later blocks of every block
+        numbers = good.sparkSession.range(wide - 1).select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.lit(wide - 1).cast("long"))).alias("b"))
+        pairs = numbers.repartition("a", "b")
+    else:
+        pairs = written(near_codes(codes.select("code", "c0", "c1"), index.masks, index.most), "code-pairs")
     x, y = (every.select(F.col("code").alias(s), F.col("sub").alias(f"s{s}")) for s in "ab")
     across = pairs.join(x, "a").join(y, "b").select("a", "sa", "b", "sb")
     x, y = (blocks.select(F.col("code").alias(s), F.col("sub").alias(f"s{s}"), F.col("rows").alias(f"r{s}")) for s in "ab")
@@ -245,22 +266,22 @@ def _linked(good: DataFrame, n: int, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(np.empty(0, np.int64),) * 3]
+            out = [(np.empty(0, np.int64),) * 4]
             keys = [batch.column(c).to_pylist() for c in ("a", "sa", "b", "sb")]
             sides = []
             for s in "ab":
                 rows = batch.column(f"r{s}")
                 raw = rows.flatten().field("vec")
                 vec = np.frombuffer(b"".join(raw.to_pylist()), float).reshape(len(raw), -1)
-                sides.append((rows.flatten().field("rep").to_numpy(), vec, rows.flatten().field("size").to_numpy(), np.concatenate(([0], np.cumsum(rows.value_lengths().to_numpy())))))
+                sides.append((rows.flatten().field("cid").to_numpy(), rows.flatten().field("rep").to_numpy(), vec, rows.flatten().field("size").to_numpy(), np.concatenate(([0], np.cumsum(rows.value_lengths().to_numpy())))))
             for k, (a, sa, b, sb) in enumerate(zip(*keys, strict=True)):
                 own = [x[ends[k] : ends[k + 1]] for *side, ends in sides for x in side]
                 out.append(_links(*own, same=(a, sa) == (b, sb), threshold=threshold))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["rep", "n", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], ["cid", "rep", "n", "root"])
 
-    found = written(work.select("a", "sa", "b", "sb", "ra", "rb").mapInArrow(run, "rep bigint, n bigint, root bigint"), "links")
-    sums = found.groupBy("rep").agg(F.sum("n").alias("links"))
-    of_class = written(classes.select("class", "rep", "size").join(sums, "rep", "left").filter("size > 1 or links > 0"), "class-links")
+    found = written(work.select("a", "sa", "b", "sb", "ra", "rb").mapInArrow(run, "cid bigint, rep bigint, n bigint, root bigint"), "links")
+    sums = found.groupBy("cid", "rep").agg(F.sum("n").alias("links"))  # an id's several vectors are classes of one rep, each with its own links
+    of_class = written(classes.select("class", "cid", "rep", "size").join(sums, ["cid", "rep"], "left").drop("cid").filter("size > 1 or links > 0"), "class-links")
     members = vectors.groupBy("id", "class").agg(F.count("*").alias("rows"))
     met = attach(members, of_class, "class", "size", n).filter("rep is not null")
     own = met.select("id", (F.col("rows") * (F.coalesce("links", F.lit(0)) + F.col("size") - F.col("rows"))).alias("n"), F.col("rep").alias("root"))

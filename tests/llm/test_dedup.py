@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import warnings
 
 import numpy as np
 import pytest
@@ -200,6 +201,43 @@ def test_embedding_recall_just_above_the_threshold(spark, d, mean):
     assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.95 * near.sum()
 
 
+@pytest.mark.parametrize(("mean", "warned"), [(0.8, True), (0.0, False)])
+def test_no_link_is_lost_where_tables_do_not_pay(spark, mean, warned):
+    """Vectors close together by their mean: all are compared, whatever the tables could find; else the tables serve."""
+    rng = np.random.default_rng(4)
+    own = rng.normal(size=(6000, 64))
+    own[5700:] = own[:300] * 0.8 + rng.normal(size=(300, 64)) * 0.6
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    x = (np.sqrt(mean) * np.eye(64)[0] + np.sqrt(1 - mean) * own).astype(np.float32)
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        got = {r["id"]: r["n_links"] for r in embedding_dedup.link(rows).collect()}
+    assert any("compared in blocks" in str(w.message) for w in said) == warned
+    found = np.array([got[i] for i in range(len(x))])
+    if warned:
+        assert near.sum() > 500 and (found == near).all()
+    else:
+        assert (found <= near).all() and found.sum() >= 0.95 * near.sum()
+
+
+def test_embedding_query_against_brute_force(spark, data):
+    rows = spark.read.parquet(f"{data}/embeddings.parquet").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    got = {r["vec_id"]: r for r in QUERIES["op3_embedding_near_dedup"](spark, data).collect()}
+    found = np.array([got[r["vec_id"]]["n_links"] for r in rows])
+    assert len(got) == len(rows) and (found <= near.sum(axis=1)).all() and found.sum() >= 0.9 * near.sum()
+    reach = np.array([r["vec_id"] for r in rows])
+    for _ in range(len(rows)):
+        reach = np.minimum(reach, np.where(near, reach[None, :], reach.max()).min(axis=1))
+    if found.sum() == near.sum():
+        assert [got[r["vec_id"]]["component_id"] for r in rows] == reach.tolist()
+
+
 def test_unrelated_codes_meet_seldom(spark):
     counts = []
     for n in (3000, 12_000):
