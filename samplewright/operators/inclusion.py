@@ -11,15 +11,22 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..prefix import hash_ranked, value_ranked
 from ..rng import uniform
-from ..stored import stored
+from ..stored import erase, stored
 from .selection import cap_per_unit, within_budget
 
+#: Bytes of the vectors of a block.
+BLOCK_BYTES = 1 << 21
+
+
 def knapsack(units: DataFrame, gain: str, budget: float) -> DataFrame:
     """Adds s: the fractional knapsack by gain over cost, units of one ratio sharing the margin evenly.
 
@@ -83,12 +90,68 @@ def symmetric(similarity: DataFrame) -> DataFrame:
     return both.groupBy("row_id", "col_id").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg("sim"))).alias("sim"))
 
 
-def utility_diversity(selection: DataFrame, matrix: DataFrame, weight: float = 100.0, eps: float = 1e-4) -> DataFrame:
-    """weight * sum(s) - s'(M + eps I)s of given (unit, s); matrix: symmetric (row_id, col_id, sim)."""
-    s = selection.select("unit", "s")
-    quad = matrix.join(s.withColumnRenamed("unit", "row_id").withColumnRenamed("s", "sr"), "row_id").join(s.withColumnRenamed("unit", "col_id").withColumnRenamed("s", "sc"), "col_id")
-    total = quad.agg(F.coalesce(F.sum(F.col("sim") * F.col("sr") * F.col("sc")), F.lit(0.0)).alias("q"))
-    return s.agg(F.sum("s").alias("t"), F.sum(F.col("s") * F.col("s")).alias("e")).join(F.broadcast(total)).select((F.lit(weight) * F.col("t") - F.col("q") - eps * F.col("e")).alias("utility"))
+class CosineBlocks:
+    """The matrix of cosines, clipped to 0..1, of (unit, grp, x) within each grp, without a table of pairs.
+
+    Unit vectors lie in blocks of BLOCK_BYTES, dealt by a hash within their group,
+    however large it is. A product with a vector of weights meets block and block
+    in a task, as matrices, and Spark adds the partial sums of each unit. A unit
+    has a row; nulls, and vectors without length, are similar to nothing.
+    """
+
+    def __init__(self, vectors: DataFrame, block_bytes: int = BLOCK_BYTES):
+        own = vectors.select("unit", F.col("grp").cast("string").alias("grp"), F.col("x").cast("array<double>").alias("x"))
+        length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
+        own = own.withColumn("_l", length).filter(F.col("grp").isNotNull() & (F.col("_l") > 0)).select("unit", "grp", F.transform("x", lambda v: v / F.col("_l")).alias("x"))
+        own = stored(own, "unit-vectors")
+        width = own.agg(F.coalesce(F.max(F.size("x")), F.lit(1)).alias("d")).first()["d"]
+        rows = max(64, block_bytes // (8 * width))
+        counts = own.groupBy("grp").agg(F.ceil(F.count("*") / rows).alias("_n"))
+        dealt = own.join(counts, "grp").withColumn("block", F.pmod(F.xxhash64("unit"), F.col("_n")))
+        self.blocks = stored(dealt.groupBy("grp", "block").agg(F.sort_array(F.collect_list(F.struct("unit", "x"))).alias("rows")), "blocks")
+        self.places = stored(self.blocks.select("grp", "block", F.posexplode("rows.unit").alias("place", "unit")), "places")
+        self.unit_type = dict(vectors.dtypes)["unit"]
+        erase(own)
+
+    def times(self, weights: DataFrame, value: str) -> DataFrame:
+        """(unit, product) of the matrix and the weights (unit, value); absent and null weights are 0."""
+        placed = self.places.join(weights.select("unit", F.col(value).cast("double").alias("v")), "unit", "left")
+        weighed = placed.groupBy("grp", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", F.coalesce("v", F.lit(0.0)).alias("v")))), lambda p: p["v"]).alias("w"))
+        full = self.blocks.join(weighed, ["grp", "block"])
+        a, b = (self.blocks.select("grp", F.col("block").alias(c)) for c in "ab")
+        pairs = a.join(b, "grp").filter("a <= b")  # numbers of blocks alone
+        a, b = (full.select("grp", F.col("block").alias(c), F.col("rows.unit").alias(f"u{c}"), F.col("rows.x").alias(f"x{c}"), F.col("w").alias(f"w{c}")) for c in "ab")
+        met = pairs.join(a, ["grp", "a"]).join(b, ["grp", "b"]).select("a", "b", "ua", "xa", "wa", "ub", "xb", "wb")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    units, x, w = [], [], []
+                    for side in "ab":
+                        units.append(batch.column(f"u{side}")[r].values)
+                        x.append(batch.column(f"x{side}")[r].values.flatten().to_numpy(zero_copy_only=False).reshape(len(units[-1]), -1))
+                        w.append(batch.column(f"w{side}")[r].values.to_numpy(zero_copy_only=False))
+                    sim = np.clip(x[0] @ x[1].T, 0.0, 1.0)
+                    yield pa.RecordBatch.from_arrays([units[0], pa.array(sim @ w[1])], ["unit", "product"])
+                    if batch.column("a")[r] != batch.column("b")[r]:
+                        yield pa.RecordBatch.from_arrays([units[1], pa.array(w[0] @ sim)], ["unit", "product"])
+
+        return met.mapInArrow(run, f"unit {self.unit_type}, product double").groupBy("unit").agg(F.sum("product").alias("product"))
+
+
+def _product(matrix: DataFrame | CosineBlocks, weights: DataFrame, value: str) -> DataFrame:
+    """(unit, product) of a symmetric matrix and (unit, value)."""
+    if isinstance(matrix, CosineBlocks):
+        return matrix.times(weights, value)
+    return matrix.join(weights.select(F.col("unit").alias("col_id"), value), "col_id").groupBy(F.col("row_id").alias("unit")).agg(F.sum(F.col("sim") * F.col(value)).alias("product"))
+
+
+def utility_diversity(selection: DataFrame, matrix: DataFrame | CosineBlocks, weight: float = 100.0, eps: float = 1e-4) -> DataFrame:
+    """weight * sum(s) - s'(M + eps I)s of given (unit, s); matrix: symmetric (row_id, col_id, sim), or blocks of vectors."""
+    own = selection.select("unit", "s")
+    own = own.join(_product(matrix, own, "s"), "unit", "left")
+    loss = F.col("s") * (F.coalesce("product", F.lit(0.0)) + eps * F.col("s"))
+    return own.agg((F.lit(weight) * F.sum("s") - F.sum(loss)).alias("utility"))
 
 
 def _start(units: DataFrame, budget: float) -> DataFrame:
@@ -124,6 +187,7 @@ def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFra
         gains = kept.join(slopes, "grp").groupBy("unit").agg(F.sum(F.col("a") * F.col("slope")).alias("gain"))
         corner = stored(knapsack(now.drop("s").join(gains, "unit", "left").na.fill(0.0, ["gain"]), "gain", budget).select("unit", "gain", F.col("s").alias("v")), "step")
         m = sizes(corner.withColumnRenamed("v", "s"))
+        old = now
         bound = sum(slope[g] * (m[g] - n[g]) for g in share)
         if bound <= gap * abs(value(n)):
             break
@@ -134,31 +198,54 @@ def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFra
             lo, hi = (a, hi) if at(a) < at(b) else (lo, b)
         t = (lo + hi) / 2
         now = stored(now.join(corner.select("unit", "v"), "unit").withColumn("s", F.col("s") + t * (F.col("v") - F.col("s"))).drop("v"), "step")
+        erase(old, corner)
         n = {g: n[g] + t * (m[g] - n[g]) for g in share}
     else:
         warnings.warn(f"the relative gap is above {gap} after {steps} steps", RuntimeWarning, stacklevel=2)
     return now.select("unit", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")).alias("s"))
 
 
-def diversity_probabilities(units: DataFrame, similarity: DataFrame, budget: float, weight: float = 100.0, eps: float = 1e-4, gap: float = 1e-4, steps: int = 500) -> DataFrame:
-    """(unit, s) that maximises weight * sum(s) - s'(M + eps I)s, by Frank-Wolfe with exact steps to a relative gap; warns if that takes more."""
-    matrix = stored(symmetric(similarity), "similarity")
-    now = stored(_start(units, budget).select("unit", "cost", "is_labeled", "s"), "step")
+def diversity_probabilities(
+    units: DataFrame, similarity: DataFrame | CosineBlocks, budget: float, weight: float = 100.0, eps: float = 1e-4, gap: float = 1e-4, steps: int = 500
+) -> DataFrame:
+    """(unit, s) that maximises weight * sum(s) - s'(M + eps I)s, by Frank-Wolfe with exact steps to a relative gap; warns if that takes more.
+
+    similarity: (row_id, col_id, sim), or blocks of vectors. The product of M and s
+    follows from step to step, so each step makes one product, of the direction.
+    """
+    matrix = similarity if isinstance(similarity, CosineBlocks) else stored(symmetric(similarity), "similarity")
+    first = _start(units, budget).select("unit", "cost", "is_labeled", "s")
+    now = stored(first.join(_product(matrix, first, "s"), "unit", "left").withColumn("ms", F.coalesce("product", F.lit(0.0))).drop("product"), "step")
     for _ in range(steps):
-        ms = matrix.join(now.select(F.col("unit").alias("col_id"), "s"), "col_id").groupBy(F.col("row_id").alias("unit")).agg(F.sum(F.col("sim") * F.col("s")).alias("ms"))
-        own = now.join(ms, "unit", "left").na.fill(0.0, ["ms"]).withColumn("gain", F.lit(weight) - 2 * (F.col("ms") + eps * F.col("s")))
-        corner = stored(knapsack(own, "gain", budget).select("unit", "cost", "is_labeled", "gain", F.col("s").alias("v")).join(now.select("unit", "s"), "unit").withColumn("d", F.col("v") - F.col("s")), "step")
-        md = matrix.join(corner.select(F.col("unit").alias("col_id"), "d"), "col_id").groupBy(F.col("row_id").alias("unit")).agg(F.sum(F.col("sim") * F.col("d")).alias("md"))
-        sums = corner.join(md, "unit", "left").agg(F.sum(F.col("gain") * F.col("d")).alias("g"), F.sum(F.col("d") * (F.coalesce("md", F.lit(0.0)) + eps * F.col("d"))).alias("q"), F.sum(F.abs(F.col("gain") * F.col("s"))).alias("size")).first()
+        own = now.withColumn("gain", F.lit(weight) - 2 * (F.col("ms") + eps * F.col("s")))
+        corner = knapsack(own.drop("s"), "gain", budget).select("unit", F.col("s").alias("v"))
+        corner = stored(own.join(corner, "unit").withColumn("d", F.col("v") - F.col("s")), "corner")
+        full = stored(corner.join(_product(matrix, corner, "d"), "unit", "left").withColumn("md", F.coalesce("product", F.lit(0.0))).drop("product"), "direction")
+        sums = full.agg(F.sum(F.col("gain") * F.col("d")).alias("g"), F.sum(F.col("d") * (F.col("md") + eps * F.col("d"))).alias("q"), F.sum(F.abs(F.col("gain") * F.col("s"))).alias("size")).first()
         if (sums["g"] or 0.0) <= gap * max(sums["size"] or 0.0, 1e-12):
             break
-        t = 1.0 if sums["q"] <= 0 else min(1.0, sums["g"] / (2 * sums["q"]))
-        now = stored(corner.select("unit", "cost", "is_labeled", (F.col("s") + t * F.col("d")).alias("s")), "step")
+        t, old = 1.0 if sums["q"] <= 0 else min(1.0, sums["g"] / (2 * sums["q"])), now
+        now = stored(full.select("unit", "cost", "is_labeled", (F.col("s") + t * F.col("d")).alias("s"), (F.col("ms") + t * F.col("md")).alias("ms")), "step")
+        erase(old, corner, full)
     else:
         warnings.warn(f"the relative gap is above {gap} after {steps} steps", RuntimeWarning, stacklevel=2)
     return now.select("unit", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")).alias("s"))
 
 
+def diversity_certificate(units: DataFrame, probabilities: DataFrame, matrix: DataFrame | CosineBlocks, budget: float, weight: float = 100.0, eps: float = 1e-4, gap: float = 1e-4) -> DataFrame:
+    """(n, spent, feasible, gap_met) of inclusion probabilities, from them alone: the best gain of any feasible direction against gap times the gains held."""
+    own = units.select("unit", "cost", "is_labeled").join(probabilities.select("unit", "s"), "unit")
+    own = own.join(_product(matrix, own, "s"), "unit", "left").withColumn("gain", F.lit(weight) - 2 * (F.coalesce("product", F.lit(0.0)) + eps * F.col("s")))
+    own = stored(own.drop("product"), "certified")
+    best = knapsack(own.drop("s"), "gain", budget).select("unit", F.col("s").alias("v"))
+    paid = F.sum(F.when(F.col("is_labeled"), 0.0).otherwise(F.col("cost") * F.col("s")))
+    out = own.join(best, "unit").agg(
+        F.count("*").alias("n"), paid.alias("spent"), F.sum(F.col("gain") * (F.col("v") - F.col("s"))).alias("g"), F.sum(F.abs(F.col("gain") * F.col("s"))).alias("size"),
+        F.min(F.col("s").between(0.0, 1.0) & (~F.col("is_labeled") | (F.col("s") == 1.0))).alias("fine"),
+    )
+    return out.select("n", "spent", (F.col("fine") & (F.col("spent") <= budget * (1 + 1e-9))).alias("feasible"), (F.col("g") <= 1.0001 * gap * F.col("size")).alias("gap_met"))
+
+
 def round_selection(points: DataFrame, units: DataFrame, probabilities: DataFrame, budget: float, seed: str, per_unit: int = 10) -> DataFrame:
     """(id, unit): units drawn with their probability, in a random order up to the budget, and points of each."""
     own = units.filter("not is_labeled").join(probabilities, "unit").filter(uniform(seed + "|draw", F.col("unit")) < F.col("s"))

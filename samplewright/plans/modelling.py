@@ -106,7 +106,7 @@ def bounded(spark, d):
 
 def scene(spark, d):
     rows = fx.ridge_rows(spark, d).withColumn("y2", F.col("x")[0] - F.col("x")[2])
-    return ridge.scene_regression(rows.filter("fold > 0"), rows.filter("fold = 0"), ["y", "y2"], 0.1, {"y": (0.0, None)}).select("id", "outcome", *_rounded("pred"))
+    return ridge.scene_regression(rows.filter("fold > 0"), rows.filter("fold = 0"), ["y", "y2"], 0.1, {"y": (0.0, None)}).select("id", "outcome", (F.bround("pred", 6) + 0.0).alias("pred"))
 
 
 def prepared(spark, d):
@@ -243,7 +243,7 @@ UNION ALL SELECT * EXCLUDE run_id, 'updated' FROM ridge_y WHERE (fold = 1 AND ru
 SELECT id, round_even(least(150.0, greatest(10.0, {PREDICTED})), 6) AS pred FROM ridge_y, f WHERE fold = 0""",
     "scene_regression": f"""WITH {fx.RIDGE}, long AS (SELECT *, 'y' AS outcome FROM ridge_y UNION ALL SELECT * REPLACE (q - tax AS y), 'y2' FROM ridge_y),
 t AS (SELECT outcome, {sums_sql()}, 0.1::DOUBLE AS lam FROM long WHERE fold > 0 GROUP BY outcome), f AS ({fit_sql('t', 'outcome', 'lam')})
-SELECT id, f.outcome, round_even(CASE f.outcome WHEN 'y' THEN greatest(0.0, {PREDICTED}) ELSE {PREDICTED} END, 6) AS pred FROM long JOIN f ON long.outcome = f.outcome WHERE fold = 0""",
+SELECT id, f.outcome, round_even(CASE f.outcome WHEN 'y' THEN greatest(0.0, {PREDICTED}) ELSE {PREDICTED} END, 6) + 0.0::DOUBLE AS pred FROM long JOIN f ON long.outcome = f.outcome WHERE fold = 0""",  # + 0: a zero has no sign
     "random_conv_features": f"WITH {activations_sql(features.noise_filters(6, 3, 1, 5), 0.1)} SELECT id, (n * 4 + h // 3 * 2 + w // 3)::INT AS k, avg(v)::FLOAT::DOUBLE AS v FROM a GROUP BY ALL",
     "pixel_predictions": f"""WITH {activations_sql(features.noise_filters(4, 3, 1, 5), 0.1)}, weights(n, weight) AS (VALUES {", ".join(f"({n}, {float(w)!r}::DOUBLE)" for n, w in enumerate(np.linspace(-1, 1, 8)))})
 SELECT id AS tile_id, h::INT AS row, w::INT AS col, round_even(0.5 + sum(weight * v), 9) AS pred FROM a JOIN weights ON a.n = weights.n GROUP BY ALL""",

@@ -241,14 +241,9 @@ def rounded(spark, d):
     return inclusion.round_selection(p, u, s, 900.0, "x7", 4)
 
 
-def _similarity(spark, d):
-    """Cosine of vectors that share a label."""
-    from ..operators.ridge import dot
-
-    e = fx.features(spark, d).withColumn("x", F.transform("x", lambda v: v.cast("double")))
-    e = e.withColumn("norm", F.sqrt(dot(F.col("x"), F.col("x"))))
-    a, b = (e.select(F.col("id").alias(f"{s}_id"), F.col("x").alias(f"x{s}"), F.col("norm").alias(f"n{s}"), "unit") for s in ("row", "col"))
-    return a.join(b, "unit").select("row_id", "col_id", (dot(F.col("xrow"), F.col("xcol")) / (F.col("nrow") * F.col("ncol"))).alias("sim"))
+def _cosines(spark, d):
+    """Blocks of the vectors that share a label."""
+    return inclusion.CosineBlocks(fx.features(spark, d).select(F.col("id").alias("unit"), F.col("unit").alias("grp"), "x"))
 
 
 def mean_similarity(spark, d):
@@ -257,14 +252,24 @@ def mean_similarity(spark, d):
     return mean_cosine_per_unit(fx.features(spark, d)).select("unit", F.bround("sim", 9).alias("sim"))
 
 
+def _diverse_units(spark, d):
+    return fx.features(spark, d).select(F.col("id").alias("unit"), (1 + F.col("id").cast("int") % 5).cast("double").alias("cost"), F.lit(False).alias("is_labeled"))
+
+
 def diversity(spark, d):
-    own = fx.features(spark, d).select(F.col("id").alias("unit"), (1 + F.col("id").cast("int") % 5).cast("double").alias("cost"), F.lit(False).alias("is_labeled"))
-    return inclusion.diversity_probabilities(own, _similarity(spark, d), 100.0)
+    return inclusion.diversity_probabilities(_diverse_units(spark, d), _cosines(spark, d), 100.0)
+
+
+def diversity_proof(spark, d):
+    """Size, spending and duality gap of the inclusion probabilities, recomputed from them."""
+    own, cosines = _diverse_units(spark, d), _cosines(spark, d)
+    got = inclusion.diversity_certificate(own, inclusion.diversity_probabilities(own, cosines, 100.0), cosines, 100.0)
+    return got.select("n", F.bround("spent", 6).alias("spent"), "feasible", "gap_met")
 
 
 def diversity_value(spark, d):
     own = fx.features(spark, d).select(F.col("id").alias("unit"), F.when(F.col("id").cast("int") % 3 == 0, 1.0).otherwise(0.25).alias("s"))
-    return inclusion.utility_diversity(own, inclusion.symmetric(_similarity(spark, d))).select(F.bround("utility", 6).alias("utility"))
+    return inclusion.utility_diversity(own, _cosines(spark, d)).select(F.bround("utility", 6).alias("utility"))
 
 
 SIM = """vec AS (SELECT vec_id::VARCHAR AS id, label::VARCHAR AS unit, embedding::DOUBLE[] AS x FROM embeddings),
@@ -283,7 +288,7 @@ QUERIES = {
     "random_sample": simple_random, "train_test_split": split, "split_80_20": split_fifth, "allocate_strata": strata, "pps_clusters": clusters, "cluster_sample": cluster_points, "sample_sweep": sweep,
     "nearest_place_distance": near_places, "convenience_points": convenience, "convenience_points_softmax": convenience_soft, "convenience_clusters": convenience_clusters, "softmax_neg_distance": softmax,
     "utility_greedy": greedy, "utility_similarity": similar, "inclusion_pop_risk": pop_risk, "utility_value_pop_risk": pop_risk_value, "group_matrix_avg": group_matrix, "round_selection": rounded, "run_selection_optimised": run_optimised, "convenience_centroids": convenience_centroids,
-    "mean_similarity_per_unit": mean_similarity, "inclusion_diversity": diversity, "utility_value_diversity": diversity_value,
+    "mean_similarity_per_unit": mean_similarity, "inclusion_diversity": diversity, "inclusion_diversity_gap": diversity_proof, "utility_value_diversity": diversity_value,
 }
 
 ORACLE_SQL = {
@@ -337,6 +342,7 @@ SELECT round_even(-sum(share * (0.5 / sqrt(n) + 0.5 / sqrt((SELECT sum(n) FROM g
 cum AS (SELECT *, sum(cost) OVER (ORDER BY {digits_sql('x7', 'unit')}, unit ROWS UNBOUNDED PRECEDING) AS cum FROM hit),
 pts AS (SELECT p.id, p.unit, row_number() OVER (PARTITION BY p.unit ORDER BY {digits_sql('x7', 'p.id')}, p.id) AS k FROM points p JOIN cum ON p.unit = cum.unit WHERE cum <= 900 AND NOT p.labeled) SELECT id, unit FROM pts WHERE k <= 4""",
     "mean_similarity_per_unit": f"WITH {SIM}, per AS (SELECT unit, col_id, avg(sim) AS sim FROM sim GROUP BY ALL) SELECT unit, round_even(avg(sim), 9) AS sim FROM per GROUP BY unit",
+    "inclusion_diversity_gap": "SELECT count(*) AS n, least(100.0::DOUBLE, sum(1 + vec_id % 5)) AS spent, true AS feasible, true AS gap_met FROM embeddings",
     "utility_value_diversity": f"""WITH {SIM}, m AS (SELECT row_id, col_id, least(1.0, greatest(0.0, sim)) AS sim FROM sim),
 s AS (SELECT id AS unit, CASE WHEN id::INT % 3 = 0 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS s FROM vec)
 SELECT round_even(100 * (SELECT sum(s) FROM s) - (SELECT sum(m.sim * a.s * b.s) FROM m JOIN s a ON a.unit = row_id JOIN s b ON b.unit = col_id) - 1e-4 * (SELECT sum(s * s) FROM s), 6) AS utility""",

@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path there that nothing uses; it goes when the driver's JVM ends."""
+    """A path there that nothing uses; it goes when the driver's JVM ends, if not before."""
     path = os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -36,4 +36,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table there: cuts the plan, and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def erase(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads: those that a loop has replaced."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
