@@ -28,7 +28,7 @@ from .common import written
 #: Rows on which the codebooks are learnt; codewords of a half at most, so that a list of all cells has a proven bound.
 SAMPLE, WORDS = 10_000, 128
 #: Rows of a cell and of a shard of cells, and anchors that meet a shard together, about.
-CELL_ROWS, SHARD_ROWS, ANCHORS = 200, 8192, 512
+CELL_ROWS, SHARD_ROWS, ANCHORS = 200, 2048, 512
 #: Rows of the cells that are visited first.
 FIRST = 2000
 ITERATIONS = 12
