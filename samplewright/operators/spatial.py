@@ -5,17 +5,23 @@ points: (id, lon, lat); polygons: (polygon, rings), see functions.geo.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import DEGREE_M, bbox, distance_to_segment, edges, inside, meets_box, tile_half_sizes
+from ..functions.geo import LEAST_DEGREE_M, bbox, edges, geodesic, inside, meets_box, nearest_on_segment, tile_half_sizes
 from ..functions.keys import tile_id
+from ..prefix import BUCKET_ROWS
 from ..stored import stored
 
 #: Cells along a side of a box, about; a box gets the level of the grid at which it covers no more.
 PARTS = 4
+#: Coordinates of an axis that are sent to all tasks at most.
+AXIS_ROWS = 1 << 20
 
 
 def in_cells(shapes: DataFrame, box: Sequence[Column], cell: float) -> DataFrame:
@@ -62,11 +68,14 @@ def points_within_polygons(points: DataFrame, polygons: DataFrame, cell: float =
 def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float = 0.5) -> DataFrame:
     """(id, polygon, metres): the polygon of least distance among those that come within reach degrees in both directions, among all if there are none.
 
-    A polygon that holds the point is at distance 0; of equally near ones the
-    least is taken. Edges are dealt to the grid cells of their boxes, widened by
-    the reach, and meet the points of a cell by an equi-join. Points without any
-    edge in reach are taken again with four times the reach, until what they found
-    is nearer than all that lies out of reach: as many passes as quadruplings.
+    The distance to a polygon is the geodesic on the WGS84 ellipsoid to its place
+    that is nearest in the plane of degrees, cut open opposite the point: polygons
+    beyond the date line are near. A polygon that holds the point is at distance
+    0; of equally near ones the least is taken. Edges are dealt to the grid cells
+    of their boxes, widened by the reach, and meet the points of a cell by an
+    equi-join. Points without any edge in reach are taken again with four times
+    the reach, until what they found is nearer than all that lies out of reach: as
+    many passes as quadruplings.
     """
     own = points.select("id", "lon", "lat")
     held = points_within_polygons(own, polygons).filter("polygon is not null").select("id", "polygon", F.lit(0.0).alias("metres"))
@@ -74,10 +83,18 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float = 0.5)
     x, y = ([F.col(f"{p}.{c}") for p in "ab"] for c in "xy")
 
     def within(open_: DataFrame, far: float) -> DataFrame:
-        box = [F.least(*x) - far, F.least(*y) - far, F.greatest(*x) + far, F.greatest(*y) + far]
-        met = _meeting(open_, in_cells(segments, box, 2 * far), 2 * far).filter(meets_box(F.col("a"), F.col("b"), F.col("lon"), F.col("lat"), far))
-        metres = distance_to_segment(F.col("a"), F.col("b"), F.col("lon"), F.col("lat"))
-        return met.groupBy("id").agg(F.min(F.struct(metres.alias("metres"), "polygon")).alias("r")).select("id", "r.polygon", "r.metres")
+        wide = far * math.sqrt(2)  # a polygon in the box may have its nearest place outside, no farther than the corners
+        box = [F.least(*x) - wide, F.least(*y) - wide, F.greatest(*x) + wide, F.greatest(*y) + wide]
+        turned = F.filter(F.transform(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)), lambda t: F.col("lon") + t), lambda v: (v >= -180 - wide) & (v <= 180 + wide))
+        copies = open_.select("id", F.explode(turned).alias("lon"), "lat")
+        met = _meeting(copies, in_cells(segments, box, 2 * wide), 2 * wide)
+        a, b, lon, lat = (F.col(c) for c in ("a", "b", "lon", "lat"))
+        place = nearest_on_segment(a, b, lon, lat)
+        near = met.select("id", "polygon", "lon", "lat", meets_box(a, b, lon, lat, far).alias("close"), place.alias("p"))
+        # of the copies of a point, the one that sees the polygon nearest
+        best = near.groupBy("id", "polygon").agg(F.max("close").alias("close"), F.min(F.struct("p.d2", "p.x", "p.y", "lon", "lat")).alias("p")).filter("close")
+        metres = geodesic(F.col("p.lat"), F.col("p.lon"), F.col("p.y"), F.col("p.x"))
+        return best.withColumn("metres", metres).groupBy("id").agg(F.min(F.struct("metres", "polygon")).alias("r")).select("id", "r.polygon", "r.metres")
 
     rest = stored(own.join(held, "id", "left_anti"), "unmatched")
     first = stored(within(rest, reach), "nearest")
@@ -88,8 +105,9 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float = 0.5)
             break
         far *= 4
         found = stored(within(open_, far).join(open_.select("id", "lat"), "id"), "nearest")
-        # what lies out of reach is at least this far, going north or south and east or west
-        sure = found.filter(F.col("metres") <= far * DEGREE_M * F.cos(F.radians("lat"))) if far < 720 else found
+        # what lies out of reach is at least this far, going north or south, or east or west to another meridian
+        aside = F.degrees(F.asin(F.cos(F.radians("lat")) * math.sin(math.radians(min(far, 90.0)))))
+        sure = found.filter(F.col("metres") <= LEAST_DEGREE_M * 0.99 * F.least(F.lit(far), aside)) if far < 360 else found
         out = out.unionByName(sure.drop("lat"))
         open_ = open_.join(sure, "id", "left_anti")
     return out
@@ -107,33 +125,77 @@ def land_filter(grid: DataFrame, land: DataFrame, cell: float = 1.0) -> DataFram
     return points_within_polygons(grid, land, cell).filter("polygon is not null").drop("polygon")
 
 
-def _nearest_on_axis(values: DataFrame, axis: DataFrame, stretch: float) -> DataFrame:
-    """(id, idx): nearest coordinate of (idx, coord) to (id, v), the lower on ties; null when over half a step outside.
-
-    Values and coordinates are dealt to stretches of the axis; in each, the last
-    coordinate before and the first after come from windows, and a stretch also
-    holds its neighbours' coordinates.
+def _half_step(lo: float, hi: float, n: int) -> float:
+    return (hi - lo) / (n - 1) / 2 if n > 1 else 0.0
+
+
+def _by_search(points: DataFrame, axes: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """points with the index of the nearest coordinate of each axis, by binary search in the sorted axes, which go to all tasks."""
+    known = {}
+    for out, (column, axis) in axes.items():
+        got = axis.select(F.col("coord").cast("double").alias("c"), F.col("idx").cast("int").alias("i")).orderBy("c", "i").toArrow()
+        known[out] = column, got.column("c").to_numpy(), got.column("i").to_numpy()
+    shared = points.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols, names = list(b.columns), list(b.schema.names)
+            for out, (column, coord, idx) in shared.value.items():
+                v = b.column(column).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                if len(coord):
+                    at = np.clip(np.searchsorted(coord, v), 1, max(1, len(coord) - 1))
+                    lo, hi = at - 1, np.minimum(at, len(coord) - 1)
+                    near = np.where(v - coord[lo] <= coord[hi] - v, lo, hi)
+                    near = np.searchsorted(coord, coord[near])  # the first of equal coordinates
+                    half = _half_step(coord[0], coord[-1], len(coord))
+                    cols.append(pa.array(idx[near], pa.int32(), mask=~((v >= coord[0] - half) & (v <= coord[-1] + half))))
+                else:
+                    cols.append(pa.nulls(b.num_rows, pa.int32()))
+                names.append(out)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in points.dtypes), *(f"{c} int" for c in axes)])
+    return points.mapInArrow(run, schema)
+
+
+def _by_ranges(values: DataFrame, axis: DataFrame) -> DataFrame:
+    """(id, idx) of the nearest coordinate to (id, v), for an axis of any length.
+
+    Values and coordinates are cut together into ranges of about BUCKET_ROWS rows,
+    whatever their density; in a range, windows give the last coordinate before and
+    the first after, and where it holds none on a side, the ranges' own ends carry
+    the nearest one over the edge.
     """
-    cell = F.floor(F.col("v") / stretch)
-    marks = axis.select(F.col("coord").alias("v"), F.struct("coord", "idx").alias("c")).withColumn("s", F.explode(F.array(cell - 1, cell, cell + 1)))
-    both = values.select("id", "v").withColumn("s", cell).unionByName(marks, allowMissingColumns=True)
-    back = Window.partitionBy("s").orderBy("v", F.col("c").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("s").orderBy("v", F.col("c").isNull()).rowsBetween(0, Window.unboundedFollowing)
-    near = both.withColumn("lo", F.last("c", ignorenulls=True).over(back)).withColumn("hi", F.first("c", ignorenulls=True).over(ahead)).filter("c is null")
-    ends = axis.agg(F.min("coord").alias("a"), F.max("coord").alias("z"), F.count("*").alias("n"))  # one row
-    half = (F.col("z") - F.col("a")) / (F.col("n") - 1) / 2
+    first = axis.groupBy(F.col("coord").cast("double").alias("v")).agg(F.min("idx").alias("idx"))
+    marks = first.select("v", F.struct(F.col("v").alias("coord"), "idx").alias("c"))
+    both = values.select("id", F.col("v").cast("double").alias("v")).filter("v is not null and not isnan(v)").unionByName(marks, allowMissingColumns=True)
+    both = stored(both, "axis")
+    n = max(1, math.ceil(both.count() / BUCKET_ROWS))
+    dealt = stored(both.withColumn("h", F.xxhash64("id")).repartitionByRange(n, "v", "h").withColumn("_range", F.spark_partition_id()), "axis-ranges")
+    ends = dealt.groupBy("_range").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))  # a row for each range
+    before, after = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    carried = ends.select("_range", F.last("hi", ignorenulls=True).over(before).alias("_back"), F.first("lo", ignorenulls=True).over(after).alias("_ahead"))
+    place = Window.partitionBy("_range").orderBy("v", F.col("c").isNull())
+    near = dealt.withColumn("lo", F.last("c", ignorenulls=True).over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    near = near.withColumn("hi", F.first("c", ignorenulls=True).over(place.rowsBetween(0, Window.unboundedFollowing))).filter("c is null")
+    near = near.join(carried, "_range").withColumns({"lo": F.coalesce("lo", "_back"), "hi": F.coalesce("hi", "_ahead")})
+    bounds = axis.agg(F.min("coord").alias("a"), F.max("coord").alias("z"), F.count("*").alias("n"))  # one row
+    half = F.when(F.col("n") > 1, (F.col("z") - F.col("a")) / (F.col("n") - 1) / 2).otherwise(0.0)
     down = F.col("lo").isNotNull() & (F.col("hi").isNull() | (F.col("v") - F.col("lo.coord") <= F.col("hi.coord") - F.col("v")))
     outside = (F.col("v") < F.col("a") - half) | (F.col("v") > F.col("z") + half)
-    return near.join(F.broadcast(ends)).select("id", F.when(~outside, F.when(down, F.col("lo.idx")).otherwise(F.col("hi.idx"))).alias("idx"))
+    return near.join(F.broadcast(bounds)).select("id", F.when(~outside, F.when(down, F.col("lo.idx")).otherwise(F.col("hi.idx"))).alias("idx"))
 
 
-def nearest_grid_index(points: DataFrame, lon_axis: DataFrame, lat_axis: DataFrame, stretch: float = 5.0) -> DataFrame:
-    """Adds i and j, 1-based indices of the nearest grid coordinates; null outside the grid.
+def nearest_grid_index(points: DataFrame, lon_axis: DataFrame, lat_axis: DataFrame) -> DataFrame:
+    """Adds i and j, 1-based indices of the nearest grid coordinates, the lower on ties; null over half a step outside the grid.
 
-    stretch must be at least the widest step of an axis.
+    Axes of up to AXIS_ROWS coordinates are searched in every task, and points are
+    not shuffled; longer ones are joined as ranges.
     """
-    i = _nearest_on_axis(points.select("id", F.col("lon").alias("v")), lon_axis, stretch).withColumnRenamed("idx", "i")
-    j = _nearest_on_axis(points.select("id", F.col("lat").alias("v")), lat_axis, stretch).withColumnRenamed("idx", "j")
+    if max(axis.count() for axis in (lon_axis, lat_axis)) <= AXIS_ROWS:
+        return _by_search(points, {"i": ("lon", lon_axis), "j": ("lat", lat_axis)})
+    i = _by_ranges(points.select("id", F.col("lon").alias("v")), lon_axis).withColumnRenamed("idx", "i")
+    j = _by_ranges(points.select("id", F.col("lat").alias("v")), lat_axis).withColumnRenamed("idx", "j")
     return points.join(i, "id", "left").join(j, "id", "left")
 
 

@@ -242,7 +242,26 @@ def landcover(spark, d):
 METRIC_SQL = "round_even(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 6) AS r2, round_even(avg((y - pred) * (y - pred)), 6) AS mse, round_even(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse, round_even(avg(abs(y - pred)), 6) AS mae"
 TRANSFORM = "CASE label WHEN 'housing' THEN ln(value) WHEN 'elevation' THEN value ELSE ln(value + 1) END"
 INSIDE = "lon > x AND lon < x + 10 AND lat > y AND lat < y + 5"
-BOX_DIST = "pow(cos(radians(lat)) * greatest(x - lon, 0, lon - x - 10), 2) + pow(greatest(y - lat, 0, lat - y - 5), 2)"
+
+
+def geodesic_sql(pairs: str, rounds: int = 12) -> str:
+    """CTEs that end in geodesic(id, polygon, metres) on the WGS84 ellipsoid for pairs (id, polygon, lon, lat, px, py)."""
+    f, a = 1 / 298.257223563, 6378137.0
+    b = a * (1 - f)
+    turn = "sqrt(pow(c2 * sin(lam), 2) + pow(c1 * s2 - s1 * c2 * cos(lam), 2))"
+    one = f"SELECT *, {turn} AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM vin"
+    two = f"SELECT *, atan2(ss, cs) AS sg, CASE WHEN ss > 0 THEN c1 * c2 * sin(lam) / ss ELSE 0 END AS sa FROM ({one})"
+    three = f"SELECT *, 1 - sa * sa AS ca, CASE WHEN 1 - sa * sa > 1e-15 THEN cs - 2 * s1 * s2 / (1 - sa * sa) ELSE 0 END AS m FROM ({two})"
+    four = f"SELECT *, {f!r} / 16 * ca * (4 + {f!r} * (4 - 3 * ca)) AS c, ca * {(a * a - b * b) / (b * b)!r} AS k FROM ({three})"
+    big = "(1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k))))"
+    small = "(k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))))"
+    off = f"{small} * ss * (m + {small} / 4 * (cs * (2 * m * m - 1) - {small} / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))"
+    return f"""reduced AS (SELECT id, polygon, radians(px - lon) AS l, atan({1 - f!r} * tan(radians(lat))) AS u1, atan({1 - f!r} * tan(radians(py))) AS u2 FROM {pairs}),
+vin AS (SELECT id, polygon, 0 AS step, l AS lam, l, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2 FROM reduced
+UNION ALL SELECT id, polygon, step + 1, l + (1 - c) * {f!r} * sa * (sg + c * ss * (m + c * cs * (2 * m * m - 1))), l, s1, c1, s2, c2 FROM ({four}) WHERE step < {rounds}),
+geodesic AS (SELECT id, polygon, {b!r} * {big} * (sg - {off}) AS metres FROM ({four}) WHERE step = {rounds})"""
+
+
 MPP = "156543.03392::DOUBLE * cos(radians(lat)) / 16384 * 320 / (pi() * 6371000 / 180)"
 
 
@@ -293,7 +312,9 @@ round_even(156543.03392::DOUBLE * cos(radians(lat)) / 65536, 6) AS mpp,
 round_even(2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin((radians(10) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(10)) * pow(sin(radians(20 - lon) / 2), 2))), 2) AS metres FROM w""",
     "label_spec": "SELECT label, count(*) AS n, lo, hi FROM part, (VALUES ('housing', 10.0::DOUBLE, 13421.0::DOUBLE), ('elevation', -86.0, 4418.0), ('population', 0.0, 30000.0)) v(label, lo, hi) GROUP BY label, lo, hi",
     "points_within_polygons": f"WITH {fx.GEO}, {fx.POLYGONS} SELECT id, (SELECT min(polygon) FROM polygons WHERE polygon <> 12 AND {INSIDE}) AS polygon FROM geo",
-    "nearest_polygon": f"WITH {fx.GEO}, {fx.POLYGONS} SELECT id, (SELECT arg_min(polygon, ({BOX_DIST}, polygon)) FROM polygons WHERE polygon <> 12) AS polygon FROM geo",
+    "nearest_polygon": f"""WITH RECURSIVE {fx.GEO}, {fx.POLYGONS}, pair AS (SELECT id, polygon, lon, lat, least(greatest(lon, x), x + 10) AS px, least(greatest(lat, y), y + 5) AS py FROM geo, polygons WHERE polygon <> 12),
+close AS (SELECT *, abs(px - lon) <= 0.5 AND abs(py - lat) <= 0.5 AS near FROM pair QUALIFY near OR NOT bool_or(near) OVER (PARTITION BY id)), {geodesic_sql('close')}
+SELECT id, arg_min(polygon, (CASE WHEN metres > 1e-3 THEN metres ELSE 0 END, polygon)) AS polygon FROM geodesic GROUP BY id""",
     "land_filter": f"WITH {fx.GEO}, {fx.POLYGONS} SELECT id FROM geo WHERE EXISTS (SELECT 1 FROM polygons WHERE polygon % 2 = 0 AND {INSIDE})",
     "nearest_grid_index": f"WITH {fx.GEO}, {fx.AXES} SELECT id, {_axis('lon_axis', 'lon')} AS i, {_axis('lat_axis', 'lat')} AS j FROM geo g",
     "grid_centroid": f"WITH {fx.AXES}, c AS (SELECT c_custkey, c_custkey % 40 + 1 AS i, c_nationkey + 1 AS j FROM customer) SELECT i || ',' || j AS id, c_custkey, x.coord AS lon, y.coord AS lat FROM c LEFT JOIN lon_axis x ON x.idx = i LEFT JOIN lat_axis y ON y.idx = j",

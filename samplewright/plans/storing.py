@@ -121,7 +121,7 @@ def both_splits(spark, d):
 def grid_steps(spark, d):
     """The grid coordinates that lie next to the places, and how many places each has."""
     lon, lat = spatial.make_grid(spark, 6, 640, 0.0, 50.0, 0.0, 25.0)
-    own = spatial.nearest_grid_index(fx.geo(spark, d), lon, lat, 30.0)
+    own = spatial.nearest_grid_index(fx.geo(spark, d), lon, lat)
     return own.groupBy("i").agg(F.count("*").alias("n"))
 
 
