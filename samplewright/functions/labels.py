@@ -24,8 +24,15 @@ LABELS = [
     ("B19301", "Val", "MedPerCapIncome", "POP", False, 0.0, None, None, None, -3.0, 3.0, 5),
     ("C17002", "Val", "PctBelowPov", "POP", False, 0.0, 100.0, None, None, -3.0, 3.0, 5),
     ("B22010", "Val", "PctFoodStamp", "POP", False, 0.0, 100.0, None, None, -3.0, 3.0, 5),
+    ("B25001", "Val", "NumHouseUnits", "POP", False, 0.0, 2641.0, None, None, -3.0, 3.0, 5),
+    ("B25002", "Val", "PctVacant", "POP", False, 0.0, 100.0, None, None, -3.0, 3.0, 5),
+    ("B25035", "Val", "YrBuilt", "POP", False, 0.0, 75.3, None, None, -1.0, 3.0, 5),
+    ("B25017", "Val", "NumHouseRooms", "POP", False, 0.0, None, None, None, -3.0, 3.0, 5),
+    ("B25077", "Val", "MedHouseValue", "POP", False, 0.0, None, None, None, -3.0, 3.0, 5),
     ("B25071", "Val", "PctIncomeRent", "POP", False, 0.0, 100.0, None, None, 2.0, 5.0, 4),
 ]
+#: Labels whose top 0.1 % is dropped, and the year from which an age is counted, where y is a year. Fixed values.
+TRIMMED = {"B25001": None, "B25035": 2015}
 SPEC_SCHEMA = "label string, colname string, variable string, sampling string, logged boolean, lo double, hi double, log_lo double, log_hi double, lambda_from double, lambda_to double, n_lambda int"
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..prefix import exact_percentiles
+from ..stored import stored
 from .prep import average_rank
 
 # Land-cover class codes.
@@ -114,15 +117,46 @@ def block_mean(pixels: DataFrame, width: int, values: tuple[str, ...] = ("truth"
     return own.groupBy("tile_id", F.floor(F.col("row") / width).alias("row"), F.floor(F.col("col") / width).alias("col")).agg(*[F.avg(v).alias(v) for v in values])
 
 
+def block_sums(pixels: DataFrame, widths: list[int]) -> dict[int, DataFrame]:
+    """For every width, (tile_id, row, col, truth, pred): means of the whole blocks of each tile, as a pyramid.
+
+    Pixels are read once, into sums of the blocks of those widths that no other
+    width divides. Wider blocks add up the sums of the widest that divides them;
+    the tiles' extents travel with the sums, so that blocks cut off by an edge are left out.
+    """
+    base = [w for w in widths if not any(w % v == 0 for v in widths if v < w)]
+    at = {c: F.floor(F.col(c) / F.col("_w")).alias(f"_{c}") for c in ("row", "col")}
+    own = pixels.withColumn("_w", F.explode(F.array(*[F.lit(w) for w in base])))
+    sums = [f(c).alias(f"{k}_{c}") for c in ("truth", "pred") for k, f in (("s", F.sum), ("n", F.count))]
+    first = own.groupBy("tile_id", "_w", *at.values()).agg(*sums, F.max("row").alias("rows"), F.max("col").alias("cols"))
+    first = stored(first, "block-sums")
+    add = [F.sum(f"{k}_{c}").alias(f"{k}_{c}") for c in ("truth", "pred") for k in "sn"] + [F.max(c).alias(c) for c in ("rows", "cols")]
+    levels: dict[int, DataFrame] = {}
+    for w in sorted(widths):
+        if w in base:
+            levels[w] = first.filter(F.col("_w") == w).drop("_w")
+        else:
+            of = max(v for v in levels if w % v == 0)
+            step = lambda c: F.floor(F.col(f"_{c}") / (w // of)).alias(f"_{c}")  # noqa: B023, E731
+            levels[w] = levels[of].groupBy("tile_id", step("row"), step("col")).agg(*add)
+    out = {}
+    for w, own in levels.items():
+        ends = own.groupBy("tile_id").agg(*[F.floor((F.max(c) + 1) / w).alias(f"_end_{c}") for c in ("rows", "cols")])
+        means = [(F.col(f"s_{c}") / F.col(f"n_{c}")).alias(c) for c in ("truth", "pred")]
+        whole = own.join(ends, "tile_id").filter((F.col("_row") < F.col("_end_rows")) & (F.col("_col") < F.col("_end_cols")))
+        out[w] = whole.filter("n_truth > 0 and n_pred > 0").select("tile_id", F.col("_row").alias("row"), F.col("_col").alias("col"), *means)
+    return out
+
+
 def across_image_r2(pixels: DataFrame, widths: list[int], demean: bool = False, clip: tuple[float, float] | None = None, impute_mean: bool = False, rescale: bool = False) -> DataFrame:
     """(width, r2) of block means of prediction against truth, over all tiles.
 
     rescale shifts each tile's prediction to the tile's mean truth; impute_mean
     replaces it by that mean; clip bounds it; demean takes each tile's means off.
+    Pixels are read once for all widths.
     """
     out = []
-    for w in widths:
-        b = block_mean(pixels, w)
+    for w, b in block_sums(pixels, widths).items():
         means = b.groupBy("tile_id").agg(F.avg("truth").alias("mt"), F.avg("pred").alias("mp"))
         own = b.join(means, "tile_id")
         p = F.col("mt") if impute_mean else F.col("pred") + F.col("mt") - F.col("mp") if rescale else F.col("pred")
@@ -132,7 +166,4 @@ def across_image_r2(pixels: DataFrame, widths: list[int], demean: bool = False,
             again = own.groupBy("tile_id").agg(F.avg("pred").alias("mq"))
             own = own.join(again, "tile_id").withColumns({"truth": F.col("truth") - F.col("mt"), "pred": F.col("pred") - F.col("mq")})
         out.append(regression_metrics(own, y="truth").select(F.lit(w).alias("width"), "r2"))
-    total = out[0]
-    for o in out[1:]:
-        total = total.unionByName(o)
-    return total
+    return reduce(DataFrame.unionByName, out)

@@ -5,12 +5,18 @@ Draws come from a hash of seed and id, so samples do not depend on partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import haversine
+from ..functions.geo import EARTH_RADIUS_M, haversine
 from ..prefix import hash_ranked, value_ranked
 from ..rng import digits, uniform
+from ..stored import stored
+
+#: Places that are sent to all tasks at most.
+SPOTS = 1000
 
 
 def random_sample(rows: DataFrame, n: int, seed: str, id_col: str = "id") -> DataFrame:
@@ -155,11 +161,51 @@ def centroid_distances(points: DataFrame, places: DataFrame, k: int) -> DataFram
 
 
 def nearest_place_distance(points: DataFrame, places: DataFrame, k: int) -> DataFrame:
-    """Adds distance in metres to the nearest of the k places with most population; k is a parameter and bounds the broadcast."""
+    """Adds distance in metres to the nearest of the k places with most population.
+
+    Up to SPOTS places go to all tasks. More are dealt to cubes around the points
+    of the unit sphere, where neither poles nor the date line are edges: a point
+    meets the places of its cube and of those around it, and is taken again with
+    cubes four times as wide until the place it found is nearer than a cube's side.
+    """
     top = places.orderBy(F.desc("population"), "lon", "lat").limit(k).select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
-    spots = top.agg(F.collect_list(F.struct("_lon", "_lat")).alias("_spots"))
-    near = F.array_min(F.transform("_spots", lambda s: haversine(F.col("lat"), F.col("lon"), s["_lat"], s["_lon"])))
-    return points.join(F.broadcast(spots)).withColumn("distance", near).drop("_spots")
+    if k <= SPOTS:
+        spots = top.agg(F.collect_list(F.struct("_lon", "_lat")).alias("_spots"))
+        near = F.array_min(F.transform("_spots", lambda s: haversine(F.col("lat"), F.col("lon"), s["_lat"], s["_lon"])))
+        return points.join(F.broadcast(spots)).withColumn("distance", near).drop("_spots")
+    top = stored(top.filter("_lon is not null and _lat is not null").distinct(), "places")
+    # a row of points may repeat: places are looked up for the distinct ones
+    open_ = stored(points.select("lon", "lat").filter("lon is not null and lat is not null").distinct(), "unmatched")
+    out, n = None, top.count()
+    side = 2 * math.sqrt(math.pi / max(1, n))  # of as many equal squares on the sphere
+    if not n:
+        return points.withColumn("distance", F.lit(None).cast("double"))
+    while True:
+        found = stored(_in_cubes(open_, top, side), "nearest")
+        sure = found.filter(F.col("distance") <= 2 * EARTH_RADIUS_M * math.asin(min(1.0, side / 2))) if side < 2 else found
+        out = sure if out is None else out.unionByName(sure)
+        if side >= 2:
+            break
+        open_ = stored(open_.join(sure, ["lon", "lat"], "left_anti"), "unmatched")
+        if open_.isEmpty():
+            break
+        side *= 4
+    return points.join(out, ["lon", "lat"], "left").select(*points.columns, "distance")
+
+
+def _in_cubes(points: DataFrame, places: DataFrame, side: float) -> DataFrame:
+    """(lon, lat, distance) to the nearest place within the cube of a point on the unit sphere or one beside it, where there is any."""
+
+    def cube(lon: Column, lat: Column) -> list[Column]:
+        a, b = F.radians(lat), F.radians(lon)
+        return [F.floor(v / side).cast("int") for v in (F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))]
+
+    own = points.withColumns(dict(zip(("_x", "_y", "_z"), cube(F.col("lon"), F.col("lat")), strict=True)))
+    around = places.withColumns(dict(zip(("_x", "_y", "_z"), cube(F.col("_lon"), F.col("_lat")), strict=True)))
+    for c in ("_x", "_y", "_z"):
+        around = around.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+    metres = haversine(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    return own.join(around, ["_x", "_y", "_z"]).groupBy("lon", "lat").agg(F.min(metres).alias("distance"))
 
 
 def sample_sweep(rows: DataFrame, sizes: list[int], seeds: list[str], id_col: str = "id") -> DataFrame:

@@ -9,10 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rng import digits
+from ..stored import stored
 
 
 def scale_tail_features(x: Column, n: int, ratio: float) -> Column:
@@ -45,20 +47,68 @@ def random_patches(images: DataFrame, n: int, patch: int, size: int, channels: i
     return images.join(chosen, "id").select("id", "pos", "x").mapInPandas(cut, f"id {kind}, pos int, p array<double>")
 
 
-def whitened(patches: np.ndarray, eps: float = 1e-3) -> np.ndarray:
-    """Patches less their mean, of unit norm (norms under 1e-8 count as 1), ZCA-whitened."""
+def normed(patches: np.ndarray) -> np.ndarray:
+    """Patches less their own mean, of unit norm (norms under 1e-8 count as 1)."""
     p = patches - patches.mean(axis=1, keepdims=True)
     norm = np.linalg.norm(p, axis=1, keepdims=True)
-    p = p / np.where(norm < 1e-8, 1.0, norm)
-    centred = p - p.mean(axis=0)
-    values, vectors = np.linalg.eigh(centred.T @ centred / max(len(p), 1))
-    return centred @ (vectors / np.sqrt(np.maximum(values, 0) + eps)) @ vectors.T
+    return p / np.where(norm < 1e-8, 1.0, norm)
+
+
+def whitening(mean: np.ndarray, cov: np.ndarray, eps: float = 1e-3) -> np.ndarray:
+    """The ZCA matrix of a covariance of normed patches: as wide as a patch."""
+    values, vectors = np.linalg.eigh(cov - np.outer(mean, mean))
+    return (vectors / np.sqrt(np.maximum(values, 0) + eps)) @ vectors.T
+
+
+def whitened_patches(patches: DataFrame, eps: float = 1e-3) -> DataFrame:
+    """patches with p whitened over all of them: means and products are added up in tasks, a matrix as wide as a patch is
+    decomposed on the driver, and tasks apply it."""
+
+    def matrix(b: pa.RecordBatch) -> np.ndarray:
+        return normed(b.column("p").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            if b.num_rows:
+                z = np.column_stack([np.ones(b.num_rows), matrix(b)])
+                total = total + z.T @ z
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["one", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(p.as_buffer()) for b in batches for p in b.column("part"))
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["one", "part"])
+
+    schema = "one int, part binary"
+    salted = patches.select("p").mapInArrow(sums, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
+    got = salted.groupBy("one", "salt").applyInArrow(add, schema).groupBy("one").applyInArrow(add, schema).first()
+    if got is None:
+        return patches
+    g = np.frombuffer(got["part"])
+    g = g.reshape(int(round(len(g) ** 0.5)), -1)
+    mean = g[0, 1:] / g[0, 0]
+    turn = whitening(mean, g[1:, 1:] / g[0, 0], eps)
+    rest = [c for c in patches.columns if c != "p"]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(((matrix(b) - mean) @ turn).tolist(), pa.list_(pa.float64()))], [*rest, "p"])
+
+    types = dict(patches.dtypes)
+    return patches.select(*rest, "p").mapInArrow(apply, ", ".join([*(f"`{c}` {types[c]}" for c in rest), "p array<double>"]))
+
+
+def patch_filter_table(images: DataFrame, n: int, patch: int, size: int, channels: int, seed: str) -> DataFrame:
+    """(id, pos, p): n whitened random patches, a filter each."""
+    return whitened_patches(stored(random_patches(images, n, patch, size, channels, seed), "patches"))
 
 
 def patch_filters(images: DataFrame, n: int, patch: int, size: int, channels: int, seed: str) -> np.ndarray:
     """n filters of shape (channels, patch, patch) from whitened random patches; n is a parameter and bounds what comes to the driver."""
-    rows = random_patches(images, n, patch, size, channels, seed).orderBy("id", "pos").select("p").toArrow().column("p").to_pylist()
-    return whitened(np.array(rows)).reshape(-1, channels, patch, patch)
+    rows = patch_filter_table(images, n, patch, size, channels, seed).orderBy("id", "pos").select("p").toArrow().column("p").to_pylist()
+    return np.array(rows).reshape(-1, channels, patch, patch)
 
 
 def noise_filters(n: int, patch: int, channels: int, seed: int, kind: str = "gaussian") -> np.ndarray:

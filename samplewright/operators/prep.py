@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.labels import drop_missing_label, drop_missing_rows, transform_label, valid_label
+from ..functions.labels import TRIMMED, drop_missing_label, drop_missing_rows, transform_label, valid_label
 from ..prefix import counted_before, exact_percentiles
 from .designs import train_test_split
 
@@ -43,6 +43,12 @@ def trim_upper(df: DataFrame, y: str, percent: float = 99.9, year: int | None =
     return own.join(F.broadcast(edge)).filter(ok).drop("_edge")
 
 
+def transformed(df: DataFrame, y: str, label: str, logged: bool = True) -> DataFrame:
+    """Rows with y as the label's rules have it: years as ages and the top 0.1 % dropped where they ask for it, then logs."""
+    own = trim_upper(df, y, year=TRIMMED[label]) if label in TRIMMED else df
+    return own.withColumn(y, transform_label(F.col(y), label, logged))
+
+
 def attach_labels(labels: DataFrame, features: DataFrame, id_col: str = "id") -> DataFrame:
     """Labels drive; rows without features keep nulls, to be dropped later."""
     return labels.join(features, id_col, "left")

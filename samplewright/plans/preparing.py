@@ -136,6 +136,22 @@ def spec(spark, d):
     return fx.labels_long(spark, d).groupBy("label").agg(F.count("*").alias("n")).join(own, "label")
 
 
+def acs_spec(spark, d):
+    """The spec of every survey label, with the number of parts that a remainder gives it."""
+    own = labels.label_spec(spark).filter("colname = 'Val'").select("label", "lo", "hi", "lambda_from", "lambda_to", "n_lambda")
+    parts = fx.table(spark, d, "part").groupBy((F.col("p_partkey") % 12).alias("k")).agg(F.count("*").alias("n"))
+    names = spark.createDataFrame(list(enumerate(ACS)), "k int, label string")
+    return parts.join(names, "k").join(own, "label").drop("k")
+
+
+def acs_values(spark, d):
+    """Ages of orders by the rule of B25035, retail prices by that of B25001."""
+    o = fx.table(spark, d, "orders").select(F.year("o_orderdate").cast("double").alias("y"))
+    p = fx.table(spark, d, "part").select(F.col("p_retailprice").cast("double").alias("y"))
+    got = [prep.transformed(own, "y", label).groupBy(F.bround("y", 9).alias("y")).agg(F.count("*").alias("n")).withColumn("label", F.lit(label)) for own, label in ((o, "B25035"), (p, "B25001"))]
+    return got[0].unionByName(got[1])
+
+
 # spatial
 
 
@@ -235,10 +251,24 @@ def kmeans(spark, d):
     return groups.kmeans_groups(fx.features(spark, d), 6)
 
 
+def kmeans_nearest(spark, d):
+    own = fx.features(spark, d)
+    return groups.nearest_centres(own, *groups.kmeans_fit(own, 6))
+
+
 def landcover(spark, d):
     return groups.landcover_groups(fx.pixels(spark, d))
 
 
+def landcover_nearest(spark, d):
+    """Groups of the tiles' class shares: as many tiles as have any, each with its nearest centre."""
+    own = groups.landcover_features(fx.pixels(spark, d))
+    got = groups.nearest_centres(own, *groups.kmeans_fit(own, 4))
+    return got.select("rows", (F.col("groups") <= 4).alias("few"), "nearest")
+
+
+#: Survey labels, in the order in which the query deals parts to them.
+ACS = ("B08303", "B15003", "B19013", "B19301", "C17002", "B22010", "B25001", "B25002", "B25035", "B25017", "B25077", "B25071")
 METRIC_SQL = "round_even(1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)), 6) AS r2, round_even(avg((y - pred) * (y - pred)), 6) AS mse, round_even(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse, round_even(avg(abs(y - pred)), 6) AS mae"
 TRANSFORM = "CASE label WHEN 'housing' THEN ln(value) WHEN 'elevation' THEN value ELSE ln(value + 1) END"
 INSIDE = "lon > x AND lon < x + 10 AND lat > y AND lat < y + 5"
@@ -280,10 +310,17 @@ QUERIES = {
     "points_within_polygons": within, "nearest_polygon": nearest, "land_filter": land, "nearest_grid_index": grid_index, "grid_centroid": centroids, "tile_class_lookup": tile_lookup,
     "attach_tile_location": located_tiles, "tile_vertices": tile_rings, "counts_per_division": division_counts, "division_histogram": histogram, "nesting_violations": nesting, "class_shares": shares,
     "group_population_shares": population_shares, "regression_metrics": metrics, "spearman_by_type": spearman, "boxplot_stats": boxplot, "block_mean": blocks, "across_image_r2": image_r2,
-    "assign_admin_groups": admin_groups, "kmeans_groups": kmeans, "landcover_groups": landcover,
+    "assign_admin_groups": admin_groups, "kmeans_groups": kmeans, "landcover_groups": landcover, "kmeans_groups_nearest": kmeans_nearest, "landcover_groups_nearest": landcover_nearest, "label_spec_acs": acs_spec, "transform_acs": acs_values,
 }
 
 ORACLE_SQL = {
+    "kmeans_groups_nearest": "SELECT count(*) AS rows, 6::BIGINT AS groups, true AS nearest FROM embeddings",
+    "landcover_groups_nearest": f"WITH {fx.PIXELS} SELECT count(DISTINCT tile_id) AS rows, true AS few, true AS nearest FROM pixels WHERE class IN ({', '.join(map(str, aggregates.CLASSES))})",
+    "label_spec_acs": f"""SELECT label, lo, hi, f AS lambda_from, t AS lambda_to, n_lambda, count(*) AS n FROM part JOIN (VALUES
+(0, 'B08303', 0.0::DOUBLE, NULL::DOUBLE, -3.0::DOUBLE, 3.0::DOUBLE, 5), (1, 'B15003', 0, 100, -3, 3, 5), (2, 'B19013', 0, NULL, -3, 3, 5), (3, 'B19301', 0, NULL, -3, 3, 5), (4, 'C17002', 0, 100, -3, 3, 5), (5, 'B22010', 0, 100, -3, 3, 5),
+(6, 'B25001', 0, 2641, -3, 3, 5), (7, 'B25002', 0, 100, -3, 3, 5), (8, 'B25035', 0, 75.3, -1, 3, 5), (9, 'B25017', 0, NULL, -3, 3, 5), (10, 'B25077', 0, NULL, -3, 3, 5), (11, 'B25071', 0, 100, 2, 5, 4)) v(k, label, lo, hi, f, t, n_lambda) ON p_partkey % 12 = k GROUP BY ALL""",
+    "transform_acs": """WITH a AS (SELECT (2015 - year(o_orderdate))::DOUBLE AS y, 'B25035' AS label FROM orders UNION ALL SELECT p_retailprice::DOUBLE, 'B25001' FROM part), e AS (SELECT label, quantile_cont(y, 0.999) AS edge FROM a GROUP BY label)
+SELECT round_even(ln(y + 1), 9) AS y, label, count(*) AS n FROM a JOIN e USING (label) WHERE y < edge GROUP BY ALL""",
     "drop_missing_label": f"WITH {fx.LABELS} SELECT id, value FROM clean",
     "drop_missing_rows": f"WITH {fx.LABELS} SELECT id FROM clean",
     "transform_label": f"WITH {fx.LABELS}, l AS (SELECT id, value, unnest(['housing', 'elevation', 'population']) AS label FROM clean) SELECT id, label, round_even({TRANSFORM}, 9) AS y FROM l",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import sources
@@ -60,8 +61,9 @@ def run_logs(spark, d):
 
 
 def status(spark, d):
+    """Two episodes, each written twice."""
     path, p = fresh_path(spark, "status"), fx.points(spark, d)
-    for episode in (0, 1):
+    for episode in (0, 1, 0, 1):
         own = F.when(F.col("labeled") | ((F.col("grp") == "5-LOW") & F.lit(episode == 1)), "labeled").otherwise("unlabeled")
         sources.write_status(p.select("id", own.alias("status")), path, "run", episode)
     return spark.read.parquet(path).groupBy("run_id", "episode", "status").agg(F.count("*").alias("n"))
@@ -82,6 +84,42 @@ def written_results(spark, d):
     return spark.read.option("header", True).schema("n long, dataset string, init_set int, cost_type int").csv(path)
 
 
+def combined(spark, d):
+    """Two parts of a mart with columns of their own, the first written again, as one table; and the runs that are done."""
+    path, e = fresh_path(spark, "mart"), fx.table(spark, d, "events")
+    kinds = ["click", "view"]
+    for kind in (*kinds, kinds[0]):
+        own = e.filter(F.col("event_type") == kind).groupBy(F.col("event_type").alias("dataset"), (F.col("user_id") % 3).cast("string").alias("init_set"), F.lit("c").alias("cost_type"))
+        sources.write_results(own.agg(F.count("*").alias("n"), F.max("user_id").alias(f"top_{kind}")), path)
+    got = sources.combined_results(spark, path)
+    return got.select("dataset", F.col("init_set").cast("int").alias("init_set"), "n", *[f"top_{k}" for k in kinds])
+
+
+def runs_to_do(spark, d):
+    """Runs whose last status is not written yet."""
+    from ..operators.results import skip_done_runs
+
+    path, p = fresh_path(spark, "status"), fx.points(spark, d).select("id", F.lit("labeled").alias("status"), "grp")
+    for grp in ("1-URGENT", "2-HIGH"):
+        sources.write_status(p.filter(F.col("grp") == grp), path, grp, 1)
+    sources.write_status(p.filter("grp = '5-LOW'"), path, "5-LOW", 0)
+    grid = fx.points(spark, d).select(F.col("grp").alias("run_id"), F.lit("random").alias("method")).distinct()
+    return skip_done_runs(grid, sources.done_runs(spark, path)).select("run_id")
+
+
+def metric_files(spark, d):
+    """Metrics of five seeds, in a file each, read again but for one seed."""
+    path, li = fresh_path(spark, "metrics"), fx.table(spark, d, "lineitem")
+    own = li.groupBy((F.col("l_suppkey") % 5).alias("seed")).agg(F.avg(F.col("l_tax").cast("double")).alias("r2"), F.max(F.col("l_quantity").cast("double")).alias("mse"), F.lit(None).cast("double").alias("mae"))
+    own.select("seed", F.to_json(F.struct("r2", "mse", "mae")).alias("value")).repartition("seed").write.partitionBy("seed").text(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for s in range(5):  # the names that the reader knows
+        for f in fs.listStatus(at(f"{path}/seed={s}")):
+            fs.rename(f.getPath(), at(f"{path}/seed={s}/initial_set_metrics_seed_{s}.json"))
+    return sources.read_metric_json(spark, path, ["0", "1", "2", "4"]).select("seed", "metric", F.bround("value", 9).alias("value"))
+
+
 def admin_by_id(spark, d):
     c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
     admin = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("id"), F.col("o_custkey").cast("string").alias("admin"))
@@ -113,6 +151,15 @@ def sorted_places(spark, d):
     return own.select("id", "lat", "lon")
 
 
+def sort_order(spark, d):
+    """Neighbours of the sorted places that are out of order: there must be none."""
+    own = prep.geo_sort(fx.geo(spark, d)).select("lat", "lon").withColumn("at", F.monotonically_increasing_id())
+    w = Window.orderBy("at")
+    before = own.withColumns({"lat0": F.lag("lat").over(w), "lon0": F.lag("lon").over(w)})
+    wrong = (F.col("lat0") < F.col("lat")) | ((F.col("lat0") == F.col("lat")) & (F.col("lon0") > F.col("lon")))
+    return before.agg(F.count("*").alias("n"), F.sum(F.coalesce(wrong, F.lit(False)).cast("long")).alias("out_of_order"))
+
+
 def both_splits(spark, d):
     p = fx.points(spark, d).select("id", "unit")
     return prep.concat_splits(p.filter("unit < '5'"), p.filter("unit >= '5'"))
@@ -125,13 +172,29 @@ def grid_steps(spark, d):
     return own.groupBy("i").agg(F.count("*").alias("n"))
 
 
+def grid_rows(spark, d):
+    """As grid_steps, by latitude."""
+    lon, lat = spatial.make_grid(spark, 6, 640, 0.0, 50.0, 0.0, 25.0)
+    return spatial.nearest_grid_index(fx.geo(spark, d), lon, lat).groupBy("j").agg(F.count("*").alias("n"))
+
+
 _STEP = "(2 * 156543.03392::DOUBLE / 64 * 320 / (pi() * 6371000 / 180))"
 QUERIES = {
     "scan_labels": labels, "scan_features": features, "scan_wide_features": wide_features, "scan_split": split, "scan_assignment": assignment, "scan_sample": sample, "scan_run_logs": run_logs,
     "sink_status": status, "sink_scores": scores, "sink_results": written_results, "attach_admin_by_id": admin_by_id, "tiles_with_labels": tiles, "labels_with_grid_location": located_labels,
     "unit_attribute": unit_values, "top_by": top, "geo_sort": sorted_places, "concat_splits": both_splits, "make_grid": grid_steps,
+    "make_grid_latitudes": grid_rows, "geo_sort_order": sort_order, "sink_results_combined": combined, "scan_metric_json": metric_files, "skip_written_runs": runs_to_do,
 }
 ORACLE_SQL = {
+    "make_grid_latitudes": f"""WITH RECURSIVE {fx.GEO}, t(idx, coord) AS (SELECT 1, 25.0::DOUBLE UNION ALL SELECT idx + 1, coord - {_STEP} * cos(radians(coord)) FROM t WHERE coord - {_STEP} * cos(radians(coord)) >= 0),
+e AS (SELECT min(coord) AS a, max(coord) AS z, (max(coord) - min(coord)) / (count(*) - 1) / 2 AS half FROM t),
+k AS (SELECT id, CASE WHEN any_value(lat) BETWEEN any_value(a) - any_value(half) AND any_value(z) + any_value(half) THEN arg_min(idx, (abs(coord - lat), coord)) END AS j FROM geo, t, e GROUP BY id) SELECT j, count(*) AS n FROM k GROUP BY j""",
+    "geo_sort_order": f"WITH {fx.GEO} SELECT count(*) AS n, 0::BIGINT AS out_of_order FROM geo",
+    "sink_results_combined": """SELECT event_type AS dataset, (user_id % 3)::INT AS init_set, count(*) AS n, max(user_id) FILTER (event_type = 'click') AS top_click, max(user_id) FILTER (event_type = 'view') AS top_view
+FROM events WHERE event_type IN ('click', 'view') GROUP BY event_type, user_id % 3""",
+    "scan_metric_json": """WITH s AS (SELECT (l_suppkey % 5)::VARCHAR AS seed, avg(l_tax::DOUBLE) AS r2, max(l_quantity::DOUBLE) AS mse FROM lineitem GROUP BY ALL)
+SELECT seed, 'r2' AS metric, round_even(r2, 9) AS value FROM s WHERE seed <> '3' UNION ALL SELECT seed, 'mse', mse FROM s WHERE seed <> '3'""",
+    "skip_written_runs": f"WITH {fx.POINTS} SELECT DISTINCT grp AS run_id FROM points WHERE grp NOT IN ('1-URGENT', '2-HIGH')",
     "scan_labels": "SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 7 > 0 THEN c_acctbal::DOUBLE END AS income, c_custkey / 4 AS lat, c_custkey / 8 AS lon FROM customer",
     "scan_features": "SELECT vec_id::VARCHAR AS id, len(embedding)::INT AS d, embedding[4]::DOUBLE AS x3, vec_id / 2 AS lat, vec_id / 4 AS lon FROM embeddings",
     "scan_wide_features": "SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS id, l_quantity::DOUBLE AS x0, l_tax::DOUBLE AS x1 FROM lineitem",

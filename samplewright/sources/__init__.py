@@ -68,9 +68,19 @@ def write_table(df: DataFrame, path: str, partitions: Sequence[str] = ("run_id",
     df.write.mode(mode).partitionBy(*partitions).parquet(path)
 
 
+def _replace(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
+    """Writes the partitions that df has anew and leaves the others: a write that is repeated changes nothing."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
+
+
 def write_status(df: DataFrame, path: str, run_id: str, episode: int) -> None:
-    """The status of all ids before (episode 0) or after (episode 1) a selection."""
-    df.select("id", "status").withColumns({"run_id": F.lit(run_id), "episode": F.lit(episode)}).write.mode("append").partitionBy("run_id", "episode").parquet(path)
+    """The status of all ids before (episode 0) or after (episode 1) a selection, in place of what the run and episode had."""
+    _replace(df.select("id", "status").withColumns({"run_id": F.lit(run_id), "episode": F.lit(episode)}), path, ("run_id", "episode"))
+
+
+def done_runs(spark: SparkSession, path: str, episode: int = 1) -> DataFrame:
+    """(run_id) of the runs whose episode a status table holds, from the names of its partitions: for skip_done_runs."""
+    return spark.read.parquet(path).filter(F.col("episode") == episode).select(F.col("run_id").cast("string").alias("run_id")).distinct()
 
 
 def append_scores(df: DataFrame, path: str) -> None:
@@ -84,7 +94,14 @@ def read_scores(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str, csv: bool = False) -> None:
-    """The mart by dataset, initial set and cost type; as one CSV a folder for people."""
-    own = df.coalesce(1) if csv else df  # the mart has a row for each run key
-    writer = own.write.mode("overwrite").partitionBy("dataset", "init_set", "cost_type")
-    writer.option("header", True).csv(path) if csv else writer.parquet(path)
+    """The mart by dataset, initial set and cost type, in place of what these had; as one CSV a folder for people (the whole mart then)."""
+    keys = ("dataset", "init_set", "cost_type")
+    if csv:
+        df.coalesce(1).write.mode("overwrite").partitionBy(*keys).option("header", True).csv(path)  # the mart has a row for each run key
+    else:
+        _replace(df, path, keys)
+
+
+def combined_results(spark: SparkSession, path: str) -> DataFrame:
+    """All parts of a mart as one table: the columns of all of them, null where a part has none."""
+    return spark.read.option("mergeSchema", True).parquet(path)
