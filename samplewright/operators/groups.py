@@ -47,24 +47,28 @@ def nearest_centres(features: DataFrame, groups: DataFrame, centres: list[np.nda
     return met.agg(F.count("*").alias("rows"), F.count_distinct("grp").alias("groups"), F.min(fine).alias("nearest"))
 
 
-def euclidean_silhouettes(features: DataFrame, ks: list[int], seed: int = 42, sample: int = SAMPLE_ROWS) -> list[tuple[int, float]]:
-    """(k, mean Euclidean silhouette) of every k that gives at least two clusters.
+def clustered(features: DataFrame, ks: list[int], seed: int = 42) -> DataFrame:
+    """(id, x, grp) of (id, x), stored: the clusters of each row for every k, as an array."""
+    fit, names = features.select("id", F.col("x").cast("array<double>").alias("x")).withColumn("features", array_to_vector("x")), []
+    rows = stored(fit.select("id", "x"), "features").select(array_to_vector("x").alias("features"))
+    for k in ks:
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=f"_k{k}").fit(rows)
+        fit, names = model.transform(fit), [*names, f"_k{k}"]
+    return stored(fit.select("id", "x", F.array(*names).cast("array<int>").alias("grp")), "clustered")
+
+
+def euclidean_silhouettes(placed: DataFrame, ks: list[int], seed: int = 42, sample: int = SAMPLE_ROWS) -> list[tuple[int, float]]:
+    """(k, mean Euclidean silhouette) of clustered rows, for every k that gave at least two clusters.
 
     The mean is taken over a sample of `sample` rows, the least by a hash of the
     id (all, if there are no more); each of them is compared with all rows. The
     sample goes to all tasks, which add up its distances to the rows of every
     cluster by blocks of matrices, for all k at once; Spark adds the sums.
     """
-    own = features.select("id", F.col("x").cast("array<double>").alias("x"))
-    fit, names = own.withColumn("features", array_to_vector("x")), []
-    for k in ks:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=f"_k{k}").fit(own.select(array_to_vector("x").alias("features")))
-        fit, names = model.transform(fit), [*names, f"_k{k}"]
-    placed = stored(fit.select("id", "x", F.array(*names).cast("array<int>").alias("grp")), "clustered")
     chosen = placed.orderBy(F.md5(F.concat(F.lit(f"silhouette|{seed}|"), F.col("id").cast("string"))), "id").limit(sample).toArrow()
     x = chosen.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(chosen), -1)
     mine = chosen.column("grp").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(chosen), -1)
-    shared = features.sparkSession.sparkContext.broadcast((x, list(ks)))
+    shared = placed.sparkSession.sparkContext.broadcast((x, list(ks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, every = shared.value
@@ -109,7 +113,7 @@ def silhouettes(features: DataFrame, ks: range, seed: int = 42, metric: str = "e
     n = own.count()
     fine = [k for k in ks if 2 <= k < n]
     if metric == "euclidean":
-        return euclidean_silhouettes(own, fine, seed) if fine else []
+        return euclidean_silhouettes(clustered(own, fine, seed), fine, seed) if fine else []
     rows, out = own.select("id", array_to_vector("x").alias("features")), []
     for k in fine:
         got = KMeans(k=k, seed=seed).fit(rows).transform(rows)
@@ -129,10 +133,10 @@ def best_k(features: DataFrame, ks: range, seed: int = 42, metric: str = "euclid
 def landcover_features(pixels: DataFrame) -> DataFrame:
     """(id, x) of tiles: their class shares."""
     shares = class_shares(pixels)
-    return shares.select(F.col("tile_id").alias("id"), F.array(*[F.col(f"c{c}").cast("double") for c in CLASSES]).alias("x"))
+    return stored(shares.select(F.col("tile_id").alias("id"), F.array(*[F.col(f"c{c}").cast("double") for c in CLASSES]).alias("x")), "class-shares")
 
 
 def landcover_groups(pixels: DataFrame, ks: range = range(2, 11), seed: int = 42) -> DataFrame:
     """(id, grp): clusters of the tiles' class shares, as many as have the greatest silhouette."""
-    own = stored(landcover_features(pixels), "class-shares")
+    own = landcover_features(pixels)
     return kmeans_groups(own, best_k(own, ks, seed), seed)

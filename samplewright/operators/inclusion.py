@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..prefix import hash_ranked, value_ranked
 from ..rng import uniform
-from ..stored import erase, stored
+from ..stored import erase, erase_since, stored, stored_so_far
 from .selection import cap_per_unit, within_budget
 
 #: Bytes of the vectors of a block.
@@ -181,7 +181,7 @@ def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFra
 
     n = sizes(now)
     for _ in range(steps):
-        total = sum(n.values())
+        mark, total = stored_so_far(), sum(n.values())
         slope = {g: w * lam / 2 * max(n[g], 1e-12) ** -1.5 + sum(share.values()) * (1 - lam) / 2 * max(total, 1e-12) ** -1.5 for g, w in share.items()}
         slopes = F.broadcast(spark.createDataFrame(list(slope.items()), kept.select("grp", F.lit(0.0).alias("slope")).schema))  # a row for each group
         gains = kept.join(slopes, "grp").groupBy("unit").agg(F.sum(F.col("a") * F.col("slope")).alias("gain"))
@@ -198,7 +198,8 @@ def pop_risk_probabilities(units: DataFrame, matrix: DataFrame, weights: DataFra
             lo, hi = (a, hi) if at(a) < at(b) else (lo, b)
         t = (lo + hi) / 2
         now = stored(now.join(corner.select("unit", "v"), "unit").withColumn("s", F.col("s") + t * (F.col("v") - F.col("s"))).drop("v"), "step")
-        erase(old, corner)
+        erase_since(spark, mark, now)
+        erase(old)
         n = {g: n[g] + t * (m[g] - n[g]) for g in share}
     else:
         warnings.warn(f"the relative gap is above {gap} after {steps} steps", RuntimeWarning, stacklevel=2)
@@ -217,6 +218,7 @@ def diversity_probabilities(
     first = _start(units, budget).select("unit", "cost", "is_labeled", "s")
     now = stored(first.join(_product(matrix, first, "s"), "unit", "left").withColumn("ms", F.coalesce("product", F.lit(0.0))).drop("product"), "step")
     for _ in range(steps):
+        mark = stored_so_far()
         own = now.withColumn("gain", F.lit(weight) - 2 * (F.col("ms") + eps * F.col("s")))
         corner = knapsack(own.drop("s"), "gain", budget).select("unit", F.col("s").alias("v"))
         corner = stored(own.join(corner, "unit").withColumn("d", F.col("v") - F.col("s")), "corner")
@@ -226,7 +228,8 @@ def diversity_probabilities(
             break
         t, old = 1.0 if sums["q"] <= 0 else min(1.0, sums["g"] / (2 * sums["q"])), now
         now = stored(full.select("unit", "cost", "is_labeled", (F.col("s") + t * F.col("d")).alias("s"), (F.col("ms") + t * F.col("md")).alias("ms")), "step")
-        erase(old, corner, full)
+        erase_since(units.sparkSession, mark, now)
+        erase(old)
     else:
         warnings.warn(f"the relative gap is above {gap} after {steps} steps", RuntimeWarning, stacklevel=2)
     return now.select("unit", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")).alias("s"))

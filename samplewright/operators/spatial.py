@@ -45,9 +45,15 @@ def at_cells(points: DataFrame, levels: Sequence[int], cell: float) -> DataFrame
     return own.withColumns({"cx": F.floor(F.col("lon") / size), "cy": F.floor(F.col("lat") / size)})
 
 
-def _meeting(points: DataFrame, shapes: DataFrame, cell: float) -> DataFrame:
-    """points joined to the shapes (with level, cx, cy) whose box covers their cell: an equi-join."""
-    levels = [r["level"] for r in shapes.select("level").distinct().collect()]  # a row for each doubling of the cell
+def _meeting(points: DataFrame, shapes: DataFrame, cell: float, widest: float | None = None) -> DataFrame:
+    """points joined to the shapes (with level, cx, cy) whose box covers their cell: an equi-join.
+
+    widest: the size of the largest box, where it is known; else the levels are looked up.
+    """
+    if widest is None:
+        levels = [r["level"] for r in shapes.select("level").distinct().collect()]  # a row for each doubling of the cell
+    else:
+        levels = range(1 + (math.ceil(math.log2(widest / (cell * PARTS)) + 1e-9) if widest > cell * PARTS else 0))
     return at_cells(points.select("id", "lon", "lat"), levels, cell).join(shapes, ["level", "cx", "cy"]).drop("level", "cx", "cy")
 
 
@@ -65,29 +71,30 @@ def points_within_polygons(points: DataFrame, polygons: DataFrame, cell: float =
     return points.join(hit, "id", "left")
 
 
-def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float = 0.5) -> DataFrame:
+def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float = 0.5, outside: bool = False) -> DataFrame:
     """(id, polygon, metres): the polygon of least distance among those that come within reach degrees in both directions, among all if there are none.
 
     The distance to a polygon is the geodesic on the WGS84 ellipsoid to its place
     that is nearest in the plane of degrees, cut open opposite the point: polygons
     beyond the date line are near. A polygon that holds the point is at distance
-    0; of equally near ones the least is taken. Edges are dealt to the grid cells
+    0 (outside: it is known that none does); of equally near ones the least is taken. Edges are dealt to the grid cells
     of their boxes, widened by the reach, and meet the points of a cell by an
     equi-join. Points without any edge in reach are taken again with four times
     the reach, until what they found is nearer than all that lies out of reach: as
     many passes as quadruplings.
     """
     own = points.select("id", "lon", "lat")
-    held = points_within_polygons(own, polygons).filter("polygon is not null").select("id", "polygon", F.lit(0.0).alias("metres"))
+    held = None if outside else points_within_polygons(own, polygons).filter("polygon is not null").select("id", "polygon", F.lit(0.0).alias("metres"))
     segments = stored(polygons.select("polygon", F.explode(edges(F.col("rings"))).alias("e")).select("polygon", "e.a", "e.b"), "edges")
     x, y = ([F.col(f"{p}.{c}") for p in "ab"] for c in "xy")
+    widest = segments.agg(F.max(F.greatest(F.abs(x[0] - x[1]), F.abs(y[0] - y[1]))).alias("w")).first()["w"] or 0.0
 
     def within(open_: DataFrame, far: float) -> DataFrame:
         wide = far * math.sqrt(2)  # a polygon in the box may have its nearest place outside, no farther than the corners
         box = [F.least(*x) - wide, F.least(*y) - wide, F.greatest(*x) + wide, F.greatest(*y) + wide]
         turned = F.filter(F.transform(F.array(F.lit(-360.0), F.lit(0.0), F.lit(360.0)), lambda t: F.col("lon") + t), lambda v: (v >= -180 - wide) & (v <= 180 + wide))
         copies = open_.select("id", F.explode(turned).alias("lon"), "lat")
-        met = _meeting(copies, in_cells(segments, box, 2 * wide), 2 * wide)
+        met = _meeting(copies, in_cells(segments, box, 2 * wide), 2 * wide, widest + 2 * wide)
         a, b, lon, lat = (F.col(c) for c in ("a", "b", "lon", "lat"))
         place = nearest_on_segment(a, b, lon, lat)
         near = met.select("id", "polygon", "lon", "lat", meets_box(a, b, lon, lat, far).alias("close"), place.alias("p"))
@@ -96,9 +103,9 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float = 0.5)
         metres = geodesic(F.col("p.lat"), F.col("p.lon"), F.col("p.y"), F.col("p.x"))
         return best.withColumn("metres", metres).groupBy("id").agg(F.min(F.struct("metres", "polygon")).alias("r")).select("id", "r.polygon", "r.metres")
 
-    rest = stored(own.join(held, "id", "left_anti"), "unmatched")
+    rest = stored(own if outside else own.join(held, "id", "left_anti"), "unmatched")
     first = stored(within(rest, reach), "nearest")
-    out, open_, far = held.unionByName(first), rest.join(first, "id", "left_anti"), reach
+    out, open_, far = first if outside else held.unionByName(first), rest.join(first, "id", "left_anti"), reach
     while not segments.isEmpty():
         open_ = stored(open_, "unmatched")
         if open_.isEmpty():
@@ -115,8 +122,8 @@ def nearest_polygon(points: DataFrame, polygons: DataFrame, reach: float = 0.5)
 
 def polygon_or_nearest(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
     """Every point with its polygon: that which holds it, else the nearest."""
-    found = points_within_polygons(points, polygons, cell)
-    rest = nearest_polygon(found.filter("polygon is null"), polygons).select("id", F.col("polygon").alias("_near"))
+    found = stored(points_within_polygons(points, polygons, cell), "within")
+    rest = nearest_polygon(found.filter("polygon is null"), polygons, outside=True).select("id", F.col("polygon").alias("_near"))
     return found.join(rest, "id", "left").withColumn("polygon", F.coalesce("polygon", "_near")).drop("_near")
 
 

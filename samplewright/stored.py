@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_tables: list[str] = []  # stored tables, in order
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,11 +39,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _tables.append(path)
     return out
 
 
+def stored_so_far() -> int:
+    return len(_tables)
+
+
+def erase_since(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Deletes the tables stored since the mark that no later plan reads, but for those to keep: for the steps of a loop."""
+    kept = {t._stored_at for t in keep}
+    for path in _tables[mark:]:
+        if path not in kept:
+            _delete(spark, path)
+    _tables[mark:] = [p for p in _tables[mark:] if p in kept]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def erase(*tables: DataFrame) -> None:
     """Deletes stored tables that no later plan reads: those that a loop has replaced."""
     for t in tables:
-        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
-        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(t.sparkSession, t._stored_at)
