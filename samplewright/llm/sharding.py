@@ -8,13 +8,14 @@ least and greatest values of a shard or file prune on each of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..prefix import BUCKET_ROWS
-from .common import hash_digits, running_sums, written
+from .common import HOT_SHARE, hash_digits, running_sums, written
 
 #: Bits for each dimension; three dimensions have 4096 cells.
 BITS = 4
@@ -109,8 +110,9 @@ def hilbert_shards(
     Returns (id, size, hilbert, shard, slot) and the extra columns, one row per
     input row. A row goes to the shard in which the middle of its stretch of the
     running sum falls, so a shard differs from an equal part by less than one row.
-    Rows of one cell are ordered by tie, then id: rows with equal ties are
-    neighbours. Null dimensions are the lowest cell; size must be positive. Empty
+    Rows of one cell are ordered by a hash of tie, then id: rows with equal ties are
+    neighbours. A tie that many rows share is a bucket of its own, cut further
+    by a hash of the id. Null dimensions are the lowest cell; size must be positive. Empty
     tables give no rows. dims, size and tie are evaluated on df, whose other
     columns are not read.
     """
@@ -120,8 +122,12 @@ def hilbert_shards(
     rows = written(rows, "curve")
     known = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
     total, digits = known["bytes"] or 1, hash_digits(known["n"] or 1)
-    leaf = rows.withColumns({"part": F.substring("tie", 1, digits), "one": F.lit(1).cast("long")})
-    placed = running_sums(leaf, [], ["hilbert", "part"], ["tie", "id"], ["size", "one"])
+    many = max(BUCKET_ROWS, math.ceil((known["n"] or 0) * HOT_SHARE))  # at most 1 / HOT_SHARE ties are as frequent
+    hot = rows.groupBy("tie").agg(F.count("*").alias("n")).filter(F.col("n") > many).select("tie", F.lit(True).alias("hot"))
+    part = F.when(F.col("hot"), F.col("tie")).otherwise(F.substring("tie", 1, digits))
+    split = F.when(F.col("hot"), F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, digits)).otherwise("")
+    leaf = written(rows.join(F.broadcast(hot), "tie", "left").withColumns({"part": part, "split": split, "one": F.lit(1).cast("long")}).drop("hot"), "leaves")
+    placed = running_sums(leaf, [], ["hilbert", "part", "split"], ["tie", "id"], ["size", "one"])
     middle = 2 * F.col("before_size") + F.col("size")
     shard = F.least(F.floor(middle.cast("decimal(38,0)") * n_shards / F.lit(2 * total).cast("decimal(38,0)")), F.lit(n_shards - 1)).cast("int")
     placed = written(placed.withColumn("shard", shard).select("id", "size", "hilbert", *extra, "shard", "before_one"), "placed")

@@ -1,5 +1,6 @@
 """Sharding, packing, language ID, licences, token counts, mixing and the pipeline."""
 
+import itertools
 import zlib
 
 import numpy as np
@@ -55,6 +56,18 @@ def test_shards_of_odd_rows(spark, odd):
     assert sharding.shard_documents(odd.limit(0)).count() == 0
 
 
+def test_a_text_that_many_rows_share_is_cut_by_id(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
+    rows = [(i, "hot" if i % 3 else f"t{i % 50}", "a", "en") for i in range(600)] + [(None, "hot", "a", "en")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = sharding.shard_documents(df).collect()
+    assert len(got) == 630
+    check_shards(got, max(r["size"] for r in got))
+    place = sorted((r["shard"], r["slot"], r["hilbert"], r["text_crc32"]) for r in got)
+    runs = [k for k, _ in itertools.groupby(x[2:] for x in place)]
+    assert len(runs) == len(set(runs))  # equal texts of a cell are neighbours
+
+
 def test_long_names_get_cells_of_their_own(spark):
     names = [f"https://www.example.com/very/long/common/path/{k % 16:02}/tail" for k in range(1600)] + [None] * 10
     df = spark.createDataFrame(list(enumerate(names)), "doc_id long, host string").withColumn("one", F.lit(1).cast("long"))
