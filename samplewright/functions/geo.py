@@ -151,7 +151,7 @@ def nearest_on_segment(a: Column, b: Column, lon: Column, lat: Column) -> Column
     return F.struct(((x - lon) * (x - lon) + (y - lat) * (y - lat)).alias("d2"), x.alias("x"), y.alias("y"))
 
 
-def meets_box(a: Column, b: Column, lon: Column, lat: Column, reach: float) -> Column:
+def meets_box(a: Column, b: Column, lon: Column, lat: Column, reach: float | Column) -> Column:
     """Whether a segment has a place within reach degrees of a point, in longitude and in latitude at once."""
 
     def along(c: str, at: Column) -> tuple[Column, Column, Column]:

@@ -20,6 +20,9 @@ from ..stored import stored
 
 #: Cells along a side of a box, about; a box gets the level of the grid at which it covers no more.
 PARTS = 4
+#: Points of a cell from which it is divided, if they are also this share of all; halvings of its sides then, and salts of its points at most.
+CELL_POINTS, HOT_SHARE, DEPTH, SALTS = 20_000, 1 / 1000, 3, 32
+KEYS = ["level", "cx", "cy", "sx", "sy", "salt"]
 #: Coordinates of an axis that are sent to all tasks at most.
 AXIS_ROWS = 1 << 20
 
@@ -57,17 +60,55 @@ def _meeting(points: DataFrame, shapes: DataFrame, cell: float, widest: float |
     return at_cells(points.select("id", "lon", "lat"), levels, cell).join(shapes, ["level", "cx", "cy"]).drop("level", "cx", "cy")
 
 
+def divided(points: DataFrame, shapes: DataFrame, cell: float, levels: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """points (id, lon, lat) and shapes (with level, cx, cy and box b), both with the keys KEYS on which they meet.
+
+    A cell with more than CELL_POINTS points, and more than HOT_SHARE of all, is
+    divided DEPTH times into quarters, and its points are dealt to as many salts as
+    it has times that many points; its shapes go to the quarters that their boxes
+    meet, once for each salt. Such cells are at most 1 / HOT_SHARE a level.
+    """
+    own = at_cells(points.select("id", "lon", "lat"), levels, cell)
+    floor = max(CELL_POINTS, math.ceil(points.count() * HOT_SHARE))
+    crowded = own.groupBy("level", "cx", "cy").agg(F.count("*").alias("_n")).filter(F.col("_n") > floor)
+    crowded = F.broadcast(crowded.select("level", "cx", "cy", F.least(F.lit(SALTS), F.ceil(F.col("_n") / floor).cast("int")).alias("salts")))
+    part, k = cell * F.pow(F.lit(2.0), "level") / 2**DEPTH, 2**DEPTH
+    within = lambda v, c: F.greatest(F.col(c) * k, F.least(F.col(c) * k + k - 1, F.floor(v / part)))
+    hot = F.col("salts").isNotNull()
+    own = own.join(crowded, ["level", "cx", "cy"], "left").withColumns({"sx": F.when(hot, within(F.col("lon"), "cx")), "sy": F.when(hot, within(F.col("lat"), "cy"))})
+    own = own.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.col("salts"))))
+    met = shapes.join(crowded, ["level", "cx", "cy"], "left")
+    none = lambda kind: F.array(F.lit(None).cast(kind))
+    for c, lo, hi in (("sx", "x0", "x1"), ("sy", "y0", "y1")):
+        span = F.sequence(within(F.col("b")[lo], f"c{c[1]}"), within(F.col("b")[hi], f"c{c[1]}"))
+        met = met.withColumn(c, F.explode(F.when(hot, span).otherwise(none("bigint"))))
+    met = met.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("bigint"), F.col("salts").cast("bigint") - 1)).otherwise(none("bigint"))))
+    plain = {c: F.coalesce(F.col(c), F.lit(-1).cast("bigint")) for c in ("salt",)} | {c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in ("sx", "sy")}
+    return own.withColumns(plain).drop("salts"), met.withColumns(plain).drop("salts")
+
+
 def points_within_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
     """Left spatial join: adds polygon, the least one that strictly holds the point, or null.
 
     Polygons are dealt to the grid cells of their boxes, at the level that suits
-    their size, and meet the points of a cell by an equi-join; the exact test follows.
+    their size, and meet the points of a cell by an equi-join; crowded cells are
+    divided. Where a cell lies wholly within a polygon, its points are held without
+    a look at the edges; in the other cells the exact test follows.
     """
     b = F.col("b")
     boxed = polygons.select("polygon", "rings", bbox(F.col("rings")).alias("b"))
-    near = _meeting(points, in_cells(boxed, [b["x0"], b["y0"], b["x1"], b["y1"]], cell), cell)
-    near = near.filter(F.col("lon").between(b["x0"], b["x1"]) & F.col("lat").between(b["y0"], b["y1"]))
-    hit = near.filter(inside(F.col("rings"), F.col("lon"), F.col("lat"))).groupBy("id").agg(F.min("polygon").alias("polygon"))
+    celled = in_cells(boxed, [b["x0"], b["y0"], b["x1"], b["y1"]], cell)
+    levels = [r["level"] for r in celled.select("level").distinct().collect()]  # a row for each doubling of the cell
+    own, met = divided(points, celled, cell, levels)
+    # the square of the key: a quarter of a divided cell, or the cell
+    side = cell * F.pow(F.lit(2.0), "level") / F.when(F.col("salt") >= 0, 2**DEPTH).otherwise(1)
+    at = {c: (F.when(F.col("salt") >= 0, F.col(f"s{c}")).otherwise(F.col(f"c{c}")) + 0.5) * side for c in "xy"}
+    met = met.withColumns({"_x": at["x"], "_y": at["y"], "_half": side / 2 * (1 + 1e-6)})
+    cut = F.exists(edges(F.col("rings")), lambda e: meets_box(e["a"], e["b"], F.col("_x"), F.col("_y"), F.col("_half")))
+    met = met.withColumn("whole", ~cut & inside(F.col("rings"), F.col("_x"), F.col("_y"))).withColumn("rings", F.when(~F.col("whole"), F.col("rings")))
+    near = own.join(met.drop("_x", "_y", "_half"), KEYS)
+    exact = F.col("lon").between(b["x0"], b["x1"]) & F.col("lat").between(b["y0"], b["y1"]) & inside(F.col("rings"), F.col("lon"), F.col("lat"))
+    hit = near.filter(F.when(F.col("whole"), F.lit(True)).otherwise(exact)).groupBy("id").agg(F.min("polygon").alias("polygon"))
     return points.join(hit, "id", "left")
 
 

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from samplewright.functions import geo
 from samplewright.operators import spatial
@@ -78,6 +79,28 @@ def test_points_within_bent_polygons(tables):
     assert len(set(got.values())) >= 4
 
 
+def test_a_crowded_cell_is_divided(spark, monkeypatch):
+    """90 % of the points in one cell, half of these at one spot: the same result, and no key with more than a share of them."""
+    rng = np.random.default_rng(2)
+    spots = [(float(x), float(y)) for x, y in zip(rng.uniform(2, 3, 1000), rng.uniform(3, 4, 1000), strict=True)] + [(2.5, 3.5)] * 800
+    spots += [(float(x), float(y)) for x, y in zip(rng.uniform(-5, 45, 200), rng.uniform(-5, 60, 200), strict=True)]
+    # crowded cells wholly inside, cut by an edge, in a hole and outside
+    own = dict(shapes()) | {7: [[(1.0, 2.0), (4.0, 2.0), (4.0, 5.0), (1.0, 5.0), (1.0, 2.0)]], 8: [[(2.0, 3.0), (2.9, 3.2), (2.1, 3.9), (2.0, 3.0)]], 9: [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)], [(2.2, 3.2), (2.8, 3.2), (2.8, 3.8), (2.2, 3.8), (2.2, 3.2)]]}
+    points = spark.createDataFrame([(str(i), *p) for i, p in enumerate(spots)], "id string, lon double, lat double")
+    polygons = spark.createDataFrame([(-k, [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in v]) for k, v in own.items()], f"polygon int, rings {RINGS}")
+    want = {i: min((-k for k, r in own.items() if holds(r, *p)), default=None) for i, p in enumerate(spots)}
+    assert len(set(want.values())) >= 4
+    for most in (20_000, 50):
+        monkeypatch.setattr(spatial, "CELL_POINTS", most)
+        assert {int(r["id"]): r["polygon"] for r in spatial.points_within_polygons(points, polygons).collect()} == want
+    boxed = polygons.select("polygon", "rings", geo.bbox(F.col("rings")).alias("b"))
+    celled = spatial.in_cells(boxed, [F.col("b")[c] for c in ("x0", "y0", "x1", "y1")], 1.0)
+    levels = [r["level"] for r in celled.select("level").distinct().collect()]
+    keyed, met = spatial.divided(points, celled, 1.0, levels)
+    assert max(r["count"] for r in keyed.groupBy(*spatial.KEYS).count().collect()) < 0.06 * len(spots)
+    assert met.count() < celled.count() * 64 * 32 / 10
+
+
 def check_nearest(spots, own, got):
     for i, p in enumerate(spots):
         every = {k: near(r, *p) for k, r in own.items()}
