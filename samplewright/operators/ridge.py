@@ -8,6 +8,7 @@ many samples is one job.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -26,7 +27,7 @@ ALPHAS = tuple(float(a) for a in np.logspace(-5, 5, 10))
 TILE, HELD_BYTES = 256, 1 << 28
 #: Parts in which the sums of all tasks are added first.
 SALTS = 32
-#: Models up to this size are sent to all tasks.
+#: Bytes of models that are sent to all tasks at once, about.
 MODEL_BYTES = 1 << 26
 
 
@@ -215,29 +216,28 @@ def ridge_predict(rows: DataFrame, models: DataFrame, on: Sequence[str], lo: flo
     """rows without x, with the other columns of every model that joins on the given columns, or of all models if
     there are none, and pred = intercept + coef . x, optionally clipped; null where x or one of its values is.
 
-    Models of up to MODEL_BYTES go to all tasks, which multiply matrices; the rows
-    are not shuffled. Larger sets of models are joined, dealt in blocks to which all rows go.
+    Models go to all tasks, which multiply matrices, MODEL_BYTES at a time: the rows
+    are not shuffled, and are read once for each such group of models.
     """
     on, models = list(on), stored(models, "models")
     size = models.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("coef")), F.lit(0)).alias("d")).first()
+    groups = max(1, math.ceil(8 * size["n"] * (size["d"] + 2) / MODEL_BYTES))
     own = rows.withColumn("x", F.col("x").cast("array<double>"))
-    if 8 * size["n"] * (size["d"] + 2) > MODEL_BYTES:
-        if on:
-            met = own.join(models, on)
-        else:  # a row meets every block of models; the copies of a block share the rows out
-            parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-            left = own.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("_copy", F.pmod(F.xxhash64("x"), F.lit(parts)))
-            right = models.withColumn("_part", F.pmod(F.xxhash64("coef"), F.lit(parts))).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-            met = left.join(right, ["_part", "_copy"]).drop("_part", "_copy")
-        pred = F.when(F.forall("x", lambda v: v.isNotNull()), F.col("intercept") + dot(F.col("coef"), F.col("x")))
-        return met.withColumn("pred", clipped(pred, lo, hi)).drop("intercept", "coef", "x")
+    if groups == 1:
+        return _predicted(own, models, on, lo, hi)
+    dealt = models.withColumn("_group", F.pmod(F.xxhash64("coef", "intercept"), F.lit(groups)))
+    return reduce(DataFrame.unionByName, [_predicted(own, dealt.filter(F.col("_group") == g).drop("_group"), on, lo, hi) for g in range(groups)])
+
+
+def _predicted(own: DataFrame, models: DataFrame, on: Sequence[str], lo: float | None, hi: float | None) -> DataFrame:
+    """ridge_predict for models that fit into a task."""
     table = models.toArrow()
     extra = [c for c in table.column_names if c not in (*on, "intercept", "coef")]
     known: dict = {}
     for j, key in enumerate(zip(*(table.column(c).to_pylist() for c in on), strict=True) if on else [()] * len(table)):
         known.setdefault(key, []).append(j)
-    coef = np.array(table.column("coef").to_pylist(), float).reshape(len(table), -1)
-    shared = rows.sparkSession.sparkContext.broadcast((known, np.array(table.column("intercept").to_pylist(), float), coef, table.select(extra)))
+    coef = np.array(table.column("coef").to_pylist(), float).reshape(len(table), -1) if len(table) else np.empty((0, 0))
+    shared = own.sparkSession.sparkContext.broadcast((known, np.array(table.column("intercept").to_pylist(), float), coef, table.select(extra)))
     kept = [c for c in own.columns if c != "x"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,10 +345,19 @@ def best_hyperparameter(metrics: DataFrame, criterion: str = "r2", minimize: boo
 
 
 def best_fold_results(metrics: DataFrame, best: DataFrame) -> DataFrame:
-    """The metrics, or models, of every fold at the chosen lambda."""
+    """The metrics, or the models of ridge_sweep, of every fold at the chosen lambda."""
     return metrics.join(best.select("run_id", "outcome", "lambda"), ["run_id", "outcome", "lambda"])
 
 
+def best_fold_predictions(df: DataFrame, models: DataFrame, best: DataFrame, outcomes: Sequence[str] = ("y",)) -> DataFrame:
+    """(run_id, fold, id, outcome, lambda, y, pred): every row's prediction by its own fold's model at the chosen lambda."""
+    chosen = best_fold_results(models, best).select("run_id", "fold", "outcome", "lambda", "intercept", "coef")
+    values = [F.col(o).cast("double").alias(f"_{i}") for i, o in enumerate(outcomes)]
+    pred = ridge_predict(df.select("run_id", F.col("fold").cast("int").alias("fold"), "id", "x", *values), chosen, ["run_id", "fold"])
+    of = F.coalesce(*[F.when(F.col("outcome") == o, F.col(f"_{i}")) for i, o in enumerate(outcomes)])
+    return pred.withColumn("y", of).select("run_id", "fold", "id", "outcome", "lambda", "y", "pred")
+
+
 def regional_cv(df: DataFrame, lambdas: Sequence[float], k: int = 5, seed: str = "fold", frac_test: float = 0.2, global_clip: bool = False) -> DataFrame:
     """Best lambda and its mean r2 in every region, from (id, region, x, y): 20 % held out, k folds on the rest.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..operators import features, prep, ridge
+from ..stored import stored
 from . import fixtures as fx
 
 LAMBDAS = (0.01, 1.0, 100.0)
@@ -66,6 +67,22 @@ def best(spark, d):
     return ridge.best_fold_results(metrics, ridge.best_hyperparameter(metrics)).select("run_id", "fold", "lambda", *_rounded("r2"))
 
 
+def _best_models(spark, d):
+    rows = fx.ridge_rows(spark, d)
+    models = stored(ridge.ridge_sweep(ridge.sufficient_stats(rows), LAMBDAS), "models")
+    return rows, models, ridge.best_hyperparameter(ridge.kfold_sweep(rows, LAMBDAS))
+
+
+def best_weights(spark, d):
+    _, models, top = _best_models(spark, d)
+    got = ridge.best_fold_results(models, top)
+    return got.select("run_id", "fold", "lambda", F.bround("intercept", 5).alias("intercept"), *[F.bround(F.col("coef")[i], 6).alias(f"w{i + 1}") for i in range(3)])
+
+
+def best_predictions(spark, d):
+    return ridge.best_fold_predictions(*_best_models(spark, d)).select("run_id", "fold", "id", "lambda", *_rounded("pred", digits=5))
+
+
 def chosen(spark, d):
     """Best lambda from metrics that a formula gives, so that SQL can follow."""
     rows = fx.ridge_rows(spark, d).select("run_id", "fold").distinct()
@@ -216,8 +233,11 @@ a AS (SELECT id, n, h, w, greatest(c - {bias}, 0) AS v FROM c UNION ALL SELECT i
 
 
 _Z = ["1.0::DOUBLE", "q", "dis", "tax", "y"]
+#: The lambda that each run's mean r2 over folds chooses.
+CHOSEN = f"""WITH {fx.RIDGE}, long AS (SELECT *, 'y' AS outcome FROM ridge_y), {sweep_sql('long')}, m AS (SELECT run_id, lam, avg(raw) AS score FROM metrics GROUP BY ALL),
+c AS (SELECT run_id, arg_min(lam, (-score, lam)) AS lam FROM m GROUP BY run_id)"""
 QUERIES = {
-    "ridge_sufficient_stats": stats, "ridge_folds": folds, "ridge_cv": cv, "ridge_predict": predictions, "kfold_sweep": sweep, "single_solve": single, "best_fold_results": best, "best_hyperparameter": chosen,
+    "ridge_sufficient_stats": stats, "ridge_folds": folds, "ridge_cv": cv, "ridge_predict": predictions, "kfold_sweep": sweep, "single_solve": single, "best_fold_results": best, "best_fold_weights": best_weights, "best_fold_predictions": best_predictions, "best_hyperparameter": chosen,
     "regional_cv": regional, "min_sample_guard": guarded, "score_samples": samples, "evaluate_round": rounds, "bounded_ridge": bounded, "scene_regression": scene, "prepare_dataset": prepared,
     "lambda_grid": lambda_grid, "scale_tail_features": tail, "random_conv_features": conv, "random_patches": patches, "patch_filter_features": patch_features, "pixel_predictions": pixel_model,
 }
@@ -231,6 +251,8 @@ ORACLE_SQL = {
 SELECT lam AS lambda, {METRICS} FROM (SELECT lam, y, {PREDICTED} AS p FROM ridge_y, f WHERE fold = 0) GROUP BY lam""",
     "best_fold_results": f"""WITH {fx.RIDGE}, long AS (SELECT *, 'y' AS outcome FROM ridge_y), {sweep_sql('long')}, m AS (SELECT run_id, lam, avg(raw) AS score FROM metrics GROUP BY ALL),
 b AS (SELECT run_id, arg_min(lam, (-score, lam)) AS lam FROM m GROUP BY run_id) SELECT metrics.run_id, fold, metrics.lam AS "lambda", r2 FROM metrics JOIN b ON metrics.run_id = b.run_id AND metrics.lam = b.lam""",
+    "best_fold_weights": f"""{CHOSEN} SELECT f.run_id, fold, f.lam AS "lambda", round_even(f.b, 5) AS intercept, round_even(w1, 6) AS w1, round_even(w2, 6) AS w2, round_even(w3, 6) AS w3 FROM fitted f JOIN c ON f.run_id = c.run_id AND f.lam = c.lam""",
+    "best_fold_predictions": f"""{CHOSEN} SELECT p.run_id, fold, id, p.lam AS "lambda", round_even(p, 5) AS pred FROM predicted p JOIN c ON p.run_id = c.run_id AND p.lam = c.lam""",
     "regional_cv": f"""WITH {fx.RIDGE}, ends AS (SELECT run_id, min(y) AS lo, max(y) AS hi FROM ridge_y GROUP BY run_id),
 held AS (SELECT *, {ranked_sql('fold|test', 'id')} AS k, count(*) OVER (PARTITION BY run_id) AS c FROM ridge_y), kept AS (SELECT * EXCLUDE (k, c) FROM held WHERE k >= floor(c * 0.2::DOUBLE)),
 long AS (SELECT kept.* EXCLUDE fold, {ranked_sql('fold', 'id').replace('run_id', 'kept.run_id')} AS k, (k % 5)::INT AS fold, 'y' AS outcome, lo, hi FROM kept JOIN ends ON kept.run_id = ends.run_id),

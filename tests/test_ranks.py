@@ -69,7 +69,7 @@ def test_mean_cosine_is_the_mean_over_pairs(spark):
 @pytest.mark.parametrize("on", [[], ["run_id"]])
 def test_predictions_by_many_models(spark, monkeypatch, small, on):
     if not small:
-        monkeypatch.setattr(ridge, "MODEL_BYTES", 0)  # the models are joined
+        monkeypatch.setattr(ridge, "MODEL_BYTES", 100)  # three groups of models, a pass over the rows for each
     rng = np.random.default_rng(3)
     x, coef = rng.normal(size=(40, 3)), rng.normal(size=(7, 3))
     rows = [(i, "pq"[i % 2], [float(v) for v in r]) for i, r in enumerate(x)] + [(90, "p", None), (91, "p", [1.0, None, 2.0])]
