@@ -68,8 +68,11 @@ def divided(points: DataFrame, shapes: DataFrame, cell: float, levels: Sequence[
     it has times that many points; its shapes go to the quarters that their boxes
     meet, once for each salt. Such cells are at most 1 / HOT_SHARE a level.
     """
-    own = at_cells(points.select("id", "lon", "lat"), levels, cell)
-    floor = max(CELL_POINTS, math.ceil(points.count() * HOT_SHARE))
+    own, n = at_cells(points.select("id", "lon", "lat"), levels, cell), points.count()
+    floor = max(CELL_POINTS, math.ceil(n * HOT_SHARE))
+    if n <= floor:  # no cell can hold more
+        alone = {"sx": F.lit(0).cast("bigint"), "sy": F.lit(0).cast("bigint"), "salt": F.lit(-1).cast("bigint")}
+        return own.withColumns(alone), shapes.withColumns(alone)
     crowded = own.groupBy("level", "cx", "cy").agg(F.count("*").alias("_n")).filter(F.col("_n") > floor)
     crowded = F.broadcast(crowded.select("level", "cx", "cy", F.least(F.lit(SALTS), F.ceil(F.col("_n") / floor).cast("int")).alias("salts")))
     part, k = cell * F.pow(F.lit(2.0), "level") / 2**DEPTH, 2**DEPTH
