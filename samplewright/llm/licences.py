@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .licence_texts import NOTICES, SPELLINGS, TEXTS
+from .licence_texts import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\r", "abcdefghijklmnopqrstuvwxyz\n"
 #: Where a licence's own sentence, wrapped before "copyright", goes on.
@@ -40,21 +40,23 @@ def flat(canon: Column) -> Column:
     return F.trim(F.translate(canon, "\n", " "))
 
 
-def known(spark, entries: Sequence[tuple[str, str]]) -> DataFrame:
-    """(known_digest, licence) of the given texts; as many rows as distinct canonical texts."""
-    df = spark.createDataFrame(list(entries), "licence string, text string")
-    return df.groupBy(F.sha2(flat(canonical(F.col("text"))), 256).alias("known_digest")).agg(F.min("licence").alias("licence"))
+def known(spark, entries: Sequence[tuple[str, str]], digests: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """(known_digest, licence) of the given texts and digests; as many rows as distinct canonical texts."""
+    df = spark.createDataFrame(list(entries), "licence string, text string").select("licence", F.sha2(flat(canonical(F.col("text"))), 256).alias("known_digest"))
+    df = df.unionByName(spark.createDataFrame(list(digests), "licence string, known_digest string"))
+    return df.groupBy("known_digest").agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: Sequence[tuple[str, str]] = TEXTS, notices: Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: Sequence[tuple[str, str]] = TEXTS, notices: Sequence[tuple[str, str]] = NOTICES, digests: Sequence[tuple[str, str]] = DIGESTS) -> DataFrame:
     """Looks every whole text, and each of its lines, up among known licences.
 
     Returns (id, canonical_sha256, licence, notices), one row per input row:
     licence is that of which the whole text is a copy, or null; notices are the
     licences that its lines name, distinct and sorted, empty if none. A null
     text has a null digest and no licence; an empty text is not a licence. The
-    known texts are given, so their digests are broadcast whatever the size of
-    docs; no row of docs is shuffled. Other columns are not read.
+    known texts are given, or the digests of their canonical forms, so these are
+    broadcast whatever the size of docs; no row of docs is shuffled. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     canon = docs.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("canon"))
@@ -68,7 +70,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts:
         F.sha2(flat(F.col("canon")), 256).alias("canonical_sha256"),
         F.coalesce(F.array_sort(F.array_distinct(F.array_compact(hits))), F.array().cast("array<string>")).alias("notices"),
     )
-    table = known(spark, texts)
+    table = known(spark, texts, digests)
     return rows.join(F.broadcast(table), rows["canonical_sha256"] == table["known_digest"], "left").select("id", "canonical_sha256", "licence", "notices")
 
 
@@ -88,13 +90,14 @@ def canonical_sql(text: str) -> str:
     return f"trim({out}, ' ')"
 
 
-def scan_sql(texts: Sequence[tuple[str, str]] = TEXTS, notices: Sequence[tuple[str, str]] = NOTICES) -> str:
+def scan_sql(texts: Sequence[tuple[str, str]] = TEXTS, notices: Sequence[tuple[str, str]] = NOTICES, digests: Sequence[tuple[str, str]] = DIGESTS) -> str:
     def values(entries: Sequence[tuple[str, str]]) -> str:
         return ", ".join(f"({_sql(k)}, {_sql(t)})" for k, t in entries)
 
     digest = f"sha256(trim(replace({canonical_sql('text')}, chr(10), ' '), ' '))"
     return f"""
-WITH whole AS (SELECT {digest} AS d, min(licence) AS licence FROM (VALUES {values(texts)}) AS v(licence, text) GROUP BY 1),
+WITH whole AS (SELECT d, min(licence) AS licence FROM
+        (SELECT {digest} AS d, licence FROM (VALUES {values(texts)}) AS v(licence, text) UNION ALL VALUES {", ".join(f"({_sql(d)}, {_sql(k)})" for k, d in digests)}) GROUP BY 1),
 line AS (SELECT {digest} AS d, min(licence) AS licence FROM (VALUES {values(notices)}) AS v(licence, text) GROUP BY 1),
 doc AS (SELECT doc_id, {canonical_sql('text')} AS canon FROM documents),
 hit AS (SELECT doc_id, list_sort(list(DISTINCT licence)) AS notices

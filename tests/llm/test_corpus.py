@@ -2,6 +2,7 @@
 
 import itertools
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -227,6 +228,24 @@ def test_copyright_lines_are_set_aside(spark, line):
     assert got == dict(enumerate(wrapped))
 
 
+COMMON = Path("/usr/share/common-licenses")
+FILES = {"Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0"}
+
+
+@pytest.mark.skipif(not (COMMON / "GPL-3").exists(), reason="the system has no folder of licences")
+def test_digests_are_those_of_whole_licences(spark):
+    rows, want = [], []
+    for f in ("Apache-2.0", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "LGPL-2.1", "MPL-1.1", "MPL-2.0", *FILES):
+        text = (COMMON / f).read_text()
+        terms, end, _ = text.partition("END OF TERMS AND CONDITIONS")
+        for own in {text, terms + end, terms}:
+            want += [FILES.get(f, f)] * 2 + [None]
+            rows += [own, "© 2020 A. Body\n" + own.upper().replace(",", " ,"), own.replace("the", "teh")]
+    got = {r["id"]: r["licence"] for r in licences.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == want
+    assert {k for k, _ in licences.DIGESTS} == set(want) - {None}
+
+
 def test_planted_licences_match_sql_through_the_query(spark, same_rows, tmp_path):
     import duckdb
 
