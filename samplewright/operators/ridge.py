@@ -165,13 +165,18 @@ def fit_alphas(g: np.ndarray, alphas: Sequence[float]) -> list[tuple[float, np.n
     return out
 
 
-def _r2_by_tiles(width: int, tile: int, parts: dict[tuple[int, int], np.ndarray], v: np.ndarray) -> np.ndarray:
-    """r2 of linear models, columns (intercept, coefficients, -1) of v, on the rows that a fold's tiles sum up; NaN when y does not vary."""
-    sse, last = np.zeros(v.shape[1]), (width - 1) // tile
+def _r2_by_tiles(width: int, tile: int, parts: dict[tuple[int, int], np.ndarray], v: np.ndarray, y: int | None = None) -> np.ndarray:
+    """r2 of linear models, columns (intercept, coefficients, -1) of v, on the rows that a fold's tiles sum up; NaN when y does not vary.
+
+    y is the outcome's place where there are several: v has -1 there and 0 at the others.
+    """
+    y = width - 1 if y is None else y
+    sse, last = np.zeros(v.shape[1]), y // tile
     for (i, j), p in parts.items():
         rows, cols = _span(i, width, tile), _span(j, width, tile)
         sse += (1 if i == j else 2) * (v[rows] * (p.reshape(rows.stop - rows.start, -1) @ v[cols])).sum(axis=0)
-    corner, edge, n = parts[last, last][-1], parts[0, last].reshape(-1, width - last * tile)[0, -1], parts[0, 0][0]
+    wide, at = min(tile, width - last * tile), y - last * tile
+    corner, edge, n = parts[last, last].reshape(wide, -1)[at, at], parts[0, last].reshape(-1, wide)[0, at], parts[0, 0][0]
     sst = corner - edge**2 / n
     return 1 - sse / sst if sst > 0 else np.full(v.shape[1], np.nan)
 
@@ -271,19 +276,21 @@ def _predicted(own: DataFrame, models: DataFrame, on: Sequence[str], lo: float |
 
 
 def ridge_sweep(stats: DataFrame, lambdas: Sequence[float], outcomes: Sequence[str] = ("y",), intercept: bool = True, leave_out: bool = True) -> DataFrame:
-    """(run_id, fold, outcome, lambda, rcond, ill, intercept, coef): no standardisation; each fold's model is fitted on the other folds.
+    """(run_id, fold, outcome, lambda, rcond, ill, r2, intercept, coef): no standardisation; each fold's model is fitted on the other folds.
 
     With leave_out False there is one model of all rows, fold -1. rcond is the
-    reciprocal condition of x'x + lambda I, ill whether it is below machine precision.
+    reciprocal condition of x'x + lambda I, ill whether it is below machine precision;
+    r2 that of the predictions, not clipped, of the model's own fold, from its sums:
+    the rows are not read for it. It is null for fold -1 and where y does not vary.
     """
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.float64(), pa.list_(pa.float64()))
-    names = ["run_id", "fold", "outcome", "lambda", "rcond", "ill", "intercept", "coef"]
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
+    names = ["run_id", "fold", "outcome", "lambda", "rcond", "ill", "r2", "intercept", "coef"]
     outs = list(outcomes)
 
     def solve(t: pa.Table) -> pa.Table:
         run, fold, width, tile = (t.column(c)[0].as_py() for c in ("run_id", "fold", "width", "tile"))
         g, rows = matrix_of(width, tile, _read_tiles(t, "train")), []
-        d = width - 1 - len(outs)
+        parts, d = _read_tiles(t, "part"), width - 1 - len(outs)
         xx, n = g[1 : d + 1, 1 : d + 1], g[0, 0]
         mean = g[0, 1 : d + 1] / n if intercept and n else np.zeros(d)
         values, vectors = np.linalg.eigh(xx - n * np.outer(mean, mean))
@@ -294,11 +301,14 @@ def ridge_sweep(stats: DataFrame, lambdas: Sequence[float], outcomes: Sequence[s
                 s = values + lam
                 rcond = float(max(s.min(), 0) / s.max()) if s.max() > 0 else 0.0
                 w = vectors @ (xy / np.where(np.abs(s) > 1e-300, s, np.inf))
-                rows.append((run, fold, name, float(lam), rcond, rcond < np.finfo(float).eps, float(y_mean - mean @ w), w.tolist()))
+                b = float(y_mean - mean @ w)
+                v = np.concatenate(([b], w, -np.eye(len(outs))[k]))[:, None]
+                r2 = float(_r2_by_tiles(width, tile, parts, v, d + 1 + k)[0]) if parts else math.nan
+                rows.append((run, fold, name, float(lam), rcond, rcond < np.finfo(float).eps, None if math.isnan(r2) else r2, b, w.tolist()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    schema = "run_id string, fold int, outcome string, lambda double, rcond double, ill boolean, intercept double, coef array<double>"
-    return left_out(stats).filter("fold >= 0" if leave_out else "fold < 0").drop("part").groupBy("run_id", "fold").applyInArrow(solve, schema)
+    schema = "run_id string, fold int, outcome string, lambda double, rcond double, ill boolean, r2 double, intercept double, coef array<double>"
+    return left_out(stats).filter("fold >= 0" if leave_out else "fold < 0").groupBy("run_id", "fold").applyInArrow(solve, schema)
 
 
 def kfold_sweep(
@@ -308,7 +318,7 @@ def kfold_sweep(
 
     Predictions are clipped to the outcome's bounds, or to those of the run, from run_bounds (run_id, lo, hi).
     """
-    models = ridge_sweep(sufficient_stats(df, outcomes), lambdas, outcomes, intercept)
+    models = ridge_sweep(sufficient_stats(df, outcomes), lambdas, outcomes, intercept).drop("r2")
     values = [F.col(o).cast("double").alias(f"_{i}") for i, o in enumerate(outcomes)]
     pred = ridge_predict(df.select("run_id", F.col("fold").cast("int").alias("fold"), "x", *values), models, ["run_id", "fold"])
     of = F.coalesce(*[F.when(F.col("outcome") == o, F.col(f"_{i}")) for i, o in enumerate(outcomes)])

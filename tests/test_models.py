@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from samplewright import sources
 from samplewright.operators import aggregates, features, groups, prep, results, ridge, spatial
+from samplewright.plans import QUERIES
+from samplewright.plans import fixtures as fx
 from samplewright.streaming import append_metrics, stream_run_logs
 
 
@@ -190,3 +192,12 @@ def test_label_files(spark, tmp_path):
     assert sorted(r["id"] for r in sources.read_split(spark, str(tmp_path / "ids.txt")).collect()) == ["a", "b"]
     sources.write_table(spark.createDataFrame([("r1", "a"), ("r2", "b")], "run_id string, id string"), str(tmp_path / "s"))
     assert [r["id"] for r in sources.read_sample(spark, str(tmp_path / "s"), "r2").collect()] == ["b"]
+
+
+def test_sweep_r2_comes_from_the_sums(spark, data):
+    """The r2 of ridge_sweep is that of the rows' predictions, for every outcome and in narrow tiles."""
+    rows = fx.ridge_rows(spark, data).withColumns({"y2": F.col("x")[0] - F.col("y")})
+    want = {(r["run_id"], r["fold"], r["outcome"], r["lambda"]): r["r2"] for r in ridge.kfold_sweep(rows, (0.01, 100.0), ("y", "y2")).collect()}
+    for tile in (2, 4, 256):
+        got = ridge.ridge_sweep(ridge.sufficient_stats(rows, ("y", "y2"), tile=tile), (0.01, 100.0), ("y", "y2")).collect()
+        assert {(r["run_id"], r["fold"], r["outcome"], r["lambda"]): r["r2"] for r in got} == pytest.approx(want, abs=1e-9)
