@@ -379,8 +379,9 @@ def regional_cv(df: DataFrame, lambdas: Sequence[float], k: int = 5, seed: str =
         ends = ends.select("run_id").join(F.broadcast(own.agg(F.min("y").alias("lo"), F.max("y").alias("hi"))))
     ranked = hash_ranked(own, seed + "|test", "id", by=["run_id"])
     counts = own.groupBy("run_id").agg(F.count("*").alias("n"))
-    train = ranked.join(counts, "run_id").filter(F.col("rank") >= F.floor(F.col("n") * frac_test)).drop("rank", "n")
-    return best_hyperparameter(kfold_sweep(with_folds(train, k, seed), lambdas, run_bounds=stored(ends, "bounds")))
+    train = ranked.join(counts, "run_id").filter(F.col("rank") >= F.floor(F.col("n") * frac_test)).select("run_id", "id", "x", "y")
+    folded = stored(with_folds(stored(train, "train"), k, seed).drop("id"), "folded")  # ranks are joined and sorted once
+    return best_hyperparameter(kfold_sweep(folded, lambdas, run_bounds=stored(ends, "bounds")))
 
 
 def min_sample_guard(samples: DataFrame, least: int) -> DataFrame:
@@ -392,11 +393,14 @@ def min_sample_guard(samples: DataFrame, least: int) -> DataFrame:
 def score_samples(samples: DataFrame, population: DataFrame, folds: int = 5, seed: str = "cv", alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """(run_id, n, alpha, r2, mse, rmse, mae): each stored sample's model on the test split.
 
-    samples: (run_id, id); population: (id, x, y, split). All runs are fitted in one job.
+    samples: (run_id, id); population: (id, x, y, split). All runs are fitted in one
+    job. The samples' rows are stored when they have met the population, and again
+    with their folds: neither the join nor the sort is made more than once.
     """
-    train = samples.distinct().join(population.filter("split = 'train'").select("id", "x", "y"), "id")
-    keyed = with_folds(train.withColumn("_key", F.concat_ws("|", "run_id", "id")), folds, seed, id_col="_key")
-    models = ridge_cv(sufficient_stats(min_sample_guard(keyed, 2 * folds)), alphas)
+    met = samples.distinct().join(population.filter("split = 'train'").select("id", "x", "y"), "id")
+    train = stored(met.select("run_id", F.concat_ws("|", "run_id", "id").alias("_key"), "x", "y"), "train")
+    folded = stored(with_folds(min_sample_guard(train, 2 * folds), folds, seed, id_col="_key").select("run_id", "fold", "x", "y"), "folded")
+    models = ridge_cv(sufficient_stats(folded), alphas)
     pred = ridge_predict(population.filter("split = 'test'").select("x", "y"), models, [])
     return pred.filter("y is not null").groupBy("run_id").agg(F.first("n").alias("n"), F.first("alpha").alias("alpha"), *metric_columns(F.col("y"), F.col("pred")))
 

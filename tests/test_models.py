@@ -201,3 +201,16 @@ def test_sweep_r2_comes_from_the_sums(spark, data):
     for tile in (2, 4, 256):
         got = ridge.ridge_sweep(ridge.sufficient_stats(rows, ("y", "y2"), tile=tile), (0.01, 100.0), ("y", "y2")).collect()
         assert {(r["run_id"], r["fold"], r["outcome"], r["lambda"]): r["r2"] for r in got} == pytest.approx(want, abs=1e-9)
+
+
+def test_samples_meet_the_population_once(spark, data, monkeypatch):
+    """evaluate_round stores the rows that met, and again with their folds, before it adds them up."""
+    names = []
+
+    def kept(df, name, store=ridge.stored):
+        names.append(name)
+        return store(df, name)
+
+    monkeypatch.setattr(ridge, "stored", kept)
+    QUERIES["evaluate_round"](spark, data).collect()
+    assert names[:2] == ["train", "folded"]
