@@ -13,6 +13,8 @@ from .prep import average_rank
 
 # Land-cover class codes.
 CLASSES = [11, 12, 21, 22, 23, 24, 31, 41, 42, 43, 52, 71, 81, 82, 90, 95]
+#: Parts in which the errors of many rows are added up.
+SUMS = 256
 
 
 def counts_per_division(points: DataFrame, division: str) -> DataFrame:
@@ -82,6 +84,28 @@ def metric_columns(y: Column, p: Column) -> list[Column]:
     return [(1 - sse / F.when(sst > 0, sst)).alias("r2"), (sse / n).alias("mse"), F.sqrt(sse / n).alias("rmse"), F.avg(F.abs(e)).alias("mae")]
 
 
+def precise_metrics(predictions: DataFrame, by: list[str], y: str = "y", p: str = "pred") -> DataFrame:
+    """metric_columns by groups, to about the last digit of a double, so that scores of millions of rows can be told apart.
+
+    Rows are added up in SUMS parts by their y first, so no long sum gathers rounding,
+    and y's own sum of squares is the same for all predictions of a group of rows.
+    """
+    e = F.col(y) - F.col(p)
+    parts = predictions.groupBy(*by, F.pmod(F.xxhash64(y), F.lit(SUMS)).alias("_part")).agg(
+        F.count("*").alias("n"), F.count(e).alias("seen"), F.coalesce(F.sum(e * e), F.lit(0.0)).alias("sse"), F.coalesce(F.sum(F.abs(e)), F.lit(0.0)).alias("sae"), F.avg(y).alias("mean"), (F.var_pop(y) * F.count("*")).alias("m2")
+    )
+    own = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_part", "n", "seen", "sse", "sae", "mean", "m2"))).alias("_p"))  # SUMS at most
+    total = lambda of: F.aggregate("_p", F.lit(0.0), lambda s, v: s + of(v))
+    n, off = total(lambda v: v["n"].cast("double")), lambda v: v["mean"] - F.col("_p")[0]["mean"]
+    apart = total(lambda v: v["n"] * off(v))
+    known = lambda c: F.when(F.exists("_p", lambda v: v["seen"] > 0), total(lambda v: v[c]))
+    sums = own.select(*by, n.alias("_n"), known("sse").alias("_sse"), known("sae").alias("_sae"), (total(lambda v: v["m2"] + v["n"] * off(v) * off(v)) - apart * apart / n).alias("_sst"))
+    return sums.select(
+        *by, (1 - F.col("_sse") / F.when(F.col("_sst") > 0, F.col("_sst"))).alias("r2"), (F.col("_sse") / F.col("_n")).alias("mse"),
+        F.sqrt(F.col("_sse") / F.col("_n")).alias("rmse"), (F.col("_sae") / F.col("_n")).alias("mae"),
+    )
+
+
 def regression_metrics(predictions: DataFrame, by: list[str] | None = None, y: str = "y", p: str = "pred") -> DataFrame:
     own = predictions.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     return own.groupBy(*(by or [])).agg(*metric_columns(F.col(y), F.col(p)))

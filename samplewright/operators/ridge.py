@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import clip as clipped
 from ..prefix import hash_ranked
 from ..stored import stored
-from .aggregates import metric_columns
+from .aggregates import metric_columns, precise_metrics
 
 ALPHAS = tuple(float(a) for a in np.logspace(-5, 5, 10))
 #: Columns of a tile of a Gram matrix, and bytes of the sums that a task holds before it sends them on.
@@ -327,7 +327,8 @@ def kfold_sweep(
         pred = pred.withColumn("pred", F.when(F.col("outcome") == o, clipped(F.col("pred"), lo, hi)).otherwise(F.col("pred")))
     if run_bounds is not None:
         pred = pred.join(run_bounds.select("run_id", "lo", "hi"), "run_id").withColumn("pred", clipped(F.col("pred"), F.col("lo"), F.col("hi"))).drop("lo", "hi")
-    return pred.filter("y is not null").groupBy("run_id", "fold", "outcome", "lambda").agg(F.first("ill").alias("ill"), *metric_columns(F.col("y"), F.col("pred")))
+    by = ["run_id", "fold", "outcome", "lambda", "ill"]  # ill goes with the others
+    return precise_metrics(pred.filter("y is not null"), by)
 
 
 def single_solve(train: DataFrame, valid: DataFrame, lambdas: Sequence[float], intercept: bool = True) -> DataFrame:

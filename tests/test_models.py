@@ -1,6 +1,7 @@
 """Ridge against numpy, features against direct loops, files against what was written."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -214,3 +215,19 @@ def test_samples_meet_the_population_once(spark, data, monkeypatch):
     monkeypatch.setattr(ridge, "stored", kept)
     QUERIES["evaluate_round"](spark, data).collect()
     assert names[:2] == ["train", "folded"]
+
+
+def test_scores_of_many_rows_keep_their_last_digits(spark):
+    """Two penalties whose r2 differ by 1e-15 over two million rows are told apart: sums of the errors gather no rounding."""
+    rows = spark.range(0, 2_000_000, 1, 2).select(F.floor(200 * F.rand(1)).alias("y"), F.rand(2).alias("u")).select(F.lit("r").alias("run_id"), F.col("y").cast("double").alias("y"), (F.col("y") + 30 * F.col("u") - 15).alias("pred")).repartition(2).cache()
+    t = rows.select("y", "pred").toArrow()
+    y, p = (t.column(c).to_numpy() for c in ("y", "pred"))
+    sse, sst = math.fsum((y - p) ** 2), math.fsum((y - math.fsum(y) / len(y)) ** 2)
+    got = aggregates.precise_metrics(rows, ["run_id"]).first()
+    assert abs((1 - got["r2"]) - sse / sst) <= 1e-16
+    assert got["mse"] == pytest.approx(sse / len(y), rel=1e-15) and got["mae"] == pytest.approx(math.fsum(abs(y - p)) / len(y), rel=1e-14)
+    plain = aggregates.regression_metrics(rows, ["run_id"]).first()
+    assert (got["r2"], got["rmse"]) == (pytest.approx(plain["r2"]), pytest.approx(plain["rmse"]))
+    odd = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, 2.0), ("b", 1.0, None), ("c", 2.0, 2.5)], "run_id string, y double, pred double")
+    got = {r["run_id"]: (r["r2"], r["mse"]) for r in aggregates.precise_metrics(odd, ["run_id"]).collect()}
+    assert got == {"a": (0.5, 0.5), "b": (None, None), "c": (None, 0.25)}
