@@ -348,6 +348,24 @@ def test_no_verbatim_passage_is_lost_to_decoys(spark, heads, part, size):
     assert all(got[i, w[2]] == w for i, w in want.items())
 
 
+@pytest.mark.parametrize(("heads", "part"), [(2, 40), (3, 45)])
+def test_few_similar_passages_are_lost_to_decoys(spark, heads, part):
+    rng = np.random.default_rng(part)
+    fresh = lambda n: [f"t{rng.integers(10**9)}" for _ in range(n)]
+    texts, want = {}, set()
+    for g in range(0, 6000, 100):  # no 50 words in a row are equal: only the min-hashes lead to the pair
+        shared = fresh(60)
+        other = [*shared[:30], "edit", *shared[31:]]
+        for k in range(heads):
+            s = int(rng.integers(0, 60 - part + 1))
+            texts[g + k] = fresh(30) + shared[s : s + part] + fresh(30)
+        texts[g + 50], texts[g + 60] = fresh(40) + shared + fresh(20), fresh(25) + other + fresh(35)
+        want.add((g + 60, g + 50))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    got = {(r["id"], r["other_id"]) for r in substring_dedup.repeated_passages(df).collect() if r["similarity"] >= 0.8}
+    assert len(want & got) >= 0.95 * len(want)  # as without decoys: two of four functions must agree
+
+
 def test_similar_passages_in_context_are_found(spark):
     rng = np.random.default_rng(9)
     fresh = lambda n: [f"t{rng.integers(10**9)}" for _ in range(n)]
