@@ -429,6 +429,33 @@ def test_pairs_of_a_head_that_many_repeat_are_dealt(spark):
     assert heads.groupBy("other").count().filter("count > 1").collect()[0]["other"] == 0
 
 
+@pytest.mark.parametrize("within", [False, True])
+def test_windows_meet_the_first_of_their_key_and_large_keys_have_no_peers(spark, within):
+    rng = np.random.default_rng(7)
+    rows = {(-1, int(i), int(s)) for i, s in zip(rng.integers(0, 900, 25_000), rng.integers(0, 1 << 40, 25_000), strict=True)}
+    rows |= {(int(k), int(i), int(s)) for k, i, s in zip(rng.integers(0, 4000, 9000), rng.integers(0, 50, 9000), rng.integers(0, 1 << 40, 9000), strict=True)}
+    groups = {}
+    for k, i, s in sorted(rows):
+        groups.setdefault(k, []).append((i, s))
+    met = {(k, 3 <= len(g) <= substring_dedup.PEERS, *x, *g[0]) for k, g in groups.items() if (len(g) > 1 if within else g[0][0] < g[-1][0]) for x in g}
+    found = spark.createDataFrame(sorted(rows), "key long, id long, spot long").repartition(5)
+    got = substring_dedup.written(substring_dedup.matches(found, found.count(), within), "met")
+    assert {tuple(r) for r in got.collect()} == met and got.count() == len(met)
+    few = {m[0] for m in met if m[1]}
+    pairs = {(k, *x, *y) for k in few for x in groups[k] for y in groups[k][1:] if y[0] < x[0]}
+    assert -1 not in few and {tuple(r) for r in substring_dedup.peers(got).collect()} == pairs
+
+
+def test_ordered_windows_of_a_key_may_lie_in_many_batches():
+    import pyarrow as pa
+
+    rows = [(k, i, 10 * k + i) for k, n in ((-3, 1), (1, 9), (2, 2), (5, 1), (8, 40)) for i in range(n)]
+    want = [(k, 3 <= n <= substring_dedup.PEERS, i, 10 * k + i, 0, 10 * k) for k, n in ((1, 9), (2, 2), (8, 40)) for i in range(n)]
+    for size in (1, 2, 4, 7, 60):
+        parts = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[j : j + size], strict=True)], substring_dedup.NAMES) for j in range(0, len(rows), size)]
+        assert [tuple(r.values()) for b in substring_dedup.met_in_order(iter(parts), False) for r in b.to_pylist()] == want
+
+
 def test_words_split_alike():
     text = "A\x0bb\x0c c d\x1ce f \r\n"
     assert text.encode().split() == [m.encode() for m in re.findall(r"[^\x20\x09-\x0D]+", text)]
