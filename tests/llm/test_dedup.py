@@ -446,6 +446,32 @@ def test_windows_meet_the_first_of_their_key_and_large_keys_have_no_peers(spark,
     assert -1 not in few and {tuple(r) for r in substring_dedup.peers(got).collect()} == pairs
 
 
+def joined_rows(spark, run):
+    """The rows that all joins of the executions of run made, as Spark counts them."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before, total = store.executionsCount(), 0
+    run()
+    bus.waitUntilEmpty()
+    every = store.executionsList()
+    for e in range(before, every.size()):
+        number = every.apply(e).executionId()
+        counts, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            for m in map(node.metrics().apply, range(node.metrics().size())) if "Join" in node.name() else ():
+                if m.name() == "number of output rows" and counts.contains(m.accumulatorId()):
+                    total += int(counts.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+@pytest.mark.parametrize("large", [10_000, 20_000])
+def test_each_window_of_a_large_key_passes_one_join_at_most(spark, large):
+    rows = spark.range(large).selectExpr("-1L as key", "id", "id * 7 as spot").unionByName(spark.range(6000).selectExpr("id % 2000 as key", "id", "id as spot"))
+    found = substring_dedup.written(rows.repartition(5, "id"), "windows")
+    made = joined_rows(spark, lambda: substring_dedup.matches(found, large + 6000, False).write.format("noop").mode("overwrite").save())
+    assert large <= made <= large + 6000
+
+
 def test_ordered_windows_of_a_key_may_lie_in_many_batches():
     import pyarrow as pa
 
