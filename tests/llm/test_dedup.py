@@ -472,6 +472,26 @@ def test_each_window_of_a_large_key_passes_one_join_at_most(spark, large):
     assert large <= made <= large + 6000
 
 
+def test_passages_are_verified_without_the_windows_and_with_the_wanted_texts_alone(spark, monkeypatch):
+    import os
+
+    from samplewright.llm.common import shared_dir
+
+    tables = lambda: {x for x in os.listdir(shared_dir(spark)) if x.startswith("window")}
+    before, seen, dealt_heads = tables(), [], substring_dedup.dealt_heads
+
+    def watched(pairs, texts):
+        seen.append((tables() - before, {r["id"] for r in texts.collect()} - {r["other"] for r in pairs.collect()}))
+        return dealt_heads(pairs, texts)
+
+    monkeypatch.setattr(substring_dedup, "dealt_heads", watched)
+    shared = " ".join(f"s{k}" for k in range(70))
+    rows = [(1, shared), (2, f"a b {shared}"), (3, f"c {shared} d"), (4, "e f")]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["id"], r["other_id"]) for r in got} >= {(2, 1), (3, 1)}
+    assert seen and all(own == (set(), set()) for own in seen)
+
+
 def test_ordered_windows_of_a_key_may_lie_in_many_batches():
     import pyarrow as pa
 
