@@ -14,7 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import clip as clipped
@@ -165,20 +165,23 @@ def fit_alphas(g: np.ndarray, alphas: Sequence[float]) -> list[tuple[float, np.n
     return out
 
 
-def _r2_by_tiles(width: int, tile: int, parts: dict[tuple[int, int], np.ndarray], v: np.ndarray, y: int | None = None) -> np.ndarray:
-    """r2 of linear models, columns (intercept, coefficients, -1) of v, on the rows that a fold's tiles sum up; NaN when y does not vary.
+def _unexplained(width: int, tile: int, parts: dict[tuple[int, int], np.ndarray], v: np.ndarray, y: int | None = None) -> np.ndarray:
+    """1 - r2 of linear models, columns (intercept, coefficients, -1) of v, on the rows that a fold's tiles sum up; NaN when y does not vary.
 
     y is the outcome's place where there are several: v has -1 there and 0 at the others.
+    The sums are centred, and added up in long doubles: models of millions of rows differ by less than a double's last digit of r2.
     """
-    y = width - 1 if y is None else y
-    sse, last = np.zeros(v.shape[1]), y // tile
+    y, wide = width - 1 if y is None else y, np.longdouble
+    v, n = v.astype(wide), wide(parts[0, 0][0])
+    sums = np.concatenate([parts[0, j].reshape(-1, min(tile, width - j * tile))[0] for j in range(-(-width // tile))]).astype(wide)
+    sse, sst = (sums @ v) ** 2 / n, wide(np.nan)
     for (i, j), p in parts.items():
         rows, cols = _span(i, width, tile), _span(j, width, tile)
-        sse += (1 if i == j else 2) * (v[rows] * (p.reshape(rows.stop - rows.start, -1) @ v[cols])).sum(axis=0)
-    wide, at = min(tile, width - last * tile), y - last * tile
-    corner, edge, n = parts[last, last].reshape(wide, -1)[at, at], parts[0, last].reshape(-1, wide)[0, at], parts[0, 0][0]
-    sst = corner - edge**2 / n
-    return 1 - sse / sst if sst > 0 else np.full(v.shape[1], np.nan)
+        apart = p.reshape(rows.stop - rows.start, -1) - np.outer(sums[rows], sums[cols]) / n
+        sse += (1 if i == j else 2) * (v[rows] * (apart @ v[cols])).sum(axis=0)
+        if i == j == y // tile:
+            sst = apart[y - rows.start, y - rows.start]
+    return sse / sst if sst > 0 else np.full(v.shape[1], np.nan, wide)
 
 
 def ridge_cv(stats: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
@@ -186,11 +189,12 @@ def ridge_cv(stats: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
 
     A task for each run and fold, and one for the refit of a run, makes one
     decomposition and answers for all alphas; it holds about five matrices as wide
-    as the features. The best alpha is chosen by aggregation. Runs with fewer than
-    two rows a fold, or fewer than 5, get no row.
+    as the features. The best alpha is chosen by aggregation, of how far each is
+    behind the best of its fold, which tells r2 apart that are equal as doubles.
+    Runs with fewer than two rows a fold, or fewer than 5, get no row.
     """
-    names = ["run_id", "fold", "k", "alpha", "n", "r2", "intercept", "coef"]
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
+    names = ["run_id", "fold", "k", "alpha", "n", "r2", "behind", "intercept", "coef"]
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
 
     def solve(t: pa.Table) -> pa.Table:
         run, fold, width, tile, folds = (t.column(c)[0].as_py() for c in ("run_id", "fold", "width", "tile", "folds"))
@@ -199,17 +203,18 @@ def ridge_cv(stats: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
         if n < max(5, 2 * folds) or folds < 2:
             return pa.table([pa.array([], k) for k in kinds], names)
         fits = fit_alphas(train, alphas)
-        r2 = _r2_by_tiles(width, tile, parts, np.array([[b, *w, -1.0] for b, w in fits]).T).tolist() if parts else [None] * len(fits)
-        rows = [(run, fold, k, float(a), n, r, float(b), None if parts else w.tolist()) for k, (a, r, (b, w)) in enumerate(zip(alphas, r2, fits, strict=True))]
+        lost = _unexplained(width, tile, parts, np.array([[b, *w, -1.0] for b, w in fits]).T) if parts else np.full(len(fits), np.nan)
+        r2, behind = ([float(x) if parts else None for x in of] for of in (1 - lost, lost - np.fmin.reduce(lost)))
+        rows = [(run, fold, k, float(a), n, r, x, float(b), None if parts else w.tolist()) for k, (a, r, x, (b, w)) in enumerate(zip(alphas, r2, behind, fits, strict=True))]
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    schema = "run_id string, fold int, k int, alpha double, n bigint, r2 double, intercept double, coef array<double>"
+    schema = "run_id string, fold int, k int, alpha double, n bigint, r2 double, behind double, intercept double, coef array<double>"
     solved = left_out(stats).groupBy("run_id", "fold").applyInArrow(solve, schema)
     whole = F.col("fold") < 0
     mean = solved.groupBy("run_id", "k", "alpha").agg(
-        F.max("n").alias("n"), F.avg("r2").alias("cv_r2"), F.max(F.when(whole, F.col("intercept"))).alias("intercept"), F.first("coef", ignorenulls=True).alias("coef")
+        F.max("n").alias("n"), F.avg("r2").alias("cv_r2"), F.avg("behind").alias("behind"), F.max(F.when(whole, F.col("intercept"))).alias("intercept"), F.first("coef", ignorenulls=True).alias("coef")
     )
-    best = mean.groupBy("run_id").agg(F.min_by(F.struct("n", "alpha", "cv_r2", "intercept", "coef"), F.struct(-F.col("cv_r2"), "k")).alias("b"))  # NaN is the largest
+    best = mean.groupBy("run_id").agg(F.min_by(F.struct("n", "alpha", "cv_r2", "intercept", "coef"), F.struct("behind", "k")).alias("b"))  # NaN is the largest
     return best.select("run_id", "b.*")
 
 
@@ -276,15 +281,16 @@ def _predicted(own: DataFrame, models: DataFrame, on: Sequence[str], lo: float |
 
 
 def ridge_sweep(stats: DataFrame, lambdas: Sequence[float], outcomes: Sequence[str] = ("y",), intercept: bool = True, leave_out: bool = True) -> DataFrame:
-    """(run_id, fold, outcome, lambda, rcond, ill, r2, intercept, coef): no standardisation; each fold's model is fitted on the other folds.
+    """(run_id, fold, outcome, lambda, rcond, ill, r2, unexplained, intercept, coef): no standardisation; each fold's model is fitted on the other folds.
 
     With leave_out False there is one model of all rows, fold -1. rcond is the
     reciprocal condition of x'x + lambda I, ill whether it is below machine precision;
     r2 that of the predictions, not clipped, of the model's own fold, from its sums:
-    the rows are not read for it. It is null for fold -1 and where y does not vary.
+    the rows are not read for it. unexplained is 1 - r2, with more digits. Both are
+    null for fold -1 and where y does not vary.
     """
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
-    names = ["run_id", "fold", "outcome", "lambda", "rcond", "ill", "r2", "intercept", "coef"]
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64()))
+    names = ["run_id", "fold", "outcome", "lambda", "rcond", "ill", "r2", "unexplained", "intercept", "coef"]
     outs = list(outcomes)
 
     def solve(t: pa.Table) -> pa.Table:
@@ -303,22 +309,23 @@ def ridge_sweep(stats: DataFrame, lambdas: Sequence[float], outcomes: Sequence[s
                 w = vectors @ (xy / np.where(np.abs(s) > 1e-300, s, np.inf))
                 b = float(y_mean - mean @ w)
                 v = np.concatenate(([b], w, -np.eye(len(outs))[k]))[:, None]
-                r2 = float(_r2_by_tiles(width, tile, parts, v, d + 1 + k)[0]) if parts else math.nan
-                rows.append((run, fold, name, float(lam), rcond, rcond < np.finfo(float).eps, None if math.isnan(r2) else r2, b, w.tolist()))
+                lost = _unexplained(width, tile, parts, v, d + 1 + k)[0] if parts else np.longdouble(np.nan)
+                scores = (None, None) if np.isnan(lost) else (float(1 - lost), float(lost))
+                rows.append((run, fold, name, float(lam), rcond, rcond < np.finfo(float).eps, *scores, b, w.tolist()))
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    schema = "run_id string, fold int, outcome string, lambda double, rcond double, ill boolean, r2 double, intercept double, coef array<double>"
+    schema = "run_id string, fold int, outcome string, lambda double, rcond double, ill boolean, r2 double, unexplained double, intercept double, coef array<double>"
     return left_out(stats).filter("fold >= 0" if leave_out else "fold < 0").groupBy("run_id", "fold").applyInArrow(solve, schema)
 
 
 def kfold_sweep(
     df: DataFrame, lambdas: Sequence[float], outcomes: Sequence[str] = ("y",), intercept: bool = True, bounds: dict[str, tuple[float | None, float | None]] | None = None, run_bounds: DataFrame | None = None
 ) -> DataFrame:
-    """Metrics of every fold, outcome and lambda: (run_id, fold, outcome, lambda, ill, r2, mse, rmse, mae), from (run_id, fold, x, outcomes...).
+    """Metrics of every fold, outcome and lambda: (run_id, fold, outcome, lambda, ill, r2, mse, rmse, mae, unexplained), from (run_id, fold, x, outcomes...).
 
     Predictions are clipped to the outcome's bounds, or to those of the run, from run_bounds (run_id, lo, hi).
     """
-    models = ridge_sweep(sufficient_stats(df, outcomes), lambdas, outcomes, intercept).drop("r2")
+    models = ridge_sweep(sufficient_stats(df, outcomes), lambdas, outcomes, intercept).drop("r2", "unexplained")
     values = [F.col(o).cast("double").alias(f"_{i}") for i, o in enumerate(outcomes)]
     pred = ridge_predict(df.select("run_id", F.col("fold").cast("int").alias("fold"), "x", *values), models, ["run_id", "fold"])
     of = F.coalesce(*[F.when(F.col("outcome") == o, F.col(f"_{i}")) for i, o in enumerate(outcomes)])
@@ -341,18 +348,21 @@ def best_hyperparameter(metrics: DataFrame, criterion: str = "r2", minimize: boo
     """(run_id, outcome, lambda, score, at_edge, tied): the best mean over folds, the least lambda on ties.
 
     A lambda that is ill-conditioned in any fold does not count; an outcome
-    without any other is an error. at_edge: the best is an end of the grid.
+    without any other is an error. at_edge: the best is an end of the grid. Where
+    the metrics have unexplained, r2 are compared by it: how far each lambda is behind
+    the best of its fold keeps digits that a double near 1 has not.
     """
     by = ["run_id", "outcome"]
-    mean = metrics.groupBy(*by, "lambda").agg(F.avg(criterion).alias("score"), F.max("ill").alias("ill"))
-    worth = F.col("score") if minimize else -F.col("score")
-    fine = mean.filter("not ill")
-    best = fine.groupBy(*by).agg(F.min(F.struct(worth.alias("w"), "lambda")).alias("b"), F.min("lambda").alias("lo"), F.max("lambda").alias("hi"))
-    ties = fine.withColumn("w", worth).join(best.select(*by, F.col("b.w").alias("bw")), by).filter("w = bw").groupBy(*by).agg(F.count("*").alias("ties"))
+    own, worth = metrics, F.col("score") if minimize else -F.col("score")
+    if criterion == "r2" and not minimize and "unexplained" in metrics.columns:
+        own, worth = metrics.withColumn("behind", F.col("unexplained") - F.min("unexplained").over(Window.partitionBy(*by, "fold"))), F.col("behind")
+    mean = own.groupBy(*by, "lambda").agg(F.avg(criterion).alias("score"), F.max("ill").alias("ill"), *[F.avg(c).alias(c) for c in own.columns if c == "behind"])
+    fine = mean.filter("not ill").withColumn("w", worth)
+    best = fine.groupBy(*by).agg(F.min(F.struct("w", "lambda", "score")).alias("b"), F.min("lambda").alias("lo"), F.max("lambda").alias("hi"))
+    ties = fine.join(best.select(*by, F.col("b.w").alias("bw")), by).filter("w = bw").groupBy(*by).agg(F.count("*").alias("ties"))
     every = metrics.select(*by).distinct().join(best, by, "left").join(ties, by, "left")
     lam = F.when(F.col("b").isNull(), F.raise_error(F.concat(F.lit("no well-conditioned lambda for "), "outcome")).cast("double")).otherwise(F.col("b.lambda"))
-    score = F.col("b.w") if minimize else -F.col("b.w")
-    return every.select(*by, lam.alias("lambda"), score.alias("score"), ((F.col("b.lambda") == F.col("lo")) | (F.col("b.lambda") == F.col("hi"))).alias("at_edge"), (F.col("ties") > 1).alias("tied"))
+    return every.select(*by, lam.alias("lambda"), F.col("b.score").alias("score"), ((F.col("b.lambda") == F.col("lo")) | (F.col("b.lambda") == F.col("hi"))).alias("at_edge"), (F.col("ties") > 1).alias("tied"))
 
 
 def best_fold_results(metrics: DataFrame, best: DataFrame) -> DataFrame:

@@ -231,3 +231,50 @@ def test_scores_of_many_rows_keep_their_last_digits(spark):
     odd = spark.createDataFrame([("a", 1.0, None), ("a", 3.0, 2.0), ("b", 1.0, None), ("c", 2.0, 2.5)], "run_id string, y double, pred double")
     got = {r["run_id"]: (r["r2"], r["mse"]) for r in aggregates.precise_metrics(odd, ["run_id"]).collect()}
     assert got == {"a": (0.5, 0.5), "b": (None, None), "c": (None, 0.25)}
+
+
+#: Sums of (1, x, y) by itself of five folds of 60 copies of the line items' run A: upper triangles.
+MANY = [
+    [2387520, 61008000, 11910600, 9525180, 253341176, 2056321080, 303695280, 243420720, 7967093218, 79837080, 47426340, 1220515039, 51168900, 1076777183, 32097277936],
+    [2419200, 61428000, 12079080, 9643200, 255504160, 2066579040, 306837540, 244442760, 8005477465, 80922960, 48090900, 1234543219, 51738120, 1083788901, 32268627430],
+    [2408880, 61283760, 12061680, 9612060, 254718864, 2059768920, 307157160, 244306980, 7980390883, 80946480, 48077400, 1235004700, 51684540, 1082485298, 32166868444],
+    [2377860, 60555300, 11854140, 9478980, 251765134, 2036888460, 302121240, 241014660, 7893558060, 79474620, 47200620, 1214804356, 50908020, 1068186899, 31823109732],
+    [2397540, 61078020, 11983200, 9552480, 253784989, 2053817580, 304724460, 242963160, 7957938269, 80218680, 47689740, 1225878451, 51264600, 1076160207, 32071633591],
+]
+
+
+def test_penalties_whose_r2_are_equal_as_doubles_are_told_apart(spark):
+    """The mean r2 of the two best penalties differ by 1e-17; the first wins in exact fractions."""
+    from fractions import Fraction
+
+    sums = []
+    for own in MANY:
+        g = [[0] * 5 for _ in range(5)]
+        for v, (i, j) in zip(own, ((i, j) for i in range(5) for j in range(i, 5)), strict=True):
+            g[i][j] = g[j][i] = v
+        sums.append(g)
+
+    def mean_r2(alpha):
+        r2 = []
+        for p in sums:
+            g = [[Fraction(sum(s[i][j] for s in sums) - p[i][j]) for j in range(5)] for i in range(5)]
+            n = g[0][0]
+            c = [[g[i][j] - g[0][i] * g[0][j] / n for j in range(1, 5)] for i in range(1, 4)]
+            for i in range(3):
+                c[i][i] += Fraction(alpha) * c[i][i] / n
+            for i in range(3):
+                c[i] = [v / c[i][i] for v in c[i]]
+                for k in {0, 1, 2} - {i}:
+                    c[k] = [a - c[k][i] * b for a, b in zip(c[k], c[i], strict=True)]
+            w = [c[i][3] for i in range(3)]
+            v = [(g[0][4] - sum(a * b for a, b in zip(w, g[0][1:4], strict=True))) / n, *w, Fraction(-1)]
+            sse = sum(v[i] * v[j] * p[i][j] for i in range(5) for j in range(5))
+            r2.append(1 - sse / (p[4][4] - Fraction(p[0][4]) ** 2 / p[0][0]))
+        return sum(r2) / len(r2)
+
+    exact = {a: mean_r2(a) for a in ridge.ALPHAS}
+    first, second = sorted(exact, key=exact.get, reverse=True)[:2]
+    assert 0 < exact[first] - exact[second] < 2e-17
+    stats = spark.createDataFrame([("A", f, 0, 0, 5, 256, np.array(g, float).tobytes()) for f, g in enumerate(sums)], ridge.STATS)
+    got = ridge.ridge_cv(stats).first()
+    assert got["alpha"] == first and got["cv_r2"] == pytest.approx(float(exact[first]), abs=1e-15)
