@@ -85,7 +85,8 @@ def metric_columns(y: Column, p: Column) -> list[Column]:
 
 
 def precise_metrics(predictions: DataFrame, by: list[str], y: str = "y", p: str = "pred") -> DataFrame:
-    """metric_columns by groups, to about the last digit of a double, so that scores of millions of rows can be told apart.
+    """metric_columns by groups, to about the last digit of a double, so that scores of millions of rows can be told apart;
+    and unexplained, 1 - r2, which has more digits.
 
     Rows are added up in SUMS parts by their y first, so no long sum gathers rounding,
     and y's own sum of squares is the same for all predictions of a group of rows.
@@ -100,9 +101,10 @@ def precise_metrics(predictions: DataFrame, by: list[str], y: str = "y", p: str
     apart = total(lambda v: v["n"] * off(v))
     known = lambda c: F.when(F.exists("_p", lambda v: v["seen"] > 0), total(lambda v: v[c]))
     sums = own.select(*by, n.alias("_n"), known("sse").alias("_sse"), known("sae").alias("_sae"), (total(lambda v: v["m2"] + v["n"] * off(v) * off(v)) - apart * apart / n).alias("_sst"))
+    lost = F.col("_sse") / F.when(F.col("_sst") > 0, F.col("_sst"))
     return sums.select(
-        *by, (1 - F.col("_sse") / F.when(F.col("_sst") > 0, F.col("_sst"))).alias("r2"), (F.col("_sse") / F.col("_n")).alias("mse"),
-        F.sqrt(F.col("_sse") / F.col("_n")).alias("rmse"), (F.col("_sae") / F.col("_n")).alias("mae"),
+        *by, (1 - lost).alias("r2"), (F.col("_sse") / F.col("_n")).alias("mse"),
+        F.sqrt(F.col("_sse") / F.col("_n")).alias("rmse"), (F.col("_sae") / F.col("_n")).alias("mae"), lost.alias("unexplained"),
     )
 
 

@@ -278,3 +278,13 @@ def test_penalties_whose_r2_are_equal_as_doubles_are_told_apart(spark):
     stats = spark.createDataFrame([("A", f, 0, 0, 5, 256, np.array(g, float).tobytes()) for f, g in enumerate(sums)], ridge.STATS)
     got = ridge.ridge_cv(stats).first()
     assert got["alpha"] == first and got["cv_r2"] == pytest.approx(float(exact[first]), abs=1e-15)
+
+
+def test_best_lambda_is_chosen_by_what_is_unexplained(spark):
+    """0.06 has digits that 1 - 0.06 has not."""
+    lost = {1.0: (0.0625, 0.0625), 10.0: (0.0625 - 2**-57, 0.0625 - 2**-57)}
+    rows = [("r", f, "y", lam, False, 1 - v, v) for lam, of in lost.items() for f, v in enumerate(of)]
+    metrics = spark.createDataFrame(rows, "run_id string, fold int, outcome string, lambda double, ill boolean, r2 double, unexplained double")
+    got = ridge.best_hyperparameter(metrics).first()
+    assert (got["lambda"], got["tied"], got["score"]) == (10.0, False, 0.9375)
+    assert ridge.best_hyperparameter(metrics.drop("unexplained")).first()["lambda"] == 1.0
