@@ -9,7 +9,7 @@ many samples is one job.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import clip as clipped
-from ..prefix import hash_ranked
-from ..stored import stored
+from ..prefix import hash_ranked, hash_ranked_in_slices
+from ..stored import erase_since, stored, stored_so_far
 from .aggregates import metric_columns, precise_metrics
 
 ALPHAS = tuple(float(a) for a in np.logspace(-5, 5, 10))
@@ -27,6 +27,8 @@ ALPHAS = tuple(float(a) for a in np.logspace(-5, 5, 10))
 TILE, HELD_BYTES = 256, 1 << 28
 #: Parts in which the sums of all tasks are added first.
 SALTS = 32
+#: Rows of samples that are dealt at once.
+SLICE_ROWS = 1 << 25
 #: Bytes of models that are sent to all tasks at once, about.
 MODEL_BYTES = 1 << 26
 
@@ -401,16 +403,35 @@ def min_sample_guard(samples: DataFrame, least: int) -> DataFrame:
     return samples.join(enough, "run_id", "left_semi")
 
 
+def _union(tables: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def score_samples(samples: DataFrame, population: DataFrame, folds: int = 5, seed: str = "cv", alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """(run_id, n, alpha, r2, mse, rmse, mae): each stored sample's model on the test split.
 
     samples: (run_id, id); population: (id, x, y, split). All runs are fitted in one
     job. The samples' rows are stored when they have met the population, and again
-    with their folds: neither the join nor the sort is made more than once.
+    with their folds: neither the join nor the sort is made more than once. Both are
+    made in slices of about SLICE_ROWS rows of the samples, by hashes, one after the
+    other, so that no more than a slice lies in shuffle files; the tables are read
+    once for each.
     """
-    met = samples.distinct().join(population.filter("split = 'train'").select("id", "x", "y"), "id")
-    train = stored(met.select("run_id", F.concat_ws("|", "run_id", "id").alias("_key"), "x", "y"), "train")
-    folded = stored(with_folds(min_sample_guard(train, 2 * folds), folds, seed, id_col="_key").select("run_id", "fold", "x", "y"), "folded")
+    spark, slices = samples.sparkSession, max(1, math.ceil(samples.count() / SLICE_ROWS))
+    known = population.filter("split = 'train'").select("id", "x", "y")
+
+    def of(df: DataFrame, k: int) -> DataFrame:
+        return df if slices == 1 else df.filter(F.pmod(F.xxhash64("id"), F.lit(slices)) == k)
+
+    mark = stored_so_far()
+    # dealt by id once, for the distinct rows and for the join, which sorts them by id: repeated ids take little room
+    train = _union(stored(of(samples.select("run_id", "id"), k).repartition("id").distinct().join(of(known, k), "id").select("run_id", "id", "x", "y"), "train") for k in range(slices))
+    enough = train.groupBy("run_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= 2 * folds).select("run_id")
+    own = train.join(F.broadcast(enough), "run_id", "left_semi")  # a row for each run
+    ranked = hash_ranked_in_slices(own, F.concat(F.lit(f"{seed}|"), "run_id"), "id", ["run_id"], [], None, slices)
+    parts = [stored(t.select("run_id", (F.col("rank") % folds).cast("int").alias("fold"), "x", "y"), "folded") for t in ranked]
+    erase_since(spark, mark, *parts)
+    folded = _union(parts)
     models = ridge_cv(sufficient_stats(folded), alphas)
     pred = ridge_predict(population.filter("split = 'test'").select("x", "y"), models, [])
     return pred.filter("y is not null").groupBy("run_id").agg(F.first("n").alias("n"), F.first("alpha").alias("alpha"), *metric_columns(F.col("y"), F.col("pred")))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .rng import digits
@@ -24,14 +24,9 @@ def hash_digits(rows: int, per_bucket: int = BUCKET_ROWS) -> int:
     return max(1, math.ceil(math.log(max(1.0, rows / per_bucket), 16)))
 
 
-def running_sums(rows: DataFrame, by: Sequence[str], levels: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Adds before_<value>: the sum of value over the rows that come earlier in
-    the order (levels..., order...) within `by`.
-
-    The columns of by and levels must not be null. Rows is read more than once:
-    it must be deterministic, and a stored table if it is costly.
-    """
-    by, levels, sums_of = list(by), list(levels), {v: f"_sum_{v}" for v in values}
+def _offsets(rows: DataFrame, by: list[str], levels: list[str], values: Sequence[str]) -> DataFrame:
+    """(by..., levels..., _base_<value>): the sums of value over the buckets before each, within `by`."""
+    sums_of = {v: f"_sum_{v}" for v in values}
     leaf = rows.groupBy(*by, *levels).agg(*[F.sum(v).alias(s) for v, s in sums_of.items()])
     offsets: DataFrame | None = None
     for depth, level in enumerate(levels):
@@ -40,22 +35,41 @@ def running_sums(rows: DataFrame, by: Sequence[str], levels: Sequence[str], orde
         w = Window.partitionBy(*parents).orderBy(level).rowsBetween(Window.unboundedPreceding, -1)
         here = sums.select(*parents, level, *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_at{depth}_{v}") for v, s in sums_of.items()])
         offsets = here if offsets is None else here.join(offsets, parents)
-    keys = by + levels
-    base = offsets.select(*keys, *[sum((F.col(f"_at{d}_{v}") for d in range(len(levels))), F.lit(0)).alias(f"_base_{v}") for v in values])
+    return offsets.select(*by, *levels, *[sum((F.col(f"_at{d}_{v}") for d in range(len(levels))), F.lit(0)).alias(f"_base_{v}") for v in values])
+
+
+def _added(met: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Rows that have met their bucket's offsets, with before_<value> in their place."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        rows.join(base, keys)
-        .withColumns({f"before_{v}": F.col(f"_base_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values})
-        .drop(*[f"_base_{v}" for v in values])
-    )
+    return met.withColumns({f"before_{v}": F.col(f"_base_{v}") + F.coalesce(F.sum(v).over(w), F.lit(0)) for v in values}).drop(*[f"_base_{v}" for v in values])
+
+
+def running_sums(rows: DataFrame, by: Sequence[str], levels: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Adds before_<value>: the sum of value over the rows that come earlier in
+    the order (levels..., order...) within `by`.
+
+    The columns of by and levels must not be null. Rows is read more than once:
+    it must be deterministic, and a stored table if it is costly.
+    """
+    by, levels = list(by), list(levels)
+    return _added(rows.join(_offsets(rows, by, levels, values), by + levels), by + levels, order, values)
 
 
-def hash_ranked(rows: DataFrame, seed: str, id_col: str, by: Sequence[str] = (), values: Sequence[str] = (), n: int | None = None) -> DataFrame:
+def hash_ranked(rows: DataFrame, seed: str | Column, id_col: str, by: Sequence[str] = (), values: Sequence[str] = (), n: int | None = None) -> DataFrame:
     """Adds rank (0-based) in the order of the hash of seed and id, and before_<value> sums, within by."""
-    n = rows.count() if n is None else n
-    own = rows.withColumn("_h", digits(seed, F.col(id_col))).withColumn("_part", F.substring("_h", 1, hash_digits(n))).withColumn("rank", F.lit(1).cast("long"))
-    out = running_sums(own, by, ["_part"], ["_h", id_col], ["rank", *values])
-    return out.drop("rank").withColumnRenamed("before_rank", "rank").drop("_h", "_part")
+    return hash_ranked_in_slices(rows, seed, id_col, by, values, n, 1)[0]
+
+
+def hash_ranked_in_slices(rows: DataFrame, seed: str | Column, id_col: str, by: Sequence[str], values: Sequence[str], n: int | None, slices: int) -> list[DataFrame]:
+    """The rows of hash_ranked in so many tables, by their hash: each shuffles its own rows only. The hash itself is not shuffled."""
+    n, h, keys, values = rows.count() if n is None else n, digits(seed, F.col(id_col)), [*by, "_part"], ["rank", *values]
+    own = rows.withColumn("_part", F.substring(h, 1, hash_digits(n))).withColumn("rank", F.lit(1).cast("long"))
+    base = _offsets(own, list(by), ["_part"], values)
+    if slices > 1:
+        base = stored(base, "offsets")
+    slice_of = F.pmod(F.xxhash64("_part"), F.lit(slices))
+    ranked = [_added((own if slices == 1 else own.filter(slice_of == k)).join(base, keys).withColumn("_h", h), keys, ["_h", id_col], values) for k in range(slices)]
+    return [t.drop("rank").withColumnRenamed("before_rank", "rank").drop("_h", "_part") for t in ranked]
 
 
 def value_ranked(rows: DataFrame, key: str, seed: str, id_col: str, by: Sequence[str] = (), values: Sequence[str] = ()) -> DataFrame:

@@ -288,3 +288,24 @@ def test_best_lambda_is_chosen_by_what_is_unexplained(spark):
     got = ridge.best_hyperparameter(metrics).first()
     assert (got["lambda"], got["tied"], got["score"]) == (10.0, False, 0.9375)
     assert ridge.best_hyperparameter(metrics.drop("unexplained")).first()["lambda"] == 1.0
+
+
+def test_samples_are_dealt_in_slices_that_leave_no_shuffle_files(spark, data, monkeypatch):
+    """Scores do not depend on the number of slices; each slice is stored before the next is shuffled, and its shuffle files go."""
+    names, left, tracker = [], [], spark.sparkContext._jsc.sc().env().mapOutputTracker()
+
+    def kept(df, name, store=ridge.stored):
+        names.append(name)
+        out = store(df, name)
+        left.append(tracker.shuffleStatuses().size())
+        return out
+
+    whole = QUERIES["score_samples"](spark, data).collect()
+    monkeypatch.setattr(ridge, "SLICE_ROWS", 3000)
+    monkeypatch.setattr(ridge, "stored", kept)
+    before = tracker.shuffleStatuses().size()
+    got = QUERIES["score_samples"](spark, data).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, whole))
+    many = names.count("train")
+    assert many > 2 and names[: 2 * many] == ["train"] * many + ["folded"] * many
+    assert max(left[:many]) <= before + 4  # the count of the samples alone, not a shuffle for each slice
