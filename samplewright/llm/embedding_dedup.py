@@ -232,7 +232,11 @@ def _links(
 
 
 def _linked(good: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(id, n, root) of usable (id, v) of one length: numbers of links and least linked ids, part by part."""
+    """(id, n, root) of usable (id, v) of one length: numbers of links and least linked ids, part by part.
+
+    All tables here grow with the vectors, so their joins are hinted: Spark would broadcast those whose files
+    seem small, and the driver holds several times as much as the files of each.
+    """
     index = fitted(good, n, threshold)
     every_pair = index.share < RECALL
     if every_pair:
@@ -240,7 +244,9 @@ def _linked(good: DataFrame, n: int, threshold: float) -> DataFrame:
     vectors = written(encode(good, index).withColumn("same", F.md5("vec")), "codes")
     # an id with several vectors does not link with itself: each of its rows is a class of its own
     torn = vectors.groupBy("id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).filter("lo <> hi").select("id", F.col("id").alias("alone"))
-    vectors = vectors.join(torn, "id", "left").withColumn("class", F.concat_ws("|", "same", "alone")).drop("same", "alone")
+    torn = written(torn, "torn-ids")
+    vectors = vectors.withColumn("alone", F.lit(None).cast("long")) if torn.isEmpty() else vectors.join(torn.hint("merge"), "id", "left")
+    vectors = vectors.withColumn("class", F.concat_ws("|", "same", "alone")).drop("same", "alone")
     first = [F.first(c).alias(c) for c in ("c0", "c1", "vec")]
     classes = vectors.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("size"), *first)
     wide = max(1, math.ceil(n / WIDE_BLOCK))
@@ -251,8 +257,9 @@ def _linked(good: DataFrame, n: int, threshold: float) -> DataFrame:
     placed = attach(classes, codes.select("code", "n", "blocks"), "code", "n", n).withColumn("sub", F.pmod(F.xxhash64("class"), F.col("blocks")))
     blocks = written(placed.groupBy("code", "sub").agg(F.collect_list(F.struct("cid", "rep", "size", "vec")).alias("rows")), "blocks")
 
-    every = codes.select("code", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("sub"))
-    inside = every.alias("x").join(every.alias("y"), "code").filter("x.sub <= y.sub").join(codes.filter("n > 1").select("code"), "code", "left_semi")
+    every = codes.select("code", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("sub"))
+    several = every.filter("n > 1")
+    inside = several.alias("x").join(several.alias("y").hint("merge"), "code").filter("x.sub <= y.sub")
     inside = inside.select(F.col("code").alias("a"), F.col("x.sub").alias("sa"), F.col("code").alias("b"), F.col("y.sub").alias("sb"))
     if every_pair:  # the later blocks of every block
         numbers = good.sparkSession.range(wide - 1).select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.lit(wide - 1).cast("long"))).alias("b"))
@@ -260,9 +267,9 @@ def _linked(good: DataFrame, n: int, threshold: float) -> DataFrame:
     else:
         pairs = written(near_codes(codes.select("code", "c0", "c1"), index.masks, index.most), "code-pairs")
     x, y = (every.select(F.col("code").alias(s), F.col("sub").alias(f"s{s}")) for s in "ab")
-    across = pairs.join(x, "a").join(y, "b").select("a", "sa", "b", "sb")
+    across = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "sa", "b", "sb")
     x, y = (blocks.select(F.col("code").alias(s), F.col("sub").alias(f"s{s}"), F.col("rows").alias(f"r{s}")) for s in "ab")
-    work = inside.unionByName(across).join(x, ["a", "sa"]).join(y, ["b", "sb"])
+    work = inside.unionByName(across).join(x.hint("merge"), ["a", "sa"]).join(y.hint("merge"), ["b", "sb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +288,7 @@ def _linked(good: DataFrame, n: int, threshold: float) -> DataFrame:
 
     found = written(work.select("a", "sa", "b", "sb", "ra", "rb").mapInArrow(run, "cid bigint, rep bigint, n bigint, root bigint"), "links")
     sums = found.groupBy("cid", "rep").agg(F.sum("n").alias("links"))  # an id's several vectors are classes of one rep, each with its own links
-    of_class = written(classes.select("class", "cid", "rep", "size").join(sums, ["cid", "rep"], "left").drop("cid").filter("size > 1 or links > 0"), "class-links")
+    of_class = written(classes.select("class", "cid", "rep", "size").join(sums.hint("merge"), ["cid", "rep"], "left").drop("cid").filter("size > 1 or links > 0"), "class-links")
     members = vectors.groupBy("id", "class").agg(F.count("*").alias("rows"))
     met = attach(members, of_class, "class", "size", n).filter("rep is not null")
     own = met.select("id", (F.col("rows") * (F.coalesce("links", F.lit(0)) + F.col("size") - F.col("rows"))).alias("n"), F.col("rep").alias("root"))
@@ -307,7 +314,7 @@ def link(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     parts = [_linked(good.filter(F.size("v") == r["d"]), r["n"], threshold) for r in lengths]
     found = reduce(DataFrame.unionByName, parts) if parts else embeddings.sparkSession.createDataFrame([], "id bigint, n bigint, root bigint")
     reach = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("n").alias("n_links")).join(reach, F.col("id") == F.col("node"), "left").drop("node")
-    out = own.select("id").join(counts, "id", "left")
+    counts = found.groupBy("id").agg(F.sum("n").alias("n_links")).join(reach.hint("merge"), F.col("id") == F.col("node"), "left").drop("node")
+    out = own.select("id").join(counts.hint("merge"), "id", "left")
     component = F.coalesce("component", "id")
     return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

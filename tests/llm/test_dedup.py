@@ -505,3 +505,29 @@ def test_ordered_windows_of_a_key_may_lie_in_many_batches():
 def test_words_split_alike():
     text = "A\x0bb\x0c c d\x1ce f \r\n"
     assert text.encode().split() == [m.encode() for m in re.findall(r"[^\x20\x09-\x0D]+", text)]
+
+
+def test_embedding_links_broadcast_no_table_that_grows(spark):
+    """Of 3,000 vectors, 400 of them linked, at most the 1 / HOT_SHARE classes that can be hot go to the driver at once."""
+    from samplewright.llm.common import HOT_SHARE
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 32))
+    x[:400:2] = x[1:400:2] + rng.normal(size=(200, 32)) * 0.05
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(len(x))], "vec_id long, embedding array<double>").repartition(3)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    numbers = lambda: {e.executionId() for e in map(store.executionsList().apply, range(store.executionsList().size()))}
+    bus.waitUntilEmpty()
+    before, sent = numbers(), []
+    got = embedding_dedup.link(df).collect()
+    bus.waitUntilEmpty()
+    for number in numbers() - before:
+        counts, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            for m in map(node.metrics().apply, range(node.metrics().size())) if node.name() == "BroadcastExchange" else ():
+                if m.name() == "number of output rows" and counts.contains(m.accumulatorId()):
+                    sent.append(int(counts.apply(m.accumulatorId()).replace(",", "")))
+    assert max(sent, default=0) <= 1 / HOT_SHARE
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    linked = (np.triu(unit @ unit.T, 1) >= 0.9).sum()
+    assert sum(r["n_links"] for r in got) >= 2 * 0.9 * linked >= 300
